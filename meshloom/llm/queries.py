@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, quality, simhash, urlfilter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,14 +17,28 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger of every document under the latest policy."""
+    return quality.apply_policy(quality.ledger(read_table(spark, sf_dir, "documents")))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    return urlfilter.judge(read_table(spark, sf_dir, "pages"), rules)
+
+
 def queries() -> dict[str, Query]:
     """Name to function of (spark, sf_dir)."""
-    return {
-        f.__name__: f
-        for f in (op1_simhash_dedup,)
-    }
+    found = (op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op9_url_filters)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {}
+    return {"op2_quality_rules": quality.SQL, "op3_mix_sources": mixing.SQL, "op9_url_filters": urlfilter.SQL}
