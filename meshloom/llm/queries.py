@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, urlfilter
+from . import mixing, quality, secrets, simhash, urlfilter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,9 +33,15 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs, secrets.train(secrets.samples(docs))))
+
+
 def queries() -> dict[str, Query]:
     """Name to function of (spark, sf_dir)."""
-    found = (op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op9_url_filters)
+    found = (op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op9_url_filters, op10_secret_scans)
     return {f.__name__: f for f in found}
 
 
