@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, simhash, urlfilter
+from . import langid, mixing, quality, secrets, simhash, toxicity, urlfilter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page."""
     rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
@@ -41,7 +51,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to function of (spark, sf_dir)."""
-    found = (op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op9_url_filters, op10_secret_scans)
+    found = (
+        op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op4_language_id, op7_toxicity, op9_url_filters,
+        op10_secret_scans,
+    )
     return {f.__name__: f for f in found}
 
 
