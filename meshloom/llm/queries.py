@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, secrets, simhash, toxicity, urlfilter
+from . import htmltext, langid, mixing, quality, secrets, simhash, toxicity, urlfilter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page."""
     rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
@@ -52,8 +57,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """Name to function of (spark, sf_dir)."""
     found = (
-        op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op4_language_id, op7_toxicity, op9_url_filters,
-        op10_secret_scans,
+        op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op4_language_id, op7_toxicity, op8_html_text,
+        op9_url_filters, op10_secret_scans,
     )
     return {f.__name__: f for f in found}
 
