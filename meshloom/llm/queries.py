@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, langid, mixing, quality, secrets, simhash, toxicity, urlfilter
+from . import decontam, htmltext, langid, mixing, quality, secrets, simhash, toxicity, urlfilter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item."""
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -57,8 +62,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """Name to function of (spark, sf_dir)."""
     found = (
-        op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op4_language_id, op7_toxicity, op8_html_text,
-        op9_url_filters, op10_secret_scans,
+        op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontamination,
+        op7_toxicity, op8_html_text, op9_url_filters, op10_secret_scans,
     )
     return {f.__name__: f for f in found}
 
