@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, langid, mixing, quality, secrets, simhash, toxicity, urlfilter
+from . import decontam, hmm, htmltext, langid, mixing, quality, secrets, simhash, toxicity, urlfilter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document."""
+    return hmm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -63,7 +68,7 @@ def queries() -> dict[str, Query]:
     """Name to function of (spark, sf_dir)."""
     found = (
         op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontamination,
-        op7_toxicity, op8_html_text, op9_url_filters, op10_secret_scans,
+        op6_lm_scores, op7_toxicity, op8_html_text, op9_url_filters, op10_secret_scans,
     )
     return {f.__name__: f for f in found}
 
