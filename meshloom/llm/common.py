@@ -37,7 +37,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +47,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lowest(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """A sample of at most ``n`` rows that differ in ``columns``: those of lowest hash.
+
+    Hashes alone are gathered to find the highest that is in; each task then keeps its rows
+    below it, so that what a task holds is in proportion to the sample.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*columns))
+    top = hashed.select("_h").distinct().orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    return hashed.where(F.col("_h") <= F.lit(top).cast("long")).dropDuplicates(["_h"]).drop("_h")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable node of every node that occurs in ``edges``.
 

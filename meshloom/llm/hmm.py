@@ -30,7 +30,7 @@ STEPS = 3
 #: In training only, texts are cut into pieces of so many tokens, each begun from the first state's distribution.
 PIECE = 128
 #: Tokens that a task holds at once.
-CHUNK = 300_000
+CHUNK = 1_000_000
 
 _INSIDE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
@@ -66,30 +66,32 @@ def _lists(rows: list[np.ndarray], kind) -> pa.Array:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """``(kind, id, held_out, classes, word, docs, counts, train_n)`` from ``(id, row, held_out, text)``.
+    """``(kind, chunk, id, at, held_out, classes, word, cls, rows, counts, train_n)`` from ``(id, row, held_out, text)``.
 
-    Rows of kind 0 are texts with their classes. Rows of kind 1 are the words of a chunk of
-    texts: in which rows each is, how often, and how often in training ones. A word's rows
-    are as many as the chunks it is in, however common it is.
+    Texts are numbered (``at``) within a chunk. Rows of kind 0 are texts with their classes.
+    Rows of kind 1 are the words of a chunk: in which of its texts each is, how often, and
+    how often in training ones. A word's rows are as many as the chunks it is in, however
+    common it is.
     """
     schema = T.StructType(
-        [T.StructField("kind", T.IntegerType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("row", T.LongType()), T.StructField("held_out", T.BooleanType()),
+        [T.StructField("kind", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("at", T.IntegerType()), T.StructField("held_out", T.BooleanType()),
          T.StructField("classes", T.ArrayType(T.ShortType())), T.StructField("word", T.LongType()), T.StructField("cls", T.ShortType()),
-         T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("train_n", T.LongType())]
+         T.StructField("rows", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("train_n", T.LongType())]
     )
     names = schema.names
-    arrow = {"classes": pa.list_(pa.int16()), "word": pa.int64(), "cls": pa.int16(), "rows": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "train_n": pa.int64()}
+    arrow = {"classes": pa.list_(pa.int16()), "word": pa.int64(), "cls": pa.int16(), "rows": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "train_n": pa.int64()}
 
     def chunk(ids: pa.Array, row: pa.Array, out: pa.Array, got: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        n = len(got)
+        n, own = len(got), row[0].as_py()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(n, np.int32)), ids, row, out, _lists([c for _, c in got], pa.int16()), *(pa.nulls(n, arrow[k]) for k in names[5:])], names=names
+            [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, own)), ids, pa.array(np.arange(n, dtype=np.int32)), out, _lists([c for _, c in got], pa.int16()),
+             *(pa.nulls(n, arrow[k]) for k in names[6:])], names=names
         )
         h = np.concatenate([h for h, _ in got])
         if not len(h):
             return
         cls = np.concatenate([c for _, c in got])
-        text = np.repeat(np.arange(n), [len(x) for x, _ in got])
+        text = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x, _ in got])
         order = np.argsort(h, kind="stable")
         h, cls, text = h[order], cls[order], text[order]
         new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
@@ -99,10 +101,10 @@ def encode(docs: DataFrame) -> DataFrame:
         training = ~out.to_numpy(zero_copy_only=False)[text]
         offsets = pa.array(np.r_[word, len(h)], pa.int32())
         m = len(word)
-        rows = pa.ListArray.from_arrays(offsets, pa.array(row.to_numpy(zero_copy_only=False)[text], pa.int64()))
+        rows = pa.ListArray.from_arrays(offsets, pa.array(text, pa.int32()))
         counts = pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(m, np.int32)), pa.nulls(m, ids.type), pa.nulls(m, row.type), pa.nulls(m, out.type), pa.nulls(m, arrow["classes"]),
+            [pa.array(np.ones(m, np.int32)), pa.array(np.full(m, own)), pa.nulls(m, ids.type), pa.nulls(m, pa.int32()), pa.nulls(m, out.type), pa.nulls(m, arrow["classes"]),
              pa.array(h[word].view(np.int64)), pa.array(cls[word]), rows, counts, pa.array(np.add.reduceat(times * training, word).astype(np.int64))],
             names=names,
         )
@@ -239,8 +241,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")
     )
     coded = materialize(encode(rows))
-    texts = coded.where("kind = 0").select("id", "row", "held_out", "classes")
-    postings = coded.where("kind = 1").select("word", "cls", "rows", "counts", "train_n")
+    texts = coded.where("kind = 0").select("chunk", "at", "id", "held_out", "classes")
+    postings = coded.where("kind = 1").select("chunk", "word", "cls", "rows", "counts", "train_n")
     counts = postings.groupBy("word").agg(F.sum("train_n").alias("c"), F.first("cls").alias("cls"))
     counts = materialize(counts.where("c > 0"))
     by_class = np.zeros((2, CLASSES))
@@ -253,8 +255,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # known words: their counts; of the words of a text, each adds its own
     known = postings.join(counts.select("word", "c"), "word")
     per_text = (
-        known.select(F.explode(F.arrays_zip("rows", "counts")).alias("x"), "c")
-        .groupBy(F.col("x.rows").alias("row"))
+        known.select("chunk", F.explode(F.arrays_zip("rows", "counts")).alias("x"), "c")
+        .groupBy("chunk", F.col("x.rows").alias("at"))
         .agg(F.sum("x.counts").alias("n_known"), F.sum(F.col("x.counts") * F.log10(F.col("c") + 1)).alias("log_counts"))
     )
     shared = docs.sparkSession.sparkContext.broadcast((model, np.log10(by_class.sum(axis=0) + 1)))
@@ -264,13 +266,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                seqs = [x.values.to_numpy(zero_copy_only=False) for x in b.column(3)]
+                seqs = [x.values.to_numpy(zero_copy_only=False) for x in b.column(4)]
                 ll = log_likelihood(m, seqs) - np.array([size[s].sum() for s in seqs])
                 n = np.array([len(s) + 1 for s in seqs], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n), pa.array(ll)], names=["id", "row", "held_out", "n_tokens", "ll"])
+                yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(4)), pa.array(n), pa.array(ll)], names=["chunk", "at", "id", "held_out", "n_tokens", "ll"])
 
-    schema = T.StructType([*(texts.schema[c] for c in ("id", "row", "held_out")), T.StructField("n_tokens", T.LongType()), T.StructField("ll", T.DoubleType())])
-    scored = texts.mapInArrow(run, schema).join(per_text, "row", "left")
+    schema = T.StructType([*(texts.schema[c] for c in ("chunk", "at", "id", "held_out")), T.StructField("n_tokens", T.LongType()), T.StructField("ll", T.DoubleType())])
+    scored = texts.mapInArrow(run, schema).join(per_text, ["chunk", "at"], "left")
     log_counts = F.coalesce("log_counts", F.lit(0.0))
     known_end = F.lit(1 if ends else 0)
     return scored.select(

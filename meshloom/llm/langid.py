@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled documents that the classifiers are fitted on at most, those of lowest hash of their text.
+from .common import lowest
+
+#: Labelled documents that the classifiers are fitted on at most, of different texts, those of lowest hash.
 SAMPLE_ROWS = 3000
 #: Number of hashed n-gram features.
 FEATURES = 1 << 12
@@ -75,7 +77,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     to the driver. Without labelled rows the model knows no language.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64("text"), "lang").limit(SAMPLE_ROWS)
+    rows = lowest(rows, ["text", "lang"], SAMPLE_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,15 +113,18 @@ def decode(model: Model, x: np.ndarray) -> np.ndarray:
     return share / share.sum(axis=1, keepdims=True)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, ``lang_pred``, ``score`` (the language's share) and ``ambiguous``.
+def predict(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """One row for each document: id (or the columns ``keep``), ``lang_pred``, ``score`` and ``ambiguous``.
 
-    Whole texts are used, and nothing but texts. A null text, and one without a letter, is
+    ``score`` is the language's share. Whole texts are used, and nothing but texts. A null text, and one without a letter, is
     ``und`` with score 0 and not ambiguous; so is every text if the model knows no language.
     """
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = keep or [id_col]
+    rows = docs.select(F.struct(*kept).alias("kept"), F.col(text_col).alias("text"))
     schema = T.StructType(
-        [ids.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+        [rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each bit of the code
 
@@ -139,10 +144,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     score[where] = share.max(axis=1)
                     unclear[where] = share.max(axis=1) < CLEAR
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unclear)], names=["id", "lang_pred", "score", "ambiguous"]
+                    [b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unclear)], names=["kept", "lang_pred", "score", "ambiguous"]
                 )
 
-    return ids.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).select(*[F.col(f"kept.{c}").alias(c) for c in kept], "lang_pred", "score", "ambiguous")
 
 
 def held_out(df: DataFrame, parts: int, part: int, id_col: str = "doc_id"):

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 #: Fixed patterns, in the order of their kinds; group 0 is the span.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -28,7 +30,7 @@ SIZE = len(ALPHABET) + 1
 PRIOR = 8.0
 #: Nats for each character that make a token random.
 THRESHOLD = 4.0
-#: Documents whose ordinary words, and those whose assigned values, are labelled samples; the choice is by a hash of the text.
+#: Documents whose ordinary words, and those whose assigned values, are labelled samples; of different texts, those of lowest hash.
 SAMPLE_DOCS = 2000
 #: Random strings made by rule, a labelled sample that no corpus can lack.
 SAMPLE_STRINGS = 4000
@@ -95,8 +97,8 @@ def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     texts from which the matches of the fixed patterns are cut out.
     """
     texts = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL")
-    some = texts.orderBy(F.xxhash64("t")).limit(SAMPLE_DOCS)
-    with_values = texts.where(F.col("t").rlike(ASSIGN)).orderBy(F.xxhash64("t")).limit(SAMPLE_DOCS)
+    some = lowest(texts, ["t"], SAMPLE_DOCS)
+    with_values = lowest(texts.where(F.col("t").rlike(ASSIGN)), ["t"], SAMPLE_DOCS)
     values = with_values.select(F.explode(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2))).alias("value"))
     values = values.where(F.length("value") >= ASSIGN_LENGTH).select("value", F.lit(True).alias("random"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")

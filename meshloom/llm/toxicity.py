@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled documents, by label, that the model is fitted on at most, those of lowest hash of their text, of at most SAMPLE_CHARS characters.
+#: Labelled documents, by label, that the model is fitted on at most, of different texts, those of lowest hash, of at most SAMPLE_CHARS characters.
 SAMPLE_ROWS = {0: 3000, 1: 1500}
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
@@ -151,18 +151,18 @@ def _calibrated(model: Model, bags: list, labels: list[int]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Texts and labels of the bounded sample. A document with several labels counts as toxic if any is 1."""
+    """Texts and labels of the bounded sample. A text with several labels counts as toxic if any is 1."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    # ids and hashes choose the sample, so that only its texts move
-    keyed = rows.select("_id", F.xxhash64("text").alias("h")).join(marks, "_id")
+    # hashes alone meet the labels and choose the sample; then only its texts move
+    keyed = rows.select("_id", F.xxhash64("text").alias("h")).join(marks, "_id").groupBy("h").agg(F.max("y").alias("y"))
     chosen = None
     for y, n in SAMPLE_ROWS.items():
-        part = keyed.where(F.col("y") == y).orderBy("h", "_id").limit(n)
+        part = keyed.where(F.col("y") == y).orderBy("h").limit(n)
         chosen = part if chosen is None else chosen.union(part)
-    got = rows.join(F.broadcast(chosen.select("_id", "y")), "_id").orderBy(F.xxhash64("text"), "y").limit(2 * sum(SAMPLE_ROWS.values()))
-    got = got.select("text", F.col("y").cast("int").alias("y")).collect()
+    texts = rows.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "h").dropDuplicates(["h"])
+    got = texts.orderBy("h").select("text", F.col("y").cast("int").alias("y")).collect()
     return [r["text"] for r in got], [r["y"] for r in got]
 
 

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "gravity_demands"
+from meshloom.plans import road_queries
+
+FLAGSHIP = "road_edges"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_PARTS = (road_queries,)
+
 
 def queries() -> dict[str, Query]:
     """Name to function of (spark, sf_dir)."""
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
