@@ -19,9 +19,7 @@ from meshloom.functions.text import sanitize
 def with_radius(areas: DataFrame, max_radius_km: float = 100.0) -> DataFrame:
     """Land area as a number (null if it isn't one), in km2, and the radius of a circle of that area, capped."""
     aland = F.col("aland").try_cast("double")
-    km2 = F.round(aland / 1e6, 3)
-    radius = F.round(F.least(F.sqrt(aland / 1e6 / math.pi), F.lit(max_radius_km)), 3)
-    return areas.withColumn("land_area_km2", km2).withColumn("radius_km", radius)
+    return areas.withColumn("aland", aland).withColumns({"land_area_km2": F.round(F.col("aland") / 1e6, 3), "radius_km": F.round(F.least(F.sqrt(F.col("aland") / 1e6 / math.pi), F.lit(max_radius_km)), 3)})
 
 
 def largest(areas: DataFrame, k: int) -> DataFrame:

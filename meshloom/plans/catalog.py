@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshloom.plans import road_queries
+from meshloom.plans import metro_queries, road_queries
 
 FLAGSHIP = "road_edges"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PARTS = (road_queries,)
+_PARTS = (road_queries, metro_queries)
 
 
 def queries() -> dict[str, Query]:

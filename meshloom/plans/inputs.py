@@ -140,10 +140,10 @@ steps AS (
   SELECT gx, gy, lead(gx) OVER w AS hx, lead(gy) OVER w AS hy FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 ways AS (
   SELECT CASE WHEN (gx, gy) < (hx, hy) THEN gx ELSE hx END AS ax, CASE WHEN (gx, gy) < (hx, hy) THEN gy ELSE hy END AS ay,
-    CASE WHEN (gx, gy) < (hx, hy) THEN hx ELSE gx END AS bx, CASE WHEN (gx, gy) < (hx, hy) THEN hy ELSE gy END AS by,
+    CASE WHEN (gx, gy) < (hx, hy) THEN hx ELSE gx END AS bx, CASE WHEN (gx, gy) < (hx, hy) THEN hy ELSE gy END AS "by",
     sqrt(CAST((gx - hx) * (gx - hx) + (gy - hy) * (gy - hy) AS DOUBLE)) * {snap}::DOUBLE / 1000 AS km
   FROM steps WHERE hx IS NOT NULL AND (gx <> hx OR gy <> hy)),
-edges AS (SELECT ax, ay, bx, by, min(km) AS length_km FROM ways GROUP BY ALL)"""
+edges AS (SELECT ax, ay, bx, "by", min(km) AS length_km FROM ways GROUP BY ALL)"""
 
 
 def road_edges(spark: SparkSession, sf_dir: str, snap: float) -> DataFrame:

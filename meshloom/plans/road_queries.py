@@ -88,7 +88,7 @@ QUERIES = {
     "anchor_stats": _anchor_stats, "degree_rank": _degree_rank, "core_numbers": _core_numbers, "road_distances": _sssp,
 }
 
-_NAMED = """, g AS (SELECT ax || '_' || ay AS a, bx || '_' || by AS b, length_km FROM edges),
+_NAMED = """, g AS (SELECT ax || '_' || ay AS a, bx || '_' || "by" AS b, length_km FROM edges),
 sym AS (SELECT a AS u, b AS v, length_km FROM g UNION ALL SELECT b, a, length_km FROM g)"""
 
 
@@ -106,7 +106,7 @@ def _with_cc(snap: float, extra: str, name: str = "cc") -> str:
 
 
 _ANCHORS = f"""WITH {roads_sql(1000)}, {METROS}, nodes AS (
-  SELECT ax * 1000.0::DOUBLE AS x, ay * 1000.0::DOUBLE AS y FROM edges UNION SELECT bx * 1000.0::DOUBLE, by * 1000.0::DOUBLE FROM edges),
+  SELECT ax * 1000.0::DOUBLE AS x, ay * 1000.0::DOUBLE AS y FROM edges UNION SELECT bx * 1000.0::DOUBLE, "by" * 1000.0::DOUBLE FROM edges),
 d AS (
   SELECT metro_id, n.x AS ax, n.y AS ay, sqrt((n.x - m.x / 20) * (n.x - m.x / 20) + (n.y - m.y / 20) * (n.y - m.y / 20)) / 1000 AS km
   FROM metros m, nodes n),
@@ -115,12 +115,12 @@ anchors AS (
     SELECT *, row_number() OVER (PARTITION BY metro_id ORDER BY km, ax, ay) AS r FROM d WHERE km <= 30) WHERE r = 1)"""
 
 SQL = {
-    "road_edges": f"WITH {roads_sql(1000)} SELECT ax, ay, bx, by, round(length_km, 6) AS length_km FROM edges",
+    "road_edges": f"""WITH {roads_sql(1000)} SELECT ax, ay, bx, "by", round(length_km, 6) AS length_km FROM edges""",
     "road_class_counts": "SELECT event_type AS road_class, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
     "node_degree": f"""WITH {roads_sql(1000)} SELECT x, y, count(*) AS degree
-FROM (SELECT ax AS x, ay AS y FROM edges UNION ALL SELECT bx, by FROM edges) GROUP BY x, y""",
+FROM (SELECT ax AS x, ay AS y FROM edges UNION ALL SELECT bx, "by" FROM edges) GROUP BY x, y""",
     "degree_histogram": f"""WITH {roads_sql(200)}, deg AS (SELECT x, y, count(*) AS degree
-FROM (SELECT ax AS x, ay AS y FROM edges UNION ALL SELECT bx, by FROM edges) GROUP BY x, y)
+FROM (SELECT ax AS x, ay AS y FROM edges UNION ALL SELECT bx, "by" FROM edges) GROUP BY x, y)
 SELECT degree, count(*) AS n_nodes FROM deg GROUP BY degree""",
     "components": _with_cc(10, _cc("sym") + " SELECT node, root FROM cc"),
     "component_sizes": _with_cc(10, _cc("sym") + " SELECT root, count(*) AS n_nodes FROM cc GROUP BY root"),
@@ -133,9 +133,9 @@ SELECT (SELECT count(DISTINCT u) FROM sym) AS n_before, CAST(sum(n) AS BIGINT) A
     "contracted_edges": _with_cc(200, """, inner_ AS (SELECT u FROM sym GROUP BY u HAVING count(*) = 2),
 il AS (SELECT u, v, length_km FROM sym WHERE u IN (FROM inner_) AND v IN (FROM inner_)
   UNION ALL SELECT u, u, 0 FROM inner_)""" + _cc("il") + """,
-tied AS (SELECT root, a, b, length_km, ca.node IS NULL AS sa, cb.node IS NULL AS sb FROM (
+tied AS (SELECT g.root, a, b, length_km, ca.node IS NULL AS sa, cb.node IS NULL AS sb FROM (
     SELECT g.*, coalesce(ca.root, cb.root) AS root FROM g LEFT JOIN cc ca ON ca.node = g.a LEFT JOIN cc cb ON cb.node = g.b) g
-  LEFT JOIN cc ca ON ca.node = g.a LEFT JOIN cc cb ON cb.node = g.b WHERE root IS NOT NULL),
+  LEFT JOIN cc ca ON ca.node = g.a LEFT JOIN cc cb ON cb.node = g.b WHERE g.root IS NOT NULL),
 ends AS (SELECT root, a AS e FROM tied WHERE sa UNION ALL SELECT root, b FROM tied WHERE sb),
 chains AS (SELECT t.root, min(e) AS a, max(e) AS b, t.km AS length_km, t.n AS n_edges
   FROM (SELECT root, sum(length_km) AS km, count(*) AS n FROM tied GROUP BY root) t JOIN ends USING (root) GROUP BY ALL),
