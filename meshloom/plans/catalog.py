@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshloom.plans import metro_queries, road_queries
+from meshloom.plans import metro_queries, road_queries, site_queries, traffic_queries
 
-FLAGSHIP = "road_edges"
+FLAGSHIP = "gravity_demands"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PARTS = (road_queries, metro_queries)
+_PARTS = (road_queries, metro_queries, traffic_queries, site_queries)
 
 
 def queries() -> dict[str, Query]:
