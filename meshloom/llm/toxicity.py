@@ -2,9 +2,10 @@
 
 A word is the bag of its hashed character n-grams, so that a misspelling shares vectors
 with the word. The vectors in a short window of words are averaged and a softmax of two
-labels is put on the average; a text is as toxic as its most toxic window, in training as
-well, so that a few words count alike in short and in long texts. A word that a text
-repeats counts once. In training a random share of a toxic text's windows is looked at,
+labels is put on the average; a text is as toxic as its most toxic windows, of which one in
+TOP counts, in training as well: the more words, the more of them have to be toxic, so that
+a word that is toxic in company alone is not held against a long clean text. A word that a
+text repeats counts once. In training a random share of a toxic text's windows is looked at,
 a new one each time, so that no toxic word hides behind a plainer one.
 """
 
@@ -30,6 +31,8 @@ GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 2, 1
 #: An average is over so many n-grams at least, so that a few short words can't sway it.
 LEAST = 30
+#: A text's score is the mean of its most toxic windows, one and one more for every so many.
+TOP = 60
 #: Share of a toxic text's windows that a training step looks at.
 SHOWN = 0.3
 #: Worth of a clean text predicted toxic, as against a toxic text missed, both by share, in placing the cut.
@@ -94,8 +97,22 @@ def _window_mean(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (total[b] - total[a]) / np.maximum(b - a, LEAST).reshape(-1, *[1] * (values.ndim - 1))
 
 
+def _most_toxic(values: np.ndarray) -> np.ndarray:
+    """Which windows count: those of highest value."""
+    k = 1 + len(values) // TOP
+    return np.argpartition(values, len(values) - k)[len(values) - k :]
+
+
+def _pooled(gain: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> float:
+    """Mean value of the windows that count; 0 for a text without words."""
+    if not len(bucket):
+        return 0.0
+    values = _window_mean(gain[bucket], starts)
+    return float(values[_most_toxic(values)].mean())
+
+
 def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
-    """Fit embeddings and softmax together, by Adagrad over the most toxic window of each text."""
+    """Fit embeddings and softmax together, by Adagrad over the most toxic windows of each text."""
     if not texts:
         return Model(np.zeros(BUCKETS), -2.0)
     rng = np.random.default_rng(seed)
@@ -115,17 +132,19 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
             first, last = windows(len(starts) - 1)
             gain = emb[bucket] @ out
             top = _window_mean(gain, starts)
-            if labels[i]:
-                top = np.where(rng.random(len(top)) < SHOWN, top, top.min() - 1)
-            best = int(top.argmax())
-            own = bucket[starts[first[best]] : starts[last[best]]]
-            n = max(len(own), LEAST)
-            mean = emb[own].sum(axis=0) / n
+            shown = np.flatnonzero(rng.random(len(top)) < SHOWN) if labels[i] else np.arange(len(top))
+            shown = shown if len(shown) else np.array([int(top.argmax())])
+            best = shown[_most_toxic(top[shown])]
+            size = starts[last[best]] - starts[first[best]]
+            own = bucket[np.repeat(starts[first[best]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            share_ = np.repeat(1 / np.maximum(size, LEAST), size) / len(best)
+            mean = share_ @ emb[own]
             p = 1 / (1 + np.exp(-np.clip(SCALE * (mean @ out) + offset, -30, 30)))
             error = (p - labels[i]) * cost[labels[i]]
             g_out = error * SCALE * mean
-            g_emb = error * SCALE * out / n
-            unique, times = np.unique(own, return_counts=True)
+            g_emb = error * SCALE * out
+            unique, at = np.unique(own, return_inverse=True)
+            times = np.bincount(at, weights=share_)
             seen_emb[unique] += (g_emb @ g_emb) * times**2
             emb[unique] -= rate * times[:, None] * g_emb / np.sqrt(seen_emb[unique])[:, None]
             seen_out += g_out**2
@@ -136,7 +155,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
 
 def _calibrated(model: Model, bags: list, labels: list[int]) -> Model:
     """Shift the offset so that the label's own rate is met at the best cut, taken to probability 0.3."""
-    top = np.array([_window_mean(model.gain[b], s).max() if len(b) else 0.0 for b, s in bags])
+    top = np.array([_pooled(model.gain, b, s) for b, s in bags])
     y = np.array(labels)
     if not 0 < y.sum() < len(y):
         return model
@@ -167,7 +186,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` of every whole text: the softmax's share of label 1 in the most toxic window.
+    """``(id, score)`` of every whole text: the softmax's share of label 1 in the most toxic windows.
 
     Null, empty and blank texts get the share of an average of nothing. Nothing but the
     text is read; rows with a null id and repeated rows are scored like others.
@@ -182,8 +201,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             found = []
             for text in b.column(1).to_pylist():
                 bucket, starts = subwords(text or "")
-                top = _window_mean(m.gain[bucket], starts).max() if len(bucket) else 0.0
-                found.append(1 / (1 + np.exp(-np.clip(top + m.offset, -30, 30))))
+                found.append(1 / (1 + np.exp(-np.clip(_pooled(m.gain, bucket, starts) + m.offset, -30, 30))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["id", "score"])
 
     return ids.mapInArrow(run, schema).withColumnRenamed("id", id_col)
