@@ -134,12 +134,18 @@ def _k_paths(spark, d):
     return graph.k_shortest_paths(_corridor_graph(spark, d), _far_pairs(spark, d), 3, 4000.0).select("a", "b", "path_index", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
 
 
+def _sparse_graph(spark, d):
+    """Corridors to the two nearest metros."""
+    near = metros.neighbours(inputs.metro_table(spark, d), 2, 600.0)
+    return near.select("a", "b", F.col("euclidean_km").alias("length_km"))
+
+
 def _articulation(spark, d):
-    return graph.articulation_points(_corridor_graph(spark, d))
+    return graph.articulation_points(_sparse_graph(spark, d))
 
 
 def _cut_sets(spark, d):
-    return graph.cut_sets(_corridor_graph(spark, d), 2, 12).select(F.array_join("nodes", ",").alias("nodes"), "degree")
+    return graph.cut_sets(_sparse_graph(spark, d), 2, 12).select(F.array_join("nodes", ",").alias("nodes"), "degree")
 
 
 QUERIES = {
@@ -187,13 +193,13 @@ SELECT a, node AS b, round(km, 6) AS length_km, nodes FROM dist
 WHERE CAST(a AS INT) % 6 = 0 AND CAST(node AS INT) % 4 = 1 AND a < node"""
 
 SQL = {
-    "metro_topk": _AREAS + " SELECT row_number() OVER (ORDER BY aland DESC NULLS LAST, uac_code) AS sel_pos, uac_code, name_orig, CAST(aland AS BIGINT) AS aland FROM areas ORDER BY 1 LIMIT 10",
+    "metro_topk": _AREAS + " SELECT CAST(row_number() OVER (ORDER BY aland DESC NULLS LAST, uac_code) AS INT) AS sel_pos, uac_code, name_orig, CAST(aland AS BIGINT) AS aland FROM areas ORDER BY 1 LIMIT 10",
     "metro_override_select": _AREAS + """, named AS (
   SELECT sel_pos, arg_min(areas, (-coalesce(aland, -1), uac_code)) AS r FROM areas, (VALUES (1, 'nation_1'), (2, 'NATION_2$')) p(sel_pos, pattern)
   WHERE regexp_matches(name_orig, pattern, 'i') GROUP BY sel_pos),
 rest AS (SELECT *, row_number() OVER (ORDER BY aland DESC NULLS LAST, uac_code) AS r FROM areas WHERE uac_code NOT IN (SELECT r.uac_code FROM named))
 SELECT sel_pos, r.uac_code AS uac_code, r.name_orig AS name_orig, CAST(r.aland AS BIGINT) AS aland FROM named
-UNION ALL SELECT r + 2, uac_code, name_orig, CAST(aland AS BIGINT) FROM rest WHERE r <= 6""",
+UNION ALL SELECT CAST(r + 2 AS INT), uac_code, name_orig, CAST(aland AS BIGINT) FROM rest WHERE r <= 6""",
     "metro_radius": _AREAS + " SELECT uac_code, round(aland / 1e6, 3) AS land_area_km2, round(least(sqrt(aland / 1e6 / pi()), 100.0::DOUBLE), 3) AS radius_km FROM areas",
     "metro_slug": f"""WITH names AS (SELECT n_name AS n FROM nation UNION SELECT p_name FROM part),
 shown AS (SELECT ' - Big  ' || n || '_--Area''s (No. 7), XY' AS raw FROM names)
@@ -235,7 +241,7 @@ FROM long LEFT JOIN own ON pair = regexp_replace(risk_group, '_path[0-9]+$', '')
     "corridor_pairs": f"WITH {PATHS} SELECT DISTINCT least(metro_a, metro_b) AS metro_a, greatest(metro_a, metro_b) AS metro_b FROM paths",
     "corridor_shortest": _SHORTEST,
     "articulation_points": f"""WITH RECURSIVE {PAIRS}, sides AS (
-  SELECT metro_a AS u, metro_b AS v FROM direct UNION ALL SELECT metro_b, metro_a FROM direct),
+  SELECT a AS u, b AS v FROM listed WHERE r <= 2 AND a < b UNION ALL SELECT b, a FROM listed WHERE r <= 2 AND a < b),
 nodes AS (SELECT DISTINCT u AS n FROM sides),
 reach(gone, node) AS (
   SELECT g.n, (SELECT min(n) FROM nodes WHERE n <> g.n) FROM nodes g
@@ -243,7 +249,7 @@ reach(gone, node) AS (
   SELECT gone, v FROM reach JOIN sides ON node = u WHERE v <> gone)
 SELECT gone AS node FROM reach GROUP BY gone HAVING count(*) < (SELECT count(*) - 1 FROM nodes)""",
     "cut_sets": f"""WITH RECURSIVE {PAIRS}, sides AS (
-  SELECT metro_a AS u, metro_b AS v FROM direct UNION ALL SELECT metro_b, metro_a FROM direct),
+  SELECT a AS u, b AS v FROM listed WHERE r <= 2 AND a < b UNION ALL SELECT b, a FROM listed WHERE r <= 2 AND a < b),
 deg AS (SELECT u AS n, count(*) AS degree FROM sides GROUP BY u),
 top AS (SELECT * FROM deg ORDER BY degree DESC, n LIMIT 12),
 sets AS (SELECT a.n AS a, b.n AS b, a.degree + b.degree AS degree FROM top a JOIN top b ON a.n < b.n),

@@ -142,7 +142,7 @@ chains AS (SELECT t.root, min(e) AS a, max(e) AS b, t.km AS length_km, t.n AS n_
 every AS (
   SELECT least(a, b) AS a, greatest(a, b) AS b, length_km, 1 AS n_edges FROM g WHERE a NOT IN (SELECT node FROM cc) AND b NOT IN (SELECT node FROM cc)
   UNION ALL SELECT a, b, length_km, n_edges FROM chains)
-SELECT a, b, round(min(length_km), 6) AS length_km, arg_min(n_edges, (length_km, n_edges)) AS n_edges FROM every GROUP BY a, b"""),
+SELECT a, b, round(min(length_km), 6) AS length_km, CAST(arg_min(n_edges, (length_km, n_edges)) AS BIGINT) AS n_edges FROM every GROUP BY a, b"""),
     "metro_anchor": _ANCHORS + " SELECT * FROM anchors",
     "anchor_stats": _ANCHORS + " SELECT count(*) AS n, round(avg(distance_km), 6) AS avg_km, max(distance_km) AS max_km FROM anchors",
     "degree_rank": f"WITH {roads_sql(1000)}{_NAMED} SELECT u AS node, count(*) AS degree FROM sym GROUP BY u ORDER BY degree DESC, node LIMIT 20",

@@ -169,11 +169,11 @@ def _hardware(spark, d):
 
 
 def _audit_isolated(spark, d):
-    return audits.isolated(_nodes(spark, d), _links(spark, d))
+    return audits.isolated(_nodes(spark, d), _links(spark, d).where("u LIKE '%1' AND v LIKE '%1'"))
 
 
 def _audit_refs(spark, d):
-    uses = inputs.table(spark, d, "orders", "o_custkey").select(F.nullif(F.col("o_custkey") % 1600, F.lit(0)).alias("name"))
+    uses = inputs.table(spark, d, "orders", "o_custkey").select(F.nullif((F.col("o_custkey") + 20) % 1600, F.lit(0)).alias("name"))
     return audits.references(uses, inputs.table(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("name")), "name")
 
 
@@ -235,7 +235,7 @@ def _audit_optics(spark, d):
 
 def _audit_empty(spark, d):
     rules = inputs.metro_table(spark, d).select(F.col("metro_idx").alias("rule"))
-    return audits.empty_expansions(rules, _nodes(spark, d).where("kind = 'dc'").select(F.col("metro_idx").alias("rule")))
+    return audits.empty_expansions(rules, _nodes(spark, d).where("kind = 'pop' AND ordinal = 3").select(F.col("metro_idx").alias("rule")))
 
 
 def _audit_roles(spark, d):
@@ -346,7 +346,7 @@ balance AS (
   FULL JOIN (SELECT regexp_extract(source_path, 'metro[0-9]+/dc[0-9]+') AS dc, sum(demand) AS egress FROM demands GROUP BY 1) o ON o.dc = l.dc
   FULL JOIN (SELECT regexp_extract(sink_path, 'metro[0-9]+/dc[0-9]+') AS dc, sum(demand) AS ingress FROM demands GROUP BY 1) i ON i.dc = coalesce(l.dc, o.dc))"""
 
-_ISOLATED = "SELECT 'isolated' AS audit, node AS key, 'no link' AS message FROM nodes WHERE node NOT IN (SELECT u FROM links UNION SELECT v FROM links)"
+_ISOLATED = "SELECT 'isolated' AS audit, node AS key, 'no link' AS message FROM nodes WHERE node NOT IN (SELECT unnest([u, v]) FROM links WHERE u LIKE '%1' AND v LIKE '%1')"
 _OVER_DC = """SELECT 'dc_capacity' AS audit, dc AS key, 'egress over capacity' AS message FROM balance WHERE egress > capacity + 1e-9
 UNION ALL SELECT 'dc_capacity', dc, 'ingress over capacity' FROM balance WHERE ingress > capacity + 1e-9"""
 _OVER_HW = """SELECT 'hw_capacity' AS audit, node AS key, 'more capacity attached than hardware has' AS message
@@ -401,7 +401,7 @@ FROM site_edges LEFT JOIN egress a ON a.node = u LEFT JOIN egress b ON b.node =
 a AS (SELECT source_metro, target_metro, sum(base_capacity) AS after FROM sized GROUP BY 1, 2)
 SELECT source_metro, target_metro, before, after, after - before AS delta, round(after / before, 6) AS factor FROM b JOIN a USING (source_metro, target_metro)""",
     "audit_isolated": f"WITH {_EDGES} {_ISOLATED}",
-    "audit_refs": "SELECT DISTINCT 'reference' AS audit, CAST(o_custkey % 1600 AS VARCHAR) AS key, 'unknown' AS message FROM orders WHERE o_custkey % 1600 <> 0 AND o_custkey % 1600 NOT IN (SELECT c_custkey FROM customer)",
+    "audit_refs": "SELECT DISTINCT 'reference' AS audit, CAST((o_custkey + 20) % 1600 AS VARCHAR) AS key, 'unknown' AS message FROM orders WHERE (o_custkey + 20) % 1600 <> 0 AND (o_custkey + 20) % 1600 NOT IN (SELECT c_custkey FROM customer)",
     "audit_pairing": f"""WITH {METROS} SELECT 'pairing' AS audit, CAST(metro_idx AS VARCHAR) AS key, CASE WHEN metro_idx % 5 = 0 THEN 'no points of presence' ELSE 'names differ' END AS message
 FROM metros WHERE dcs > 0 AND (metro_idx % 5 = 0 OR metro_idx % 7 = 0)""",
     "audit_coordinates": f"WITH {METROS} SELECT 'coordinates' AS audit, name AS key, 'not where the graph has it' AS message FROM metros WHERE metro_idx % 4 = 0",
@@ -421,7 +421,7 @@ SELECT 'hw_presence' AS audit, node AS key, CASE WHEN component IS NULL THEN 'no
   LEFT JOIN (VALUES ('core', 'core', '29'), ('dc', 'core', 'none')) o(role_a, role_b, optic) ON o.role_a = a.role AND o.role_b = b.role LEFT JOIN components c ON c.name = optic)
 SELECT 'optics' AS audit, role_a || '|' || role_b AS key, kind || ': ' || count(*) || ' (' || array_to_string(list_sort(list(edge_key))[1:3], ', ') || ')' AS message
 FROM bad WHERE kind IS NOT NULL GROUP BY kind, role_a, role_b""",
-    "audit_empty": f"WITH {METROS} SELECT 'empty' AS audit, CAST(metro_idx AS VARCHAR) AS key, 'expands to nothing' AS message FROM metros WHERE dcs = 0",
+    "audit_empty": f"WITH {METROS} SELECT 'empty' AS audit, CAST(metro_idx AS VARCHAR) AS key, 'expands to nothing' AS message FROM metros WHERE pops < 3",
     "audit_roles": f"""WITH {_SITES}, bare AS (SELECT node FROM nodes WHERE kind = 'dc')
 SELECT 'roles' AS audit, 'role' AS key, count(*) || ' nodes without: ' || array_to_string(list_sort(list(node))[1:5], ', ') AS message FROM bare HAVING count(*) > 0""",
     "audit_counts": f"""WITH {_EDGES}, {_LIMITS.replace(METROS + ',', '')}, every AS (
