@@ -34,7 +34,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
 
     Weights are dealt by the source's place in code point order, null last, and repeat.
     The level is found in closed form: sources are ordered by cap over weight, and the
-    first one whose cap the level doesn't reach ends the capped ones. Sources without
+    first one whose cap the level doesn't reach ends the capped ones. Its level is the highest
+    of all that reach no cap, as later ones count caps that aren't filled. Sources without
     words get 0. This table has one row a source, so its windows run in one task.
     """
     place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())) - 1
@@ -49,7 +50,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
         .withColumn("level", (F.col("want") - F.col("filled")) / F.col("open"))
     )
     reached = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    rows = rows.withColumn("level", F.coalesce(F.min(reached).over(every), F.lit(float("inf"))))
+    rows = rows.withColumn("level", F.coalesce(F.max(reached).over(every), F.lit(float("inf"))))
     fits = F.col("level") * F.col("weight") < F.col("cap")
     target = F.when(fits, F.col("level") * F.col("weight")).otherwise(F.col("cap").cast("double"))
     return rows.select("source", "source_size", target.alias("target"))
@@ -126,7 +127,7 @@ levels AS (
     - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
-level AS (SELECT min(lev) FILTER (lev * weight <= cap) AS lev FROM levels),
+level AS (SELECT max(lev) FILTER (lev * weight <= cap) AS lev FROM levels),
 plan AS (
   SELECT source, source_size,
     CASE WHEN level.lev * weight < cap THEN level.lev * weight ELSE CAST(cap AS DOUBLE) END AS target

@@ -28,6 +28,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SIZE = len(ALPHABET) + 1
 #: Weight, in pairs, of a character's overall share in its share after each other character.
 PRIOR = 8.0
+#: Different characters that a token needs at least to be judged, which leaves out rulers and padding.
+DISTINCT = 8
 #: Nats for each character that make a token random.
 THRESHOLD = 4.0
 #: Documents whose ordinary words, and those whose assigned values, are labelled samples; of different texts, those of lowest hash.
@@ -159,7 +161,7 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     df = _once(df, _token=F.coalesce(tokens, F.array().cast("array<string>")), _at=_spans("_text", TOKEN, 3))
     random = F.transform(F.arrays_zip(F.col("_token").alias("v"), F.col("_at").alias("s")), lambda x: F.when(
         ~F.exists("base", lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"]))
-        & (ratio(x["v"], model) >= THRESHOLD), x["s"]
+        & (F.size(F.array_distinct(F.split(x["v"], ""))) >= DISTINCT) & (ratio(x["v"], model) >= THRESHOLD), x["s"]
     ))
     added = F.filter(random, lambda s: s.isNotNull())
     return df.withColumn("spans", F.sort_array(F.concat("base", added))).drop("_token", "_at", "_text")
