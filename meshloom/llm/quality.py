@@ -144,9 +144,10 @@ WITH docs AS (
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
+words AS (SELECT n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM docs),
 windows AS (
-  SELECT n, p, count(*) OVER (PARTITION BY n, x) AS c
-  FROM (SELECT n, unnest(range(1, len(w) - 1)) AS p, w FROM docs), LATERAL (SELECT [w[p], w[p + 1], w[p + 2]] AS x)),
+  SELECT n, p, count(*) OVER (PARTITION BY n, x, y, z) AS c
+  FROM (SELECT n, p, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY n ORDER BY p)) WHERE z IS NOT NULL),
 covered AS (
   SELECT n, count(DISTINCT q) AS n_repeat_words
   FROM (SELECT n, unnest([p, p + 1, p + 2]) AS q FROM windows WHERE c > 1) GROUP BY n),
