@@ -187,7 +187,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans give one mark. Null texts stay null."""
-    found = scan(docs.withColumn("_row_text", F.col(text_col)), model, text_col=text_col)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_row_text"))
+    found = scan(packed, model, text_col="_row_text")
     last = F.length("_row_text")
     merged = F.aggregate(
         F.concat("spans", F.array(F.struct(last.alias("start"), F.lit(-1).alias("k"), last.alias("end")))),
@@ -204,4 +205,5 @@ def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: st
         lambda a: a["out"],
     )
     text = F.when(F.size("spans") > 0, merged).otherwise(F.col("_row_text"))
-    return found.withColumn(text_col, text).select(*docs.columns)
+    found = found.withColumn("_clean", text)
+    return found.select(*[F.col("_clean" if c == text_col else f"_row.`{c}`").alias(c) for c in docs.columns])
