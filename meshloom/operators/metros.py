@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from meshloom.functions.numeric import cell, distance
+from meshloom.functions.polygon import polygons_intersect, representative_point
 from meshloom.functions.text import sanitize
 
 
@@ -116,3 +117,26 @@ def anchors(metros: DataFrame, nodes: DataFrame, max_km: float) -> DataFrame:
 def anchor_stats(found: DataFrame) -> DataFrame:
     """Number, mean and largest distance of anchors."""
     return found.agg(F.count("*").alias("n"), F.avg("distance_km").alias("avg_km"), F.max("distance_km").alias("max_km"))
+
+
+def within(areas: DataFrame, boundaries: DataFrame, cell_deg: float = 4.0) -> DataFrame:
+    """Areas whose polygon (``parts``) meets a boundary polygon: a semi-join.
+
+    Areas and boundaries are dealt by the grid cells that their boxes touch, so that an area
+    is compared with boundaries around it alone. Areas without a polygon go.
+    """
+    def boxed(df: DataFrame, key: str) -> DataFrame:
+        points = F.flatten("parts")
+        x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        cells = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / cell_deg), F.floor(F.array_max(v) / cell_deg)))
+        rows = df.where(F.size(points) > 0)
+        return rows.select(key, F.col("parts").alias(f"{key}_parts"), cells(x).alias("gx"), y.alias("y")).select(key, f"{key}_parts", "gx", cells(F.col("y")).alias("gy"))
+
+    near = boxed(areas, "uac_code").join(boxed(boundaries, "statefp"), ["gx", "gy"])
+    met = near.where(polygons_intersect("uac_code_parts", "statefp_parts")).select("uac_code").distinct()
+    return areas.join(met, "uac_code", "left_semi")
+
+
+def centred(areas: DataFrame) -> DataFrame:
+    """Areas with ``x`` and ``y``, a point inside of their polygon."""
+    return areas.withColumn("_p", representative_point("parts")).select("*", "_p.x", "_p.y").drop("_p")
