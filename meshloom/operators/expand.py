@@ -15,7 +15,20 @@ BLUEPRINTS: dict[str, dict[str, list[tuple]]] = {
     "DCRegion": {"groups": [("dc", 1, "dc{n}", "dc")], "links": []},
     "SingleRouter": {"groups": [("core", 1, "core{n}", "core")], "links": []},
     "FullMesh4": {"groups": [("core", 4, "core{n}", "core")], "links": [("core", "core", "mesh")]},
-    "Clos_16_4": {"groups": [("leaf", 16, "leaf{n}", "leaf"), ("spine", 4, "spine{n}", "spine")], "links": [("leaf", "spine", "mesh")]},
+    "Clos_L16_S4": {"groups": [("leaf", 16, "leaf{n}", "leaf"), ("spine", 4, "spine{n}", "spine")], "links": [("leaf", "spine", "mesh")]},
+    # four cliques of four in a ring, joined by number
+    "DragonFly_CustomG4": {
+        "groups": [(f"leaf{g}", 4, f"leaf{g}{{n}}", "leaf") for g in "ABCD"],
+        "links": [*((f"leaf{g}", f"leaf{g}", "mesh") for g in "ABCD"), *((f"leaf{a}", f"leaf{b}", "one_to_one") for a, b in ("AB", "AD", "BC", "CD"))],
+    },
+    # seven cliques of three, each pair joined once; the k-th group on is reached from router k (in turn) by the one opposite
+    "Dragonfly_A3H2G7": {
+        "groups": [(f"G{g}", 3, f"G{g}_r{{n}}", "leaf") for g in range(1, 8)],
+        "links": [
+            *((f"G{g}", f"G{g}", "mesh") for g in range(1, 8)),
+            *((f"G{a}", f"G{b}", f"{(b - a - 1) % 3 + 1}:{3 - (b - a - 1) % 3}") for a in range(1, 8) for b in range(a + 1, 8)),
+        ],
+    },
 }
 
 
@@ -75,7 +88,8 @@ def inner_links(sites: DataFrame, groups: DataFrame, links: DataFrame) -> DataFr
     """Links within sites ``(site, a, b)``.
 
     ``mesh`` joins all devices of two groups, and each pair once within a group;
-    ``one_to_one`` joins by number, the shorter side starting anew.
+    ``one_to_one`` joins by number, the shorter side starting anew; ``2:3`` joins the second
+    device of one group with the third of the other.
     """
     d = nodes(sites, groups).select("site", "grp", "name", "idx", F.count("*").over(W.partitionBy("site", "grp")).alias("n"))
     rules = sites.join(links, "blueprint").select(F.col("node").alias("site"), "src_grp", "dst_grp", "pattern")
@@ -83,7 +97,8 @@ def inner_links(sites: DataFrame, groups: DataFrame, links: DataFrame) -> DataFr
     b = d.select("site", F.col("grp").alias("dst_grp"), F.col("name").alias("b"), F.col("idx").alias("j"), F.col("n").alias("nb"))
     both = rules.join(a, ["site", "src_grp"]).join(b, ["site", "dst_grp"])
     mesh = (F.col("pattern") == "mesh") & ((F.col("src_grp") != F.col("dst_grp")) | (F.col("i") < F.col("j")))
-    return both.where(mesh | ((F.col("pattern") == "one_to_one") & _aligned())).select("site", "a", "b")
+    single = F.col("pattern") == F.concat("i", F.lit(":"), "j")
+    return both.where(mesh | single | ((F.col("pattern") == "one_to_one") & _aligned())).select("site", "a", "b")
 
 
 def _aligned() -> Column:
@@ -93,6 +108,20 @@ def _aligned() -> Column:
     return fits & F.when(F.col("na") >= F.col("nb"), F.pmod(F.col("i") - 1, F.col("nb")) == F.col("j") - 1).otherwise(F.pmod(F.col("j") - 1, F.col("na")) == F.col("i") - 1)
 
 
+def group_view(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Blueprints seen as groups: ``(blueprint, a, b, patterns)``, each unordered pair of groups once; a group linked within itself has ``a = b``."""
+    known = groups.select("blueprint", F.col("grp").alias("g"))
+    ends = links.join(known.toDF("blueprint", "src_grp"), ["blueprint", "src_grp"], "left_semi").join(known.toDF("blueprint", "dst_grp"), ["blueprint", "dst_grp"], "left_semi")
+    pair = ends.groupBy("blueprint", F.least("src_grp", "dst_grp").alias("a"), F.greatest("src_grp", "dst_grp").alias("b"))
+    return pair.agg(F.array_join(F.sort_array(F.collect_set("pattern")), ",").alias("patterns"))
+
+
+def site_view(site: str, devices: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Devices of one site, and device links ``(a, b)`` of which both ends are under it."""
+    head = lambda c: F.substring_index(c, "/", 2) == site
+    return devices.where(head("name")), links.where(head("a") & head("b"))
+
+
 def site_links(site_edges: DataFrame, devices: DataFrame, roles: list[str] | None = None) -> DataFrame:
     """Device links ``(edge_key, a, b, cost)`` of site edges, one to one between the matching devices of both ends.
 

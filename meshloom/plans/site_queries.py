@@ -61,7 +61,7 @@ def _stripe_rules(spark, d):
 
 
 def _site_table(spark, d):
-    kind = F.when(F.col("kind") == "dc", "DCRegion").when(F.col("metro_idx") % 3 == 0, "Clos_16_4").when(F.col("metro_idx") % 3 == 1, "FullMesh4").otherwise("SingleRouter")
+    kind = F.when(F.col("kind") == "dc", "DCRegion").when(F.col("metro_idx") % 3 == 0, "Clos_L16_S4").when(F.col("metro_idx") % 3 == 1, "FullMesh4").otherwise("SingleRouter")
     return _nodes(spark, d).select("node", kind.alias("blueprint"))
 
 
@@ -70,6 +70,21 @@ def _blueprint_nodes(spark, d):
     return expand.nodes(_site_table(spark, d), groups)
 
 
+def _group_view(spark, d):
+    return expand.group_view(*expand.blueprint_tables(spark))
+
+
+def _inner_counts(spark, d):
+    groups, links = expand.blueprint_tables(spark)
+    site = groups.select(F.col("blueprint").alias("node"), "blueprint").distinct()
+    return expand.inner_links(site, groups, links).groupBy(F.col("site").alias("blueprint")).agg(F.count("*").alias("n_links"))
+
+
+def _site_view(spark, d):
+    groups, _ = expand.blueprint_tables(spark)
+    return expand.site_view("metro4/pop1", expand.nodes(_site_table(spark, d), groups), _blueprint_links(spark, d))[1]
+
+
 def _blueprint_links(spark, d):
     groups, links = expand.blueprint_tables(spark)
     return expand.inner_links(_site_table(spark, d), groups, links)
@@ -249,7 +264,7 @@ def _audit_all(spark, d):
 QUERIES = {
     "site_nodes": _nodes, "site_positions": _positions, "intra_metro_edges": _intra, "dc_pop_edges": _dc_pop, "inter_metro_mesh": _inter("mesh"),
     "inter_metro_one_to_one": _inter("one_to_one"), "inter_metro_striped": _inter("mesh", STRIPES), "stripe_groups": _stripes, "stripe_rules": _stripe_rules,
-    "blueprint_nodes": _blueprint_nodes, "blueprint_links": _blueprint_links, "site_links": _site_links, "link_counts": _link_counts, "per_link_capacity": _per_link,
+    "blueprint_nodes": _blueprint_nodes, "blueprint_links": _blueprint_links, "blueprint_groups": _group_view, "blueprint_link_counts": _inner_counts, "site_view": _site_view, "site_links": _site_links, "link_counts": _link_counts, "per_link_capacity": _per_link,
     "optic_assignment": _optics, "optic_pairs": _optic_pairs, "library_overlay": _overlay, "range_names": _ranges, "assign_zip": _assigned("zip"),
     "assign_product": _assigned("cartesian"), "metro_demands": _flow_demands, "ecmp_loads": _loads, "sized_corridors": _sized, "sized_local_links": _sized_local,
     "pop_egress": _egress, "capacity_change": _change, "audit_isolated": _audit_isolated, "audit_refs": _audit_refs, "audit_pairing": _audit_pairing,
@@ -304,8 +319,8 @@ _STRIPES = """striped AS (
     SELECT p_brand AS blueprint, 'leaf' || p_partkey AS device, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part))"""
 
 _EXPANDED = _EDGES + """, blueprints AS (
-  SELECT node, CASE WHEN kind = 'dc' THEN 'DCRegion' WHEN metro_idx % 3 = 0 THEN 'Clos_16_4' WHEN metro_idx % 3 = 1 THEN 'FullMesh4' ELSE 'SingleRouter' END AS blueprint FROM nodes),
-groups(blueprint, grp, n) AS (VALUES ('DCRegion', 'dc', 1), ('SingleRouter', 'core', 1), ('FullMesh4', 'core', 4), ('Clos_16_4', 'leaf', 16), ('Clos_16_4', 'spine', 4)),
+  SELECT node, CASE WHEN kind = 'dc' THEN 'DCRegion' WHEN metro_idx % 3 = 0 THEN 'Clos_L16_S4' WHEN metro_idx % 3 = 1 THEN 'FullMesh4' ELSE 'SingleRouter' END AS blueprint FROM nodes),
+groups(blueprint, grp, n) AS (VALUES ('DCRegion', 'dc', 1), ('SingleRouter', 'core', 1), ('FullMesh4', 'core', 4), ('Clos_L16_S4', 'leaf', 16), ('Clos_L16_S4', 'spine', 4)),
 devices AS (
   SELECT node || '/' || grp || '/' || grp || idx AS name, node AS site, grp, grp AS role, CAST(idx AS INT) AS idx
   FROM blueprints JOIN groups USING (blueprint), LATERAL (SELECT unnest(range(1, n + 1)) AS idx)),
@@ -374,6 +389,13 @@ FROM nodes JOIN striped ON blueprint = 'Brand#' || metro_idx WHERE kind = 'pop'
     "blueprint_nodes": f"WITH {_EXPANDED} SELECT name, site, grp, role, idx FROM devices",
     "blueprint_links": f"""WITH {_EXPANDED} SELECT a.site, a.name AS a, b.name AS b FROM devices a JOIN devices b ON a.site = b.site
 WHERE (a.grp = 'leaf' AND b.grp = 'spine') OR (a.grp = 'core' AND b.grp = 'core' AND a.idx < b.idx)""",
+    "blueprint_groups": """SELECT 'FullMesh4' AS blueprint, 'core' AS a, 'core' AS b, 'mesh' AS patterns UNION ALL SELECT 'Clos_L16_S4', 'leaf', 'spine', 'mesh'
+UNION ALL SELECT 'DragonFly_CustomG4', 'leaf' || a, 'leaf' || b, CASE WHEN a = b THEN 'mesh' ELSE 'one_to_one' END FROM unnest(['A', 'B', 'C', 'D']) x(a), unnest(['A', 'B', 'C', 'D']) y(b)
+WHERE a = b OR a || b IN ('AB', 'AD', 'BC', 'CD')
+UNION ALL SELECT 'Dragonfly_A3H2G7', 'G' || a, 'G' || b, CASE WHEN a = b THEN 'mesh' ELSE ((b - a - 1) % 3 + 1) || ':' || (3 - (b - a - 1) % 3) END FROM range(1, 8) x(a), range(1, 8) y(b) WHERE a <= b""",
+    "blueprint_link_counts": "SELECT * FROM (VALUES ('FullMesh4', 6::BIGINT), ('Clos_L16_S4', 64), ('DragonFly_CustomG4', 40), ('Dragonfly_A3H2G7', 42)) c(blueprint, n_links)",
+    "site_view": f"""WITH {_EXPANDED} SELECT a.site, a.name AS a, b.name AS b FROM devices a JOIN devices b ON a.site = b.site
+WHERE a.site = 'metro4/pop1' AND a.grp = 'core' AND b.grp = 'core' AND a.idx < b.idx""",
     "site_links": f"""WITH {_EXPANDED} SELECT edge_key, a.name AS a, b.name AS b, cost FROM site_edges JOIN numbered a ON a.site = u JOIN numbered b ON b.site = v
 WHERE CASE WHEN a.n >= b.n THEN a.k % b.n = b.k ELSE b.k % a.n = a.k END""",
     "link_counts": f"WITH {_EXPANDED} SELECT edge_key, n_links FROM counts",

@@ -208,7 +208,7 @@ def test_builtin_blueprints_inner_links(spark):
     groups, links = expand.blueprint_tables(spark)
     s = spark.createDataFrame([(n, n) for n in expand.BLUEPRINTS], "node string, blueprint string")
     n = {r.site: r.n for r in expand.inner_links(s, groups, links).groupBy("site").agg(F.count("*").alias("n")).collect()}
-    assert n["FullMesh4"] == 6 and n["Clos_16_4"] == 64 and "SingleRouter" not in n and "DCRegion" not in n
+    assert n["FullMesh4"] == 6 and n["Clos_L16_S4"] == 64 and n["DragonFly_CustomG4"] == 40 and n["Dragonfly_A3H2G7"] == 42 and "SingleRouter" not in n and "DCRegion" not in n
 
 
 def _two_sites(spark, first, second):
