@@ -314,3 +314,95 @@ def cut_sets(edges: DataFrame, size: int = 2, pool: int = 20, a: str = "a", b: s
             yield f[[not is_connected(small, n) for n in f["nodes"]]]
 
     return sets.repartition(8).mapInPandas(run, sets.schema).orderBy(F.desc("degree"), "nodes")
+
+
+def _neighbours(pdf: pd.DataFrame) -> dict:
+    near: dict = {}
+    for a, b in zip(pdf["a"], pdf["b"]):
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    return near
+
+
+def _separator(near: dict, s, t) -> list:
+    """Fewest nodes that part ``s`` from ``t``, which aren't neighbours: augmenting paths, each node used once."""
+    used: dict = {}  # (node, side) to what flow leads on to; a node's sides are 0 (in) and 1 (out)
+
+    def steps(x, side):
+        """Sides that can be reached with what is left of capacity."""
+        if side == 0 and x != s:
+            if ((x, 0), (x, 1)) not in used:
+                yield (x, 1)
+            yield from (p for p in ((y, 1) for y in near[x]) if (p, (x, 0)) in used)
+        else:
+            if x != s and ((x, 0), (x, 1)) in used:
+                yield (x, 0)
+            yield from ((y, 0) for y in near[x] if y != s)  # nodes alone are limited
+
+    while True:
+        came, todo = {(s, 1): None}, [(s, 1)]
+        for x, side in todo:
+            if x == t:
+                break
+            for p in steps(x, side):
+                if p not in came:
+                    came[p] = (x, side)
+                    todo.append(p)
+        if (t, 0) not in came:
+            return sorted(x for x in near if x not in (s, t) and (x, 0) in came and (x, 1) not in came)
+        p = (t, 0)
+        while came[p] is not None:
+            q = came[p]
+            if (p, q) in used:
+                del used[p, q]
+            else:
+                used[q, p] = True
+            p = q
+
+
+def node_connectivity(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row ``(k, nodes)``: the fewest nodes whose removal parts the graph, and such nodes, first by name of equals.
+
+    A node of least degree is parted from each that isn't its neighbour, and its neighbours
+    from each other; these pairs run in tasks of their own on the whole graph, whose size is
+    checked. Complete graphs have no such nodes: ``k`` is one less than their number, ``nodes`` null.
+    """
+    small = bounded(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    near = _neighbours(small)
+    spark, kind = edges.sparkSession, edges.schema[a].dataType.simpleString()
+    out = f"k int, nodes array<{kind}>"
+    if not near:
+        return spark.createDataFrame([(0, None)], out)
+    first = min(near, key=lambda x: (len(near[x]), x))
+    around = sorted(near[first])
+    pairs = [(first, x) for x in sorted(near) if x != first and x not in near[first]]
+    pairs += [(x, y) for i, x in enumerate(around) for y in around[i + 1 :] if y not in near[x]]
+    if not pairs:
+        return spark.createDataFrame([(len(near) - 1, None)], out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cuts = [_separator(near, s, t) for s, t in zip(f["s"], f["t"])]
+            yield pd.DataFrame({"k": [len(c) for c in cuts], "nodes": cuts})
+
+    each = spark.createDataFrame(pairs, f"s {kind}, t {kind}").repartition(8).mapInPandas(run, out)
+    return each.orderBy("k", "nodes").limit(1)
+
+
+def greedy_disconnection(edges: DataFrame, a: str = "a", b: str = "b") -> list:
+    """Nodes taken out by falling degree until the rest falls apart, less those that weren't needed; empty if it never does."""
+    small = bounded(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    near, gone = _neighbours(small), []
+    for x in sorted(near, key=lambda x: (-len(near[x]), x)):
+        if len(near) - len(gone) <= 2:
+            return []
+        gone.append(x)
+        if not is_connected(small, gone):
+            break
+    else:
+        return []
+    for x in list(gone):
+        if not is_connected(small, [y for y in gone if y != x]):
+            gone.remove(x)
+    return gone

@@ -148,8 +148,12 @@ def _cut_sets(spark, d):
     return graph.cut_sets(_sparse_graph(spark, d), 2, 12).select(F.array_join("nodes", ",").alias("nodes"), "degree")
 
 
+def _connectivity(spark, d):
+    return graph.node_connectivity(_corridor_graph(spark, d)).select("k", F.array_join("nodes", ",").alias("nodes"))
+
+
 QUERIES = {
-    "metro_topk": _topk, "metro_override_select": _override, "metro_radius": _radius, "metro_slug": _slug, "metro_knn": _knn, "metro_knn_symmetric": _knn_symmetric,
+    "node_connectivity": _connectivity, "metro_topk": _topk, "metro_override_select": _override, "metro_radius": _radius, "metro_slug": _slug, "metro_knn": _knn, "metro_knn_symmetric": _knn_symmetric,
     "metro_overlap": _overlap, "metro_duplicate_ids": _duplicate_ids, "metro_project": _project, "bearing_points": _bearings,
     "corridor_best_path": _best_path, "corridor_path_lengths": _path_lengths, "risk_exclusion": _risk_exclusion, "risk_groups": _risks,
     "corridors": _corridors, "risk_distance": _risk_distance, "corridor_summary": _summary, "corridor_pairs": _pairs, "corridor_shortest": _shortest,

@@ -268,3 +268,30 @@ def test_port_budget(spark, ports, found):
     roles = spark.createDataFrame([("n1", "core"), ("n2", "core")], "node string, role string")
     rules = spark.createDataFrame([("core|core", "opt")], "pair string, optic string")
     assert audits.ports(nodes, links, roles, rules, parts).count() == found
+
+
+def test_node_connectivity_against_all_subsets(spark):
+    from itertools import combinations
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    for n, p in ((7, 0.5), (8, 0.6), (6, 0.9)):
+        pairs = [(f"n{i}", f"n{j}", 1.0) for i in range(n) for j in range(i + 1, n) if rng.random() < p]
+        pdf = pd.DataFrame(pairs, columns=["a", "b", "length_km"])
+        names = sorted({x for e in pairs for x in e[:2]})
+        cuts = [(k, list(c)) for k in range(len(names) - 1) for c in combinations(names, k) if not graph.is_connected(pdf, c)]
+        row = graph.node_connectivity(spark.createDataFrame(pairs, EDGE)).first()
+        assert row.k == (cuts[0][0] if cuts else len(names) - 1)
+        assert not cuts or (row.k, row.nodes) in cuts
+
+
+def test_complete_graph_has_no_cut(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0)], EDGE)
+    assert tuple(graph.node_connectivity(e).first()) == (2, None) and graph.greedy_disconnection(e) == []
+
+
+def test_greedy_disconnection(spark):
+    e = spark.createDataFrame([("h", "a", 1.0), ("h", "b", 1.0), ("h", "c", 1.0), ("a", "b", 1.0)], EDGE)
+    assert graph.greedy_disconnection(e) == ["h"]
