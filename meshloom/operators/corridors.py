@@ -109,3 +109,21 @@ def summary(corridors: DataFrame) -> DataFrame:
 def distinct_pairs(tags: DataFrame) -> DataFrame:
     """Unordered metro pairs that tags name."""
     return tags.select(F.least(*PAIR).alias("metro_a"), F.greatest(*PAIR).alias("metro_b")).distinct()
+
+
+def path_geometry(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """``segment_ids`` and ``geometry`` of paths with ordered ``nodes``, from edges ``(a, b, segment_id, geometry)``.
+
+    An edge's geometry runs from ``a`` to ``b`` and is turned where the path goes the other way;
+    the vertex that two edges share is there once. Edges without a segment id (anchors) give none.
+    """
+    steps = F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct(F.element_at("nodes", i).alias("u"), F.element_at("nodes", i + 1).alias("v")))
+    long = paths.where(F.size("nodes") > 1).select(*PATH, F.posexplode(steps).alias("pos", "s")).select(*PATH, "pos", "s.*")
+    turned = edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "segment_id", F.reverse("geometry").alias("geometry"))
+    either = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "segment_id", "geometry").union(turned).dropDuplicates(["u", "v"])
+    parts = F.sort_array(F.collect_list(F.struct("pos", "segment_id", "geometry")))
+    whole = long.join(either, ["u", "v"]).groupBy(*PATH).agg(parts.alias("p"))
+    rest = lambda x: F.when(x["pos"] == 0, x["geometry"]).otherwise(F.slice(x["geometry"], F.lit(2), F.size(x["geometry"])))
+    return whole.select(
+        *PATH, F.filter(F.transform("p", lambda x: x["segment_id"]), lambda s: s.isNotNull()).alias("segment_ids"), F.flatten(F.transform("p", rest)).alias("geometry")
+    )

@@ -190,3 +190,34 @@ def pair_counts(assigned: DataFrame, top: int = 3) -> DataFrame:
 def overlay(builtin: DataFrame, user: DataFrame, key: str = "name") -> DataFrame:
     """A library with the user's entries over the built-in ones of the same name."""
     return user.unionByName(builtin.join(user.select(key), key, "left_anti"))
+
+
+def adjacency_roles(links: DataFrame, roles: DataFrame) -> DataFrame:
+    """``(adjacency_id, n_roles, n_pairs, role_a, role_b)`` of links ``(adjacency_id, u, v)``.
+
+    Roles and ordered role pairs of each adjacency, counted; the pair itself only where it is
+    the one. More than two roles, or several pairs, can't be given one optic.
+    """
+    r = roles.select("node", "role")
+    rows = links.join(r.toDF("u", "a"), "u").join(r.toDF("v", "b"), "v").select("adjacency_id", "a", "b").distinct()
+    names = rows.select("adjacency_id", F.explode(F.array("a", "b")).alias("r")).groupBy("adjacency_id").agg(F.countDistinct("r").alias("n_roles"))
+    pairs = rows.groupBy("adjacency_id").agg(F.count("*").alias("n_pairs"), F.min("a").alias("a"), F.min("b").alias("b"))
+    one = lambda c: F.when(F.col("n_pairs") == 1, F.col(c))
+    return pairs.join(names, "adjacency_id").select("adjacency_id", "n_roles", "n_pairs", one("a").alias("role_a"), one("b").alias("role_b"))
+
+
+def heaviest_sites(sites: DataFrame, links: DataFrame) -> DataFrame:
+    """The site of each blueprint with most capacity attached, the first name of equals: ``(blueprint, node, attached)``."""
+    total = links.select(F.explode(F.array("u", "v")).alias("node"), "capacity").groupBy("node").agg(F.sum("capacity").alias("attached"))
+    rows = sites.join(total, "node", "left").select("blueprint", "node", F.coalesce("attached", F.lit(0.0)).alias("attached"))
+    top = rows.groupBy("blueprint").agg(F.min(F.struct((-F.col("attached")).alias("k"), "node")).alias("m"))
+    return top.select("blueprint", "m.node", (-F.col("m.k")).alias("attached"))
+
+
+def used_policies(policies: DataFrame, workflow: DataFrame, default: str, check: bool = False) -> DataFrame:
+    """The default policy and those that a workflow's steps name (``failure_policy``); with ``check``, an error if one isn't known."""
+    spark = policies.sparkSession
+    want = workflow.where("failure_policy IS NOT NULL").select(F.col("failure_policy").alias("name")).union(spark.createDataFrame([(default,)], "name string")).distinct()
+    if check and not want.join(policies, "name", "left_anti").isEmpty():
+        raise ValueError("an unknown failure policy is referenced")
+    return policies.join(want, "name", "left_semi")

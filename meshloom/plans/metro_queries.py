@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import text
 from meshloom.functions.numeric import albers, bearing_offset
-from meshloom.operators import corridors, graph, metros
+from meshloom.operators import corridors, graph, integrated, metros, roads
 from meshloom.plans import inputs
 from meshloom.plans.inputs import METROS, PAIRS, PATHS
 
@@ -152,8 +152,50 @@ def _connectivity(spark, d):
     return graph.node_connectivity(_corridor_graph(spark, d)).select("k", F.array_join("nodes", ",").alias("nodes"))
 
 
+def _geometry(spark, d):
+    found = graph.k_shortest_paths(_corridor_graph(spark, d), _far_pairs(spark, d)).withColumnsRenamed({"a": "metro_a", "b": "metro_b"})
+    e = inputs.corridor_pairs(spark, d).toDF("a", "b", "km")
+    e = e.select("a", "b", F.concat_ws("~", "a", "b").alias("segment_id"), F.array("a", F.concat_ws("~", "a", "b"), "b").alias("geometry"))
+    p = corridors.path_geometry(found, e)
+    return p.select("metro_a", "metro_b", F.array_join("segment_ids", ",").alias("segment_ids"), F.array_join("geometry", ">").alias("geometry"))
+
+
+def _road_nodes(spark, d):
+    both = roads.both_ways(inputs.road_edges(spark, d, 1000.0))
+    return both.select((F.col("x") * 1000.0).alias("x"), (F.col("y") * 1000.0).alias("y")).distinct()
+
+
+def _small_metros(spark, d):
+    """Metros on the scale of the road graph, some of them on its nodes."""
+    return inputs.metro_table(spark, d).withColumn("x", F.rint(F.col("x") / 40000) * 1000).withColumn("y", F.rint(F.col("y") / 40000) * 1000 + 500 * (F.col("metro_idx") % 2))
+
+
+def _integrated_nodes(spark, d):
+    return integrated.nodes(_road_nodes(spark, d), _small_metros(spark, d))
+
+
+def _integrated_edges_of(spark, d):
+    e = inputs.road_edges(spark, d, 1000.0)
+    e = e.select(*[(F.col(c) * 1000.0).alias(c) for c in ("ax", "ay", "bx", "by")], "length_km")
+    m = _small_metros(spark, d)
+    return integrated.edges(e, m, metros.anchors(m, _road_nodes(spark, d), 2.0))
+
+
+def _integrated_edges(spark, d):
+    return _integrated_edges_of(spark, d).withColumn("length_km", F.round("length_km", 6))
+
+
+def _integrated_checks(spark, d):
+    return integrated.checks(_integrated_edges_of(spark, d), _small_metros(spark, d), 100)
+
+
+def _corridor_checks(spark, d):
+    return integrated.corridor_checks(inputs.corridor_pairs(spark, d), inputs.metro_table(spark, d))
+
+
 QUERIES = {
-    "node_connectivity": _connectivity, "metro_topk": _topk, "metro_override_select": _override, "metro_radius": _radius, "metro_slug": _slug, "metro_knn": _knn, "metro_knn_symmetric": _knn_symmetric,
+    "path_geometry": _geometry, "integrated_nodes": _integrated_nodes, "integrated_edges": _integrated_edges, "integrated_checks": _integrated_checks,
+    "corridor_checks": _corridor_checks, "node_connectivity": _connectivity, "metro_topk": _topk, "metro_override_select": _override, "metro_radius": _radius, "metro_slug": _slug, "metro_knn": _knn, "metro_knn_symmetric": _knn_symmetric,
     "metro_overlap": _overlap, "metro_duplicate_ids": _duplicate_ids, "metro_project": _project, "bearing_points": _bearings,
     "corridor_best_path": _best_path, "corridor_path_lengths": _path_lengths, "risk_exclusion": _risk_exclusion, "risk_groups": _risks,
     "corridors": _corridors, "risk_distance": _risk_distance, "corridor_summary": _summary, "corridor_pairs": _pairs, "corridor_shortest": _shortest,
@@ -196,7 +238,31 @@ dist(a, node, km, nodes) USING KEY (a, node) AS (
 SELECT a, node AS b, round(km, 6) AS length_km, nodes FROM dist
 WHERE CAST(a AS INT) % 6 = 0 AND CAST(node AS INT) % 4 = 1 AND a < node"""
 
+_SMALL = f"""WITH {inputs.roads_sql(1000)}, {METROS}, small AS (
+  SELECT metro_id, round_even(x / 40000, 0) * 1000 AS x, round_even(y / 40000, 0) * 1000 + 500 * (metro_idx % 2) AS y FROM metros),
+nodes AS (SELECT ax * 1000.0::DOUBLE AS x, ay * 1000.0::DOUBLE AS y FROM edges UNION SELECT bx * 1000.0::DOUBLE, "by" * 1000.0::DOUBLE FROM edges),
+near AS (
+  SELECT metro_id, m.x AS mx, m.y AS my, n.x, n.y, sqrt((n.x - m.x) * (n.x - m.x) + (n.y - m.y) * (n.y - m.y)) / 1000 AS km FROM small m, nodes n),
+tied AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metro_id ORDER BY km, x, y) AS r FROM near WHERE km <= 2) WHERE r = 1),
+every AS (
+  SELECT ax * 1000.0::DOUBLE AS ax, ay * 1000.0::DOUBLE AS ay, bx * 1000.0::DOUBLE AS bx, "by" * 1000.0::DOUBLE AS "by", length_km, NULL AS edge_type, NULL AS metro_id FROM edges
+  UNION ALL SELECT mx, my, x, y, km, 'metro_anchor', metro_id FROM tied)"""
+
 SQL = {
+    "path_geometry": f"""WITH p AS (SELECT a, b, string_split(nodes, '>') AS l FROM ({_SHORTEST}))
+SELECT a AS metro_a, b AS metro_b, array_to_string(list_transform(range(1, len(l)), lambda i: least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1])), ',') AS segment_ids,
+  l[1] || array_to_string(list_transform(range(1, len(l)), lambda i: '>' || least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1]) || '>' || l[i + 1]), '') AS geometry FROM p""",
+    "integrated_nodes": _SMALL + """ SELECT coalesce(n.x, m.x) AS x, coalesce(n.y, m.y) AS y,
+  CASE WHEN n.x IS NOT NULL AND m.x IS NOT NULL THEN 'metro+highway' WHEN m.x IS NOT NULL THEN 'metro' END AS node_type, metro_id
+FROM nodes n FULL JOIN small m ON n.x = m.x AND n.y = m.y""",
+    "integrated_edges": _SMALL + """ SELECT ax, ay, bx, "by", round(length_km, 6) AS length_km, edge_type, metro_id FROM every""",
+    "integrated_checks": _SMALL + """ SELECT 'anchor' AS "check", metro_id AS key FROM small WHERE metro_id NOT IN (SELECT metro_id FROM tied)
+UNION ALL SELECT 'degree', printf('%.1f_%.1f', x, y) FROM (SELECT ax AS x, ay AS y FROM every UNION ALL SELECT bx, "by" FROM every) GROUP BY x, y HAVING count(*) > 100""",
+    "corridor_checks": f"""WITH RECURSIVE {PAIRS}, sides AS (SELECT metro_a AS u, metro_b AS v FROM direct UNION ALL SELECT metro_b, metro_a FROM direct),
+reach(a, b) AS (SELECT u, u FROM sides UNION SELECT a, v FROM reach JOIN sides ON b = u),
+parts AS (SELECT root, count(*) AS n FROM (SELECT a, min(b) AS root FROM reach GROUP BY a) GROUP BY root)
+SELECT (SELECT count(*) FROM metros) AS n_metros, (SELECT count(*) FROM direct) AS n_corridors, (SELECT count(*) FROM metros WHERE metro_id NOT IN (SELECT u FROM sides)) AS n_alone,
+  count(*) AS n_components, max(n) AS largest FROM parts""",
     "metro_topk": _AREAS + " SELECT CAST(row_number() OVER (ORDER BY aland DESC NULLS LAST, uac_code) AS INT) AS sel_pos, uac_code, name_orig, CAST(aland AS BIGINT) AS aland FROM areas ORDER BY 1 LIMIT 10",
     "metro_override_select": _AREAS + """, named AS (
   SELECT sel_pos, arg_min(areas, (-coalesce(aland, -1), uac_code)) AS r FROM areas, (VALUES (1, 'nation_1'), (2, 'NATION_2$')) p(sel_pos, pattern)

@@ -126,6 +126,20 @@ def _optic_pairs(spark, d):
     return expand.pair_counts(_optics(spark, d))
 
 
+def _adjacency_roles(spark, d):
+    return expand.adjacency_roles(_edges(spark, d).select("adjacency_id", "u", "v"), _roles(spark, d))
+
+
+def _heaviest(spark, d):
+    return expand.heaviest_sites(_site_table(spark, d), _links(spark, d))
+
+
+def _policies(spark, d):
+    p = inputs.table(spark, d, "part", "p_type").distinct().select(F.col("p_type").alias("name"))
+    steps = inputs.table(spark, d, "region", "r_regionkey").select(F.element_at(F.array(F.lit("ECONOMY"), F.lit(None), F.lit("PROMO")), (F.col("r_regionkey") % 3 + 1).cast("int")).alias("failure_policy"))
+    return expand.used_policies(p, steps, "STANDARD")
+
+
 def _overlay(spark, d):
     p = inputs.components(spark, d)
     return expand.overlay(p, p.where("CAST(name AS BIGINT) % 10 = 0").withColumn("ports", F.col("ports") + 1000))
@@ -265,7 +279,7 @@ QUERIES = {
     "site_nodes": _nodes, "site_positions": _positions, "intra_metro_edges": _intra, "dc_pop_edges": _dc_pop, "inter_metro_mesh": _inter("mesh"),
     "inter_metro_one_to_one": _inter("one_to_one"), "inter_metro_striped": _inter("mesh", STRIPES), "stripe_groups": _stripes, "stripe_rules": _stripe_rules,
     "blueprint_nodes": _blueprint_nodes, "blueprint_links": _blueprint_links, "blueprint_groups": _group_view, "blueprint_link_counts": _inner_counts, "site_view": _site_view, "site_links": _site_links, "link_counts": _link_counts, "per_link_capacity": _per_link,
-    "optic_assignment": _optics, "optic_pairs": _optic_pairs, "library_overlay": _overlay, "range_names": _ranges, "assign_zip": _assigned("zip"),
+    "optic_assignment": _optics, "optic_pairs": _optic_pairs, "adjacency_roles": _adjacency_roles, "heaviest_sites": _heaviest, "used_policies": _policies, "library_overlay": _overlay, "range_names": _ranges, "assign_zip": _assigned("zip"),
     "assign_product": _assigned("cartesian"), "metro_demands": _flow_demands, "ecmp_loads": _loads, "sized_corridors": _sized, "sized_local_links": _sized_local,
     "pop_egress": _egress, "capacity_change": _change, "audit_isolated": _audit_isolated, "audit_refs": _audit_refs, "audit_pairing": _audit_pairing,
     "audit_coordinates": _audit_coordinates, "audit_required": _audit_required, "audit_demands": _audit_demands, "dc_balance": _dc_balance, "audit_dc_capacity": _audit_dc,
@@ -404,6 +418,11 @@ WHERE CASE WHEN a.n >= b.n THEN a.k % b.n = b.k ELSE b.k % a.n = a.k END""",
 FROM links l JOIN roles a ON a.node = u JOIN roles b ON b.node = v JOIN optics o ON o.role_a = a.role AND o.role_b = b.role JOIN components c ON c.name = optic""",
     "optic_pairs": f"""WITH {_EDGES} SELECT role_a, role_b, count(*) AS n
 FROM links l JOIN roles a ON a.node = u JOIN roles b ON b.node = v JOIN optics o ON o.role_a = a.role AND o.role_b = b.role JOIN components c ON c.name = optic GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 3""",
+    "adjacency_roles": f"""WITH {_EDGES} SELECT adjacency_id, CAST(CASE WHEN min(a.role) = min(b.role) THEN 1 ELSE 2 END AS BIGINT) AS n_roles, count(DISTINCT a.role || b.role) AS n_pairs,
+  min(a.role) AS role_a, min(b.role) AS role_b FROM site_edges JOIN roles a ON a.node = u JOIN roles b ON b.node = v GROUP BY adjacency_id""",
+    "heaviest_sites": f"""WITH {_EXPANDED} SELECT blueprint, node, attached FROM (
+  SELECT blueprint, node, coalesce(attached, 0) AS attached, row_number() OVER (PARTITION BY blueprint ORDER BY coalesce(attached, 0) DESC, node) AS r FROM blueprints LEFT JOIN attached USING (node)) WHERE r = 1""",
+    "used_policies": "SELECT DISTINCT p_type AS name FROM part WHERE p_type IN ('ECONOMY', 'PROMO', 'STANDARD')",
     "library_overlay": "SELECT CAST(p_partkey AS VARCHAR) AS name, p_size + CASE WHEN p_partkey % 10 = 0 THEN 1000 ELSE 0 END AS ports, CAST(p_size * 100 AS DOUBLE) AS capacity FROM part",
     "range_names": f"""WITH {METROS} SELECT 'metro' || metro_idx || '/pop' || o || '/x' AS name FROM metros, LATERAL (SELECT unnest(range(1, pops + 1)) AS o)
 UNION ALL SELECT n_name FROM nation""",
