@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of which the cuts between ranges are the quantiles.
+#: Rows, about, of which the cuts between ranges are the quantiles.
 SAMPLE_ROWS = 20_000
 
 
@@ -58,8 +58,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     )
     rows = urls.withColumn("verdict", F.lit(None).cast("string")).unionByName(ends)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = urls.select("id", F.concat("prefix", "path").alias("key")).orderBy(F.xxhash64("id", "key")).limit(SAMPLE_ROWS)
-    keys = sorted(r.key for r in sample.collect())
+    share = min(1.0, SAMPLE_ROWS / max(urls.count(), 1))  # each task sends its share of the sample alone
+    keys = sorted(r.key for r in urls.select(F.concat("prefix", "path").alias("key")).sample(share, seed=7).collect())
     cuts = [keys[i * len(keys) // n] for i in range(1, n)] if keys else []
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
