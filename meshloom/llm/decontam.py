@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The n-grams of the test items are counted over all training texts; each item's rarest are
-its seeds. Training texts are cut to the passages around seeds, joined to items by seed,
-and every candidate is aligned word by word. The score is that of the best local alignment
-over what the whole item would score, so edited, extended and paraphrased copies count by
-what they keep in order.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
+
+Every pair of neighbouring words of a test item is a seed, which a text holds if the two
+words follow each other in it, with at most one word between. An alignment that scores a
+leak keeps at least :func:`need` of its item's pairs within twice the item's length, so
+where fewer are found none can be, and everywhere else the passage is aligned word by word.
+The score is that of the best local alignment over what the whole item would score, so
+edited, extended and paraphrased copies count by what they keep in order.
 """
 
 from __future__ import annotations
@@ -13,25 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from .common import materialize
 from .wordhash import grams, words
 
-#: Words in a seed; shorter items are one seed as a whole.
-GRAM = 3
-#: Share of an item's n-grams that are its seeds, the rarest first, and how many at least.
-RARE, LEAST = 0.7, 12
-#: Distinct seeds that make a passage a candidate for an item (or all of the item's, if fewer).
-HITS = 2
+#: Items of up to so many words are one seed as a whole, and must occur as they are.
+SHORT = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's full score that is a leak.
 LEAK = 0.5
-#: n-grams of test items that are broadcast at once (8 bytes each). More items are taken in blocks, each against all texts.
+#: Words of test items that are broadcast at once (40 bytes each). More items are taken in blocks, each against all texts.
 BLOCK_GRAMS = 1_000_000
 
 #: Letters, digits and all bytes of longer characters make words.
@@ -58,117 +53,137 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-def _arrays(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
+def pairs(h: np.ndarray, step: int = 1) -> np.ndarray:
+    """Hash of every word with the one ``step`` words on."""
+    return grams(np.stack([h[:-step], h[step:]], axis=1).ravel(), 2)[::2] if len(h) > step else np.zeros(0, np.uint64)
+
+
+def need(n: int) -> int:
+    """Pairs that every leak of an item of ``n`` words keeps, at one or two words' distance.
+
+    Of the score 2n a leak may lose 2n (1 - LEAK). A word that is replaced or left out costs 3
+    and breaks two pairs; one cut off at an end costs 2 and breaks one; two words put in
+    between cost 2 and break one. So at most two pairs are broken for each 3 that are lost.
+    """
+    return 1 if n <= SHORT else max(n - 1 - int(MATCH * n * (1 - LEAK) * 2 / 3 + 1e-9), 1)
+
+
+class Seeds:
+    """The seeds of one block of items, bounded by BLOCK_GRAMS: sorted hashes, and for each the items that have it and how often."""
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        self.items, self.need = items, np.array([need(len(x)) for x in items])
+        self.sizes = sorted({len(x) for x in items if len(x) <= SHORT})
+        own = [grams(x, len(x)) if len(x) <= SHORT else pairs(x) for x in items]
+        found = [np.unique(x, return_counts=True) for x in own]
+        gram = np.concatenate([g for g, _ in found])
+        order = np.argsort(gram, kind="stable")
+        self.gram, first = np.unique(gram[order], return_index=True)
+        self.first = np.r_[first, len(order)]
+        self.item = np.repeat(np.arange(len(items)), [len(g) for g, _ in found])[order]
+        self.weight = np.concatenate([n for _, n in found])[order]
+
+    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``w`` of all seeds, and their numbers."""
+        every = [grams(w, n) for n in self.sizes] + [pairs(w, 1), pairs(w, 2)]
+        pos, g = np.concatenate([np.arange(len(x)) for x in every]), np.concatenate(every)
+        at = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
+        ok = self.gram[at] == g
+        return pos[ok], at[ok]
+
+    def score(self, text: str | None) -> list[tuple[int, int, float]]:
+        """``(item, seeds, score)`` of every item that ``text`` holds a leak of."""
+        w = tokens(text)
+        pos, at = self.hits(w)
+        if not len(pos):
+            return []
+        seen = np.unique(at)
+        rows = _spread(self.first[seen], self.first[seen + 1])
+        total = np.bincount(self.item[rows], weights=self.weight[rows], minlength=len(self.items))
+        out = []
+        maybe = np.flatnonzero(total >= self.need)
+        if not len(maybe):
+            return out
+        rows = _spread(self.first[at], self.first[at + 1])
+        place = np.repeat(pos, self.first[at + 1] - self.first[at])
+        keep = np.isin(self.item[rows], maybe)
+        rows, place = rows[keep], place[keep]
+        order = np.lexsort((place, self.item[rows]))
+        rows, place = rows[order], place[order]
+        ends = np.searchsorted(self.item[rows], maybe, side="right")
+        for k, a, b in zip(maybe.tolist(), np.searchsorted(self.item[rows], maybe), ends):
+            item, p, r = self.items[k], place[a:b], rows[a:b]
+            reach = 2 * len(item)
+            sums = np.r_[0, np.cumsum(self.weight[r])]
+            stop = np.searchsorted(p, p + reach)  # a leak's pairs begin within so many words
+            dense = np.flatnonzero(sums[stop] - sums[:-1] >= self.need[k])
+            best, n = 0.0, 0
+            at_ = 0
+            while at_ < len(dense):  # windows that overlap are one passage
+                last = at_
+                while last + 1 < len(dense) and dense[last + 1] < stop[dense[last]]:
+                    last += 1
+                lo, hi = dense[at_], stop[dense[last]]
+                at_ = last + 1
+                inside = np.unique(r[lo:hi])
+                if self.weight[inside].sum() < self.need[k]:
+                    continue
+                passage = w[max(p[lo] - reach, 0) : p[hi - 1] + reach]
+                best = max(best, align(item, passage) / (MATCH * len(item)))
+                n = max(n, len(inside))
+            if best >= LEAK:
+                out.append((k, n, best))
+        return out
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers from each ``first`` to before its ``last``."""
+    n = last - first
+    return np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
-def item_grams(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, words, grams)`` of every item with a word; arrays of hashes. Items of one text stay apart by id."""
+def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(item, words)`` of every item with a word; arrays of hashes. Items of one text stay apart by id."""
     rows = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([rows.schema["item"], T.StructField("words", longs), T.StructField("grams", longs)])
+    schema = T.StructType([rows.schema["item"], T.StructField("words", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = [tokens(x.as_py()) for x in b.column(1)]
-            g = [grams(x, min(GRAM, max(len(x), 1))) for x in w]
-            cols = [_arrays(np.r_[0, np.cumsum([len(x) for x in y])], np.concatenate([np.zeros(0, np.uint64), *y])) for y in (w, g)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["item", "words", "grams"])
+            values = np.concatenate([np.zeros(0, np.uint64), *w]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in w])], pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["item", "words"])
 
     return rows.mapInArrow(run, schema).where("size(words) > 0")
 
 
-def _find(docs: DataFrame, seeds: np.ndarray, sizes: list[int], reach: int | None) -> DataFrame:
-    """Where texts have one of ``seeds`` (sorted hashes, bounded by BLOCK_GRAMS).
+def _blocks(items: DataFrame) -> Iterator[tuple[pa.Array, Seeds]]:
+    """Ids and seeds of the items, in blocks of about BLOCK_GRAMS words."""
+    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_GRAMS))
+    for k in range(n):
+        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)
+        rows = block.distinct().toArrow()
+        if rows.num_rows:
+            words_ = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in rows.column("words")]
+            yield rows.column("item").combine_chunks(), Seeds(words_)
 
-    Without ``reach``: ``(gram, n)``, in how many texts each occurs, summed by batch. With
-    it: passages ``(pid, id, words, seeds)`` that go that many words beyond their seeds.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def hits(text: str | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        w, found = tokens(text), []
-        for n in sizes:
-            g = grams(w, n)
-            if len(g):
-                at = np.minimum(np.searchsorted(shared.value, g), len(shared.value) - 1)
-                pos = np.flatnonzero(shared.value[at] == g)
-                if len(pos):
-                    found.append((pos, g[pos]))
-        return w, found
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [np.unique(np.concatenate([g for _, g in f])) for _, f in (hits(x.as_py()) for x in b.column(1)) if f]
-            if got:
-                g, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pids, rows, parts, own = [], [], [], []
-            for k, x in enumerate(b.column(1)):
-                w, found = hits(x.as_py())
-                if not found:
-                    continue
-                pos, g = (np.concatenate(y) for y in zip(*found))
-                order = np.argsort(pos, kind="stable")
-                pos, g = pos[order], g[order]
-                for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > reach) + 1):
-                    seen = np.unique(g[part])
-                    words_ = w[max(pos[part[0]] - reach, 0) : pos[part[-1]] + GRAM + reach]
-                    pids.append(xxhash.xxh64_intdigest(words_.tobytes() + str(b.column(0)[k].as_py()).encode(), int(pos[part[0]])))
-                    rows.append(k)
-                    parts.append(words_)
-                    own.append(seen)
-            if pids:
-                lists = [_arrays(np.r_[0, np.cumsum([len(x) for x in y])], np.concatenate(y)) for y in (parts, own)]
-                ids = b.column(0).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(pids, np.uint64).view(np.int64)), ids, *lists], names=["pid", "id", "words", "seeds"])
-
-    if reach is None:
-        return docs.mapInArrow(count, "gram long, n long")
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("pid", T.LongType()), docs.schema["id"], T.StructField("words", longs), T.StructField("seeds", longs)])
-    return docs.mapInArrow(cut, schema)
-
-
-def _hashes(df: DataFrame) -> np.ndarray:
-    return np.unique(np.array([r[0] for r in df.distinct().collect()], dtype=np.int64).view(np.uint64))
-
-
-def _block(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Scores of one block of items, as :func:`leaks` returns them."""
-    long = items.select("item", F.explode("grams").alias("gram")).distinct()
-    sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(GRAM))).distinct().collect()]
-    reach = items.agg(F.max(F.size("words"))).first()[0]
-    counts = _find(docs, _hashes(long.select("gram")), sizes, None).groupBy("gram").agg(F.sum("n").alias("n"))
-    order = W.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "gram")
-    ranked = long.join(counts, "gram", "left").select(
-        "item", "gram", F.row_number().over(order).alias("rank"), F.count("*").over(W.partitionBy("item")).alias("of")
-    )
-    seeds = materialize(ranked.where(F.col("rank") <= F.greatest(F.lit(LEAST), F.ceil(F.col("of") * RARE))).select("item", "gram"))
-    passages = materialize(_find(docs, _hashes(seeds.select("gram")), sizes, reach))
-    need = seeds.groupBy("item").agg(F.least(F.count("*"), F.lit(HITS)).alias("need"))
-    pairs = (
-        passages.select("pid", F.explode("seeds").alias("gram")).distinct().join(seeds, "gram")
-        .groupBy("pid", "item").agg(F.count("*").alias("n_seeds")).join(need, "item").where("n_seeds >= need")
-    )
-    whole = pairs.join(items.select("item", F.col("words").alias("item_words")), "item").join(passages.select("pid", "id", "words"), "pid")
-    schema = T.StructType(
-        [whole.schema["id"], whole.schema["item"], T.StructField("n_seeds", T.LongType()), T.StructField("score", T.DoubleType())]
-    )
+def _block(docs: DataFrame, ids: pa.Array, seeds: Seeds, item: T.StructField) -> DataFrame:
+    """Leaks of one block of items, as :func:`leaks` returns them. Each text is searched by the task that reads it."""
+    shared = docs.sparkSession.sparkContext.broadcast((ids, seeds))
+    schema = T.StructType([docs.schema["id"], item, T.StructField("n_seeds", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, seeds = shared.value
         for b in batches:
-            score = []
-            for a, p in zip(b.column(3), b.column(4)):
-                x, y = a.values.to_numpy(zero_copy_only=False), p.values.to_numpy(zero_copy_only=False)
-                score.append(align(x, y) / (MATCH * len(x)))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(score, pa.float64())], names=["id", "item", "n_seeds", "score"])
+            found = [(row, *hit) for row, x in enumerate(b.column(1)) for hit in seeds.score(x.as_py())]
+            if found:
+                row, k, n, score = zip(*found)
+                cols = [b.column(0).take(pa.array(row)), ids.take(pa.array(k)), pa.array(n, pa.int64()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", item.name, "n_seeds", "score"])
 
-    scored = whole.select("id", "item", "n_seeds", "item_words", "words").mapInArrow(run, schema)
-    return scored.groupBy("id", "item").agg(F.max("n_seeds").alias("n_seeds"), F.max("score").alias("score"))
+    return docs.mapInArrow(run, schema)
 
 
 def leaks(
@@ -176,24 +191,23 @@ def leaks(
 ) -> DataFrame:
     """Pairs of a document and a test item that it holds a copy of: ids, ``n_seeds``, ``score`` (LEAK to 1).
 
-    Whole texts are searched. Null, empty and wordless texts and items give no row; an
+    Whole texts are searched, and the result is that of aligning every text with every
+    item; items of up to SHORT words must occur as they are. ``n_seeds`` are the item's
+    distinct pairs of neighbouring words that the passage has. Null, empty and wordless texts and items give no row; an
     empty table on either side gives an empty result. Repeated rows give one row a pair,
     as do rows that share an id; null ids count as one id. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    known = materialize(item_grams(items, item_col, item_text_col))
-    total = known.agg(F.sum(F.size("grams"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_GRAMS))
+    known = materialize(item_words(items, item_col, item_text_col))
     found = None
-    for k in range(n):
-        block = known if n == 1 else known.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)
-        if not block.isEmpty():
-            part = _block(rows, block)
-            found = part if found is None else found.union(part)
+    for ids, seeds in _blocks(known):
+        part = _block(rows, ids, seeds, known.schema["item"])
+        found = part if found is None else found.union(part)
     if found is None:
         schema = T.StructType([rows.schema["id"], known.schema["item"]]).add("n_seeds", T.LongType()).add("score", T.DoubleType())
         found = docs.sparkSession.createDataFrame([], schema)
-    return found.where(F.col("score") >= LEAK).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_seeds", F.round("score", 6).alias("score"))
+    found = found.groupBy("id", "item").agg(F.max("n_seeds").alias("n_seeds"), F.max("score").alias("score"))
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_seeds", F.round("score", 6).alias("score"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
