@@ -210,7 +210,20 @@ def leaks(
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_seeds", F.round("score", 6).alias("score"))
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that hold a copy of a test item; rows with a null id are kept only if none of them does."""
-    bad = leaks(docs, items, id_col).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_leaked")), "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a copy of a test item, whatever their ids are."""
+    known = materialize(item_words(items))
+    for _, seeds in _blocks(known):
+        docs = _without(docs, seeds, docs.columns.index(text_col))
+    return docs
+
+
+def _without(docs: DataFrame, seeds: Seeds, text: int) -> DataFrame:
+    """The rows without a leak of one block of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not shared.value.score(x.as_py()) for x in b.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,6 +165,13 @@ def near_links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_link_batches, "a long, b long")
 
 
+def _placed(of_docs: DataFrame, lowest: Column) -> DataFrame:
+    """``(fp, low, root)`` of every fingerprint: an aggregate of its rows, and its component."""
+    low = of_docs.groupBy("fp").agg(lowest.alias("low"))
+    roots = connected_components(near_links(of_docs))
+    return low.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row for each document: id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -175,11 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result; other columns of ``docs`` are not read.
     """
     of_docs = materialize(fingerprints(docs, id_col, text_col, shingle))
-    lowest = of_docs.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = connected_components(near_links(of_docs))
-    placed = lowest.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    placed = _placed(of_docs, F.min("id"))
     smallest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = placed.join(smallest, "root").select("fp", "component_id")
     return of_docs.join(classes, "fp").select(
@@ -188,11 +191,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their near-duplicate group, all columns kept.
+    """One document of each near-duplicate group, that of the smallest id, all columns kept.
 
-    Repeated rows of that id, and rows with a null id, are each kept once.
+    Rows are told apart by a number that is written with them, not by id: different texts
+    under one id, or under none, are each kept if they are first in their groups. A null id
+    is first only in a group without any other; of equal ids one row is first.
     """
-    seen = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    first = seen.select(F.col(id_col).alias("_kept")).distinct()
-    one = docs.join(first, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return one.dropDuplicates([id_col])
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")))
+    texts = numbered.select(F.struct(F.col("doc")[id_col].isNull().alias("none"), F.col("doc")[id_col].alias("id"), "row").alias("key"), F.col("doc")[text_col].alias("text"))
+    placed = _placed(materialize(fingerprints(texts, "key", "text")), F.min("id"))
+    first = placed.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("row"))
+    return numbered.join(first, "row", "left_semi").select("doc.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from meshloom.llm import decontam
+from meshloom.llm import decontam, simhash
 
 
 def test_copies_with_every_fourth_or_random_words_replaced(spark):
@@ -26,3 +26,19 @@ def test_copies_with_every_fourth_or_random_words_replaced(spark):
                 want[i, k] = round(s, 6)
     assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(d, b).collect()} == want
     assert all((k, k) in want for k, x in enumerate(items) if len(x) >= 20)
+
+
+def test_rows_without_or_of_one_id_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    words = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 60)) for _ in range(8)]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (None, words[2]), (5, words[2]), (5, words[3]), (5, words[3]), (6, words[4]), (6, words[5]), (7, words[4]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 AS row", "2 AS doc", "3 AS key")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(None, words[0]), (None, words[1]), (5, words[2]), (5, words[3]), (6, words[4]), (6, words[5]), (None, None)]
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    items = spark.createDataFrame([(1, words[1]), (2, words[4])], "item_id int, text string")
+    left = decontam.drop_leaks(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted((r for r in rows if r[1] not in (words[1], words[4])), key=key)
