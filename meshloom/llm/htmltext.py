@@ -49,8 +49,8 @@ SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 #: Neighbours on each side over which ratios are smoothed.
 REACH = 2
-#: Share of the best path's ratio that makes a path content, and of its text that the content node holds.
-CUT, MOST = 0.3, 0.8
+#: Share of the best path's ratio that makes a path content.
+CUT = 0.3
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -150,7 +150,7 @@ def main_text(page: str | None) -> str:
         if ok:
             best[path] = max(best[path], s)
     cut = CUT * max(best.values())
-    # the deepest node above others that holds most of what is over the threshold
+    # the deepest node above others that holds all that is over the threshold
     held: Counter = Counter()
     inner: set[tuple[str, ...]] = set()
     total = 0
@@ -160,7 +160,7 @@ def main_text(page: str | None) -> str:
             if best[path] >= cut and linked < len(text):
                 total += len(text)
                 held.update({path[:n]: len(text) for n in range(len(path) + 1)})
-    top = max((p for p, n in held.items() if p in inner and n >= MOST * total), key=len, default=())
+    top = max((p for p, n in held.items() if p in inner and n == total), key=len, default=())
     return " ".join(
         text
         for (path, text, linked), ok in zip(found, open_)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from meshloom.llm import decontam, simhash
+from meshloom.llm import decontam, htmltext, simhash
 
 
 def test_copies_with_every_fourth_or_random_words_replaced(spark):
@@ -42,3 +42,10 @@ def test_rows_without_or_of_one_id_are_told_apart(spark):
     left = decontam.drop_leaks(docs, items)
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted((r for r in rows if r[1] not in (words[1], words[4])), key=key)
+
+
+def test_heading_and_lead_outside_the_main_div():
+    body = "<p>One paragraph, of the body, long enough. It goes on, and on.</p>" * 10
+    page = f"<body><nav><a href=/>Home</a></nav><main><h1>Title of it</h1><p>Lead, in short, and what it is about.</p><div class=body>{body}</div></main><footer>End.</footer></body>"
+    text = htmltext.main_text(page)
+    assert text.startswith("Title of it Lead, in short, and what it is about. One paragraph,") and text.endswith("and on.") and text.count("One paragraph") == 10
