@@ -125,7 +125,17 @@ def _shortest(spark, d):
     return graph.k_shortest_paths(_corridor_graph(spark, d), _far_pairs(spark, d)).select("a", "b", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
 
 
+def _every_pair(spark, d):
+    ids = inputs.metro_table(spark, d).select("metro_id")
+    return ids.toDF("a").join(ids.toDF("b"), F.col("a") < F.col("b"))
+
+
+def _shortest_all(spark, d):
+    return graph.k_shortest_paths(_corridor_graph(spark, d), _every_pair(spark, d)).select("a", "b", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
+
+
 def _far_pairs(spark, d):
+    """The 14 pairs that the SQL of ``corridor_shortest`` and ``path_geometry`` asks for; the queries named ``_all`` have every pair."""
     ids = inputs.metro_table(spark, d).select("metro_id")
     return ids.where("metro_id % 6 = 0").toDF("a").join(ids.where("metro_id % 4 = 1").toDF("b"), F.col("a") < F.col("b"))
 
@@ -134,6 +144,10 @@ def _k_paths(spark, d):
     return graph.k_shortest_paths(_corridor_graph(spark, d), _far_pairs(spark, d), 3, 4000.0).select("a", "b", "path_index", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
 
 
+def _k_paths_all(spark, d):
+    return graph.k_shortest_paths(_corridor_graph(spark, d), _every_pair(spark, d), 3, 4000.0).select("a", "b", "path_index", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
+
+
 def _sparse_graph(spark, d):
     """Corridors to the two nearest metros."""
     near = metros.neighbours(inputs.metro_table(spark, d), 2, 600.0)
@@ -152,14 +166,18 @@ def _connectivity(spark, d):
     return graph.node_connectivity(_corridor_graph(spark, d)).select("k", F.array_join("nodes", ",").alias("nodes"))
 
 
-def _geometry(spark, d):
-    found = graph.k_shortest_paths(_corridor_graph(spark, d), _far_pairs(spark, d)).withColumnsRenamed({"a": "metro_a", "b": "metro_b"})
+def _geometry(spark, d, pairs=_far_pairs):
+    found = graph.k_shortest_paths(_corridor_graph(spark, d), pairs(spark, d)).withColumnsRenamed({"a": "metro_a", "b": "metro_b"})
     e = inputs.corridor_pairs(spark, d).toDF("a", "b", "km")
     e = e.select("a", "b", F.concat_ws("~", "a", "b").alias("segment_id"), F.array("a", F.concat_ws("~", "a", "b"), "b").alias("geometry"))
     p = corridors.path_geometry(found, e)
     return p.select("metro_a", "metro_b", F.array_join("segment_ids", ",").alias("segment_ids"), F.array_join("geometry", ">").alias("geometry"))
 
 
+def _geometry_all(spark, d):
+    return _geometry(spark, d, _every_pair)
+
+
 def _road_nodes(spark, d):
     both = roads.both_ways(inputs.road_edges(spark, d, 1000.0))
     return both.select((F.col("x") * 1000.0).alias("x"), (F.col("y") * 1000.0).alias("y")).distinct()
@@ -199,6 +217,7 @@ QUERIES = {
     "metro_overlap": _overlap, "metro_duplicate_ids": _duplicate_ids, "metro_project": _project, "bearing_points": _bearings,
     "corridor_best_path": _best_path, "corridor_path_lengths": _path_lengths, "risk_exclusion": _risk_exclusion, "risk_groups": _risks,
     "corridors": _corridors, "risk_distance": _risk_distance, "corridor_summary": _summary, "corridor_pairs": _pairs, "corridor_shortest": _shortest,
+    "corridor_shortest_all": _shortest_all, "corridor_k_paths_all": _k_paths_all, "path_geometry_all": _geometry_all,
     "corridor_k_paths": _k_paths, "articulation_points": _articulation, "cut_sets": _cut_sets,
 }
 
@@ -227,7 +246,7 @@ corridors AS (
       WHERE e.metro_a = p.metro_a AND e.metro_b = p.metro_b AND e.path_index = p.path_index) AS risk_groups
   FROM best p JOIN metros a ON a.metro_id = p.metro_a JOIN metros b ON b.metro_id = p.metro_b)"""
 
-_SHORTEST = f"""WITH RECURSIVE {PAIRS}, sides AS (
+_DISTANCES = f"""WITH RECURSIVE {PAIRS}, sides AS (
   SELECT metro_a AS u, metro_b AS v, length_km AS w FROM direct UNION ALL SELECT metro_b, metro_a, length_km FROM direct),
 dist(a, node, km, nodes) USING KEY (a, node) AS (
   SELECT metro_id, metro_id, CAST(0 AS DOUBLE), metro_id FROM metros
@@ -236,7 +255,9 @@ dist(a, node, km, nodes) USING KEY (a, node) AS (
   FROM dist d JOIN sides ON d.node = u LEFT JOIN recurring.dist r ON r.a = d.a AND r.node = v
   WHERE r.km IS NULL OR (d.km + w, d.nodes || '>' || v) < (r.km, r.nodes) GROUP BY d.a, v)
 SELECT a, node AS b, round(km, 6) AS length_km, nodes FROM dist
-WHERE CAST(a AS INT) % 6 = 0 AND CAST(node AS INT) % 4 = 1 AND a < node"""
+"""
+_SHORTEST = _DISTANCES + "WHERE CAST(a AS INT) % 6 = 0 AND CAST(node AS INT) % 4 = 1 AND a < node"
+_SHORTEST_ALL = _DISTANCES + "WHERE a < node"
 
 _SMALL = f"""WITH {inputs.roads_sql(1000)}, {METROS}, small AS (
   SELECT metro_id, round_even(x / 40000, 0) * 1000 AS x, round_even(y / 40000, 0) * 1000 + 500 * (metro_idx % 2) AS y FROM metros),
@@ -250,6 +271,9 @@ every AS (
 
 SQL = {
     "path_geometry": f"""WITH p AS (SELECT a, b, string_split(nodes, '>') AS l FROM ({_SHORTEST}))
+SELECT a AS metro_a, b AS metro_b, array_to_string(list_transform(range(1, len(l)), lambda i: least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1])), ',') AS segment_ids,
+  l[1] || array_to_string(list_transform(range(1, len(l)), lambda i: '>' || least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1]) || '>' || l[i + 1]), '') AS geometry FROM p""",
+    "path_geometry_all": f"""WITH p AS (SELECT a, b, string_split(nodes, '>') AS l FROM ({_SHORTEST_ALL}))
 SELECT a AS metro_a, b AS metro_b, array_to_string(list_transform(range(1, len(l)), lambda i: least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1])), ',') AS segment_ids,
   l[1] || array_to_string(list_transform(range(1, len(l)), lambda i: '>' || least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1]) || '>' || l[i + 1]), '') AS geometry FROM p""",
     "integrated_nodes": _SMALL + """ SELECT coalesce(n.x, m.x) AS x, coalesce(n.y, m.y) AS y,
@@ -310,6 +334,7 @@ FROM long LEFT JOIN own ON pair = regexp_replace(risk_group, '_path[0-9]+$', '')
     "corridor_summary": f"WITH {_ENDS} SELECT count(*) AS n_corridors, round(sum(length_km), 6) AS total_km, round(avg(length_km), 6) AS avg_km FROM corridors",
     "corridor_pairs": f"WITH {PATHS} SELECT DISTINCT least(metro_a, metro_b) AS metro_a, greatest(metro_a, metro_b) AS metro_b FROM paths",
     "corridor_shortest": _SHORTEST,
+    "corridor_shortest_all": _SHORTEST_ALL,
     "articulation_points": f"""WITH RECURSIVE {PAIRS}, sides AS (
   SELECT a AS u, b AS v FROM listed WHERE r <= 2 AND a < b UNION ALL SELECT b, a FROM listed WHERE r <= 2 AND a < b),
 nodes AS (SELECT DISTINCT u AS n FROM sides),
