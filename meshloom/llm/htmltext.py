@@ -1,18 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page is a run of text nodes, each under a path of tags from the root to its leaf block.
-For each path, text length and punctuation are added up and divided by the number of its
-nodes; links count against it. The ratios are smoothed over neighbouring nodes, fused, and
-thresholded, which finds the content paths. Their common container is the content node:
-the text is that of all blocks in it, but for those under boilerplate tags and names.
+A page is read as a run of text blocks, each under a path of tags from the root to the block.
+For each path, text and punctuation outside links are added up and divided by the number of
+its blocks. The two ratios are smoothed over neighbouring blocks, fused, and lowered by the
+share of link text and by boilerplate tags and names on the way to the block. Blocks over
+the threshold are the core, which grows over neighbours that score enough. The deepest
+element around them is the content node: what lies in it between them is main text, however
+short, unless lowered by a name; if it is an article's element, so is the rest of it.
 """
 
 from __future__ import annotations
 
 import html as _html
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,54 +24,96 @@ from pyspark.sql import types as T
 
 # Names of HTML.
 #: Elements whose content is not text of the page.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "noembed", "noframes")
+#: Elements without content, of which the first few stand in a line of text.
+VOID = frozenset("img input embed wbr area base br col hr link meta param source track".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " img input embed wbr".split()
 )
-#: Elements around menus, headers, footers, sidebars, adverts and forms.
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button select option head figcaption".split())
+#: Elements that a new one of the group ends, and those that hold such groups.
+ENDED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+HOLDERS = frozenset("ul ol menu dl select table article main".split())
+#: Elements that never hold main text, and those that do so only around a whole page.
+NEVER = frozenset("nav footer aside menu dialog button select option".split())
+SELDOM = frozenset("form header".split())
 #: Elements that hold the article, whatever their names say.
-UNNAMED = frozenset("html body main article".split())
-#: Names, in class, id or role, of the same, and of notices and reader comments.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|"
-    r"sidebar|aside|widget|related|recommended|share|sharing|social|comments?|commentlist|disqus|replies|reply|reader|notices?|cookies?|consent|gdpr|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|login|search|form|copyright|complementary|contentinfo|alert)(?:$|[\s_-])",
-    re.I,
+MAIN = frozenset("main article".split())
+ROOT = frozenset("html head body".split())
+#: Nouns at the end of a class, id or role that name boilerplate, notices and readers' comments.
+NOUNS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer"
+    " sidebar aside widget widgets related recommended share sharing social comment comments commentlist disqus replies notice notices cookie cookies consent gdpr"
+    " popup modal overlay newsletter subscribe signup login search form copyright complementary contentinfo alert dialog alertdialog".split()
 )
+#: Words that may follow such a noun, and words before it that say that something is only there, or isn't.
+PARTS = frozenset("list area section box container wrapper wrap block slot unit bar banner links left right top bottom inner outer items item panel body holder".split())
+MODIFIERS = frozenset("no not without with has have is show hide non".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|$)", re.I) for name in RAW}
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
+COPYRIGHT = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 #: Neighbours on each side over which ratios are smoothed.
 REACH = 2
-#: Share of the best path's ratio that makes a path content.
-CUT = 0.3
+#: Shares of the best score that make a block core, and that add a neighbour to it.
+CUT, EDGE = 0.45, 0.25
+#: Factor on a score for each tag or name that speaks against main text, and the score that a block so lowered needs.
+LOWER, LEAST = 0.001, 0.008
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Text blocks in page order: path of block tags with names, text, and length of its link text.
+@dataclass
+class Page:
+    """Elements in page order, the first being the root, and text blocks, by their element."""
 
-    References are decoded and white space is one space within a block.
-    """
-    path: list[tuple[str, str]] = []  # tag, and the tag with its names
-    out: list[tuple[tuple[str, ...], str, int]] = []
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    path: list[int] = field(default_factory=lambda: [0])  # equal for equal tag paths
+    weight: list[float] = field(default_factory=lambda: [1.0])
+    main: list[int] = field(default_factory=lambda: [0])  # the outermost main element above, if any
+    text: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)  # characters of link text
+    owner: list[int] = field(default_factory=list)
+
+
+def _named(value: str) -> bool:
+    """Whether one name of a class, id or role means boilerplate."""
+    words = re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().strip("-_"))
+    if MODIFIERS.intersection(words):
+        return False
+    return words[-1] in NOUNS or (words[0] in NOUNS and PARTS.issuperset(words[1:]))
+
+
+def _weight(tag: str, attributes: str, inside_main: bool) -> float:
+    """Factor that an element puts on the scores of what it holds."""
+    if tag in NEVER:
+        return 0.0
+    names = [x for a in ATTRIBUTE.findall(attributes) for x in "".join(a[1:]).split()] if "=" in attributes else []
+    against = (tag in SELDOM and not (tag == "header" and inside_main)) + (tag not in MAIN and any(map(_named, names)))
+    return LOWER**against
+
+
+def read(page: str) -> Page:
+    """Elements and blocks of a page. References are decoded, and white space is one space within a block."""
+    out, known = Page(), {}
+    path = [0]
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, link, at = 0, 0, 0  # link: depth of the open link's place, and one more
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACES.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
-                out.append((tuple(p for _, p in path), text, linked))
+                out.text.append(text)
+                out.linked.append(min(linked, len(text)))
+                out.owner.append(path[-1])
             parts.clear()
         linked = 0
 
@@ -76,96 +121,122 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         if text:
             parts.append(text)
-            if in_link:
+            if link:
                 linked += len(text)
 
+    def close(depth: int) -> None:
+        nonlocal link
+        del path[depth:]
+        if link > len(path):
+            link = 0
+
     while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
-        if not name or (m[1] and name == "br"):
+        if not name or name in ROOT:
             continue
         if name in RAW:
             if not m[1] and not m[3].endswith("/"):
                 end = ENDS[name].search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if name == "br":
+            add(" ")
+            continue
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[1] else 1
+                link = 0 if m[1] else len(path)
             continue
         flush()
         if name in VOID:
             continue
         if m[1]:
-            tags = [t for t, _ in path]
-            if name in tags:
-                del path[len(tags) - 1 - tags[::-1].index(name) :]
-            in_link = 0
+            for depth in range(len(path) - 1, 0, -1):
+                if out.tag[path[depth]] == name:
+                    close(depth)
+                    break
             continue
-        if path and path[-1][0] in ("p", "li", "dt", "dd", "option") and (path[-1][0] == name or path[-1][0] == "p"):
-            path.pop()
-        names = " ".join("".join(x) for x in ATTRIBUTE.findall(m[3]))
-        if m[3].endswith("/") and name in ("svg", "path"):
-            continue
-        path.append((name, f"{name} {names}".strip()))
+        if out.tag[path[-1]] == "p":
+            close(len(path) - 1)
+        for depth in range(len(path) - 1, 0, -1) if name in ENDED else ():
+            tag = out.tag[path[depth]]
+            if tag in HOLDERS:
+                break
+            if tag in ENDED[name]:
+                close(depth)
+        above, own = path[-1], len(out.tag)
+        names = " ".join(sorted(x for a in ATTRIBUTE.findall(m[3]) for x in "".join(a[1:]).split())) if "=" in m[3] else ""
+        out.parent.append(above)
+        out.tag.append(name)
+        out.path.append(known.setdefault((out.path[above], name, names), len(known) + 1))
+        out.weight.append(1.0 if name == "main" else out.weight[above] * _weight(name, m[3], out.main[above] > 0))
+        out.main.append(out.main[above] or (own if name in MAIN else 0))
+        path.append(own)
     add(page[at:])
     flush()
     return out
 
 
-def is_boilerplate(path: tuple[str, ...]) -> bool:
-    """Whether a tag of the path is boilerplate by its name or by its class, id or role."""
-    for step in path:
-        tag, _, names = step.partition(" ")
-        if tag in BOILERPLATE or (names and tag not in UNNAMED and NAMED.search(names)):
-            return True
-    return False
-
-
-def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> list[float]:
-    """Fused, smoothed ratio of each block: that of its path, averaged over its neighbours."""
-    chars, points, nodes = Counter(), Counter(), Counter()
-    for path, text, linked in found:
-        chars[path] += max(len(text) - linked, 0)
-        points[path] += len(PUNCTUATION.findall(text)) if linked < len(text) else 0
-        nodes[path] += 1
-    raw = [chars[p] / nodes[p] * (1 + points[p] / nodes[p]) for p, _, _ in found]
-    weights = [1 / (1 + abs(k)) for k in range(-REACH, REACH + 1)]
-    out = []
-    for i in range(len(raw)):
-        near = [(raw[i + k], w) for k, w in zip(range(-REACH, REACH + 1), weights) if 0 <= i + k < len(raw)]
-        out.append(sum(x * w for x, w in near) / sum(w for _, w in near))
+def path_scores(page: Page) -> list[float]:
+    """Score of each block: its path's ratios, smoothed over neighbours, fused, and lowered by links (of the path and its own) and names.
+
+    Blocks in elements that never hold main text have score 0 and are nobody's neighbours.
+    """
+    sums: dict[int, list[int]] = {}
+    for text, linked, owner in zip(page.text, page.linked, page.owner):
+        s = sums.setdefault(page.path[owner], [0, 0, 0, 0])
+        s[0] += 1
+        s[1] += len(text) - linked
+        s[2] += len(PUNCTUATION.findall(text)) if linked < len(text) else 0
+        s[3] += len(text)
+    out = [0.0] * len(page.text)
+    open_ = [i for i, owner in enumerate(page.owner) if page.weight[owner]]
+    of = [sums[page.path[page.owner[i]]] for i in open_]
+    ratios = [(math.log2(1 + s[1] / s[0]), math.log2(1 + s[2] / s[0])) for s in of]
+    for at, (i, s) in enumerate(zip(open_, of)):
+        size = chars = points = 0.0
+        for k in range(max(at - REACH, 0), min(at + REACH + 1, len(of))):
+            w = 1 / (1 + abs(k - at))
+            size, chars, points = size + w, chars + w * ratios[k][0], points + w * ratios[k][1]
+        plain = s[1] / s[3] * (1 - page.linked[i] / len(page.text[i]))
+        against = LOWER if COPYRIGHT.match(page.text[i]) else 1.0
+        out[i] = (chars + points) / size * plain * page.weight[page.owner[i]] * against
     return out
 
 
+def content(page: Page, scores: list[float]) -> list[bool]:
+    """Whether each block belongs to the main text."""
+    best = max(scores, default=0.0)
+    weight = [page.weight[owner] for owner in page.owner]
+    core = [i for i, s in enumerate(scores) if s > 0 and s >= CUT * best and (weight[i] == 1.0 or s >= LEAST)]
+    if not core:
+        return [False] * len(scores)
+    low, high = core[0], core[-1]
+    while low and scores[low - 1] >= EDGE * best:
+        low -= 1
+    while high + 1 < len(scores) and scores[high + 1] >= EDGE * best:
+        high += 1
+    # elements are numbered in page order, so the element around a run of blocks is that around two of them
+    run = [page.owner[i] for i in range(low, high + 1) if scores[i] >= EDGE * best]
+    a, b = min(run), max(run)
+    while a != b:
+        a, b = (a, page.parent[b]) if b > a else (page.parent[a], b)
+    node = page.main[a] or a
+    inside = [k == node for k in range(len(page.tag))]
+    for k in range(node + 1, len(page.tag)):
+        inside[k] = inside[page.parent[k]]
+    among = set(core)
+    return [
+        i in among or (inside[owner] and w >= page.weight[node] and (page.main[node] > 0 or low <= i <= high))
+        for i, (owner, w) in enumerate(zip(page.owner, weight))
+    ]
+
+
 def main_text(page: str | None) -> str:
     """Main text of a page; empty for null, for a page without text, and for one of boilerplate only."""
-    found = blocks(page or "")
-    open_ = [not is_boilerplate(path) for path, _, _ in found]
-    if not any(open_):
-        return ""
-    best: Counter = Counter()
-    for (path, _, _), s, ok in zip(found, path_scores(found), open_):
-        if ok:
-            best[path] = max(best[path], s)
-    cut = CUT * max(best.values())
-    # the deepest node above others that holds all that is over the threshold
-    held: Counter = Counter()
-    inner: set[tuple[str, ...]] = set()
-    total = 0
-    for (path, text, linked), ok in zip(found, open_):
-        if ok:
-            inner.update(path[:n] for n in range(len(path)))
-            if best[path] >= cut and linked < len(text):
-                total += len(text)
-                held.update({path[:n]: len(text) for n in range(len(path) + 1)})
-    top = max((p for p, n in held.items() if p in inner and n == total), key=len, default=())
-    return " ".join(
-        text
-        for (path, text, linked), ok in zip(found, open_)
-        if ok and path[: len(top)] == top and (2 * linked < len(text) or best[path] >= cut)
-    )
+    found = read(page or "")
+    return " ".join(t for t, keep in zip(found.text, content(found, path_scores(found))) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
