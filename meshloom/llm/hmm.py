@@ -27,8 +27,8 @@ CLASSES = 2048
 #: Bytes of a word's end, hashed to its class; longer ends tell more, shorter ones are shared more.
 SUFFIX = 4
 STEPS = 3
-#: In training only, texts are cut into pieces of so many tokens, each begun from the first state's distribution.
-PIECE = 128
+#: Tokens, about, that run through the recursions together.
+LOT = 400_000
 #: Tokens that a task holds at once.
 CHUNK = 1_000_000
 
@@ -122,34 +122,72 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _expected(model: Model, pieces: np.ndarray, length: np.ndarray, sums: list[np.ndarray]) -> None:
-    """Add the expected counts of pieces (by row, padded) to ``sums``: of first states, moves, and classes by state."""
-    n, t = pieces.shape
-    emit = model.emit.T  # class, state
-    alpha, scale = np.zeros((t, n, STATES), np.float32), np.ones((t, n), np.float32)
-    now = model.first * emit[pieces[:, 0]]
-    for k in range(t):
-        if k:
-            now = (alpha[k - 1] @ model.move) * emit[pieces[:, k]]
-        scale[k] = np.maximum(now.sum(axis=1), 1e-30)
-        alpha[k] = now / scale[k][:, None]
-    beta = np.ones((n, STATES), np.float32)
-    for k in range(t - 1, -1, -1):
-        inside = (k < length)[:, None]
-        gamma = np.where(inside, alpha[k] * beta, 0)
+class Lot:
+    """Class sequences, each closed by the end, laid out step by step: longer ones first, so that those still running are the first of a step."""
+
+    def __init__(self, seqs: list[np.ndarray]) -> None:
+        seqs = [np.r_[s, np.int16(CLASSES)] for s in seqs]
+        length = np.array([len(s) for s in seqs])
+        self.order = np.argsort(-length, kind="stable")
+        length = length[self.order]
+        steps = np.arange(length[0])
+        self.running = len(seqs) - np.searchsorted(length[::-1], steps, side="right")
+        self.begin = np.r_[0, np.cumsum(self.running)]
+        flat = np.concatenate([seqs[i] for i in self.order])
+        row = np.repeat(np.arange(len(seqs)), length)
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+        self.seen, self.row = np.empty(len(flat), np.int16), np.empty(len(flat), np.int32)
+        at = self.begin[step] + row
+        self.seen[at], self.row[at] = flat, row
+
+    def forward(self, model: Model, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, scaled forward vectors and scales of all steps."""
+        emit = np.ascontiguousarray(model.emit.T, kind)[self.seen]
+        move, alpha, scale = model.move.astype(kind), np.empty((len(emit), STATES), kind), np.empty(len(emit), kind)
+        for k, n in enumerate(self.running):
+            at = slice(self.begin[k], self.begin[k] + n)
+            now = (alpha[self.begin[k - 1] : self.begin[k - 1] + n] @ move if k else model.first.astype(kind)) * emit[at]
+            scale[at] = np.maximum(now.sum(axis=1), 1e-30)
+            alpha[at] = now / scale[at, None]
+        return emit, alpha, scale
+
+    def expected(self, model: Model, sums: list[np.ndarray]) -> None:
+        """Add the expected counts to ``sums``: of first states, of moves, and of classes by state."""
+        emit, alpha, scale = self.forward(model, np.float32)
+        ahead, back = emit / scale[:, None], np.ascontiguousarray(model.move.T, np.float32)
+        beta = np.ones_like(alpha)
+        for k in range(len(self.running) - 1, 0, -1):
+            n, b, before = self.running[k], self.begin[k], self.begin[k - 1]
+            ahead[b : b + n] *= beta[b : b + n]
+            beta[before : before + n] = ahead[b : b + n] @ back
+        gamma = alpha * beta
         gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), 1e-30)
+        n = self.running[0]
+        sums[0] += gamma[:n].sum(axis=0)
+        last = np.arange(n, len(alpha)) - np.repeat(self.running[:-1], self.running[1:])  # the step before, of the same row
+        sums[1] += model.move * (alpha[last].T @ ahead[n:])
         for s in range(STATES):
-            sums[2][s] += np.bincount(pieces[:, k], weights=gamma[:, s], minlength=CLASSES + 1)
-        if k:
-            next_ = emit[pieces[:, k]] * beta / scale[k][:, None]
-            sums[1] += model.move * (alpha[k - 1].T @ np.where(inside, next_, 0))
-            beta = np.where(inside, next_ @ model.move.T, 1).astype(np.float32)
-        else:
-            sums[0] += gamma.sum(axis=0)
+            sums[2][s] += np.bincount(self.seen, weights=gamma[:, s], minlength=CLASSES + 1)
+
+
+def _lots(seqs: list[np.ndarray]) -> Iterator[list[int]]:
+    """Places of the sequences, like lengths together, in lots of about LOT tokens."""
+    lot, size = [], 0
+    for i in sorted(range(len(seqs)), key=lambda i: len(seqs[i])):
+        lot.append(i)
+        size += len(seqs[i]) + 1
+        if size >= LOT:
+            yield lot
+            lot, size = [], 0
+    if lot:
+        yield lot
 
 
 def baum_welch(texts: DataFrame, steps: int = STEPS, seed: int = 11) -> Model:
-    """Train on ``classes`` of all rows: ``steps`` rounds of expected counts, summed over the partitions."""
+    """Train on ``classes`` of all rows, whole: ``steps`` rounds of expected counts, summed over the partitions.
+
+    Without a row the model stays as it was drawn.
+    """
     rng = np.random.default_rng(seed)
     spread = lambda *shape: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.dirichlet(np.full(shape[-1], 2.0), shape[:-1] or None))
     model = Model(np.full(STATES, 1 / STATES), 0.9 * np.eye(STATES) + 0.1 / STATES, spread(STATES, CLASSES + 1))
@@ -160,18 +198,9 @@ def baum_welch(texts: DataFrame, steps: int = STEPS, seed: int = 11) -> Model:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1))]
             for b in batches:
-                held: list[np.ndarray] = []
-                for k, x in enumerate(b.column(0)):
-                    seq = np.r_[x.values.to_numpy(zero_copy_only=False), np.int16(CLASSES)]
-                    held += [seq[i : i + PIECE] for i in range(0, len(seq), PIECE)]
-                    if len(held) >= 2000 or k + 1 == b.num_rows:
-                        held.sort(key=len)
-                        for lot in (held[i : i + 500] for i in range(0, len(held), 500)):
-                            length = np.array([len(p) for p in lot])
-                            pieces = np.zeros((len(lot), length.max()), np.int16)
-                            pieces[np.arange(length.max()) < length[:, None]] = np.concatenate(lot)
-                            _expected(shared.value, pieces, length, sums)
-                        held = []
+                seqs = [x.values.to_numpy(zero_copy_only=False) for x in b.column(0)]
+                for lot in _lots(seqs):
+                    Lot([seqs[i] for i in lot]).expected(shared.value, sums)
             flat = np.concatenate([s.ravel() for s in sums])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "n"])
 
@@ -179,53 +208,27 @@ def baum_welch(texts: DataFrame, steps: int = STEPS, seed: int = 11) -> Model:
         flat = np.zeros(STATES * (1 + STATES + CLASSES + 1))
         for r in got:
             flat[r["at"]] = r["n"]
-        first, move, emit = flat[:STATES], flat[STATES : STATES * (1 + STATES)].reshape(STATES, STATES), flat[STATES * (1 + STATES) :].reshape(STATES, -1)
-        every = emit.sum(axis=0) + 0.5
-        emit = emit + 2.0 * CLASSES * every / every.sum() * 0.05
-        model = Model(*(x / x.sum(axis=-1, keepdims=True) for x in (first + 1, move + 1, emit)))
         shared.unpersist()
+        if not flat.any():
+            break
+        model = maximized(flat[:STATES], flat[STATES : STATES * (1 + STATES)].reshape(STATES, STATES), flat[STATES * (1 + STATES) :].reshape(STATES, -1))
     return model
 
 
-def log_likelihood(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of class sequences (the end left out, and added here), exact for any length.
+def maximized(first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
+    """Model of expected counts; a little of every class's overall share is put into each state's."""
+    every = emit.sum(axis=0) + 0.5
+    emit = emit + 2.0 * CLASSES * every / every.sum() * 0.05
+    return Model(*(x / x.sum(axis=-1, keepdims=True) for x in (first + 1, move + 1, emit)))
 
-    A piece of a sequence is the product of its steps' matrices; products of all pieces are
-    made at once, scaled at each step, and the forward vector runs over a text's pieces.
-    """
-    emit = model.emit.T
-    seqs = [np.r_[s, np.int16(CLASSES)] for s in seqs]
-    parts, owner = [], []
-    for k, s in enumerate(seqs):
-        for i in range(0, len(s), PIECE):
-            parts.append(s[i : i + PIECE])
-            owner.append(k)
-    length = np.array([len(p) for p in parts])
-    order = np.argsort(-length, kind="stable")
-    count = np.searchsorted(-length[order], -np.arange(length.max()), side="left")  # pieces longer than k
-    product = np.tile(np.eye(STATES), (len(parts), 1, 1))
-    log = np.zeros(len(parts))
-    padded = np.zeros((len(parts), length.max()), np.int16)
-    padded[np.arange(length.max()) < length[order][:, None]] = np.concatenate([parts[i] for i in order])
-    for k in range(length.max()):
-        n = count[k]
-        made = (product[:n].reshape(-1, STATES) @ model.move).reshape(n, STATES, STATES) * emit[padded[:n, k]][:, None, :]
-        top = made.max(axis=(1, 2))
-        product[:n] = made / top[:, None, None]
-        log[:n] += np.log10(top)
-    back = np.empty(len(parts), np.int64)
-    back[order] = np.arange(len(parts))
+
+def log_likelihood(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
+    """log10 likelihood of whole class sequences (the end left out, and added here), by the scaled forward recursion."""
     out = np.zeros(len(seqs))
-    # the first step comes from nowhere: a vector that moves to the first states' shares
-    start = np.linalg.solve(model.move.T, model.first)
-    vector = None
-    for i, k in enumerate(owner):
-        if i == 0 or owner[i - 1] != k:
-            vector = start
-        vector = vector @ product[back[i]]
-        size = vector.sum()
-        out[k] += log[back[i]] + np.log10(size)
-        vector = vector / size
+    for lot in _lots(seqs):
+        laid = Lot([seqs[i] for i in lot])
+        scale = laid.forward(model, np.float64)[2]
+        out[np.array(lot)[laid.order]] = np.bincount(laid.row, weights=np.log10(scale), minlength=len(lot))
     return out
 
 
@@ -235,7 +238,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Learns from the documents that aren't held out (crc32 of the id, remainder 2 of 7).
     Null, empty and blank texts are an end alone. Repeated rows are learned from and scored
     each; null ids are not held out. Words are told apart by 64-bit hashes. Without training
-    texts all counts are 0 and the model stays as it began.
+    texts all counts are 0 and the model stays as it was drawn.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")

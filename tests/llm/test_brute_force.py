@@ -237,7 +237,7 @@ def test_language_model_base(spark, data, docs):
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(2)
     model = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.dirichlet(np.ones(hmm.CLASSES + 1), hmm.STATES))
-    seqs = [rng.integers(0, hmm.CLASSES, n).astype(np.int16) for n in (0, 1, 5, hmm.PIECE - 1, hmm.PIECE, 3 * hmm.PIECE + 7)]
+    seqs = [rng.integers(0, hmm.CLASSES, n).astype(np.int16) for n in (0, 1, 5, 127, 0, 400, 5, 3)]
     for s, ll in zip(seqs, hmm.log_likelihood(model, seqs)):
         vector, want = model.first, 0.0
         for k, x in enumerate([*s, hmm.CLASSES]):
@@ -247,6 +247,46 @@ def test_forward_recursion_is_exact():
         assert ll == pytest.approx(want, rel=1e-9)
 
 
+def test_expected_counts_against_a_plain_version():
+    """Forward and backward, cell by cell, over whole texts of different lengths."""
+    rng = np.random.default_rng(5)
+    model = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.dirichlet(np.ones(hmm.CLASSES + 1), hmm.STATES))
+    seqs = [rng.integers(0, 40, n).astype(np.int16) for n in (0, 3, 150, 1, 40, 150, 300)]
+    want = [np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES + 1))]
+    for s in seqs:
+        x = [*s.tolist(), hmm.CLASSES]
+        alpha, beta = [model.first * model.emit[:, x[0]]], [np.ones(hmm.STATES)]
+        for k in range(1, len(x)):
+            alpha[-1] = alpha[-1] / alpha[-1].sum()
+            alpha.append(alpha[-1] @ model.move * model.emit[:, x[k]])
+        for k in range(len(x) - 1, 0, -1):
+            b = model.move @ (model.emit[:, x[k]] * beta[0])
+            beta.insert(0, b / b.sum())
+        for k, c in enumerate(x):
+            gamma = alpha[k] * beta[k] / (alpha[k] @ beta[k])
+            want[2][:, c] += gamma
+            if k == 0:
+                want[0] += gamma
+            else:
+                xi = np.outer(alpha[k - 1], model.emit[:, c] * beta[k]) * model.move
+                want[1] += xi / xi.sum()
+    got = [np.zeros_like(x) for x in want]
+    hmm.Lot(seqs).expected(model, got)
+    for g, w in zip(got, want):
+        assert np.allclose(g, w, rtol=1e-3, atol=1e-4)
+    assert got[1].sum() == pytest.approx(sum(map(len, seqs)), rel=1e-4)
+
+
+def test_language_model_of_held_out_rows_alone_and_of_one_training_row(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = spark.createDataFrame([(i, f"some words {i}") for i in held] + [(held[0], None)], "doc_id int, text string")
+    got = hmm.score(rows).collect()
+    assert len(got) == len(held) + 1 and all(r.held_out and r.train_tokens == r.n_known == 0 and -1000 < r.score < 0 for r in got)
+    one = spark.createDataFrame([(next(i for i in range(9) if i not in held), "some words")], "doc_id int, text string")
+    got = {r.held_out: r for r in hmm.score(rows.limit(1).union(one)).collect()}
+    assert got[False].train_tokens == got[True].train_tokens == 3 and got[True].n_known == 3 and got[False].score > got[True].score
+
+
 def test_probabilities_add_up(spark):
     """Over all one-word texts of known and unknown words of each class, and the empty one, no more than 1."""
     rng = np.random.default_rng(3)
