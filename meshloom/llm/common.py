@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words, as a Java and DuckDB character class.
 SPACE = r"\x20\x09-\x0D"
+#: Folders that have been written and not discarded, in order.
+written: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +40,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that :func:`materialize` has written, for use where nothing reads them any more."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        written.remove(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Eager checkpoint in the shared folder; Spark's cleaner removes it when unused."""
     shared_dir(df.sparkSession)

@@ -1,15 +1,18 @@
-"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
-
-Every pair of neighbouring words of a test item is a seed, which a text holds if the two
-words follow each other in it, with at most one word between. An alignment that scores a
-leak keeps at least :func:`need` of its item's pairs within twice the item's length, so
-where fewer are found none can be, and everywhere else the passage is aligned word by word.
-The score is that of the best local alignment over what the whole item would score, so
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+The n-grams of a test item are its pairs of neighbouring words, which a text holds if the
+two words follow each other in it, with at most one word between. An alignment that scores
+a leak keeps at least :func:`need` of them within twice the item's length. So the most
+frequent ones, counted over all texts, fewer than that together, can be left out: any leak
+has one of the rest, and these rare ones are the seeds that join texts to items. Where a
+text has a seed and enough of the item's other pairs near by, the passage is aligned word by
+word. The score is that of the best local alignment over what the whole item would score, so
 edited, extended and paraphrased copies count by what they keep in order.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +32,17 @@ LEAK = 0.5
 #: Words of test items that are broadcast at once (40 bytes each). More items are taken in blocks, each against all texts.
 BLOCK_GRAMS = 1_000_000
 
+#: Punctuation beyond ASCII, which parts words as ASCII's does.
+_MARKS = re.compile("[\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u301f\uff01-\uff0f\uff1a-\uff20]")
 #: Letters, digits and all bytes of longer characters make words.
 _INSIDE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the words of a text: lower-cased runs of letters and digits."""
-    return words(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8), _INSIDE)[2]
+    low = (text or "").lower()
+    low = low if low.isascii() else _MARKS.sub(" ", low)
+    return words(np.frombuffer(low.encode("utf-8", "surrogatepass"), dtype=np.uint8), _INSIDE)[2]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> int:
@@ -69,64 +76,75 @@ def need(n: int) -> int:
 
 
 class Seeds:
-    """The seeds of one block of items, bounded by BLOCK_GRAMS: sorted hashes, and for each the items that have it and how often."""
+    """Items of one block, bounded by BLOCK_GRAMS, and where each of their n-grams is known: sorted hashes, and for each item its own, with how often it has them."""
 
     def __init__(self, items: list[np.ndarray]) -> None:
-        self.items, self.need = items, np.array([need(len(x)) for x in items])
+        self.items, self.need = items, [need(len(x)) for x in items]
         self.sizes = sorted({len(x) for x in items if len(x) <= SHORT})
-        own = [grams(x, len(x)) if len(x) <= SHORT else pairs(x) for x in items]
-        found = [np.unique(x, return_counts=True) for x in own]
-        gram = np.concatenate([g for g, _ in found])
-        order = np.argsort(gram, kind="stable")
-        self.gram, first = np.unique(gram[order], return_index=True)
-        self.first = np.r_[first, len(order)]
-        self.item = np.repeat(np.arange(len(items)), [len(g) for g, _ in found])[order]
-        self.weight = np.concatenate([n for _, n in found])[order]
+        found = [np.unique(grams(x, len(x)) if len(x) <= SHORT else pairs(x), return_counts=True) for x in items]
+        self.gram = np.unique(np.concatenate([g for g, _ in found]))
+        self.own = [np.searchsorted(self.gram, g) for g, _ in found]
+        self.weight = [n for _, n in found]
+        self.choose(np.zeros(len(self.gram), np.int64))
+
+    def choose(self, count: np.ndarray) -> None:
+        """Make the rarest n-grams of each item its seeds: as many as it takes that what is left can't make a leak without them."""
+        item, gram = [], []
+        for k, (own, weight) in enumerate(zip(self.own, self.weight)):
+            order = np.argsort(-count[own], kind="stable")  # the most frequent first, which may be left out
+            rare = own[order[np.cumsum(weight[order]) >= self.need[k]]]
+            item.append(np.full(len(rare), k))
+            gram.append(rare)
+        gram_, item_ = np.concatenate(gram), np.concatenate(item)
+        order = np.argsort(gram_, kind="stable")
+        self.rare = item_[order]
+        self.first = np.searchsorted(gram_[order], np.arange(len(self.gram) + 1))
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``w`` of all seeds, and their numbers."""
+        """Positions in ``w`` of all known n-grams, and their numbers."""
         every = [grams(w, n) for n in self.sizes] + [pairs(w, 1), pairs(w, 2)]
         pos, g = np.concatenate([np.arange(len(x)) for x in every]), np.concatenate(every)
         at = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
         ok = self.gram[at] == g
         return pos[ok], at[ok]
 
+    def count(self, text: str | None) -> np.ndarray:
+        """Numbers of the known n-grams in a text, once for each time that it has them."""
+        return self.hits(tokens(text))[1]
+
     def score(self, text: str | None) -> list[tuple[int, int, float]]:
         """``(item, seeds, score)`` of every item that ``text`` holds a leak of."""
         w = tokens(text)
         pos, at = self.hits(w)
-        if not len(pos):
-            return []
-        seen = np.unique(at)
-        rows = _spread(self.first[seen], self.first[seen + 1])
-        total = np.bincount(self.item[rows], weights=self.weight[rows], minlength=len(self.items))
+        order = np.argsort(at, kind="stable")
+        pos, at = pos[order], at[order]
+        seen, begin = np.unique(at, return_index=True)
+        begin = np.r_[begin, len(at)]
         out = []
-        maybe = np.flatnonzero(total >= self.need)
-        if not len(maybe):
-            return out
-        rows = _spread(self.first[at], self.first[at + 1])
-        place = np.repeat(pos, self.first[at + 1] - self.first[at])
-        keep = np.isin(self.item[rows], maybe)
-        rows, place = rows[keep], place[keep]
-        order = np.lexsort((place, self.item[rows]))
-        rows, place = rows[order], place[order]
-        ends = np.searchsorted(self.item[rows], maybe, side="right")
-        for k, a, b in zip(maybe.tolist(), np.searchsorted(self.item[rows], maybe), ends):
-            item, p, r = self.items[k], place[a:b], rows[a:b]
+        for k in np.unique(self.rare[_spread(self.first[seen], self.first[seen + 1])]).tolist():
+            own, weight, item = self.own[k], self.weight[k], self.items[k]
+            place = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
+            here = seen[place] == own
+            if weight[here].sum() < self.need[k]:
+                continue
+            place, which = place[here], np.flatnonzero(here)
+            p = pos[_spread(begin[place], begin[place + 1])]
+            r = np.repeat(which, begin[place + 1] - begin[place])
+            order = np.argsort(p, kind="stable")
+            p, r = p[order], r[order]
             reach = 2 * len(item)
-            sums = np.r_[0, np.cumsum(self.weight[r])]
-            stop = np.searchsorted(p, p + reach)  # a leak's pairs begin within so many words
+            sums = np.r_[0, np.cumsum(weight[r])]
+            stop = np.searchsorted(p, p + reach)  # a leak's n-grams begin within so many words
             dense = np.flatnonzero(sums[stop] - sums[:-1] >= self.need[k])
-            best, n = 0.0, 0
-            at_ = 0
-            while at_ < len(dense):  # windows that overlap are one passage
-                last = at_
+            best, n, next_ = 0.0, 0, 0
+            while next_ < len(dense):  # windows that overlap are one passage
+                last = next_
                 while last + 1 < len(dense) and dense[last + 1] < stop[dense[last]]:
                     last += 1
-                lo, hi = dense[at_], stop[dense[last]]
-                at_ = last + 1
+                lo, hi = dense[next_], stop[dense[last]]
+                next_ = last + 1
                 inside = np.unique(r[lo:hi])
-                if self.weight[inside].sum() < self.need[k]:
+                if weight[inside].sum() < self.need[k]:
                     continue
                 passage = w[max(p[lo] - reach, 0) : p[hi - 1] + reach]
                 best = max(best, align(item, passage) / (MATCH * len(item)))
@@ -157,16 +175,36 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return rows.mapInArrow(run, schema).where("size(words) > 0")
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[pa.Array, Seeds]]:
-    """Ids and seeds of the items, in blocks of about BLOCK_GRAMS words."""
+def _blocks(items: DataFrame, texts: DataFrame) -> Iterator[tuple[pa.Array, Seeds]]:
+    """Ids and seeds of the items, in blocks of about BLOCK_GRAMS words. How rare an n-gram is, is counted over all ``texts``."""
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_GRAMS))
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)
         rows = block.distinct().toArrow()
         if rows.num_rows:
-            words_ = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in rows.column("words")]
-            yield rows.column("item").combine_chunks(), Seeds(words_)
+            seeds = Seeds([x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in rows.column("words")])
+            seeds.choose(_counts(texts, seeds))
+            yield rows.column("item").combine_chunks(), seeds
+
+
+def _counts(texts: DataFrame, seeds: Seeds) -> np.ndarray:
+    """How often all texts have each n-gram of a block of items: as many numbers as the block has n-grams."""
+    shared = texts.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(shared.value.gram), np.int64)
+        for b in batches:
+            for x in b.column(0):
+                n += np.bincount(shared.value.count(x.as_py()), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    got = texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(seeds.gram), np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    shared.unpersist()
+    return out
 
 
 def _block(docs: DataFrame, ids: pa.Array, seeds: Seeds, item: T.StructField) -> DataFrame:
@@ -200,7 +238,7 @@ def leaks(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     known = materialize(item_words(items, item_col, item_text_col))
     found = None
-    for ids, seeds in _blocks(known):
+    for ids, seeds in _blocks(known, rows.select("text")):
         part = _block(rows, ids, seeds, known.schema["item"])
         found = part if found is None else found.union(part)
     if found is None:
@@ -211,14 +249,16 @@ def leaks(
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a copy of a test item, whatever their ids are."""
+    """``docs`` without the rows that hold a copy of a test item, whatever their ids and their other columns' names are."""
+    text = f"c{docs.columns.index(text_col)}"
+    left = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     known = materialize(item_words(items))
-    for _, seeds in _blocks(known):
-        docs = _without(docs, seeds, docs.columns.index(text_col))
-    return docs
+    for _, seeds in _blocks(known, left.select(text)):
+        left = _without(left, seeds, text)
+    return left.toDF(*docs.columns)
 
 
-def _without(docs: DataFrame, seeds: Seeds, text: int) -> DataFrame:
+def _without(docs: DataFrame, seeds: Seeds, text: str) -> DataFrame:
     """The rows without a leak of one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
 

@@ -113,20 +113,12 @@ def decode(model: Model, x: np.ndarray) -> np.ndarray:
     return share / share.sum(axis=1, keepdims=True)
 
 
-def predict(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
-) -> DataFrame:
-    """One row for each document: id (or the columns ``keep``), ``lang_pred``, ``score`` and ``ambiguous``.
-
-    ``score`` is the language's share. Whole texts are used, and nothing but texts. A null text, and one without a letter, is
-    ``und`` with score 0 and not ambiguous; so is every text if the model knows no language.
-    """
-    kept = keep or [id_col]
-    rows = docs.select(F.struct(*kept).alias("kept"), F.col(text_col).alias("text"))
+def _predicted(rows: DataFrame, model: Model) -> DataFrame:
+    """``(kept, lang_pred, score, ambiguous)`` from ``(kept, text)``."""
     schema = T.StructType(
         [rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     )
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each bit of the code
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights for each bit of the code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -147,7 +139,27 @@ def predict(
                     [b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unclear)], names=["kept", "lang_pred", "score", "ambiguous"]
                 )
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"kept.{c}").alias(c) for c in kept], "lang_pred", "score", "ambiguous")
+    return rows.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id, ``lang_pred``, ``score`` and ``ambiguous``.
+
+    ``score`` is the language's share. Whole texts are used, and nothing but texts. A null text, and one without a letter, is
+    ``und`` with score 0 and not ambiguous; so is every text if the model knows no language. Repeated rows and null ids stay.
+    """
+    found = _predicted(docs.select(F.col(id_col).alias("kept"), F.col(text_col).alias("text")), model)
+    return found.withColumnRenamed("kept", id_col)
+
+
+def keep_clear(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language has a share of ``least``, which becomes their ``lang_col``; all columns, whatever their names, stay.
+
+    Rows that are ``und`` (null texts, and those without a letter) go. Repeated rows are judged each.
+    """
+    found = _predicted(docs.select(F.struct("*").alias("kept"), F.col(text_col).alias("text")), model)
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(F.col("kept").withField(lang_col, F.col("lang_pred").cast(docs.schema[lang_col].dataType)).alias("kept")).select("kept.*")
 
 
 def held_out(df: DataFrame, parts: int, part: int, id_col: str = "doc_id"):

@@ -146,25 +146,26 @@ def ratio(value: Column, model: list[float]) -> Column:
     return total / F.greatest(F.length(value) - 1, F.lit(1))
 
 
-def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``base`` and ``spans``: arrays of (start, kind number, end).
 
     Offsets are code points, ends exclusive; ``spans`` has the base ones and those the
     models add, which overlap no base span. Null and empty texts have none. Repeated rows
-    are scanned each; other columns pass through, but for ``base``, ``spans`` and ``_text``,
-    which are replaced.
+    are scanned each; other columns pass through, whatever their names, but for ``base`` and
+    ``spans``, which are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("base", "spans", "_text")]
-    df = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    df = base_spans(df, "_text")
-    tokens = F.when(F.col("_text").rlike(TOKEN), F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0)))
-    df = _once(df, _token=F.coalesce(tokens, F.array().cast("array<string>")), _at=_spans("_text", TOKEN, 3))
-    random = F.transform(F.arrays_zip(F.col("_token").alias("v"), F.col("_at").alias("s")), lambda x: F.when(
+    # columns go by number meanwhile, so that none can clash with a name in here
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    df = docs.toDF(*own.values()).withColumn("text", F.coalesce(own[text_col], F.lit("")))
+    df = base_spans(df, "text")
+    tokens = F.when(F.col("text").rlike(TOKEN), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    df = _once(df, token=F.coalesce(tokens, F.array().cast("array<string>")), at=_spans("text", TOKEN, 3))
+    random = F.transform(F.arrays_zip(F.col("token").alias("v"), F.col("at").alias("s")), lambda x: F.when(
         ~F.exists("base", lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"]))
         & (F.size(F.array_distinct(F.split(x["v"], ""))) >= DISTINCT) & (ratio(x["v"], model) >= THRESHOLD), x["s"]
     ))
     added = F.filter(random, lambda s: s.isNotNull())
-    return df.withColumn("spans", F.sort_array(F.concat("base", added))).drop("_token", "_at", "_text")
+    return df.select(*[F.col(k).alias(c) for c, k in own.items() if c not in ("base", "spans")], "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -186,10 +187,13 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mark``; overlapping spans give one mark. Null texts stay null."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_row_text"))
-    found = scan(packed, model, text_col="_row_text")
-    last = F.length("_row_text")
+    """``docs`` with every found span replaced by ``mark``; overlapping spans give one mark.
+
+    Null texts stay null, other columns as they are; repeated rows stay.
+    """
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = scan(docs.toDF(*own.values()), model, own[text_col])
+    last = F.length(own[text_col])
     merged = F.aggregate(
         F.concat("spans", F.array(F.struct(last.alias("start"), F.lit(-1).alias("k"), last.alias("end")))),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -198,12 +202,11 @@ def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: st
             F.struct(
                 s["end"].alias("at"),
                 F.concat(
-                    a["out"], F.substring("_row_text", a["at"] + 1, s["start"] - a["at"]), F.when(s["k"] >= 0, mark).otherwise("")
+                    a["out"], F.substring(own[text_col], a["at"] + 1, s["start"] - a["at"]), F.when(s["k"] >= 0, mark).otherwise("")
                 ).alias("out"),
             ),
         ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
         lambda a: a["out"],
     )
-    text = F.when(F.size("spans") > 0, merged).otherwise(F.col("_row_text"))
-    found = found.withColumn("_clean", text)
-    return found.select(*[F.col("_clean" if c == text_col else f"_row.`{c}`").alias(c) for c in docs.columns])
+    clean = F.when(F.size("spans") > 0, merged).otherwise(F.col(own[text_col]))
+    return found.select(*[(clean if c == text_col else F.col(k)).alias(c) for c, k in own.items()])

@@ -197,7 +197,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     under one id, or under none, are each kept if they are first in their groups. A null id
     is first only in a group without any other; of equal ids one row is first.
     """
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")))
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
     texts = numbered.select(F.struct(F.col("doc")[id_col].isNull().alias("none"), F.col("doc")[id_col].alias("id"), "row").alias("key"), F.col("doc")[text_col].alias("text"))
     placed = _placed(materialize(fingerprints(texts, "key", "text")), F.min("id"))
     first = placed.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("row"))

@@ -208,6 +208,26 @@ def test_edited_copies_are_found(spark):
     assert sorted(r.doc_id for r in decontam.drop_leaks(d, b).collect()) == [3, 4, 5, 6]
 
 
+def test_rare_seeds_miss_no_leak():
+    """However the counts fall, a text with enough of an item's pairs has a seed of it; the most frequent pairs are none."""
+    rng = np.random.default_rng(13)
+    items = [rng.integers(0, 30, n).astype(np.uint64) for n in (2, 4, 9, 25, 60)]
+    seeds = decontam.Seeds(items)
+    for _ in range(50):
+        count = rng.integers(0, 1000, len(seeds.gram))
+        seeds.choose(count)
+        for k in range(len(items)):
+            own, weight = seeds.own[k], seeds.weight[k]
+            rare = np.flatnonzero([k in seeds.rare[seeds.first[g] : seeds.first[g + 1]] for g in own])
+            left = np.setdiff1d(np.arange(len(own)), rare)
+            assert weight[left].sum() < seeds.need[k] and len(rare)
+            assert not len(left) or count[own[left]].min() >= count[own[rare]].max()
+
+
+def test_typographic_quotes_part_words():
+    assert decontam.tokens("\u201cSome\u201d words\u2014all \u00abof\u00bb them\u2026").tolist() == decontam.tokens("some words all of them").tolist()
+
+
 def test_blocks_of_items_give_the_same(spark, data, monkeypatch):
     d, b = read_table(spark, data, "documents"), read_table(spark, data, "benchmark")
     once = sorted(decontam.leaks(d, b).select("doc_id", "item_id", "score").collect())

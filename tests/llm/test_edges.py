@@ -5,12 +5,16 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.llm import decontam, hmm, langid, mixing, queries, quality, secrets, simhash, toxicity, urlfilter
-from meshloom.llm.common import connected_components, lowest
+import corpus_pipeline
+from meshloom.llm import common, decontam, hmm, langid, mixing, queries, quality, secrets, simhash, toxicity, urlfilter
+from meshloom.llm.common import connected_components, lowest, materialize
 
 LONG = "word salad goes on and on " * 20_000
 TEXTS = [None, "", "   \n\t ", "one", "same text here again", "same text here again", LONG, "É\x00\u2028 😀 token = abcdefghijklmnop", "\n\n\n", "a" * 100_000]
-CLASH = ("id", "row", "fp", "base", "spans", "_text", "key", "h", "score", "size", "gram", "root", "part", "kept")
+CLASH = (
+    "id", "row", "fp", "base", "spans", "_text", "key", "h", "score", "size", "gram", "root", "part", "kept", "_kept", "doc", "_leaked", "lang_pred", "ambiguous",
+    "assign", "access", "hexes", "_token", "_at", "token", "at", "c0", "c1", "y", "_id", "x", "block", "whole", "target", "taken", "held_out", "kind", "chunk", "words", "n.o",
+)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +23,7 @@ def edge_dir(spark, tmp_path_factory):
     rows = [(i, t, ("en", "fr", None)[i % 3], ("a", "b", None)[i % 3], len(t or "")) for i, t in enumerate(TEXTS)]
     rows += [rows[4], (None, "no id at all here", "en", "a", 3), (None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.withColumns({c: F.lit("x") for c in CLASH}).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    docs.select("*", *[F.lit("x").alias(c) for c in CLASH]).coalesce(2).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(4, 1, 0), (5, 0, 1), (3, 1, None), (None, 1, 1), (5, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "http://a.org/x", "<p>x, y.</p>"), (1, "http://a.org/x", "<p>x, y.</p>"), (2, None, None), (None, "", ""), (3, "a://B.com/de/é?", "<" * 50_000)],
                           "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
@@ -109,3 +113,38 @@ def test_rules_with_nulls_and_ties(spark):
     rules = spark.createDataFrame([("b", "/c", "allow"), ("b", "/c", "block"), (None, "/c", "allow"), ("a.b", None, "allow"), ("b", "/", "allow")], "host string, path string, verdict string")
     r = urlfilter.judge(pages, rules).first()
     assert (r.rule, r.verdict) == ("b/c", "block")
+
+
+def test_pipeline_of_odd_rows(spark, edge_dir):
+    """Stage by stage: what goes, and that other columns stay, whatever their names."""
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    texts = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, edge_dir))
+        assert docs.columns == spark.read.parquet(f"{edge_dir}/documents.parquet").columns, name
+        texts.append(sorted((r.doc_id, r.text) for r in docs.fillna(-1).collect()))
+    assert all(any(map(str.isalpha, t or "")) for _, t in texts[0]) and {i for i, _ in texts[0]} <= {-1, 3, 4, 5, 6, 7, 9}
+    same = [i for i, t in texts[0] if t == TEXTS[4]]
+    assert [i for i, t in texts[1] if t == TEXTS[4]] == same[:1]
+    assert texts[2] == [(i, t) for i, t in texts[1] if t != TEXTS[4]]
+    assert [i for i, _ in texts[3]] == [i for i, _ in texts[2]] and all("abcdefghijklmnop" not in t for _, t in texts[3])
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, edge_dir).collect()
+    assert len(mixed) == len(texts[3]) and all(r.taken <= 2 * r["size"] for r in mixed)
+
+
+def test_pipeline_of_empty_tables(spark, empty_dir):
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_pipeline_leaves_one_folder(spark, edge_dir):
+    before = len(common.written)
+    got = corpus_pipeline.run(spark, edge_dir)
+    assert len(common.written) == before + 2 and got.count() > 0  # the last stage's own, and what it reads
+    common.discard(spark, common.written[before:])
+
+
+def test_clear_language_stays(spark):
+    rows = [(1, "plain words one"), (1, "plain words one"), (None, "plain words two"), (2, None), (3, "12")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "'x' AS lang", "1 AS score", "2 AS ambiguous", "3 AS lang_pred", "4 AS kept")
+    got = langid.keep_clear(docs, langid.fit(docs))
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r.score, r.kept) for r in got.collect()) == [(0, 1, 4), (1, 1, 4), (1, 1, 4)]
