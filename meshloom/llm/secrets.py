@@ -82,8 +82,9 @@ def base_spans(docs: DataFrame, text_col: str = "t") -> DataFrame:
 
 
 def random_strings(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
-    """``(value, random)``: strings of 32 characters, each drawn by a hash from one of three alphabets."""
-    sets = F.element_at(F.array(F.lit("0123456789abcdef"), F.lit(ALPHABET[26:62]), F.lit(ALPHABET)), (F.pmod("id", F.lit(3)) + 1).cast("int"))
+    """``(value, random)``: strings of 32 characters, each drawn by a hash from one of four alphabets."""
+    letters = ("0123456789abcdef", ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET)
+    sets = F.element_at(F.array(*map(F.lit, letters)), (F.pmod("id", F.lit(len(letters))) + 1).cast("int"))
     drawn = F.transform(
         F.sequence(F.lit(1), F.lit(32)),
         lambda i: F.substring("set", F.pmod(F.xxhash64("id", i), F.length("set")).cast("int") + 1, F.lit(1)),
