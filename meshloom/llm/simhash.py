@@ -25,6 +25,8 @@ MAX_BITS = 4
 SEED = 42
 #: Keys with up to so many fingerprints are compared pair by pair, larger ones by a search that leaves out what is linked already.
 SMALL = 24
+#: Keys with more fingerprints are cut up by their other bits before the search.
+LARGE = 4096
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -102,6 +104,27 @@ def _search(fp: np.ndarray, bit: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _connect(fp: np.ndarray, bit: int, free: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links as of :func:`_search`, of many fingerprints: of the bits ``free``, cut into five parts, linked ones share a part.
+
+    So each part's groups of equal bits are searched by themselves; those that hold most of
+    the fingerprints, as near copies do, at once, others in turn by their own free bits.
+    """
+    if len(fp) <= LARGE or len(free) <= MAX_BITS:
+        return _search(fp, bit)
+    out = []
+    for part in np.array_split(free, MAX_BITS + 1):
+        bits = fp & np.uint64(sum(1 << int(b) for b in part))
+        order = np.argsort(bits, kind="stable")
+        bits, own = bits[order], fp[order]
+        rest = [b for b in free if b not in part]
+        bounds = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1], True])
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if b - a > 1:
+                out += _connect(own[a:b], bit, rest) if b - a <= len(fp) // 2 else _search(own[a:b], bit)
+    return out
+
+
 def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints of equal keys; the rows come sorted by key."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -109,7 +132,9 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = (key[starts] >> 32).astype(np.int64)
     found = []
     for k in np.flatnonzero(sizes > SMALL):
-        found += _search(fp[starts[k] : starts[k] + sizes[k]], int(bits[k]))
+        bit = int(bits[k])
+        outside = [b for first, n in SEGMENTS if not first <= bit < first + n for b in range(first, first + n)]
+        found += _connect(fp[starts[k] : starts[k] + sizes[k]], bit, outside)
     small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     key, fp = key[small], fp[small]
     for step in range(1, SMALL):
@@ -159,8 +184,9 @@ def near_links(fps: DataFrame) -> DataFrame:
     A key that many fingerprints share gives a tree of links instead of all its pairs:
     what is connected stays connected, with no more rows than the key has.
     """
-    keys = variant_keys(fps.select("fp").where("fp IS NOT NULL").distinct())
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few and small as they are, the fingerprints are dealt over all tasks, as each gives 64 keys
+    keys = variant_keys(fps.select("fp").where("fp IS NOT NULL").distinct().repartition(n, "fp"))
     dealt = keys.repartition(n, "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_link_batches, "a long, b long")
 

@@ -79,7 +79,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     names = ["id", "host", "path", "prefix", "verdict"]
     schema = "id string, host string, path string, prefix string, verdict string, key string, part int"
     dealt = rows.mapInPandas(deal, schema)
-    swept = dealt.repartition(n, "part").sortWithinPartitions("part", "key", F.col("verdict").isNull(), "path")
+    swept = dealt.repartitionById(n, "part").sortWithinPartitions("part", "key", F.col("verdict").isNull(), "path")
     out = "id string, host string, path string, rule string, verdict string"
     result = swept.mapInPandas(lambda frames: _sweep(frames, default), out)
     return result.select(F.col("id").cast(id_type).alias(id_col), "host", "path", "rule", "verdict")

@@ -95,6 +95,31 @@ def test_links_of_planted_distances(spark):
     assert {i: find(i) for i in range(len(made))} == want
 
 
+def test_links_of_crowded_keys_cut_up(monkeypatch):
+    """Keys of many fingerprints, random ones and near copies, connect what all pairs would."""
+    monkeypatch.setattr(simhash, "LARGE", 16)
+    rng = np.random.default_rng(2)
+    for crowd in (0, 150):
+        low = int(rng.integers(1 << 22))
+        made = {int(x) << 22 | low for x in rng.integers(0, 1 << 14, 400)}  # one segment is the same in all
+        center = (int(rng.integers(1 << 40)) << 22) | low
+        made |= {center ^ sum(1 << int(b) for b in rng.choice(np.arange(22, 64), 3, replace=False)) for _ in range(crowd)}
+        fp = np.array(sorted(made), dtype=np.uint64)
+        want = plain_components({int(x): int(x) for x in fp}, 4)
+        root = {x: x for x in want}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in simhash._connect(fp, 0, list(range(22, 64))):
+            for x, y in zip(a.tolist(), b.tolist()):
+                p, q = sorted((find(x), find(y)))
+                root[q] = p
+        assert {x: find(x) for x in want} == want
+
+
 # 2: rules
 
 
