@@ -73,3 +73,25 @@ def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
     q = (1 - E2) * (s / (1 - E2 * s * s) - F.ln((1 - e * s) / (1 + e * s)) / (2 * e))
     rho, theta = A * F.sqrt(c - n * q) / n, n * (F.radians(lon) - LON0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def thousands(value: Column, decimals: int = 2) -> Column:
+    """A number as text with commas between thousands."""
+    return F.format_number(value, decimals)
+
+
+def whole_number(text: Column) -> Column:
+    """A whole number from text such as ``12_800`` or ``3200.7``, decimals cut off; null for anything else."""
+    return F.trim(F.replace(text.cast("string"), F.lit("_"))).try_cast("double").try_cast("long")
+
+
+def float_or_nan(value: Column) -> Column:
+    """A number, or NaN for null and for what is none."""
+    return F.coalesce(value.try_cast("double"), F.lit(float("nan")))
+
+
+def hardware(attrs: Column) -> tuple[Column, Column]:
+    """Component and count of a node's ``hardware`` (JSON text): no component means null and 0, a count that is no number 1."""
+    name = F.nullif(F.trim(F.get_json_object(attrs, "$.hardware.component")), F.lit(""))
+    count = F.coalesce(F.get_json_object(attrs, "$.hardware.count").try_cast("double"), F.lit(1.0))
+    return name, F.when(name.isNull(), F.lit(0.0)).otherwise(count)

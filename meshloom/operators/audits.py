@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from meshloom.functions.text import dc_key
 from meshloom.operators.expand import optic_map
+from meshloom.session import cut
 
 #: Tolerance on capacities.
 EPSILON = 1e-9
@@ -140,3 +142,42 @@ def missing_roles(nodes: DataFrame, samples: int = 5) -> DataFrame:
     first = bare.orderBy("node").limit(samples).agg(F.array_join(F.array_sort(F.collect_list("node")), ", ").alias("some"))
     n = bare.agg(F.count("*").alias("n")).join(first, F.lit(True)).where("n > 0")
     return issues(n, "roles", F.lit("role"), F.concat(F.col("n"), F.lit(" nodes without: "), "some"))
+
+
+def no_groups(groups: DataFrame) -> DataFrame:
+    """An issue if the scenario has no group of nodes."""
+    return issues(groups.agg(F.count("*").alias("n")).where("n = 0"), "groups", F.lit("network.nodes"), "no groups")
+
+
+def empty_matrices(matrices: DataFrame, demands: DataFrame, enabled: bool = True) -> DataFrame:
+    """Traffic matrices ``name`` without a demand, where traffic is enabled."""
+    found = matrices.select("name").distinct().join(demands.select(F.col("matrix").alias("name")), "name", "left_anti")
+    return issues(found.where(F.lit(enabled)), "matrix", "name", "empty although traffic is enabled")
+
+
+def isolation_hint(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups of sites (column ``path``), in a scenario that has no link at all."""
+    n = links.agg(F.count("*").alias("n_links"))
+    found = groups.where(F.col("path").rlike(r"^/?metro[0-9]+/(pop|dc)\b")).join(F.broadcast(n), F.lit(True))  # one row
+    return issues(found.where("n_links = 0"), "isolated", "path", "no link in the scenario")
+
+
+def contract(name: str, table: DataFrame, schema: str) -> DataFrame:
+    """Columns of a table that its contract, a schema in SQL, asks for and that lack or are of another type, and those it doesn't know."""
+    spark = table.sparkSession
+    want = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
+    have = {f.name: f.dataType.simpleString() for f in table.schema}
+    found = [(f"{name}.{c}", "missing" if c not in have else f"{have[c]} instead of {t}") for c, t in want.items() if have.get(c) != t]
+    found += [(f"{name}.{c}", "not in the contract") for c in have if c not in want]
+    return issues(spark.createDataFrame(found, "key string, message string"), "contract", "key", F.col("message"))
+
+
+def run_all(spark, stages: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """Issues of all stages. A stage that fails is an issue of its own, and doesn't keep the others from running."""
+    found = []
+    for name, stage in stages.items():
+        try:
+            found.append(cut(stage()))
+        except Exception as e:  # whatever a stage stumbles over is what the audit has to tell
+            found.append(issues(spark.createDataFrame([(name, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")], "key string, message string"), name, "key", F.col("message")))
+    return combine(*found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,14 @@ def extremes(metros: DataFrame) -> DataFrame:
     )
 
 
+def bounds(metros: DataFrame) -> DataFrame:
+    """One row: the corners around all metros, and the numbers of metros and sites."""
+    return metros.agg(
+        F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"),
+        F.count("*").alias("n_metros"), F.sum("pops").alias("n_pops"), F.sum("dcs").alias("n_dcs"),
+    )
+
+
 def document(tables: Mapping[str, DataFrame], seed: int = 42, most: int = 100_000) -> dict:
     """The scenario's nested form from its tables ``groups``, ``links``, ``risks``, ``demands``: a configuration file, so tables over ``most`` rows are refused."""
     def rows(name: str) -> list[dict]:
@@ -62,3 +71,74 @@ def document(tables: Mapping[str, DataFrame], seed: int = 42, most: int = 100_00
         "risk_groups": [{"name": r["risk_group"], "attrs": {"distance_km": r["distance_km"]}} for r in rows("risks")],
         "traffic_matrix_set": {"baseline_traffic_matrix": [plain(r) for r in rows("demands")]},
     }
+
+
+def blueprint_section(groups: DataFrame, used: DataFrame, hardware: DataFrame) -> DataFrame:
+    """Groups of the used blueprints with the platform of their role: ``(blueprint, grp, n, template, role, component, count)``.
+
+    ``hardware`` is ``(role, component)``; roles that it lacks get none. Reading a row is an
+    error if a used blueprint isn't known or a group of it has no role.
+    """
+    known = groups.join(hardware, "role", "left")
+    rows = used.select("blueprint").distinct().join(known, "blueprint", "left")
+    fault = F.when(F.col("grp").isNull(), F.raise_error(F.concat(F.lit("unknown blueprint "), "blueprint"))).when(
+        F.coalesce("role", F.lit("")) == "", F.raise_error(F.concat(F.lit("no role: "), "blueprint", F.lit(" "), "grp"))
+    )
+    role = F.coalesce(fault.cast("string"), F.col("role"))
+    return rows.select("blueprint", "grp", "n", "template", role.alias("role"), "component", F.when(F.col("component").isNotNull(), F.lit(1)).alias("count"))
+
+
+def workflow_section(workflows: Mapping[str, list], name: str) -> list:
+    """Steps of the assigned workflow; an error names those that are known."""
+    if name not in workflows:
+        raise ValueError(f"unknown workflow {name}; known are {', '.join(sorted(workflows))}")
+    return list(workflows[name])
+
+
+#: What is put before the first link of a type in the scenario's text.
+COMMENTS = {"intra_metro": "Links within metros", "dc_to_pop": "Links of data centres", "inter_metro_corridor": "Links between metros, along corridors"}
+
+
+def to_yaml(doc: dict, anchors: bool = True) -> str:
+    """The nested form as YAML, keys in their order, with a comment before the first link of each type."""
+    class Plain(yaml.SafeDumper):
+        def ignore_aliases(self, data):
+            return not anchors
+
+    rest = {k: v for k, v in doc["network"].items() if k != "links"}
+    dump = lambda x: yaml.dump(x, Dumper=Plain, sort_keys=False, default_flow_style=False, allow_unicode=True)
+    indented = lambda text: "".join(f"  {line}\n" for line in text.splitlines())
+    out, told = dump({"seed": doc["seed"]}) + "network:\n" + (indented(dump(rest)) if rest else ""), set()
+    links = doc["network"].get("links") or []
+    out += "  links:\n" if links else "  links: []\n"
+    for link in links:
+        kind = (link.get("attrs") or {}).get("link_type")
+        if kind in COMMENTS and kind not in told:
+            out += f"  # {COMMENTS[kind]}\n"
+            told.add(kind)
+        out += indented(dump([link]))
+    return out + "".join(dump({k: v}) for k, v in doc.items() if k not in ("seed", "network"))
+
+
+def from_yaml(spark, path: str) -> dict[str, DataFrame]:
+    """``groups``, ``links``, ``risks`` and ``demands`` of a scenario's file, as tables for the audits; an error if it isn't YAML or no mapping."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one file, as document() bounds it
+    try:
+        doc = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ValueError(f"{path} is not YAML") from e
+    if not isinstance(doc, dict):
+        raise ValueError(f"{path} is no mapping")
+    network = doc.get("network") or {}
+    flat = lambda m: {str(k): str(v) for k, v in (m or {}).items()}
+    number = lambda v: None if v is None else float(v)
+    groups = [(p, g.get("blueprint"), flat(g.get("attrs"))) for p, g in (network.get("nodes") or {}).items()]
+    found = [(x.get("source"), x.get("target"), number(x.get("capacity")), number(x.get("cost")), flat(x.get("attrs"))) for x in network.get("links") or []]
+    risks = [(r.get("name"), number((r.get("attrs") or {}).get("distance_km"))) for r in doc.get("risk_groups") or []]
+    demands = [(m, x.get("source_path"), x.get("sink_path"), x.get("priority"), number(x.get("demand"))) for m, rows in (doc.get("traffic_matrix_set") or {}).items() for x in rows or []]
+    return {
+        "groups": spark.createDataFrame(groups, "path string, blueprint string, attrs map<string,string>"),
+        "links": spark.createDataFrame(found, "source string, target string, capacity double, cost double, attrs map<string,string>"),
+        "risks": spark.createDataFrame(risks, "risk_group string, distance_km double"),
+        "demands": spark.createDataFrame(demands, "matrix string, source_path string, sink_path string, priority int, demand double"),
+    }

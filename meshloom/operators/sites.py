@@ -133,3 +133,26 @@ def stripe_rules(striped: DataFrame, sites: DataFrame, attribute: str, owner: st
     """Rules ``(path, attribute, label)`` that put a stripe on the devices of sites ``(node, owner)``; a path has one group level."""
     path = F.concat(F.lit("^"), "node", F.lit("/[^/]+/"), "device", F.lit("$"))
     return sites.join(striped, owner).select(path.alias("path"), F.lit(attribute).alias("attribute"), F.col("stripe").alias("label")).distinct()
+
+
+def stripes_by_attribute(named: DataFrame, labels: DataFrame, owner: str = "blueprint") -> DataFrame:
+    """Devices with the label of their group, ``(owner, device, place, stripe)``, in natural order within a label; groups without one are left out."""
+    rows = named.join(labels.where("label IS NOT NULL"), [owner, "grp"])
+    order = W.partitionBy(owner, "label").orderBy(natural_prefix(F.col("device")), natural_number(F.col("device")), "device")
+    return rows.select(owner, "device", F.row_number().over(order).alias("place"), F.col("label").alias("stripe"))
+
+
+def unmatched_stripes(striped: DataFrame, pairs: DataFrame, owner: str = "blueprint") -> DataFrame:
+    """Stripes that one side of a pair ``(pair, left, right)`` of owners has and the other lacks: ``(pair, stripe, on)``."""
+    own = striped.select(owner, "stripe").distinct()
+    side = lambda c: pairs.select("pair", F.col(c).alias(owner)).join(own, owner).select("pair", "stripe", F.lit(True).alias(c))
+    both = side("left").join(side("right"), ["pair", "stripe"], "full_outer")
+    return both.where("left IS NULL OR right IS NULL").select("pair", "stripe", F.when(F.col("right").isNull(), F.lit("left")).otherwise(F.lit("right")).alias("on"))
+
+
+def striped_dc_edges(dc_edges: DataFrame, settings: DataFrame) -> DataFrame:
+    """Edges of data centres with ``stripe_attribute``, ``stripe_dc_<metro>`` where the metro's family is striped (a width or an attribute), else null."""
+    striped = settings.where("family = 'dc_to_pop_link' AND (stripe_width IS NOT NULL OR stripe_attribute IS NOT NULL)").select("metro_idx", F.lit(True).alias("_striped"))
+    number = F.regexp_extract("u", "^metro([0-9]+)/", 1).cast(settings.schema["metro_idx"].dataType)
+    rows = dc_edges.withColumn("metro_idx", number).join(striped, "metro_idx", "left")
+    return rows.withColumn("stripe_attribute", F.when(F.col("_striped"), F.concat(F.lit("stripe_dc_"), "metro_idx"))).drop("_striped", "metro_idx")
