@@ -75,10 +75,11 @@ def fragmentation(before: DataFrame, after: DataFrame, a: str = "a", b: str = "b
 def contract_chains(edges: DataFrame, protected: DataFrame | None = None, a: str = "a", b: str = "b", length: str = "length_km") -> DataFrame:
     """Chains of degree-2 nodes as single edges ``(a, b, length_km, n_edges, nodes)``.
 
-    Junctions, dead ends and ``protected`` nodes (column ``node``) stay. A chain's edges meet
-    in one group and are put in order there; a ring without a node that stays becomes an edge
-    from its smallest node to the one half-way round, with the whole length. Parallel edges
-    of the result are merged to the shortest.
+    Junctions, dead ends and ``protected`` nodes (column ``node``) stay. A chain is put in
+    order by doubling (see :func:`_runs`), so its length costs rounds only by its logarithm.
+    A ring without a node that stays becomes an edge from its smallest node to the one
+    half-way round, with the whole length. Parallel edges of the result are merged to the
+    shortest.
     """
     sym = both_ways(edges, a, b, length)
     inner = sym.groupBy("u").agg(F.count("*").alias("d"), F.count_if(F.col("u") == F.col("v")).alias("loops")).where("d = 2 AND loops = 0").select(F.col("u").alias("node"))
@@ -86,40 +87,57 @@ def contract_chains(edges: DataFrame, protected: DataFrame | None = None, a: str
         inner = inner.join(protected.select("node"), "node", "left_anti")
     inner = cut(inner)
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(length).alias("length_km"))
-    marked = e.join(inner.select(F.col("node").alias("a"), F.lit(True).alias("ia")), "a", "left").join(
-        inner.select(F.col("node").alias("b"), F.lit(True).alias("ib")), "b", "left"
-    )
-    marked = cut(marked.select("a", "b", "length_km", F.coalesce("ia", F.lit(False)).alias("ia"), F.coalesce("ib", F.lit(False)).alias("ib")))
+    mark = lambda rows, nodes: _marked(_marked(rows, nodes, "a", "ia"), nodes, "b", "ib")
+    marked = cut(mark(e, inner))
+    # nodes that link to none that stays are rings, which open at their smallest node
     linked = connected_components(marked.where("ia AND ib"))
-    chains = inner.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("chain"))
-    tied = marked.where("ia OR ib").withColumn("key", F.when(F.col("ia"), F.col("a")).otherwise(F.col("b")))
-    tied = tied.join(chains.withColumnRenamed("node", "key"), "key").select("chain", "a", "b", "length_km", "ia", "ib")
-    node_type = edges.schema[a].dataType.simpleString()
-    out = f"a {node_type}, b {node_type}, length_km double, n_edges long, nodes array<{node_type}>"
-    ordered = tied.groupBy("chain").applyInPandas(_order_chain, out)
+    chains = cut(inner.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("chain")))
+    tied = marked.where("ia <> ib").select(F.when(F.col("ia"), F.col("a")).otherwise(F.col("b")).alias("node")).join(chains, "node").select("chain").distinct()
+    rings = chains.join(tied, "chain", "left_anti").select(F.col("chain").alias("node")).distinct()
+    marked = cut(mark(e, inner.join(rings, "node", "left_anti")))
+    runs = _runs(marked.where("ia OR ib"))
+    ring = F.col("a") == F.col("b")
+    opened = runs.join(rings.select(F.col("node").alias("_r")), F.col("a") == F.col("_r"), "left")
+    half = F.element_at("nodes", F.floor((F.size("nodes") - 1) / 2).cast("int") + 1)
+    ordered = opened.select("a", F.when(ring & F.col("_r").isNotNull(), half).otherwise(F.col("b")).alias("b"), "length_km", "n_edges", "nodes")
     passed = marked.where("NOT ia AND NOT ib").select("a", "b", "length_km", F.lit(1).cast("long").alias("n_edges"), F.array("a", "b").alias("nodes"))
     every = passed.unionByName(ordered).withColumn("k", F.struct("length_km", "n_edges", "nodes"))
     every = every.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("k").alias("k"))
     return every.select("a", "b", "k.length_km", "k.n_edges", "k.nodes")
 
 
-def _order_chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """One edge from the edges of a chain or ring, with its nodes in order from the smaller end."""
-    near: dict = {}
-    stays = set()
-    for a, b, ia, ib in zip(rows["a"], rows["b"], rows["ia"], rows["ib"]):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-        stays |= {x for x, inside in ((a, ia), (b, ib)) if not inside}
-    start = min(stays or near)
-    nodes, now = [start], min(near[start])
-    while now not in stays and now != start:
-        nodes.append(now)
-        one, other = near[now]
-        now = other if one == nodes[-2] else one
-    nodes.append(now)
-    end = now if stays else nodes[(len(nodes) - 1) // 2]
-    return pd.DataFrame({"a": [start], "b": [end], "length_km": [float(rows["length_km"].sum())], "n_edges": [len(rows)], "nodes": [nodes]})
+def _marked(rows: DataFrame, nodes: DataFrame, end: str, name: str) -> DataFrame:
+    """``rows`` with whether one end is among ``nodes``."""
+    own = nodes.select(F.col("node").alias("_n"), F.lit(True).alias("_in"))
+    return rows.join(own, F.col(end) == F.col("_n"), "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_n", "_in")
+
+
+def _runs(edges: DataFrame) -> DataFrame:
+    """Chains of edges ``(a, b, length_km, ia, ib)`` between nodes that aren't inner: ``(a, b, length_km, n_edges, nodes)``, each from its smaller end.
+
+    Every edge is taken both ways and points to the one that goes on from it; by rounds, each
+    points as far as what it points to does, until all point to their chain's last edge and
+    know how many are between.
+    """
+    ends = F.array(
+        F.struct(F.col("a").alias("u"), F.col("b").alias("v"), F.col("ib").alias("inner")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), F.col("ia").alias("inner"))
+    )
+    ways = cut(edges.select(F.explode(ends).alias("e"), "length_km").select("e.*", "length_km"))
+    onward = ways.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    at = ways.join(onward, "v", "left").where("NOT inner OR w <> u").select(
+        "u", "v", "length_km", F.col("inner").alias("open"),
+        F.when(F.col("inner"), F.struct(F.col("v").alias("u"), F.col("w").alias("v"))).otherwise(F.struct("u", "v")).alias("to"), F.col("inner").cast("long").alias("hops"),
+    )
+    at = cut(at.distinct())
+    while not at.where("open").isEmpty():
+        far = at.select(F.struct("u", "v").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("open").alias("open2"))
+        at = cut(at.join(far, "to").select("u", "v", "length_km", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("open") & F.col("open2")).alias("open")))
+    run = at.groupBy("to").agg(F.sort_array(F.collect_list(F.struct((-F.col("hops")).alias("k"), "u"))).alias("own"), F.sum("length_km").alias("length_km"), F.count("*").alias("n_edges"))
+    run = run.select(F.concat(F.transform("own", lambda x: x["u"]), F.array("to.v")).alias("nodes"), "length_km", "n_edges")
+    # a chain is found from both of its ends: the way from the smaller end stays, of rings that to the smaller neighbour
+    run = run.withColumn("a", F.get("nodes", 0)).withColumn("b", F.element_at("nodes", -1))
+    back = F.when(F.col("a") == F.col("b"), F.get("nodes", 1) <= F.element_at("nodes", -2)).otherwise(F.col("a") < F.col("b"))
+    return run.where(back).select("a", "b", "length_km", "n_edges", "nodes")
 
 
 def degree_rank(edges: DataFrame, top: int | None = None, a: str = "a", b: str = "b") -> DataFrame:
@@ -253,14 +271,14 @@ def _deviations(near: dict, start, end, k: int) -> list[tuple[float, list]]:
 
 
 def is_connected(pdf: pd.DataFrame, without: Iterator = ()) -> bool:
-    """Whether the graph of a small edge frame ``(a, b)`` is connected once nodes are taken out."""
+    """Whether the graph of a small edge frame ``(a, b)`` is connected once nodes are taken out; nothing that is left isn't."""
     gone, near = set(without), {}
     for a, b in zip(pdf["a"], pdf["b"]):
         for x, y in ((a, b), (b, a)):
             if x not in gone:
                 near.setdefault(x, set()).update({y} - gone)
     if not near:
-        return True
+        return False
     seen, todo = set(), [next(iter(near))]
     while todo:
         x = todo.pop()
@@ -271,19 +289,53 @@ def is_connected(pdf: pd.DataFrame, without: Iterator = ()) -> bool:
 
 
 def articulation_points(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Nodes whose removal disconnects the rest. Every node's removal is tried, in tasks of their own.
+    """Nodes ``node`` whose removal parts what was connected: those where two blocks of edges meet.
 
-    For analysis graphs (metros and corridors): the edge table goes to every task, so its
-    size is checked and larger graphs are refused.
+    A forest of shortest ways down from each component's smallest node is grown by rounds.
+    Every other edge closes a ring with the ways from its ends up to where they meet; edges
+    that rings join are one block, which is a component of rings and edges. Rows are at most
+    the edges times the depth, and rounds the depth.
     """
-    small = bounded(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
-    nodes = both_ways(edges, a, b).select(F.col("u").alias("node")).distinct()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f[[not is_connected(small, [n]) for n in f["node"]]]
-
-    return nodes.mapInPandas(run, nodes.schema)
+    e = cut(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    step = cut(both_ways(e))
+    tree = cut(connected_components(e).where("node = root").select("node", F.lit(None).cast(e.schema["a"].dataType).alias("up"), F.lit(0).alias("depth")))
+    front = tree
+    while not front.isEmpty():
+        new = front.join(step, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("up"), F.first(F.col("depth") + 1).alias("depth"))
+        front = cut(new.join(tree.select("node"), "node", "left_anti"))
+        tree = cut(tree.unionByName(front))
+    above = tree.select(F.col("node").alias("x"), "up", "depth")
+    down = tree.where("up IS NOT NULL").select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b"))
+    rest = e.join(down, ["a", "b"], "left_anti").select(F.concat_ws("~", "a", "b").alias("ring"), F.col("a").alias("p"), F.col("b").alias("q"))
+    rest, passed = cut(rest), []
+    while not rest.isEmpty():
+        # the deeper end goes up one edge; of ends of one depth both do
+        both = rest.join(above.toDF("p", "p_up", "p_depth"), "p").join(above.toDF("q", "q_up", "q_depth"), "q")
+        go_p, go_q = F.col("p_depth") >= F.col("q_depth"), F.col("q_depth") >= F.col("p_depth")
+        both = cut(both.select("ring", "p", "q", F.when(go_p, F.col("p_up")).otherwise(F.col("p")).alias("p2"), F.when(go_q, F.col("q_up")).otherwise(F.col("q")).alias("q2")))
+        passed += [both.where("p2 <> p").select("ring", F.col("p").alias("x")), both.where("q2 <> q").select("ring", F.col("q").alias("x"))]
+        rest = cut(both.where("p2 <> q2").select("ring", F.col("p2").alias("p"), F.col("q2").alias("q")))
+    links = passed[0] if passed else step.select(F.lit("").alias("ring"), F.col("u").alias("x")).where("false")
+    for more in passed[1:]:
+        links = links.unionByName(more)
+    label = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    blocks = connected_components(links.select(label("r", "ring").alias("a"), label("e", "x").alias("b")))
+    below = tree.where("up IS NOT NULL").withColumn("key", label("e", "node"))
+    own = below.join(blocks.toDF("key", "root"), "key", "left").select("node", "up", F.coalesce("root", "key").alias("block"))
+    met = own.select(F.explode(F.array("node", "up")).alias("node"), "block").distinct()
+    return met.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+
+
+def parted(edges: DataFrame, removals: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Removals ``(removal, nodes)`` after which the rest isn't connected, or nothing is left; all are tried at once, as components by removal."""
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    left = both_ways(e).select(F.col("u").alias("node")).distinct().join(F.broadcast(removals), F.lit(True)).where(~F.array_contains("nodes", F.col("node")))
+    links = e.join(F.broadcast(removals), F.lit(True)).where(~F.array_contains("nodes", F.col("a")) & ~F.array_contains("nodes", F.col("b")))
+    key = lambda c: F.struct("removal", F.col(c).alias("node"))
+    roots = connected_components(links.select(key("a").alias("a"), key("b").alias("b")))
+    placed = left.select("removal", key("node").alias("node")).join(roots, "node", "left").select("removal", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("removal").agg(F.count_distinct("root").alias("parts"))
+    return removals.join(parts, "removal", "left").where("coalesce(parts, 0) <> 1").select(*removals.columns)
 
 
 #: Edges of a graph that may go whole to every task.
@@ -299,21 +351,18 @@ def bounded(edges: DataFrame, most: int = SMALL_GRAPH) -> pd.DataFrame:
 
 
 def cut_sets(edges: DataFrame, size: int = 2, pool: int = 20, a: str = "a", b: str = "b") -> DataFrame:
-    """Sets of ``size`` of the ``pool`` nodes of highest degree that disconnect the graph: ``(nodes, degree)``, heaviest first."""
-    small = bounded(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    """Sets of ``size`` of the ``pool`` nodes of highest degree that disconnect the graph: ``(nodes, degree)``, heaviest first.
+
+    There are as many sets as the pool allows, whatever the graph's size; each costs a copy of the edges in :func:`parted`.
+    """
     top = cut(degree_rank(edges, pool, a, b))
     sets = top.select(F.array("node").alias("nodes"), "degree", F.col("node").alias("last"))
     for _ in range(size - 1):
         sets = sets.join(top.select(F.col("node").alias("n2"), F.col("degree").alias("d2")), F.col("n2") > F.col("last")).select(
             F.concat("nodes", F.array("n2")).alias("nodes"), (F.col("degree") + F.col("d2")).alias("degree"), F.col("n2").alias("last")
         )
-    sets = sets.drop("last")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f[[not is_connected(small, n) for n in f["nodes"]]]
-
-    return sets.repartition(8).mapInPandas(run, sets.schema).orderBy(F.desc("degree"), "nodes")
+    sets = cut(sets.drop("last").withColumn("removal", F.array_join(F.col("nodes").cast("array<string>"), "~")))
+    return parted(edges, sets, a, b).select("nodes", "degree").orderBy(F.desc("degree"), "nodes")
 
 
 def _neighbours(pdf: pd.DataFrame) -> dict:
