@@ -169,14 +169,19 @@ def optic_map(rules: DataFrame) -> DataFrame:
     return long.groupBy("role_a", "role_b").agg(F.min("optic").alias("optic"))
 
 
-def assign_optics(links: DataFrame, roles: DataFrame, rules: DataFrame, components: DataFrame) -> DataFrame:
+def assign_optics(links: DataFrame, roles: DataFrame, rules: DataFrame, components: DataFrame, check: bool = False) -> DataFrame:
     """Optic and number of modules of links ``(edge_key, u, v, capacity)``.
 
     ``roles`` is ``(node, role)``, ``components`` ``(name, capacity)``. Links without both
-    roles, a rule or a component of positive capacity are left out.
+    roles or a rule are left out. So are those whose rule names an unknown optic or one
+    without capacity; with ``check``, such a link is an error.
     """
     r = roles.select("node", "role")
     rows = links.join(r.toDF("u", "role_a"), "u").join(r.toDF("v", "role_b"), "v").join(optic_map(rules), ["role_a", "role_b"])
+    if check:
+        good = components.where("capacity > 0").select(F.col("name").alias("optic"))
+        if not rows.join(good, "optic", "left_anti").isEmpty():
+            raise ValueError("a link's optic is unknown or has no capacity")
     c = components.select(F.col("name").alias("optic"), F.col("capacity").alias("optic_capacity")).where("optic_capacity > 0")
     rows = rows.join(c, "optic")
     return rows.select("edge_key", "u", "v", "role_a", "role_b", "optic", F.ceil(F.col("capacity") / F.col("optic_capacity")).cast("long").alias("n_modules"))

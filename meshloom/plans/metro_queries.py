@@ -121,10 +121,6 @@ def _corridor_graph(spark, d):
     return inputs.corridor_pairs(spark, d).select(F.col("metro_a").alias("a"), F.col("metro_b").alias("b"), "length_km")
 
 
-def _shortest(spark, d):
-    return graph.k_shortest_paths(_corridor_graph(spark, d), _far_pairs(spark, d)).select("a", "b", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
-
-
 def _every_pair(spark, d):
     ids = inputs.metro_table(spark, d).select("metro_id")
     return ids.toDF("a").join(ids.toDF("b"), F.col("a") < F.col("b"))
@@ -134,16 +130,6 @@ def _shortest_all(spark, d):
     return graph.k_shortest_paths(_corridor_graph(spark, d), _every_pair(spark, d)).select("a", "b", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
 
 
-def _far_pairs(spark, d):
-    """The 14 pairs that the SQL of ``corridor_shortest`` and ``path_geometry`` asks for; the queries named ``_all`` have every pair."""
-    ids = inputs.metro_table(spark, d).select("metro_id")
-    return ids.where("metro_id % 6 = 0").toDF("a").join(ids.where("metro_id % 4 = 1").toDF("b"), F.col("a") < F.col("b"))
-
-
-def _k_paths(spark, d):
-    return graph.k_shortest_paths(_corridor_graph(spark, d), _far_pairs(spark, d), 3, 4000.0).select("a", "b", "path_index", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
-
-
 def _k_paths_all(spark, d):
     return graph.k_shortest_paths(_corridor_graph(spark, d), _every_pair(spark, d), 3, 4000.0).select("a", "b", "path_index", F.round("length_km", 6).alias("length_km"), F.array_join("nodes", ">").alias("nodes"))
 
@@ -166,18 +152,14 @@ def _connectivity(spark, d):
     return graph.node_connectivity(_corridor_graph(spark, d)).select("k", F.array_join("nodes", ",").alias("nodes"))
 
 
-def _geometry(spark, d, pairs=_far_pairs):
-    found = graph.k_shortest_paths(_corridor_graph(spark, d), pairs(spark, d)).withColumnsRenamed({"a": "metro_a", "b": "metro_b"})
+def _geometry_all(spark, d):
+    found = graph.k_shortest_paths(_corridor_graph(spark, d), _every_pair(spark, d)).withColumnsRenamed({"a": "metro_a", "b": "metro_b"})
     e = inputs.corridor_pairs(spark, d).toDF("a", "b", "km")
     e = e.select("a", "b", F.concat_ws("~", "a", "b").alias("segment_id"), F.array("a", F.concat_ws("~", "a", "b"), "b").alias("geometry"))
     p = corridors.path_geometry(found, e)
     return p.select("metro_a", "metro_b", F.array_join("segment_ids", ",").alias("segment_ids"), F.array_join("geometry", ">").alias("geometry"))
 
 
-def _geometry_all(spark, d):
-    return _geometry(spark, d, _every_pair)
-
-
 def _road_nodes(spark, d):
     both = roads.both_ways(inputs.road_edges(spark, d, 1000.0))
     return both.select((F.col("x") * 1000.0).alias("x"), (F.col("y") * 1000.0).alias("y")).distinct()
@@ -212,13 +194,13 @@ def _corridor_checks(spark, d):
 
 
 QUERIES = {
-    "path_geometry": _geometry, "integrated_nodes": _integrated_nodes, "integrated_edges": _integrated_edges, "integrated_checks": _integrated_checks,
+    "path_geometry": _geometry_all, "integrated_nodes": _integrated_nodes, "integrated_edges": _integrated_edges, "integrated_checks": _integrated_checks,
     "corridor_checks": _corridor_checks, "node_connectivity": _connectivity, "metro_topk": _topk, "metro_override_select": _override, "metro_radius": _radius, "metro_slug": _slug, "metro_knn": _knn, "metro_knn_symmetric": _knn_symmetric,
     "metro_overlap": _overlap, "metro_duplicate_ids": _duplicate_ids, "metro_project": _project, "bearing_points": _bearings,
     "corridor_best_path": _best_path, "corridor_path_lengths": _path_lengths, "risk_exclusion": _risk_exclusion, "risk_groups": _risks,
-    "corridors": _corridors, "risk_distance": _risk_distance, "corridor_summary": _summary, "corridor_pairs": _pairs, "corridor_shortest": _shortest,
+    "corridors": _corridors, "risk_distance": _risk_distance, "corridor_summary": _summary, "corridor_pairs": _pairs, "corridor_shortest": _shortest_all,
     "corridor_shortest_all": _shortest_all, "corridor_k_paths_all": _k_paths_all, "path_geometry_all": _geometry_all,
-    "corridor_k_paths": _k_paths, "articulation_points": _articulation, "cut_sets": _cut_sets,
+    "corridor_k_paths": _k_paths_all, "articulation_points": _articulation, "cut_sets": _cut_sets,
 }
 
 _AREAS = """WITH areas AS (
@@ -256,7 +238,6 @@ dist(a, node, km, nodes) USING KEY (a, node) AS (
   WHERE r.km IS NULL OR (d.km + w, d.nodes || '>' || v) < (r.km, r.nodes) GROUP BY d.a, v)
 SELECT a, node AS b, round(km, 6) AS length_km, nodes FROM dist
 """
-_SHORTEST = _DISTANCES + "WHERE CAST(a AS INT) % 6 = 0 AND CAST(node AS INT) % 4 = 1 AND a < node"
 _SHORTEST_ALL = _DISTANCES + "WHERE a < node"
 
 _SMALL = f"""WITH {inputs.roads_sql(1000)}, {METROS}, small AS (
@@ -270,9 +251,6 @@ every AS (
   UNION ALL SELECT mx, my, x, y, km, 'metro_anchor', metro_id FROM tied)"""
 
 SQL = {
-    "path_geometry": f"""WITH p AS (SELECT a, b, string_split(nodes, '>') AS l FROM ({_SHORTEST}))
-SELECT a AS metro_a, b AS metro_b, array_to_string(list_transform(range(1, len(l)), lambda i: least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1])), ',') AS segment_ids,
-  l[1] || array_to_string(list_transform(range(1, len(l)), lambda i: '>' || least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1]) || '>' || l[i + 1]), '') AS geometry FROM p""",
     "path_geometry_all": f"""WITH p AS (SELECT a, b, string_split(nodes, '>') AS l FROM ({_SHORTEST_ALL}))
 SELECT a AS metro_a, b AS metro_b, array_to_string(list_transform(range(1, len(l)), lambda i: least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1])), ',') AS segment_ids,
   l[1] || array_to_string(list_transform(range(1, len(l)), lambda i: '>' || least(l[i], l[i + 1]) || '~' || greatest(l[i], l[i + 1]) || '>' || l[i + 1]), '') AS geometry FROM p""",
@@ -333,7 +311,7 @@ SELECT risk_group, max(coalesce(own_km, km)) AS distance_km
 FROM long LEFT JOIN own ON pair = regexp_replace(risk_group, '_path[0-9]+$', '') GROUP BY risk_group""",
     "corridor_summary": f"WITH {_ENDS} SELECT count(*) AS n_corridors, round(sum(length_km), 6) AS total_km, round(avg(length_km), 6) AS avg_km FROM corridors",
     "corridor_pairs": f"WITH {PATHS} SELECT DISTINCT least(metro_a, metro_b) AS metro_a, greatest(metro_a, metro_b) AS metro_b FROM paths",
-    "corridor_shortest": _SHORTEST,
+    "corridor_shortest": _SHORTEST_ALL,
     "corridor_shortest_all": _SHORTEST_ALL,
     "articulation_points": f"""WITH RECURSIVE {PAIRS}, sides AS (
   SELECT a AS u, b AS v FROM listed WHERE r <= 2 AND a < b UNION ALL SELECT b, a FROM listed WHERE r <= 2 AND a < b),
@@ -355,3 +333,6 @@ reach(a, b, node) AS (
 SELECT a || ',' || b AS nodes, CAST(degree AS BIGINT) AS degree FROM sets JOIN (SELECT a, b, count(*) AS n FROM reach GROUP BY a, b) USING (a, b)
 WHERE n < (SELECT count(*) - 2 FROM deg)""",
 }
+
+#: Of every pair as well, under the names of the first round.
+SQL["path_geometry"] = SQL["path_geometry_all"]

@@ -79,6 +79,8 @@ SELECT metro_id AS uac_code, name FROM metros m WHERE EXISTS (
     "scenario_groups": f"""WITH {METROS} SELECT 'metro' || metro_idx || '/pop[1-' || pops || ']' AS path, 'FullMesh4' AS blueprint, 'pop' AS node_type, name AS metro_name, metro_id,
   x AS location_x, y AS location_y, radius_km, CAST(NULL AS DOUBLE) AS mw_per_dc_region, CAST(NULL AS DOUBLE) AS gbps_per_mw FROM metros
 UNION ALL SELECT 'metro' || metro_idx || '/dc[1-' || dcs || ']', 'DCRegion', 'dc_region', name, metro_id, x, y, radius_km, 150, 10 FROM metros WHERE dcs > 0""",
+    "metro_geojson": f"""WITH {METROS} SELECT metro_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR)
+  || ']}},"properties":{{"metro_id":"' || metro_id || '","name":"' || name || '","radius_km":' || CAST(radius_km AS VARCHAR) || '}}}}' AS feature FROM metros""",
     "scenario_risks": metro_queries.SQL["risk_distance"],
     "library_components": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::{'INT' if isinstance(v, int) else 'DOUBLE'}" for v in r) + ")" for r in library.COMPONENTS) + ") c(" + ", ".join(c.split(" ")[0] for c in library.COLUMNS.split(", ")) + ")",
     "library_used": "SELECT * FROM (VALUES ('CoreRouter', 409600.0::DOUBLE, 512), ('800G-DR4', 800.0::DOUBLE, 1)) c(name, capacity, ports)",

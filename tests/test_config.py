@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshloom import config
 from meshloom.functions import numeric
-from meshloom.operators import audits, scenario, settings, sites
+from meshloom.operators import audits, expand, scenario, settings, sites
 
 
 @pytest.fixture
@@ -129,3 +129,17 @@ def test_contract_and_failing_stages(spark):
     assert sorted((r.key, r.message) for r in audits.contract("t", df, "a long, c string").collect()) == [("t.a", "int instead of bigint"), ("t.b", "not in the contract"), ("t.c", "missing")]
     got = audits.run_all(spark, {"ok": lambda: audits.no_groups(df), "bad": lambda: audits.issues(df.select(F.raise_error(F.lit("why")).alias("k")), "x", "k", "m")}).collect()
     assert [r.audit for r in got] == ["bad"] and got[0].key == "bad"
+
+
+def test_optics_that_are_unknown_or_carry_nothing(spark):
+    links = spark.createDataFrame([("e", "u", "v", 100.0)], "edge_key string, u string, v string, capacity double")
+    roles = spark.createDataFrame([("u", "core"), ("v", "core")], "node string, role string")
+    parts = spark.createDataFrame([("good", 40.0), ("none", 0.0)], "name string, capacity double")
+    for optic, n in (("good", [3]), ("none", []), ("other", [])):
+        rules = spark.createDataFrame([("core|core", optic)], "pair string, optic string")
+        assert [r.n_modules for r in expand.assign_optics(links, roles, rules, parts).collect()] == n
+        if n:
+            assert expand.assign_optics(links, roles, rules, parts, check=True).count() == 1
+        else:
+            with pytest.raises(ValueError):
+                expand.assign_optics(links, roles, rules, parts, check=True)
