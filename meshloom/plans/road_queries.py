@@ -56,6 +56,10 @@ def _contracted_nodes(spark, d):
     return graph.contract_chains(road_graph(spark, d, 200.0)).select("a", "b", "nodes")
 
 
+def _chain_nodes(spark, d):
+    return _contracted_nodes(spark, d).withColumn("nodes", F.array_join("nodes", ">"))
+
+
 def _anchors(spark, d):
     nodes = roads.both_ways(road_edges(spark, d, 1000.0)).select((F.col("x") * 1000.0).alias("x"), (F.col("y") * 1000.0).alias("y")).distinct()
     m = inputs.metro_table(spark, d).withColumn("x", F.col("x") / 20).withColumn("y", F.col("y") / 20)
@@ -84,7 +88,7 @@ def _sssp(spark, d):
 QUERIES = {
     "road_edges": _road_edges, "road_class_counts": _class_counts, "node_degree": _node_degree, "degree_histogram": _degree_histogram,
     "components": _components, "component_sizes": _component_sizes, "largest_component": _largest, "sliver_filter": _slivers,
-    "fragmentation": _fragmentation, "contracted_edges": _contracted, "contracted_nodes": _contracted_nodes, "metro_anchor": _anchors,
+    "fragmentation": _fragmentation, "contracted_edges": _contracted, "contracted_nodes": _contracted_nodes, "chain_nodes": _chain_nodes, "metro_anchor": _anchors,
     "anchor_stats": _anchor_stats, "degree_rank": _degree_rank, "core_numbers": _core_numbers, "road_distances": _sssp,
 }
 
@@ -154,4 +158,24 @@ dist(node, dist) USING KEY (node) AS (
   SELECT e.v, min(d.dist + e.cost) FROM dist d JOIN e ON d.node = e.u LEFT JOIN recurring.dist r ON r.node = e.v
   WHERE r.dist IS NULL OR d.dist + e.cost < r.dist GROUP BY e.v)
 SELECT source, node, dist FROM dist, s""",
+    # a node's core is what repeated h-indices of its neighbours' values, from their degrees on, come down to
+    "core_numbers": f"""WITH RECURSIVE {roads_sql(1000)}{_NAMED},
+c(node, core) USING KEY (node) AS (
+  SELECT u, count(*) FROM sym GROUP BY u
+  UNION
+  SELECT o.node, x.h FROM (
+    SELECT u, max(least(core, r)) AS h FROM (
+      SELECT s.u, n.core, row_number() OVER (PARTITION BY s.u ORDER BY n.core DESC) AS r FROM sym s JOIN recurring.c n ON n.node = s.v) GROUP BY u) x
+  JOIN recurring.c o ON o.node = x.u WHERE x.h < o.core AND EXISTS (SELECT 1 FROM c))
+SELECT node, CAST(core AS INT) AS core FROM c""",
+    # from each node that stays, along degree-2 nodes to the next that does
+    "chain_nodes": f"""WITH RECURSIVE {roads_sql(200)}{_NAMED}, inner_ AS (SELECT u FROM sym GROUP BY u HAVING count(*) = 2),
+walk AS (
+  SELECT u AS a, u AS prev, v AS cur, [u, v] AS l, length_km AS km, 1 AS n FROM sym WHERE u NOT IN (FROM inner_)
+  UNION ALL
+  SELECT a, cur, s.v, list_append(l, s.v), km + s.length_km, n + 1 FROM walk w JOIN sym s ON s.u = w.cur AND s.v <> w.prev WHERE w.cur IN (FROM inner_)),
+every AS (
+  SELECT a, b, length_km AS km, 1 AS n, [a, b] AS l FROM g WHERE a NOT IN (FROM inner_) AND b NOT IN (FROM inner_)
+  UNION ALL SELECT a, cur, km, n, l FROM walk WHERE n > 1 AND cur NOT IN (FROM inner_) AND (a < cur OR (a = cur AND l[2] <= l[-2])))
+SELECT least(a, b) AS a, greatest(a, b) AS b, array_to_string(arg_min(l, (round(km, 6), n, l)), '>') AS nodes FROM every GROUP BY least(a, b), greatest(a, b)""",
 }

@@ -148,4 +148,5 @@ UNION ALL SELECT '^metro' || b_idx || '/dc' || b_dc || '/.*', '^metro' || a_idx
     "demand_stats": f"""WITH {DEMANDS} SELECT coalesce(priority, -1) AS priority, count(*) AS n, round(min(demand), 6) AS min_gbps, round(quantile_cont(demand, 0.5), 6) AS median_gbps,
   round(avg(demand), 6) AS mean_gbps, round(max(demand), 6) AS max_gbps FROM demands GROUP BY GROUPING SETS ((), (priority))""",
     "gravity_jitter": f"WITH {_ALL}, {_GRAVITY}, {_alloc('w')} SELECT priority, count(*) AS n, round(sum(gbps), 4) AS gbps FROM alloc GROUP BY priority",
+    "hose_margins": f"WITH {_ALL} SELECT CAST(s AS INT) AS sample, row_number() OVER (PARTITION BY s ORDER BY dc_pos) AS dc, round(mw * 10, 3) AS egress FROM dcs, range(1, 3) r(s)",
 }
