@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshloom.operators import graph, metros, roads
+from meshloom.operators import discover, graph, metros, roads
 from meshloom.plans import inputs
-from meshloom.plans.inputs import METROS, road_edges, road_graph, roads_sql
+from meshloom.plans.inputs import METROS, PAIRS, road_edges, road_graph, roads_sql
 
 KM = "round(length_km, 6) AS length_km"
 
@@ -66,6 +66,12 @@ def _anchors(spark, d):
     return metros.anchors(m, nodes, 30.0).select("metro_id", "ax", "ay", F.round("distance_km", 6).alias("distance_km"))
 
 
+def _road_corridors(spark, d):
+    anchors = _anchors(spark, d).select("metro_id", F.concat_ws("_", (F.col("ax") / 1000).cast("long"), (F.col("ay") / 1000).cast("long")).alias("node"))
+    found = discover.road_corridors(road_graph(spark, d, 1000.0), anchors, inputs.corridor_pairs(spark, d), max_km=100.0)
+    return found.select("metro_a", "metro_b", "path_index", F.round("length_km", 6).alias("length_km"))
+
+
 def _anchor_stats(spark, d):
     return metros.anchor_stats(_anchors(spark, d)).select("n", F.round("avg_km", 6).alias("avg_km"), "max_km")
 
@@ -89,7 +95,7 @@ QUERIES = {
     "road_edges": _road_edges, "road_class_counts": _class_counts, "node_degree": _node_degree, "degree_histogram": _degree_histogram,
     "components": _components, "component_sizes": _component_sizes, "largest_component": _largest, "sliver_filter": _slivers,
     "fragmentation": _fragmentation, "contracted_edges": _contracted, "contracted_nodes": _contracted_nodes, "chain_nodes": _chain_nodes, "metro_anchor": _anchors,
-    "anchor_stats": _anchor_stats, "degree_rank": _degree_rank, "core_numbers": _core_numbers, "road_distances": _sssp,
+    "anchor_stats": _anchor_stats, "road_corridors": _road_corridors, "degree_rank": _degree_rank, "core_numbers": _core_numbers, "road_distances": _sssp,
 }
 
 _NAMED = """, g AS (SELECT ax || '_' || ay AS a, bx || '_' || "by" AS b, length_km FROM edges),
@@ -178,4 +184,16 @@ every AS (
   SELECT a, b, length_km AS km, 1 AS n, [a, b] AS l FROM g WHERE a NOT IN (FROM inner_) AND b NOT IN (FROM inner_)
   UNION ALL SELECT a, cur, km, n, l FROM walk WHERE n > 1 AND cur NOT IN (FROM inner_) AND (a < cur OR (a = cur AND l[2] <= l[-2])))
 SELECT least(a, b) AS a, greatest(a, b) AS b, array_to_string(arg_min(l, (round(km, 6), n, l)), '>') AS nodes FROM every GROUP BY least(a, b), greatest(a, b)""",
+    "road_corridors": f"""WITH RECURSIVE {roads_sql(1000)}{_NAMED}, {PAIRS},
+places AS (SELECT DISTINCT u, CAST(split_part(u, '_', 1) AS BIGINT) * 1000.0::DOUBLE AS px, CAST(split_part(u, '_', 2) AS BIGINT) * 1000.0::DOUBLE AS py FROM sym),
+reach AS (
+  SELECT metro_id, u, px, py, sqrt((px - m.x / 20) * (px - m.x / 20) + (py - m.y / 20) * (py - m.y / 20)) / 1000 AS km FROM metros m, places),
+anchors AS (SELECT metro_id, u FROM (SELECT *, row_number() OVER (PARTITION BY metro_id ORDER BY km, px, py) AS r FROM reach WHERE km <= 30) WHERE r = 1),
+want AS (SELECT metro_a, metro_b, p.u AS na, q.u AS nb FROM direct JOIN anchors p ON p.metro_id = metro_a JOIN anchors q ON q.metro_id = metro_b WHERE p.u <> q.u),
+dist(source, node, km) USING KEY (source, node) AS (
+  SELECT DISTINCT na, na, 0::DOUBLE FROM want
+  UNION
+  SELECT d.source, e.v, min(d.km + e.length_km) FROM dist d JOIN sym e ON d.node = e.u LEFT JOIN recurring.dist r ON r.source = d.source AND r.node = e.v
+  WHERE r.km IS NULL OR d.km + e.length_km < r.km GROUP BY d.source, e.v)
+SELECT metro_a, metro_b, 0 AS path_index, round(km, 6) AS length_km FROM want JOIN dist ON source = na AND node = nb WHERE km <= 100""",
 }

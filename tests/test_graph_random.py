@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from meshloom.operators import graph
+from meshloom.operators import discover, graph
 
 EDGE = "a string, b string, length_km double"
 
@@ -84,3 +84,17 @@ def test_long_chains_rings_and_loops(spark):
     ring = got["r0", "r4"]
     assert ring.nodes == ["r0", "r1", "r2", "r3", "r4", "r5", "r6", "r7", "r8", "r0"] and (ring.length_km, ring.n_edges) == (18, 9)
     assert got["j", "j"].nodes == ["j", "l1", "l2", "j"] and got["j", "k"].nodes == ["j", "p", "k"] and got["k", "q"].n_edges == 1 and len(got) == 5
+
+
+def test_corridors_over_roads(spark):
+    roads = [("a", "x", 1.0), ("x", "y", 1.0), ("y", "b", 1.0), ("y", "z", 5.0), ("z", "c", 1.0), ("a", "b", 9.0)]
+    e = spark.createDataFrame(roads, EDGE)
+    anchors = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c"), ("4", "c")], "metro_id string, node string")
+    pairs = spark.createDataFrame([("1", "2"), ("1", "3"), ("3", "4"), ("2", "5")], "metro_a string, metro_b string")
+    paths = discover.road_corridors(e, anchors, pairs)
+    assert sorted((r.metro_a, r.metro_b, r.length_km, r.nodes) for r in paths.collect()) == [("1", "2", 3.0, ["a", "y", "b"]), ("1", "3", 8.0, ["a", "y", "c"])]
+    tags = {(r.a, r.b): [(t.metro_a, t.metro_b) for t in r.tags] for r in discover.tags(paths).collect()}
+    assert tags == {("a", "y"): [("1", "2"), ("1", "3")], ("b", "y"): [("1", "2")], ("c", "y"): [("1", "3")]}
+    assert [r.pos for r in discover.path_edges(paths).where("metro_b = '3'").orderBy("pos").collect()] == [0, 1]
+    with pytest.raises(ValueError):
+        discover.road_corridors(e, anchors, pairs, max_km=1.0, check=True)
