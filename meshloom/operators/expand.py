@@ -6,6 +6,9 @@ src_grp, dst_grp, pattern)``. Sites are ``(node, blueprint)``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -122,13 +125,43 @@ def site_view(site: str, devices: DataFrame, links: DataFrame) -> tuple[DataFram
     return devices.where(head("name")), links.where(head("a") & head("b"))
 
 
-def site_links(site_edges: DataFrame, devices: DataFrame, roles: list[str] | None = None) -> DataFrame:
+def apply_rules(devices: DataFrame, rules: DataFrame) -> DataFrame:
+    """``devices`` with ``attrs``, a map: their role, and what rules ``(pos, path, attribute, label)`` put on names that match ``path`` (a pattern), later ones over earlier.
+
+    A rule whose path begins with a site's plain name meets that site's devices alone; only
+    rules without one, which are few, meet all.
+    """
+    plain = F.regexp_extract("path", r"^\^([A-Za-z0-9_-]+/[A-Za-z0-9_-]+)/", 1)
+    placed = rules.withColumn("site", F.nullif(plain, F.lit("")))
+    near = devices.select("name", "site").join(placed.where("site IS NOT NULL"), "site")
+    loose = devices.select("name").join(F.broadcast(placed.where("site IS NULL").drop("site")), F.lit(True))
+    hit = near.select("name", "pos", "path", "attribute", "label").unionByName(loose).where("name RLIKE path")
+    last = hit.groupBy("name", "attribute").agg(F.max_by("label", "pos").alias("label"))
+    own = last.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "label"))).alias("_own"))
+    role = F.create_map(F.lit("role"), F.col("role"))
+    kept = F.map_filter(role, lambda k, v: ~F.coalesce(F.map_contains_key("_own", k), F.lit(False)))
+    return devices.join(own, "name", "left").withColumn("attrs", F.when(F.col("_own").isNull(), role).otherwise(F.map_concat(kept, "_own"))).drop("_own")
+
+
+def match(conditions: Sequence[tuple[str, str, str]], logic: str = "or", attrs: str = "attrs") -> Column:
+    """Whether a device's attributes meet conditions ``(attribute, "==" or "!=", value)``, any or all of them; without a condition all do."""
+    found = []
+    for name, op, value in conditions:
+        if op not in ("==", "!="):
+            raise ValueError(f"unknown operator {op}")
+        same = F.coalesce(F.element_at(attrs, F.lit(name)) == value, F.lit(False))
+        found.append(same if op == "==" else ~same)
+    return reduce(lambda a, b: a | b if logic == "or" else a & b, found) if found else F.lit(True)
+
+
+def site_links(site_edges: DataFrame, devices: DataFrame, roles: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """Device links ``(edge_key, a, b, cost)`` of site edges, one to one between the matching devices of both ends.
 
-    Devices match if their role is one of ``roles`` (any, without). They are numbered within
-    their site over all groups.
+    Devices match if their role is one of ``roles`` and they meet ``where``, as of :func:`match`
+    (any, without). They are numbered within their site over all groups.
     """
     d = devices if roles is None else devices.where(F.col("role").isin(*roles))
+    d = d if where is None else d.where(where)
     w = W.partitionBy("site")
     d = d.select("site", "name", F.row_number().over(w.orderBy("grp", "idx")).alias("k"), F.count("*").over(w).alias("n"))
     a = d.select(F.col("site").alias("u"), F.col("name").alias("a"), F.col("k").alias("i"), F.col("n").alias("na"))

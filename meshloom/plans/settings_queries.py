@@ -98,6 +98,29 @@ def _role_links(spark, d):
     return expand.site_links(edges, expand.nodes(pops.select("node", "blueprint"), groups), ["spine"]).select("edge_key", "a", "b")
 
 
+def _ruled(spark, d):
+    """Devices of all sites, of which the leaves of first sites are striped by rules, four a stripe."""
+    groups, _ = expand.blueprint_tables(spark)
+    pops = sites.nodes(inputs.metro_table(spark, d)).where("kind = 'pop'").withColumn("blueprint", F.lit("Clos_L16_S4"))
+    first = pops.where("ordinal = 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(16))))
+    rules = first.select(
+        F.lit(1).alias("pos"), F.concat(F.lit("^"), "node", F.lit("/[^/]+/leaf"), "i", F.lit("$")).alias("path"), F.lit("stripe_w4").alias("attribute"),
+        F.concat(F.lit("g"), F.floor((F.col("i") - 1) / 4) + 1).alias("label"),
+    )
+    every = spark.createDataFrame([(0, "/spine/", "plane", "top")], rules.schema)
+    return expand.apply_rules(expand.nodes(pops.select("node", "blueprint"), groups), rules.union(every))
+
+
+def _rule_devices(spark, d):
+    return _ruled(spark, d).select("name", *[F.coalesce(F.element_at("attrs", F.lit(c)), F.lit("-")).alias(c) for c in ("role", "stripe_w4", "plane")])
+
+
+def _matched_links(spark, d):
+    edges = sites.intra_metro_edges(inputs.metro_table(spark, d))
+    chosen = expand.match([("role", "==", "spine"), ("stripe_w4", "==", "g2")])
+    return expand.site_links(edges, _ruled(spark, d), where=chosen).select("edge_key", "a", "b")
+
+
 def _top_weights(spark, d):
     return traffic_queries._weights(spark, d).orderBy(F.desc("weight"), "a_pos", "b_pos").limit(10)
 
@@ -158,7 +181,7 @@ def _audit_stages(spark, d):
 QUERIES = {
     "metro_settings": _settings, "metro_link_settings": _link_settings, "settings_problems": _problems, "unknown_overrides": _unknown, "dc_stripes": _striped_dcs,
     "stripe_by_attribute": _by_attribute, "stripe_mismatch": _unmatched, "blueprint_section": _section, "metro_bounds": _bounds, "site_links_by_role": _role_links,
-    "top_weights": _top_weights, "value_formats": _formats, "node_hardware": _hardware, "audit_groups": _audit_groups, "audit_matrices": _audit_matrices,
+    "node_rules": _rule_devices, "matched_links": _matched_links, "top_weights": _top_weights, "value_formats": _formats, "node_hardware": _hardware, "audit_groups": _audit_groups, "audit_matrices": _audit_matrices,
     "audit_isolation_hint": _audit_hint, "audit_contract": _audit_contract, "audit_stages": _audit_stages,
 }
 
@@ -173,7 +196,17 @@ links AS (
 _LABELLED = """labelled AS (
   SELECT p_brand AS blueprint, 'leaf' || p_partkey AS device, p_partkey, 'plane' || (p_size // 10) AS stripe FROM part WHERE p_size % 2 = 0 AND NOT (p_size > 40 AND p_brand = 'Brand#3'))"""
 
+_RULED = f"""{site_queries._EDGES}, ruled AS (
+  SELECT node AS site, node || '/' || grp || '/' || grp || i AS name, grp AS role, grp AS grp, i, CASE WHEN grp = 'spine' THEN 'top' ELSE '-' END AS plane,
+    CASE WHEN grp = 'leaf' AND ends_with(node, '/pop1') THEN 'g' || ((i - 1) // 4 + 1) ELSE '-' END AS stripe_w4
+  FROM (SELECT 'metro' || metro_idx || '/pop' || o AS node FROM metros, LATERAL (SELECT unnest(range(1, pops + 1)) AS o)),
+    (SELECT 'leaf' AS grp, unnest(range(1, 17)) AS i UNION ALL SELECT 'spine', unnest(range(1, 5)))),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY grp, i) - 1 AS k, count(*) OVER (PARTITION BY site) AS n FROM ruled WHERE role = 'spine' OR stripe_w4 = 'g2')"""
+
 SQL = {
+    "node_rules": f"WITH {_RULED} SELECT name, role, stripe_w4, plane FROM ruled",
+    "matched_links": f"""WITH {_RULED} SELECT edge_key, a.name AS a, b.name AS b FROM site_edges JOIN chosen a ON a.site = u JOIN chosen b ON b.site = v
+WHERE link_type = 'intra_metro' AND CASE WHEN a.n >= b.n THEN a.k % b.n = b.k ELSE b.k % a.n = a.k END""",
     "metro_settings": f"""WITH {_SETTINGS} SELECT metro_idx, name, CAST(CASE o WHEN 'own' THEN 5 + k % 2 WHEN 'orig' THEN 7 ELSE 2 END AS INT) AS pops,
   CASE WHEN o = 'orig' THEN 'FullMesh4' ELSE 'SingleRouter' END AS site_blueprint, CAST(CASE WHEN o = 'own' THEN k % 4 ELSE 2 END AS INT) AS dcs,
   CASE WHEN o = 'own' THEN 'DCLarge' ELSE 'DCRegion' END AS dc_blueprint FROM picked""",

@@ -143,3 +143,18 @@ def test_optics_that_are_unknown_or_carry_nothing(spark):
         else:
             with pytest.raises(ValueError):
                 expand.assign_optics(links, roles, rules, parts, check=True)
+
+
+def test_rules_on_devices_and_conditions(spark):
+    d = spark.createDataFrame([("m1/p1/g/leaf1", "m1/p1", "leaf"), ("m1/p1/g/leaf11", "m1/p1", "leaf"), ("m1/p2/g/leaf1", "m1/p2", "spine")], "name string, site string, role string")
+    rules = spark.createDataFrame(
+        [(1, "^m1/p1/[^/]+/leaf1$", "s", "a"), (2, "^m1/p1/[^/]+/leaf1$", "s", "b"), (0, "^m1/p1/[^/]+/leaf1$", "s", "c"), (3, "/p2/", "role", "core"), (4, "nothing", "s", "x")],
+        "pos int, path string, attribute string, label string",
+    )
+    ruled = expand.apply_rules(d, rules)
+    assert {r.name: r.attrs for r in ruled.collect()} == {"m1/p1/g/leaf1": {"role": "leaf", "s": "b"}, "m1/p1/g/leaf11": {"role": "leaf"}, "m1/p2/g/leaf1": {"role": "core"}}
+    names = lambda *c, logic="or": sorted(r.name[3:] for r in ruled.where(expand.match(c, logic)).collect())
+    assert names(("role", "==", "core"), ("s", "==", "b")) == ["p1/g/leaf1", "p2/g/leaf1"] and names(("role", "==", "leaf"), ("s", "==", "b"), logic="and") == ["p1/g/leaf1"]
+    assert names(("s", "!=", "b")) == ["p1/g/leaf11", "p2/g/leaf1"] and len(names()) == 3
+    with pytest.raises(ValueError):
+        expand.match([("a", "~", "b")])
