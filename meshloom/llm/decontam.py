@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .wordhash import grams, words
+from .wordhash import grams, mix, words
 
 #: Items of up to so many words are one seed as a whole, and must occur as they are.
 SHORT = 3
@@ -31,6 +31,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.5
 #: Words of test items that are broadcast at once (40 bytes each). More items are taken in blocks, each against all texts.
 BLOCK_GRAMS = 1_000_000
+#: Low bits of an n-gram's hash that are looked up first.
+MAYBE_BITS = 22
 
 #: Punctuation beyond ASCII, which parts words as ASCII's does.
 _MARKS = re.compile("[\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u301f\uff01-\uff0f\uff1a-\uff20]")
@@ -62,7 +64,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
 
 def pairs(h: np.ndarray, step: int = 1) -> np.ndarray:
     """Hash of every word with the one ``step`` words on."""
-    return grams(np.stack([h[:-step], h[step:]], axis=1).ravel(), 2)[::2] if len(h) > step else np.zeros(0, np.uint64)
+    return mix(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:]) if len(h) > step else np.zeros(0, np.uint64)
 
 
 def need(n: int) -> int:
@@ -83,6 +85,8 @@ class Seeds:
         self.sizes = sorted({len(x) for x in items if len(x) <= SHORT})
         found = [np.unique(grams(x, len(x)) if len(x) <= SHORT else pairs(x), return_counts=True) for x in items]
         self.gram = np.unique(np.concatenate([g for g, _ in found]))
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)  # which low bits a known n-gram has, asked before the search
+        self.maybe[self.gram & np.uint64(len(self.maybe) - 1)] = True
         self.own = [np.searchsorted(self.gram, g) for g, _ in found]
         self.weight = [n for _, n in found]
         self.choose(np.zeros(len(self.gram), np.int64))
@@ -103,10 +107,13 @@ class Seeds:
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``w`` of all known n-grams, and their numbers."""
         every = [grams(w, n) for n in self.sizes] + [pairs(w, 1), pairs(w, 2)]
-        pos, g = np.concatenate([np.arange(len(x)) for x in every]), np.concatenate(every)
-        at = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
-        ok = self.gram[at] == g
-        return pos[ok], at[ok]
+        found = []
+        for g in every:
+            pos = np.flatnonzero(self.maybe[(g & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.gram, g[pos]), len(self.gram) - 1)
+            ok = self.gram[at] == g[pos]
+            found.append((pos[ok], at[ok]))
+        return np.concatenate([p for p, _ in found]), np.concatenate([a for _, a in found])
 
     def count(self, text: str | None) -> np.ndarray:
         """Numbers of the known n-grams in a text, once for each time that it has them."""
