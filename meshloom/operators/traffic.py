@@ -88,6 +88,16 @@ def gravity_weights(dcs: DataFrame, alpha: float = 1.0, beta: float = 1.0, min_k
     return pairs(dcs, min_km, exclude_same_metro).withColumn("weight", w).where("weight > 0")
 
 
+def explained(weighed: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """What each pair's weight is made of: both masses, the distance's factor, and the pair's share of all weight; for :func:`meshloom.sources.graph_json.write`."""
+    total = weighed.agg(F.sum("weight").alias("sum_weight"))
+    rows = weighed.join(F.broadcast(total), F.lit(True))  # one row
+    return rows.select(
+        "a_pos", "b_pos", F.pow("a_mw", F.lit(alpha)).alias("a_mass"), F.pow("b_mw", F.lit(alpha)).alias("b_mass"), "km",
+        (1 / F.pow("km", F.lit(beta))).alias("nearness"), "weight", (F.col("weight") / F.col("sum_weight")).alias("share"),
+    )
+
+
 def top_partners(weighed: DataFrame, k: int, by: str = "weight") -> DataFrame:
     """Pairs that are among the ``k`` heaviest of one of their ends; of equal ones, those of the lower position."""
     ends = F.array(F.struct(F.col("a_pos").alias("own"), F.col("b_pos").alias("other")), F.struct(F.col("b_pos").alias("own"), F.col("a_pos").alias("other")))

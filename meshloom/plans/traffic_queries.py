@@ -75,6 +75,12 @@ def _hose_margins(spark, d):
     return sums.select("sample", "dc", F.round("egress", 3).alias("egress"))
 
 
+def _explained(spark, d):
+    weighed = traffic.gravity_weights(inputs.dc_table(spark, d), 1.0, 1.5, MIN_KM)
+    rows = traffic.explained(weighed, 1.0, 1.5)
+    return rows.select("a_pos", "b_pos", "a_mass", "b_mass", *[F.round(c, 9).alias(c) for c in ("km", "nearness", "weight", "share")])
+
+
 def _jitter(spark, d):
     return _allocated(spark, d, 0.3).groupBy("priority").agg(F.count("*").alias("n"), F.round(F.sum("gbps"), 4).alias("gbps"))
 
@@ -82,7 +88,7 @@ def _jitter(spark, d):
 QUERIES = {
     "dc_power": _power, "offered_traffic": _offered, "gravity_weights": _weights, "gravity_topk": _top, "gravity_rounded": _rounded("nearest"),
     "gravity_rounded_floor": _rounded("floor"), "gravity_rounded_ceil": _rounded("ceil"), "gravity_demands": _demands, "gravity_plain": _plain,
-    "uniform_demands": _uniform, "demand_stats": _stats, "hose_demands": _hose, "hose_margins": _hose_margins, "gravity_jitter": _jitter,
+    "uniform_demands": _uniform, "demand_stats": _stats, "hose_demands": _hose, "hose_margins": _hose_margins, "gravity_jitter": _jitter, "traffic_explained": _explained,
 }
 
 _ALL = DCS + """, pairs AS (
@@ -149,4 +155,6 @@ UNION ALL SELECT '^metro' || b_idx || '/dc' || b_dc || '/.*', '^metro' || a_idx
   round(avg(demand), 6) AS mean_gbps, round(max(demand), 6) AS max_gbps FROM demands GROUP BY GROUPING SETS ((), (priority))""",
     "gravity_jitter": f"WITH {_ALL}, {_GRAVITY}, {_alloc('w')} SELECT priority, count(*) AS n, round(sum(gbps), 4) AS gbps FROM alloc GROUP BY priority",
     "hose_margins": f"WITH {_ALL} SELECT CAST(s AS INT) AS sample, row_number() OVER (PARTITION BY s ORDER BY dc_pos) AS dc, round(mw * 10, 3) AS egress FROM dcs, range(1, 3) r(s)",
+    "traffic_explained": f"""WITH {_ALL}, {_STEEP} SELECT a_pos, b_pos, a_mw AS a_mass, b_mw AS b_mass, round(km, 9) AS km, round(1 / pow(km, 1.5::DOUBLE), 9) AS nearness,
+  round(weight, 9) AS weight, round(weight / (SELECT sum(weight) FROM w), 9) AS share FROM w""",
 }

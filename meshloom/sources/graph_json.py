@@ -45,6 +45,15 @@ def write(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
 
 
+def site_tables(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The site graph as ``nodes`` with a text ``id`` and ``edges`` with ``source``, ``target`` and ``key``; other columns as they are."""
+    rest = [c for c in edges.columns if c not in ("u", "v", "edge_key")]
+    return {
+        "nodes": nodes.select(F.col("node").cast("string").alias("id"), *[c for c in nodes.columns if c not in ("node", "id")]),
+        "edges": edges.select(F.col("u").cast("string").alias("source"), F.col("v").cast("string").alias("target"), F.col("edge_key").alias("key"), *rest),
+    }
+
+
 def feature(x: Column, y: Column, *properties: str) -> Column:
     """A GeoJSON point feature as text."""
     return F.to_json(F.struct(

@@ -116,3 +116,12 @@ def test_stream_closes_windows_as_batch_counts(spark, data, tmp_path):
     events.run(events.windowed(events.read(spark, str(tmp_path / "in"))), out, str(tmp_path / "c")).awaitTermination(120)
     got = {(r.start, r.event_type): r.n for r in spark.read.parquet(out).collect()}
     assert got and all(batch[k] == n for k, n in got.items()) and len(got) >= len(batch) - 20
+
+
+def test_site_graph_keeps_parallel_edges(spark, tmp_path):
+    nodes = spark.createDataFrame([("metro1/pop1", "pop", 1.5), ("metro1/pop2", "pop", 2.5)], "node string, kind string, x double")
+    edges = spark.createDataFrame([("metro1/pop1", "metro1/pop2", "k1", 1), ("metro1/pop1", "metro1/pop2", "k2", 2)], "u string, v string, edge_key string, cost int")
+    graph_json.write(graph_json.site_tables(nodes, edges), str(tmp_path / "g"))
+    lines = [json.loads(x) for f in (tmp_path / "g" / "edges").glob("part-*") for x in f.read_text().splitlines()]
+    assert sorted((r["source"], r["target"], r["key"], r["cost"]) for r in lines) == [("metro1/pop1", "metro1/pop2", "k1", 1), ("metro1/pop1", "metro1/pop2", "k2", 2)]
+    assert {r.id for r in spark.read.json(str(tmp_path / "g" / "nodes")).collect()} == {"metro1/pop1", "metro1/pop2"}
