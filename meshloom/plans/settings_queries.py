@@ -98,6 +98,12 @@ def _role_links(spark, d):
     return expand.site_links(edges, expand.nodes(pops.select("node", "blueprint"), groups), ["spine"]).select("edge_key", "a", "b")
 
 
+def _scenario_links(spark, d):
+    found = scenario.links(site_queries._edges(spark, d), site_queries._per_link(spark, d))
+    named = [F.element_at("attrs", F.lit(c)).alias(c) for c in ("link_type", "adjacency_id", "source_metro", "target_metro")]
+    return found.select("source", "target", F.round("capacity", 6).alias("capacity"), "cost", *named)
+
+
 def _ruled(spark, d):
     """Devices of all sites, of which the leaves of first sites are striped by rules, four a stripe."""
     groups, _ = expand.blueprint_tables(spark)
@@ -181,7 +187,7 @@ def _audit_stages(spark, d):
 QUERIES = {
     "metro_settings": _settings, "metro_link_settings": _link_settings, "settings_problems": _problems, "unknown_overrides": _unknown, "dc_stripes": _striped_dcs,
     "stripe_by_attribute": _by_attribute, "stripe_mismatch": _unmatched, "blueprint_section": _section, "metro_bounds": _bounds, "site_links_by_role": _role_links,
-    "node_rules": _rule_devices, "matched_links": _matched_links, "top_weights": _top_weights, "value_formats": _formats, "node_hardware": _hardware, "audit_groups": _audit_groups, "audit_matrices": _audit_matrices,
+    "scenario_links": _scenario_links, "node_rules": _rule_devices, "matched_links": _matched_links, "top_weights": _top_weights, "value_formats": _formats, "node_hardware": _hardware, "audit_groups": _audit_groups, "audit_matrices": _audit_matrices,
     "audit_isolation_hint": _audit_hint, "audit_contract": _audit_contract, "audit_stages": _audit_stages,
 }
 
@@ -204,6 +210,8 @@ _RULED = f"""{site_queries._EDGES}, ruled AS (
 chosen AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY grp, i) - 1 AS k, count(*) OVER (PARTITION BY site) AS n FROM ruled WHERE role = 'spine' OR stripe_w4 = 'g2')"""
 
 SQL = {
+    "scenario_links": f"""WITH {site_queries._EXPANDED} SELECT u AS source, v AS target, round(base_capacity / n_links, 6) AS capacity, cost, link_type, adjacency_id, source_metro, target_metro
+FROM site_edges JOIN counts USING (edge_key) WHERE n_links > 0""",
     "node_rules": f"WITH {_RULED} SELECT name, role, stripe_w4, plane FROM ruled",
     "matched_links": f"""WITH {_RULED} SELECT edge_key, a.name AS a, b.name AS b FROM site_edges JOIN chosen a ON a.site = u JOIN chosen b ON b.site = v
 WHERE link_type = 'intra_metro' AND CASE WHEN a.n >= b.n THEN a.k % b.n = b.k ELSE b.k % a.n = a.k END""",
