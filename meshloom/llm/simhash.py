@@ -186,7 +186,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     """
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # few and small as they are, the fingerprints are dealt over all tasks, as each gives 64 keys
-    keys = variant_keys(fps.select("fp").where("fp IS NOT NULL").distinct().repartition(n, "fp"))
+    keys = variant_keys(fps.select("fp").where("fp IS NOT NULL").distinct().repartition(n, F.xxhash64("fp")))
     dealt = keys.repartition(n, "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_link_batches, "a long, b long")
 
