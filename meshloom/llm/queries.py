@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hmm, htmltext, langid, mixing, quality, secrets, simhash, toxicity, urlfilter
+from . import alignment, bytebpe, decontam, hmm, htmltext, langid, mixing, quality, secrets, simhash, toxicity, urlfilter, whitening
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,11 +64,27 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.train(secrets.samples(docs))))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document, and of the bytes that they decode to."""
+    return bytebpe.digest(bytebpe.decode(bytebpe.encode(read_table(spark, sf_dir, "documents"))))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document."""
+    return alignment.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     """Name to function of (spark, sf_dir)."""
     found = (
         op1_simhash_dedup, op2_quality_rules, op3_mix_sources, op4_language_id, op5_decontamination,
         op6_lm_scores, op7_toxicity, op8_html_text, op9_url_filters, op10_secret_scans,
+        op11_byte_bpe, op12_token_alignment, op13_whitening,
     )
     return {f.__name__: f for f in found}
 

@@ -28,13 +28,16 @@ def edge_dir(spark, tmp_path_factory):
     spark.createDataFrame([(1, "http://a.org/x", "<p>x, y.</p>"), (1, "http://a.org/x", "<p>x, y.</p>"), (2, None, None), (None, "", ""), (3, "a://B.com/de/é?", "<" * 50_000)],
                           "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame([(1, "same text here again"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    vectors = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [0.5, -1.0]), (2, None), (3, []), (4, [None, 1.0]), (5, [float("nan"), 0.0]), (6, [1.0]), (7, [-3.0, 0.25])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    frame.select("*", *[F.lit("x").alias(c) for c in ("id", "v", "cell", "n", "component", "n.o")]).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, edge_dir, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         spark.read.parquet(f"{edge_dir}/{t}.parquet").where("false").write.parquet(f"{folder}/{t}.parquet")
     return folder
 
@@ -44,6 +47,8 @@ def test_odd_rows(name, spark, edge_dir):
     got = queries.queries()[name](spark, edge_dir).collect()
     if name == "op5_decontamination":
         assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(4, 1, 1.0), (5, 1, 1.0)]
+    elif name == "op13_whitening":
+        assert sorted((r.vec_id or 0, r.component, r.n) for r in got) == sorted((i, c, 4) for i in (0, 1, 1, 7) for c in (1, 2))
     else:
         table = "pages" if name.startswith(("op8", "op9")) else "documents"
         assert len(got) == spark.read.parquet(f"{edge_dir}/{table}.parquet").count()
