@@ -82,9 +82,9 @@ class Numbers(defaultdict):
 
 
 def distinct_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunk table of the pre-tokens of every text, written; packs hold ``words``."""
+    """Chunk table of the pre-tokens of every text, written; packs hold ``words`` and their ``lengths``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts, of = chunks.parts_of(rows), chunks.schema(rows.schema["id"].dataType, "", "words array<string>")
+    parts, of = chunks.parts_of(rows), chunks.schema(rows.schema["id"].dataType, "", "words binary, lengths binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = chunks._arrow(of)
@@ -93,9 +93,9 @@ def distinct_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             codes = [chunks.squeeze(numbers.of(pretokens(x))) for x in texts]
             words = list(numbers)
             part = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % parts
-            made = [(chunks.DOC, i, c, None, None) for i, c in zip(ids, codes)]
-            made.append((chunks.DEAL, None, chunks.squeeze(part), None, None))
-            made += [(chunks.PACK, None, None, p, [words[k] for k in at.tolist()]) for p, at in chunks.deal(part)]
+            made = [(chunks.DOC, i, c, None, None, None) for i, c in zip(ids, codes)]
+            made.append((chunks.DEAL, None, chunks.squeeze(part), None, None, None))
+            made += [(chunks.PACK, None, None, p, *chunks.squeeze_words([words[k] for k in at.tolist()])) for p, at in chunks.deal(part)]
             columns = [pa.array(c, t) for c, t in zip(zip(*made), arrow.types[1:])]
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(made), arrow.types[0]), *columns], schema=arrow)
 
@@ -107,16 +107,17 @@ def encode_packs(table: DataFrame, path: str | None = None) -> DataFrame:
 
     All packs of a part meet in one task, part after part, so a distinct word is encoded once.
     """
-    packs = table.where(f"kind = {chunks.PACK}").select("chunk", "part", "words").repartition("part").sortWithinPartitions("part")
+    packs = table.where(f"kind = {chunks.PACK}").select("chunk", "part", "words", "lengths").repartition("part").sortWithinPartitions("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(path or ranks_path()).encode_ordinary
         known, now = {}, None
         for batch in batches:
             sizes, ids = [], []
-            for part, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for part, data, lengths in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 if part != now:
                     known, now = {}, part
+                words = chunks.loosen_words(data, lengths)
                 for w in words:
                     if w not in known:
                         known[w] = encode(w)

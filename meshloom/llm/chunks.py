@@ -44,6 +44,18 @@ def loosen(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), dtype="<u4")
 
 
+def squeeze_words(words: list[str]) -> tuple[bytes, bytes]:
+    """Texts as compressed bytes, one after another, and their numbers of bytes."""
+    data = [w.encode() for w in words]
+    return zstandard.compress(b"".join(data), 3), squeeze(np.fromiter(map(len, data), np.uint32, len(data)))
+
+
+def loosen_words(data: bytes, sizes: bytes) -> list[str]:
+    """What :func:`squeeze_words` was given."""
+    whole, ends = zstandard.decompress(data), np.cumsum(loosen(sizes)).tolist()
+    return [whole[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def parts_of(docs: DataFrame) -> int:
     """How many parts the values of ``docs`` are dealt to: in proportion to its partitions."""
     return PARTS * max(docs.rdd.getNumPartitions(), 4)
