@@ -32,10 +32,12 @@ from .bytebpe import Numbers, pretokens
 
 #: Files in the folder of public tokenizers.
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Characters of a chunk, which is a batch here.
+BATCH = 2_000_000
 #: Bytes of which ends are counted at once, so that memory is bounded for the longest texts.
-WINDOW = 1 << 23
+WINDOW = 1 << 20
 #: Distinct pre-tokens of which a task remembers the ids.
-KNOWN = 1_000_000
+KNOWN = 400_000
 DOC_COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
 
@@ -216,7 +218,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = chunks._arrow(of)
-        for chunk, ids, texts in chunks.slices(batches):
+        for chunk, ids, texts in chunks.slices(batches, BATCH):
             got = batch(texts, a, b)
             pairs, number, count = np.unique(got["pairs"], return_inverse=True, return_counts=True)
             rank = np.empty(len(pairs), np.int64)  # frequent pairs get small numbers, which take less room

@@ -67,11 +67,12 @@ def schema(id_type: T.DataType, doc: str, pack: str) -> T.StructType:
     return T.StructType([*fixed[:2], T.StructField("id", id_type), *fixed[2:], *T.StructType.fromDDL(f"{doc}, {pack}" if doc else pack).fields])
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[int, list, list[str]]]:
     """``(chunk, ids, texts)`` of whole documents, from batches of an id and a text; a null text is empty.
 
-    Chunk numbers differ between tasks.
+    Chunk numbers differ between tasks. ``most``: characters of a chunk, CHUNK if None.
     """
+    most = most or CHUNK
     first = TaskContext.get().partitionId() << 32
     n, size, ids, texts = 0, 0, [], []
     for batch in batches:
@@ -79,7 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[
             ids.append(i)
             texts.append(text.as_py() or "")
             size += len(texts[-1])
-            if size >= CHUNK:
+            if size >= most:
                 yield first + n, ids, texts
                 n, size, ids, texts = n + 1, 0, [], []
     if ids:
