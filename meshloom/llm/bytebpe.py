@@ -20,7 +20,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -31,6 +30,8 @@ from . import chunks
 
 #: File of ranks, in the folder of public tokenizers.
 RANKS = "byte_bpe_50k.tiktoken"
+#: Ids that are decoded at once, or those of one row.
+AT_ONCE = 1 << 18
 #: Texts of more characters are split one match at a time.
 LONG = 4_000_000
 
@@ -165,22 +166,28 @@ def decode(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", path:
     of = T.StructType([f for f in encoded.schema if f.name != to] + [T.StructField(to, T.BinaryType())])
     rows = encoded.select(*[F.col(f"`{f.name}`") for f in of if f.name != to])
 
+    def joined(batch: pa.RecordBatch, table: pa.LargeBinaryArray) -> pa.RecordBatch:
+        ids = batch.column(batch.schema.get_field_index(ids_col))
+        flat, ends = ids.flatten(), np.cumsum(np.r_[0, ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)]).tolist()
+        known = flat.fill_null(-1).to_numpy().astype(np.int64)
+        fits = (known >= 0) & (known < len(table))
+        found = table.take(pa.array(np.where(fits, known, 0)))
+        at = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1]
+        data = memoryview(found.buffers()[2] or b"")
+        lost = np.cumsum(np.r_[0, ~fits | ~found.is_valid().to_numpy(zero_copy_only=False)])
+        out = [None if null or lost[b] > lost[a] else bytes(data[at[a] : at[b]]) for a, b, null in zip(ends[:-1], ends[1:], ids.is_null().to_pylist())]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=of.fieldNames())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path or ranks_path())
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            flat, ends = ids.flatten(), np.cumsum(np.r_[0, np.asarray(pc.fill_null(pc.list_value_length(ids), 0))])
-            known = flat.to_numpy(zero_copy_only=False).astype(float)
-            fits = (known >= 0) & (known < len(table))  # a null is not a number, and fits nowhere
-            joined = table.take(pa.array(np.where(fits, known, 0).astype(np.int64)))
-            at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
-            data = memoryview(joined.buffers()[2] or b"")
-            lost = np.cumsum(np.r_[0, ~fits | ~joined.is_valid().to_numpy(zero_copy_only=False)])
-            out = [
-                None if null or lost[b] > lost[a] else bytes(data[at[a] : at[b]])
-                for a, b, null in zip(ends[:-1], ends[1:], ids.is_null().to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=of.fieldNames())
+            sizes = batch.column(batch.schema.get_field_index(ids_col)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            part = (np.cumsum(sizes) // AT_ONCE).tolist()
+            first = 0
+            for k in range(1, len(part) + 1):
+                if k == len(part) or part[k] != part[first]:
+                    yield joined(batch.slice(first, k - first), table)
+                    first = k
 
     return rows.mapInArrow(run, of)
 
