@@ -7,8 +7,10 @@ import struct
 import zipfile
 
 import numpy as np
+import pytest
 import yaml
 
+from meshloom import config, run, stages
 from meshloom.__main__ import main
 
 PRJ = 'GEOGCS["GCS_North_American_1983",DATUM["D_North_American_1983"]]'
@@ -38,19 +40,24 @@ def square(x: float, y: float, half: float) -> list[tuple]:
     return [(x - half, y - half), (x - half, y + half), (x + half, y + half), (x + half, y - half), (x - half, y - half)]
 
 
-def test_build_and_info(spark, tmp_path, capsys):
+def given_files(tmp_path) -> dict:
+    """A configuration of three towns in reach and one beyond the boundary, and its files."""
     towns = {"Ash, KS": (-98.0, 38.0), "Beech Town": (-97.0, 38.0), "Cedar": (-97.0, 39.0), "Far": (-60.0, 38.0)}
     areas = [((f"{k:05d}", name, str(90_000_000 - k)), square(*at, 0.02)) for k, (name, at) in enumerate(towns.items())]
     line = lambda p, q: [(p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t) for t in np.linspace(0, 1, 9)]
     ash, beech, cedar = list(towns.values())[:3]
     lines = [(("S1100",), line(ash, beech)), (("S1200",), line(beech, cedar)), (("S1400",), line(ash, cedar))]
-    given = {
+    return {
         "data_sources": {
             "tiger_roads": archive(tmp_path / "roads.zip", 3, ["MTFCC"], lines), "uac_polygons": archive(tmp_path / "areas.zip", 5, ["UACE20", "NAME20", "ALAND20"], areas),
             "conus_boundary": archive(tmp_path / "states.zip", 5, ["STATEFP"], [(("20",), square(-98.0, 38.0, 5.0)), (("02",), square(-60.0, 38.0, 5.0))]),
         },
         "clustering": {"metro_clusters": 3}, "corridors": {"k_nearest": 2},
     }
+
+
+def test_build_and_info(spark, tmp_path, capsys):
+    given = given_files(tmp_path)
     path, out = tmp_path / "config.yml", tmp_path / "out"
     path.write_text(yaml.safe_dump(given))
     assert main(["build", str(path), "-o", str(out)], spark) == 0
@@ -65,5 +72,63 @@ def test_build_and_info(spark, tmp_path, capsys):
     assert main(["info", str(path)], spark) == 0 and yaml.safe_load(capsys.readouterr().out)["corridors"]["k_nearest"] == 2
     path.write_text(yaml.safe_dump({**given, "highway_processing": {"highway_classes": ["S9999"]}}))
     assert main(["build", str(path), "-o", str(out)], spark) == 1
+    path.write_text(yaml.safe_dump({**given, "corridors": {"k_nearest": 1}}))
+    capsys.readouterr()
+    assert main(["build", str(path), "-o", str(out)], spark) == 0
+    out_text = capsys.readouterr().out
+    assert "metros: 3 rows, as they were" in out_text and "corridors: 1 rows\n" in out_text
     path.write_text("typo: 1")
     assert main(["build", str(path), "-o", str(out)], spark) == 2 and main(["info", str(tmp_path / "none.yml")], spark) == 2
+
+
+def test_only_what_follows_from_a_change_is_made_again(spark, tmp_path, monkeypatch):
+    given, out = config.resolve(given_files(tmp_path)), str(tmp_path / "out")
+    monkeypatch.setattr(run, "STAGES", tuple(s._replace(make=lambda *a: spark.range(1)) for s in run.STAGES))  # only the order counts here
+    every = [s.name for s in run.STAGES]
+    assert run.build(spark, given, out)[1] == every and run.build(spark, given, out)[1] == []
+    nearer = {**given, "corridors": {**given["corridors"], "k_nearest": 1}}
+    assert run.build(spark, nearer, out)[1] == ["corridors", "corridor_edges"]
+    areas = tmp_path / "areas.zip"
+    areas.write_bytes(areas.read_bytes() + b" ")  # other content of one file
+    assert run.build(spark, nearer, out)[1] == ["metros", "anchors", "corridors", "corridor_edges"]
+    assert run.build(spark, nearer, out, force=True)[1] == every
+    whole, lost = run.STAGES, tuple(s._replace(make=lambda *a: 1 / 0) if s.name == "corridors" else s for s in run.STAGES)
+    monkeypatch.setattr(run, "STAGES", lost)
+    with pytest.raises(ZeroDivisionError):
+        run.build(spark, given, out)
+    monkeypatch.setattr(run, "STAGES", whole)
+    assert run.build(spark, given, out)[1] == ["corridors", "corridor_edges"]  # goes on after the last whole stage
+    monkeypatch.setattr(stages.inspect, "getsource", lambda module: f"other {module.__name__}" if module is run.discover else "same")
+    run.build(spark, given, out)
+    monkeypatch.setattr(stages.inspect, "getsource", lambda module: "new" if module is run.discover else "same")
+    assert run.build(spark, given, out)[1] == ["corridors", "corridor_edges"]
+
+
+def test_batch(spark, tmp_path, capsys):
+    given, configs, out = given_files(tmp_path), tmp_path / "configs", tmp_path / "all"
+    configs.mkdir()
+    (configs / "small_a.yml").write_text(yaml.safe_dump(given))
+    (configs / "small_b.yaml").write_text("typo: 1")
+    (configs / "large.yml").write_text(yaml.safe_dump({**given, "highway_processing": {"highway_classes": ["S9999"]}}))
+    (configs / "notes.txt").write_text("no configuration")
+    assert main(["batch", str(configs), str(out), "--exclude", "*_b*", "--include", "small_*"], spark) == 0
+    assert capsys.readouterr().out == "small_a.yml: ok, made roads, metros, anchors, corridors, corridor_edges\n"
+    assert main(["batch", str(configs), str(out)], spark) == 1
+    lines = capsys.readouterr().out.splitlines()
+    assert [x.split(",")[0] for x in lines] == ["large.yml: failed", "small_a.yml: ok", "small_b.yaml: config"] and lines[1].endswith("made nothing")
+    assert main(["batch", str(tmp_path / "none"), str(out)], spark) == 1
+
+
+def test_validate(spark, tmp_path, capsys):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.yml").write_text("seed: 1\nnetwork: {nodes: {}}\n")
+    (docs / "b.json").write_text('{"seed": "x"}')
+    (docs / "c.yml").write_text("a: [1")
+    rules = tmp_path / "rules.json"
+    rules.write_text('{"type": "object", "required": ["network"], "properties": {"seed": {"type": "integer"}}}')
+    assert main(["validate", str(docs), "--schema", str(rules)], spark) == 3
+    lines = capsys.readouterr().out.splitlines()
+    assert [x.split("/")[-1] for x in lines[:-1]] == ["b.json $ required: network is missing", "b.json $.seed type: not integer", "c.yml $ json: no JSON"] and lines[-1] == "3 issues"
+    assert main(["validate", str(docs / "a.yml"), "--schema", str(rules)], spark) == 0
+    assert main(["validate", str(docs), "--schema", str(docs / "none")], spark) == 1
