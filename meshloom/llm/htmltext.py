@@ -2,11 +2,11 @@
 
 A page is read as a run of text blocks, each under a path of tags from the root to the block.
 For each path, text and punctuation outside links are added up and divided by the number of
-its blocks. The two ratios are smoothed over neighbouring blocks, fused, and lowered by the
-share of link text and by boilerplate tags and names on the way to the block. Blocks over
-the threshold are the core, which grows over neighbours that score enough. The deepest
-element around them is the content node: what lies in it between them is main text, however
-short, unless lowered by a name; if it is an article's element, so is the rest of it.
+its blocks. The two ratios are smoothed over neighbouring blocks and fused; boilerplate tags
+and names on the way to a block lower its score. Blocks over the threshold are content. The
+deepest element with most of their text is the content node: what stands there beside
+content is main text too, however short, unless it is lowered or is a box of links, and so
+is what stands in a row with the node in plain paragraphs and headings.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,15 +41,18 @@ SELDOM = frozenset("form header".split())
 #: Elements that hold the article, whatever their names say.
 MAIN = frozenset("main article".split())
 ROOT = frozenset("html head body".split())
-#: Nouns at the end of a class, id or role that name boilerplate, notices and readers' comments.
+#: Elements of running text, which stand for themselves beside content; others are boxes.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption details summary address".split())
+#: Nouns at the end of a class, id or role that name boilerplate, notices and readers' comments, and those that do so wherever they stand.
 NOUNS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer"
     " sidebar aside widget widgets related recommended share sharing social comment comments commentlist disqus replies notice notices cookie cookies consent gdpr"
-    " popup modal overlay newsletter subscribe signup login search form copyright complementary contentinfo alert dialog alertdialog".split()
+    " popup modal overlay newsletter subscribe signup login search form copyright complementary contentinfo alert dialog alertdialog respond".split()
 )
+ANYWHERE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments share sharing".split())
 #: Words that may follow such a noun, and words before it that say that something is only there, or isn't.
 PARTS = frozenset("list area section box container wrapper wrap block slot unit bar banner links left right top bottom inner outer items item panel body holder".split())
-MODIFIERS = frozenset("no not without with has have is show hide non".split())
+MODIFIERS = frozenset("no not without with has have is show hide non free".split())
 
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
@@ -62,10 +66,10 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 COPYRIGHT = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 #: Neighbours on each side over which ratios are smoothed.
 REACH = 2
-#: Shares of the best score that make a block core, and that add a neighbour to it.
-CUT, EDGE = 0.45, 0.25
-#: Factor on a score for each tag or name that speaks against main text, and the score that a block so lowered needs.
-LOWER, LEAST = 0.001, 0.008
+#: Share of the best score that makes a path content, and share of its text that the content node holds.
+CUT, HOLD = 0.45, 0.8
+#: Factor on a score for a tag or name that speaks against main text, and the score that a form or header needs to be content all the same.
+LOWER, LEAST = 0.001, 0.012
 
 
 @dataclass
@@ -85,9 +89,10 @@ class Page:
 def _named(value: str) -> bool:
     """Whether one name of a class, id or role means boilerplate."""
     words = re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().strip("-_"))
-    if MODIFIERS.intersection(words):
+    words = [w for w in words if not re.fullmatch(r"\d+(?:x\d+)?", w)]
+    if not words or MODIFIERS.intersection(words):
         return False
-    return words[-1] in NOUNS or (words[0] in NOUNS and PARTS.issuperset(words[1:]))
+    return words[-1] in NOUNS or (words[0] in NOUNS and PARTS.issuperset(words[1:])) or not ANYWHERE.isdisjoint(words)
 
 
 def _weight(tag: str, attributes: str, inside_main: bool) -> float:
@@ -95,14 +100,17 @@ def _weight(tag: str, attributes: str, inside_main: bool) -> float:
     if tag in NEVER:
         return 0.0
     names = [x for a in ATTRIBUTE.findall(attributes) for x in "".join(a[1:]).split()] if "=" in attributes else []
-    against = (tag in SELDOM and not (tag == "header" and inside_main)) + (tag not in MAIN and any(map(_named, names)))
-    return LOWER**against
+    if tag == "form":  # its names say what it is anyhow
+        return LOWER
+    return LOWER if (tag in SELDOM and not inside_main) or (tag not in MAIN and any(map(_named, names))) else 1.0
 
 
 def read(page: str) -> Page:
     """Elements and blocks of a page. References are decoded, and white space is one space within a block."""
     out, known = Page(), {}
     path = [0]
+    opened: dict[str, list[int]] = {}  # depths of the open elements of a name, and of all that hold groups
+    holders: list[int] = []
     parts: list[str] = []
     linked, link, at = 0, 0, 0  # link: depth of the open link's place, and one more
 
@@ -126,6 +134,10 @@ def read(page: str) -> Page:
 
     def close(depth: int) -> None:
         nonlocal link
+        for k in range(len(path) - 1, depth - 1, -1):
+            opened[out.tag[path[k]]].pop()
+        while holders and holders[-1] >= depth:
+            holders.pop()
         del path[depth:]
         if link > len(path):
             link = 0
@@ -152,19 +164,16 @@ def read(page: str) -> Page:
         if name in VOID:
             continue
         if m[1]:
-            for depth in range(len(path) - 1, 0, -1):
-                if out.tag[path[depth]] == name:
-                    close(depth)
-                    break
+            if opened.get(name):
+                close(opened[name][-1])
             continue
         if out.tag[path[-1]] == "p":
             close(len(path) - 1)
-        for depth in range(len(path) - 1, 0, -1) if name in ENDED else ():
-            tag = out.tag[path[depth]]
-            if tag in HOLDERS:
-                break
-            if tag in ENDED[name]:
-                close(depth)
+        if name in ENDED:  # the outermost of the group that is still within the same holder
+            above = holders[-1] if holders else 0
+            own = [depths[k] for tag in ENDED[name] if (depths := opened.get(tag)) and (k := bisect_right(depths, above)) < len(depths)]
+            if own:
+                close(min(own))
         above, own = path[-1], len(out.tag)
         names = " ".join(sorted(x for a in ATTRIBUTE.findall(m[3]) for x in "".join(a[1:]).split())) if "=" in m[3] else ""
         out.parent.append(above)
@@ -172,6 +181,9 @@ def read(page: str) -> Page:
         out.path.append(known.setdefault((out.path[above], name, names), len(known) + 1))
         out.weight.append(1.0 if name == "main" else out.weight[above] * _weight(name, m[3], out.main[above] > 0))
         out.main.append(out.main[above] or (own if name in MAIN else 0))
+        opened.setdefault(name, []).append(len(path))
+        if name in HOLDERS:
+            holders.append(len(path))
         path.append(own)
     add(page[at:])
     flush()
@@ -193,44 +205,80 @@ def path_scores(page: Page) -> list[float]:
     out = [0.0] * len(page.text)
     open_ = [i for i, owner in enumerate(page.owner) if page.weight[owner]]
     of = [sums[page.path[page.owner[i]]] for i in open_]
-    ratios = [(math.log2(1 + s[1] / s[0]), math.log2(1 + s[2] / s[0])) for s in of]
     for at, (i, s) in enumerate(zip(open_, of)):
         size = chars = points = 0.0
         for k in range(max(at - REACH, 0), min(at + REACH + 1, len(of))):
             w = 1 / (1 + abs(k - at))
-            size, chars, points = size + w, chars + w * ratios[k][0], points + w * ratios[k][1]
+            size, chars, points = size + w, chars + w * of[k][1] / of[k][0], points + w * of[k][2] / of[k][0]
         plain = s[1] / s[3] * (1 - page.linked[i] / len(page.text[i]))
         against = LOWER if COPYRIGHT.match(page.text[i]) else 1.0
-        out[i] = (chars + points) / size * plain * page.weight[page.owner[i]] * against
+        out[i] = math.sqrt(chars / size * (1 + points / size)) * plain * page.weight[page.owner[i]] * against
     return out
 
 
 def content(page: Page, scores: list[float]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    best = max(scores, default=0.0)
-    weight = [page.weight[owner] for owner in page.owner]
-    core = [i for i, s in enumerate(scores) if s > 0 and s >= CUT * best and (weight[i] == 1.0 or s >= LEAST)]
-    if not core:
-        return [False] * len(scores)
-    low, high = core[0], core[-1]
-    while low and scores[low - 1] >= EDGE * best:
-        low -= 1
-    while high + 1 < len(scores) and scores[high + 1] >= EDGE * best:
-        high += 1
-    # elements are numbered in page order, so the element around a run of blocks is that around two of them
-    run = [page.owner[i] for i in range(low, high + 1) if scores[i] >= EDGE * best]
-    a, b = min(run), max(run)
-    while a != b:
-        a, b = (a, page.parent[b]) if b > a else (page.parent[a], b)
-    node = page.main[a] or a
-    inside = [k == node for k in range(len(page.tag))]
-    for k in range(node + 1, len(page.tag)):
-        inside[k] = inside[page.parent[k]]
-    among = set(core)
-    return [
-        i in among or (inside[owner] and w >= page.weight[node] and (page.main[node] > 0 or low <= i <= high))
-        for i, (owner, w) in enumerate(zip(page.owner, weight))
-    ]
+    best, weight = max(scores, default=0.0), [page.weight[owner] for owner in page.owner]
+    core = [s > 0 and s >= CUT * best and (w == 1.0 or (s >= LEAST and _only_seldom(page, o))) for s, w, o in zip(scores, weight, page.owner)]
+    if not any(core):
+        # text in links alone is main text only where an element says so
+        return [w == 1.0 and page.main[o] > 0 and not COPYRIGHT.match(t) for w, o, t in zip(weight, page.owner, page.text)]
+    # text of content, all text and link text of each element; a parent stands before what it holds
+    held, whole, linked = [0] * len(page.tag), [0] * len(page.tag), [0] * len(page.tag)
+    for text, n, owner, yes in zip(page.text, page.linked, page.owner, core):
+        held[owner] += (len(text) - n) * yes
+        whole[owner] += len(text)
+        linked[owner] += n
+    for k in range(len(page.tag) - 1, 0, -1):
+        for sums in (held, whole, linked):
+            sums[page.parent[k]] += sums[k]
+    # elements with that much text of content lie in each other; the last is the deepest
+    node = max(k for k in range(len(page.tag)) if held[k] >= HOLD * held[0])
+    node = page.main[node] or node
+    inside, around, box = [False] * len(page.tag), {0}, [0] * len(page.tag)
+    inside[node] = True
+    up = node
+    while up:
+        up = page.parent[up]
+        around.add(up)
+    for k in range(1, len(page.tag)):
+        inside[k] = inside[k] or inside[page.parent[k]]
+        box[k] = box[page.parent[k]] if page.tag[k] in PROSE else k
+    low, high = core.index(True), len(core) - 1 - core[::-1].index(True)
+    keep = []
+    for i, (owner, w) in enumerate(zip(page.owner, weight)):
+        links = 2 * page.linked[i] > len(page.text[i])
+        if core[i]:
+            ok = w >= page.weight[node]
+        elif not inside[owner] or w < page.weight[node]:
+            ok = False
+        elif node == 0:  # the page itself: menus stand there as well
+            ok = (held[box[owner]] > 0 and not links) or (low <= i <= high and 2 * linked[box[owner]] <= whole[box[owner]])
+        else:
+            ok = box[owner] == node or held[box[owner]] > 0 or page.tag[owner] in PROSE or 2 * linked[box[owner]] <= whole[box[owner]]
+        keep.append(ok)
+    # on from the node, as long as text stands in a row with it or what it is in
+    beside = [box[o] in around and not inside[o] and w == page.weight[node] and 2 * n <= len(t) and page.tag[o] in PROSE and not COPYRIGHT.match(t)
+              for o, w, n, t in zip(page.owner, weight, page.linked, page.text)]
+    own = [i for i, yes in enumerate(keep) if yes]
+    for at, step in ((own[0] - 1, -1), (own[-1] + 1, 1)) if own else ():
+        while 0 <= at < len(keep) and beside[at]:
+            keep[at] = True
+            at += step
+    return keep
+
+
+def _only_seldom(page: Page, element: int) -> bool:
+    """Whether nothing but one form or header lowers what an element holds."""
+    lowered = 0
+    while element:
+        above = page.parent[element]
+        if page.weight[element] < page.weight[above]:
+            lowered += 1
+            if page.tag[element] not in SELDOM:
+                return False
+        element = above
+    return lowered == 1
 
 
 def main_text(page: str | None) -> str:

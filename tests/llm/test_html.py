@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -74,15 +75,16 @@ class Plain(HTMLParser):
 def plain_scores(blocks) -> list[float]:
     seen = [b for b in blocks if not {"nav", "footer"} & set(b[0])]
 
-    def ratio(path):
+    def ratios(path):
         same = [(t, n) for p, t, n in blocks if p == path]
         chars, points = sum(len(t) - n for t, n in same), sum(sum(c in ".,;:!?…。，；：！？、" for c in t) for t, n in same if n < len(t))
-        return math.log2(1 + chars / len(same)) + math.log2(1 + points / len(same))
+        return chars / len(same), points / len(same)
 
     out = []
     for at, (path, text, n) in enumerate(seen):
-        near = [(1 / (1 + abs(k - at)), ratio(seen[k][0])) for k in range(len(seen)) if abs(k - at) <= htmltext.REACH]
-        out.append(sum(w * x for w, x in near) / sum(w for w, _ in near) * (htmltext.LOWER if "div.ad" in path else 1))
+        near = [(1 / (1 + abs(k - at)), ratios(seen[k][0])) for k in range(len(seen)) if abs(k - at) <= htmltext.REACH]
+        chars, points = (sum(w * x[c] for w, x in near) / sum(w for w, _ in near) for c in (0, 1))
+        out.append(math.sqrt(chars * (1 + points)) * (htmltext.LOWER if "div.ad" in path else 1))
     return out
 
 
@@ -93,14 +95,70 @@ def test_scores_against_a_plain_version(pages):
         assert scores == pytest.approx(plain_scores(Plain(pages[i]).blocks))
 
 
-def test_scores_decide(pages, monkeypatch):
-    real = {i: htmltext.main_text(p) for i, p in list(pages.items())[:200]}
-    monkeypatch.setattr(htmltext, "path_scores", lambda page: [1.0] * len(page.text))
-    assert all(htmltext.main_text(pages[i]) != text for i, text in real.items())
+def article(page: str) -> str:
+    found = re.search(r"(?s)<article>(.*)</article>", page)[1]
+    return re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", found)))).strip()
+
+
+def nameless(page: str) -> str:
+    """A page in which nothing but divisions and paragraphs tells its parts apart."""
+    return re.sub(r' class="?[^" >]*"?', "", re.sub(r"<(/?)(nav|footer|article|ul|li)\b", r"<\1div", page))
+
+
+def test_ratios_find_articles_without_names(pages, monkeypatch):
+    """The article is found on pages of divisions alone; with the factor of tags and names in the place of scores, on none."""
+    rows = [(article(p), nameless(p)) for p in list(pages.values())[:600]]
+    got = [htmltext.main_text(p) for _, p in rows]
+    assert all(g.endswith(a) for (a, _), g in zip(rows, got))  # at most the one line before it is taken for a part of it
+    assert sum(g == a for (a, _), g in zip(rows, got)) > 0.7 * len(rows)
+    monkeypatch.setattr(htmltext, "path_scores", lambda page: [page.weight[o] for o in page.owner])
+    assert all(htmltext.main_text(p) != g for (_, p), g in zip(rows, got))
+
+
+def test_scores_decide(monkeypatch):
     page = f"<div><a href=/>Home</a> <a href=/n>News</a></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><a href=/x>About us</a></div>"
-    assert htmltext.main_text(page).startswith("Home")
-    monkeypatch.undo()
     assert htmltext.main_text(page) == f"{PROSE} {PROSE}"
+    monkeypatch.setattr(htmltext, "path_scores", lambda page: [page.weight[o] for o in page.owner])
+    assert htmltext.main_text(page).startswith("Home")
+
+
+LINKS = "".join(f"<p><a href=/{k}>{PROSE}</a></p>" for k in range(6))
+SIX = f"<p>{PROSE}</p>" * 6
+
+
+@pytest.mark.parametrize("around", ["<form id='aspnetForm'>{}</form>", "<form class='form'>{}</form>", "<div class='post'>{}</div>", "<form><div id=c>{}</div></form>", "<body><header>{}</header>"])
+def test_articles_in_other_elements(around):
+    page = f"<nav><a href=/>Home</a></nav>{around.format(SIX)}<footer>End.</footer>"
+    assert htmltext.main_text(page) == " ".join([PROSE] * 6)
+
+
+@pytest.mark.parametrize("name", [
+    "ad-1", "ad_300x250", "google-ad-unit-3", "advert-top-2", "ad-slot-1", "sponsored-content", "comment-thread", "comment-1", "share-buttons", "adBanner", "sidebar-2", "newsletter-box", "user-comments-list",
+])
+@pytest.mark.parametrize("inside", [True, False])
+def test_names_of_boilerplate(name, inside):
+    part = f"<div class='x {name}'><p>{PROSE}</p></div>"
+    page = f"<article>{SIX}{part}</article>" if inside else f"<div>{SIX}</div>{part}"
+    assert htmltext.main_text(page) == " ".join([PROSE] * 6)
+    assert htmltext.main_text(page.replace("class", "id")) == " ".join([PROSE] * 6)
+
+
+@pytest.mark.parametrize("name", ["adobe", "header-free", "no-ads", "shareholder", "commentary", "thread", "load-more-text", "reader", "has-comments"])
+def test_names_that_say_nothing(name):
+    assert htmltext.main_text(f"<div class={name}>{SIX}</div>") == " ".join([PROSE] * 6)
+
+
+def test_what_stands_beside_content():
+    six = " ".join([PROSE] * 6)
+    assert htmltext.main_text(f"<nav>Menu</nav><article>{LINKS}</article><footer>End</footer>") == six
+    assert htmltext.main_text(f"<div class=post>{SIX}<ul><li>One<li>Two</ul><pre>code here</pre></div><div class=respond><p>{PROSE}</p></div>") == f"{six} One Two code here"
+    table = "<table><tr><td>a<td>b</table><ul><li><a href=x>A link</a></ul><pre>x = 1</pre>"
+    assert htmltext.main_text(f"<div>{SIX}{table}</div><div><ul><li><a href=y>Other</a></ul></div>") == f"{six} a b A link x = 1"
+    # boxes of links fall by their ratio, in an article too; boxes of text stay
+    assert htmltext.main_text(f"<article><h1>T</h1><div><a href=1>Tweet</a> <a href=2>Mail</a></div>{SIX}<div>By hand.</div></article>") == f"T {six} By hand."
+    two = f"<section>{SIX}</section><section><h2>More</h2>{SIX}{SIX}</section>"
+    assert htmltext.main_text(f"<div><div><a href=/>Home</a></div>{two}</div>") == f"{six} More {six} {six}"
+    assert htmltext.main_text("<div><a href=/1>One</a></div><div><a href=/2>Two</a></div>") == ""
 
 
 @pytest.mark.parametrize(
@@ -128,6 +186,18 @@ def test_shapes(page, want):
     assert htmltext.main_text(page) == want
 
 
+@pytest.mark.parametrize("more", ["</x>", "<li>", "<li></li>", "</p>", "<td>", "</li></ul>", "<dd>"])
+def test_time_of_crafted_pages(more):
+    """Time is in proportion to the page: four times a page may take ten times as long at most."""
+    took = []
+    for n in (8_000, 32_000):
+        page = "<ul><li>" + "<div>" * n + more * n + PROSE
+        began = time.perf_counter()
+        assert PROSE in htmltext.main_text(page) or more == "<td>"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_deep_and_long_pages():
     assert htmltext.main_text("<div>" * 20_000 + PROSE) == PROSE
     assert len(htmltext.main_text(f"<p>{PROSE}</p>" * 20_000)) == 20_000 * (len(PROSE) + 1) - 1
