@@ -94,21 +94,30 @@ def inner_links(sites: DataFrame, groups: DataFrame, links: DataFrame) -> DataFr
     ``one_to_one`` joins by number, the shorter side starting anew; ``2:3`` joins the second
     device of one group with the third of the other.
     """
-    d = nodes(sites, groups).select("site", "grp", "name", "idx", F.count("*").over(W.partitionBy("site", "grp")).alias("n"))
+    own = nodes(sites, groups)
     rules = sites.join(links, "blueprint").select(F.col("node").alias("site"), "src_grp", "dst_grp", "pattern")
-    a = d.select("site", F.col("grp").alias("src_grp"), F.col("name").alias("a"), F.col("idx").alias("i"), F.col("n").alias("na"))
-    b = d.select("site", F.col("grp").alias("dst_grp"), F.col("name").alias("b"), F.col("idx").alias("j"), F.col("n").alias("nb"))
-    both = rules.join(a, ["site", "src_grp"]).join(b, ["site", "dst_grp"])
-    mesh = (F.col("pattern") == "mesh") & ((F.col("src_grp") != F.col("dst_grp")) | (F.col("i") < F.col("j")))
-    single = F.col("pattern") == F.concat("i", F.lit(":"), "j")
-    return both.where(mesh | single | ((F.col("pattern") == "one_to_one") & _aligned())).select("site", "a", "b")
-
-
-def _aligned() -> Column:
-    """Whether numbers i of na and j of nb meet one to one, the shorter side wrapping; an error if neither count divides the other."""
+    a = own.select("site", F.col("grp").alias("src_grp"), F.col("name").alias("a"), F.col("idx").alias("i"))
+    b = own.select("site", F.col("grp").alias("dst_grp"), F.col("name").alias("b"), F.col("idx").alias("j"))
+    both = rules.where("pattern = 'mesh'").join(a, ["site", "src_grp"]).join(b, ["site", "dst_grp"])
+    mesh = both.where((F.col("src_grp") != F.col("dst_grp")) | (F.col("i") < F.col("j")))
+    pair = F.split("pattern", ":")
+    single = rules.where("pattern RLIKE '^[0-9]+:[0-9]+$'").withColumn("i", pair[0].cast("int")).withColumn("j", pair[1].cast("int"))
+    sizes = own.groupBy("site", "grp").agg(F.count("*").alias("n"))
+    counted = rules.where("pattern = 'one_to_one'").join(sizes.toDF("site", "src_grp", "na"), ["site", "src_grp"]).join(sizes.toDF("site", "dst_grp", "nb"), ["site", "dst_grp"])
+    numbered = single.unionByName(_numbered(counted).drop("na", "nb")).join(a, ["site", "src_grp", "i"]).join(b, ["site", "dst_grp", "j"])
+    return mesh.select("site", "a", "b").unionByName(numbered.select("site", "a", "b"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A row for each link of ``na`` to ``nb`` devices one to one, with the devices' numbers ``i`` and ``j``, the shorter side wrapping.
+
+    So each link is made once and meets its two devices by number. An error if neither count divides the other.
+    """
     long, short = F.greatest("na", "nb"), F.least("na", "nb")
-    fits = F.when(long % short != 0, F.raise_error(F.lit("one_to_one: neither side divides the other")).cast("boolean")).otherwise(F.lit(True))
-    return fits & F.when(F.col("na") >= F.col("nb"), F.pmod(F.col("i") - 1, F.col("nb")) == F.col("j") - 1).otherwise(F.pmod(F.col("j") - 1, F.col("na")) == F.col("i") - 1)
+    n = F.when(long % short != 0, F.raise_error(F.lit("one_to_one: neither side divides the other")).cast("long")).otherwise(long)
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    number = lambda c: (F.pmod(F.col("_k") - 1, F.col(c)) + 1).cast("int")
+    return rows.withColumn("i", number("na")).withColumn("j", number("nb")).drop("_k")
 
 
 def group_view(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -157,16 +166,30 @@ def match(conditions: Sequence[tuple[str, str, str]], logic: str = "or", attrs:
 def site_links(site_edges: DataFrame, devices: DataFrame, roles: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """Device links ``(edge_key, a, b, cost)`` of site edges, one to one between the matching devices of both ends.
 
+    Each link is made once, from the numbers of matching devices, and meets both by number.
     Devices match if their role is one of ``roles`` and they meet ``where``, as of :func:`match`
     (any, without). They are numbered within their site over all groups.
     """
     d = devices if roles is None else devices.where(F.col("role").isin(*roles))
     d = d if where is None else d.where(where)
-    w = W.partitionBy("site")
-    d = d.select("site", "name", F.row_number().over(w.orderBy("grp", "idx")).alias("k"), F.count("*").over(w).alias("n"))
-    a = d.select(F.col("site").alias("u"), F.col("name").alias("a"), F.col("k").alias("i"), F.col("n").alias("na"))
-    b = d.select(F.col("site").alias("v"), F.col("name").alias("b"), F.col("k").alias("j"), F.col("n").alias("nb"))
-    return site_edges.join(a, "u").join(b, "v").where(_aligned()).select("edge_key", "a", "b", "cost")
+    d = d.select("site", "name", F.row_number().over(W.partitionBy("site").orderBy("grp", "idx")).alias("k"))
+    sizes = d.groupBy("site").agg(F.max("k").cast("long").alias("n"))
+    counted = site_edges.select("edge_key", "u", "v", "cost").join(sizes.toDF("u", "na"), "u").join(sizes.toDF("v", "nb"), "v")
+    rows = _numbered(counted).join(d.toDF("u", "a", "i"), ["u", "i"]).join(d.toDF("v", "b", "j"), ["v", "j"])
+    return rows.select("edge_key", "a", "b", "cost")
+
+
+def striped_links(site_edges: DataFrame, devices: DataFrame, roles: list[str] | None = None, label: str = "g1") -> DataFrame:
+    """Device links as of :func:`site_links`, where an edge with a ``stripe_attribute`` joins, at both ends, the devices whose attribute of that name is ``label``.
+
+    Edges without one join the devices of ``roles``. ``devices`` have ``attrs``; of all edges
+    at a site either all or none are striped, by one attribute.
+    """
+    ends = site_edges.where("stripe_attribute IS NOT NULL").select(F.explode(F.array("u", "v")).alias("site"), "stripe_attribute")
+    rows = devices.join(ends.groupBy("site").agg(F.min("stripe_attribute").alias("stripe_attribute")), "site", "left")
+    of_role = F.col("role").isin(*roles) if roles is not None else F.lit(True)
+    striped = F.coalesce(F.element_at("attrs", F.col("stripe_attribute")) == label, F.lit(False))
+    return site_links(site_edges, rows.where(F.when(F.col("stripe_attribute").isNull(), of_role).otherwise(striped)))
 
 
 def link_counts(site_edges: DataFrame, sites: DataFrame, groups: DataFrame, roles: list[str] | None = None) -> DataFrame:

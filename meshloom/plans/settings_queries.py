@@ -127,6 +127,18 @@ def _matched_links(spark, d):
     return expand.site_links(edges, _ruled(spark, d), where=chosen).select("edge_key", "a", "b")
 
 
+def _dc_links(spark, d):
+    """Links of data centres, striped in each third metro by four leaves a stripe."""
+    m, (groups, _) = inputs.metro_table(spark, d), expand.blueprint_tables(spark)
+    placed = sites.nodes(m).withColumn("blueprint", F.lit("Clos_L16_S4"))
+    edges = _striped_dcs(spark, d)
+    striped = sites.stripes_by_width(sites.devices(groups.where("blueprint = 'Clos_L16_S4'"), ["leaf"]), 4)
+    rules = sites.stripe_rules(striped, placed.where((F.col("metro_idx") - 1) % 3 == 0), "stripe")
+    own = F.concat(F.lit("stripe_dc_"), F.regexp_extract("path", r"^\^metro([0-9]+)/", 1))
+    ruled = expand.apply_rules(expand.nodes(placed.select("node", "blueprint"), groups), rules.select(F.lit(1).alias("pos"), "path", own.alias("attribute"), "label"))
+    return expand.striped_links(edges, ruled, ["leaf"]).select("edge_key", "a", "b", "cost")
+
+
 def _top_weights(spark, d):
     return traffic_queries._weights(spark, d).orderBy(F.desc("weight"), "a_pos", "b_pos").limit(10)
 
@@ -187,7 +199,7 @@ def _audit_stages(spark, d):
 QUERIES = {
     "metro_settings": _settings, "metro_link_settings": _link_settings, "settings_problems": _problems, "unknown_overrides": _unknown, "dc_stripes": _striped_dcs,
     "stripe_by_attribute": _by_attribute, "stripe_mismatch": _unmatched, "blueprint_section": _section, "metro_bounds": _bounds, "site_links_by_role": _role_links,
-    "scenario_links": _scenario_links, "node_rules": _rule_devices, "matched_links": _matched_links, "top_weights": _top_weights, "value_formats": _formats, "node_hardware": _hardware, "audit_groups": _audit_groups, "audit_matrices": _audit_matrices,
+    "scenario_links": _scenario_links, "node_rules": _rule_devices, "matched_links": _matched_links, "dc_striped_links": _dc_links, "top_weights": _top_weights, "value_formats": _formats, "node_hardware": _hardware, "audit_groups": _audit_groups, "audit_matrices": _audit_matrices,
     "audit_isolation_hint": _audit_hint, "audit_contract": _audit_contract, "audit_stages": _audit_stages,
 }
 
@@ -223,6 +235,8 @@ WHERE link_type = 'intra_metro' AND CASE WHEN a.n >= b.n THEN a.k % b.n = b.k EL
     "unknown_overrides": f"""WITH {METROS}, slugs AS (
   SELECT {_SLUG} AS slug FROM metros WHERE (metro_idx - 1) % 3 = 0 UNION SELECT {_SLUG} || '-area' FROM metros WHERE (metro_idx - 1) % 4 = 1)
 SELECT slug FROM slugs WHERE slug NOT IN (SELECT {_SLUG} FROM metros WHERE metro_idx > 12) AND slug NOT IN (SELECT {_SLUG} || '-area' FROM metros WHERE metro_idx > 12)""",
+    "dc_striped_links": f"""WITH {site_queries._EDGES} SELECT edge_key, u || '/leaf/leaf' || i AS a, v || '/leaf/leaf' || i AS b, cost FROM site_edges, range(1, 17) r(i)
+WHERE link_type = 'dc_to_pop' AND (i <= 4 OR (CAST(regexp_extract(u, '^metro([0-9]+)/', 1) AS INT) - 1) % 3 <> 0)""",
     "dc_stripes": f"""WITH {site_queries._EDGES} SELECT edge_key, u, v, cost,
   CASE WHEN (CAST(regexp_extract(u, '^metro([0-9]+)/', 1) AS INT) - 1) % 3 = 0 THEN 'stripe_dc_' || regexp_extract(u, '^metro([0-9]+)/', 1) END AS stripe_attribute
 FROM site_edges WHERE link_type = 'dc_to_pop'""",
