@@ -23,7 +23,7 @@ from meshloom.stages import Stage
 def road_graph(spark: SparkSession, config: dict) -> DataFrame:
     """Edges ``(a, b, length_km)`` of the kept road classes, snapped, without slivers; the largest component, if that is asked for."""
     h = config["highway_processing"]
-    lines = roads.keep_classes(shapes.roads(spark, config["data_sources"]["tiger_roads"]), h["highway_classes"], check=True)
+    lines = roads.keep_classes(shapes.roads(spark, config["data_sources"]["tiger_roads"], h["highway_classes"]), h["highway_classes"], check=True)
     edges = roads.snapped_edges(roads.vertices(roads.parts(lines)), h["snap_precision_m"])
     edges = edges.select(F.concat_ws("_", "ax", "ay").alias("a"), F.concat_ws("_", "bx", "by").alias("b"), "length_km")
     edges = not_empty(cut(graph.drop_slivers(edges, h["min_edge_length_km"])), "no road is left")

@@ -1,16 +1,20 @@
 """Zipped shapefiles as DataFrames.
 
-Files are read by Spark's binary reader, so any store that Spark reaches will do; each
-archive is decoded in a task of its own. Geometry is ``parts``: an array of parts, each an
-array of ``(x, y)``.
+Files are read by Spark's binary reader, so any store that Spark reaches will do. An archive
+can't be entered in its middle, so one task streams through it: it reads the attributes that
+are asked for, drops records by them, and cuts what is left into runs of records, still as
+bytes. The runs are dealt to all tasks and decoded there. Geometry is ``parts``: an array of
+parts, each an array of ``(x, y)``. A row is known by the name of its archive and its record.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -24,9 +28,12 @@ PARTS = "array<array<struct<x:double,y:double>>>"
 DATUMS = ("NORTH_AMERICAN_1983", "WGS_1984")
 
 
-def _member(archive: zipfile.ZipFile, ending: str) -> bytes | None:
-    name = next((n for n in archive.namelist() if n.lower().endswith(ending)), None)
-    return None if name is None else archive.read(name)
+#: Records in a run, and bytes after which a run of large ones ends.
+RUN, RUN_BYTES = 4096, 16 << 20
+
+
+def _member(archive: zipfile.ZipFile, ending: str) -> str | None:
+    return next((n for n in archive.namelist() if n.lower().endswith(ending)), None)
 
 
 def check_crs(prj: str | None) -> None:
@@ -37,12 +44,12 @@ def check_crs(prj: str | None) -> None:
         raise ValueError("shapefile is not in geographic coordinates of NAD83 or WGS84")
 
 
-def geometries(shp: bytes) -> list[list[list[dict[str, float]]]]:
-    """Parts of each record; none for an empty geometry. Points are parts of one vertex."""
-    at, out = 100, []
-    while at + 12 <= len(shp):
-        length = struct.unpack(">i", shp[at + 4 : at + 8])[0] * 2
-        body = shp[at + 8 : at + 8 + length]
+def geometries(records: bytes) -> list[list[list[dict[str, float]]]]:
+    """Parts of each record, of records one after another; none for an empty geometry. Points are parts of one vertex."""
+    at, out = 0, []
+    while at + 12 <= len(records):
+        length = struct.unpack(">i", records[at + 4 : at + 8])[0] * 2
+        body = records[at + 8 : at + 8 + length]
         at += 8 + length
         kind = struct.unpack("<i", body[:4])[0] % 10
         parts: list[np.ndarray] = []
@@ -57,39 +64,75 @@ def geometries(shp: bytes) -> list[list[list[dict[str, float]]]]:
     return out
 
 
-def attributes(dbf: bytes, wanted: Sequence[str]) -> list[dict[str, str | None]]:
-    """The wanted attributes of each record as text, blank ones null; an error if one is missing."""
-    n, head, size = struct.unpack("<IHH", dbf[4:12])
-    fields, at, offset = {}, 32, 1
-    while dbf[at] != 0x0D:
-        name, width = dbf[at : at + 11].split(b"\0")[0].decode("ascii"), dbf[at + 16]
+def attributes(dbf: BinaryIO, wanted: Sequence[str]) -> Iterator[dict[str, str | None]]:
+    """The wanted attributes of each record, read as they come, as text, blank ones null; an error if one is missing."""
+    n, head, size = struct.unpack("<IHH", dbf.read(12)[4:])
+    rest = dbf.read(head - 12)
+    fields, at, offset = {}, 20, 1
+    while rest[at] != 0x0D:
+        name, width = rest[at : at + 11].split(b"\0")[0].decode("ascii"), rest[at + 16]
         fields[name] = (offset, width)
         offset += width
         at += 32
     if missing := [c for c in wanted if c not in fields]:
         raise ValueError(f"shapefile lacks {', '.join(missing)}")
-    rows = (dbf[head + k * size : head + (k + 1) * size] for k in range(n))
-    return [{c: r[fields[c][0] : sum(fields[c])].decode("utf-8", "replace").strip() or None for c in wanted} for r in rows]
-
-
-def read(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """``columns`` (text) and ``parts`` of all archives at ``path``; only these are decoded."""
-    wanted = list(columns)
+    for _ in range(n):
+        row = dbf.read(size)
+        yield {c: row[fields[c][0] : sum(fields[c])].decode("utf-8", "replace").strip() or None for c in wanted}
+
+
+def runs(content: bytes, wanted: Sequence[str], keep: Mapping[str, Collection[str]], leave: Mapping[str, Collection[str]]) -> Iterator[tuple[list[int], list[dict], bytes]]:
+    """``(records, attributes, bytes)`` of runs of an archive's records that have a value of ``keep`` and none of ``leave``."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        prj, shp, dbf = (_member(archive, e) for e in (".prj", ".shp", ".dbf"))
+        if shp is None or dbf is None:
+            raise ValueError("archive holds no shapefile")
+        check_crs(None if prj is None else archive.read(prj).decode("utf-8", "replace"))
+        with archive.open(shp) as shapes, archive.open(dbf) as table:
+            shapes.read(100)
+            numbers, rows, data, size = [], [], [], 0
+            for number, row in enumerate(attributes(table, [*dict.fromkeys([*wanted, *keep, *leave])]), 1):
+                head = shapes.read(8)
+                if len(head) < 8:
+                    break
+                body = shapes.read(struct.unpack(">i", head[4:])[0] * 2)
+                if all(row[c] in v for c, v in keep.items()) and not any(row[c] in v for c, v in leave.items()):
+                    numbers.append(number)
+                    rows.append(row)
+                    data += [head, body]
+                    size += len(body)
+                if len(numbers) >= RUN or size >= RUN_BYTES:
+                    yield numbers, rows, b"".join(data)
+                    numbers, rows, data, size = [], [], [], 0
+            if numbers:
+                yield numbers, rows, b"".join(data)
+
+
+def read(spark: SparkSession, path: str, columns: Sequence[str], keep: Mapping[str, Collection[str]] | None = None, leave: Mapping[str, Collection[str]] | None = None) -> DataFrame:
+    """``columns`` (text), ``parts``, ``archive`` and ``record`` of all archives at ``path``; only these are decoded.
+
+    ``keep`` and ``leave`` are values by attribute, with which records stay or go before their
+    geometry is moved or decoded. Names of archives should differ, as rows are known by them.
+    """
+    wanted, kept, left = list(columns), {c: frozenset(v) for c, v in (keep or {}).items()}, {c: frozenset(v) for c, v in (leave or {}).items()}
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, content in zip(f["path"], f["content"]):
+                for numbers, rows, data in runs(content, wanted, kept, left):
+                    values = [json.dumps([row[c] for c in wanted]) for row in rows]
+                    yield pd.DataFrame({"archive": [name.rsplit("/", 1)[-1]], "records": [numbers], "attributes": [values], "data": [data]})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for content in f["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    prj, shp, dbf = (_member(archive, e) for e in (".prj", ".shp", ".dbf"))
-                if shp is None or dbf is None:
-                    raise ValueError("archive holds no shapefile")
-                check_crs(None if prj is None else prj.decode("utf-8", "replace"))
-                shapes, rows = geometries(shp), attributes(dbf, wanted)
-                for k in range(0, len(shapes), 10_000):
-                    yield pd.DataFrame([{**r, "parts": s} for s, r in zip(shapes[k : k + 10_000], rows[k : k + 10_000])], columns=[*wanted, "parts"])
+            for name, numbers, values, data in zip(f["archive"], f["records"], f["attributes"], f["data"]):
+                found = pd.DataFrame([json.loads(v) for v in values], columns=wanted, dtype=object)
+                yield found.assign(parts=geometries(data), archive=name, record=np.asarray(numbers))
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, ", ".join([*(f"{c} string" for c in wanted), f"parts {PARTS}"]))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    cuts = files.mapInPandas(cut, "archive string, records array<int>, attributes array<string>, data binary")
+    dealt = cuts.repartition("archive", F.element_at("records", 1))
+    return dealt.mapInPandas(decode, ", ".join([*(f"{c} string" for c in wanted), f"parts {PARTS}", "archive string", "record int"]))
 
 
 def project(shapes: DataFrame) -> DataFrame:
@@ -102,10 +145,10 @@ def project(shapes: DataFrame) -> DataFrame:
     return shapes.withColumn("parts", F.transform("parts", lambda part: F.transform(part, point)))
 
 
-def roads(spark: SparkSession, path: str) -> DataFrame:
-    """Road lines ``(line_id, mtfcc, parts)`` in projected metres."""
-    rows = project(read(spark, path, ["MTFCC"]))
-    return rows.select(F.monotonically_increasing_id().cast("string").alias("line_id"), F.col("MTFCC").alias("mtfcc"), "parts")
+def roads(spark: SparkSession, path: str, classes: Sequence[str] | None = None) -> DataFrame:
+    """Road lines ``(line_id, mtfcc, parts)`` in projected metres, of some classes or of all; ids name the archive and the record."""
+    rows = project(read(spark, path, ["MTFCC"], None if classes is None else {"MTFCC": classes}))
+    return rows.select(F.concat_ws("#", "archive", "record").alias("line_id"), F.col("MTFCC").alias("mtfcc"), "parts")
 
 
 def urban_areas(spark: SparkSession, path: str) -> DataFrame:
@@ -120,4 +163,4 @@ OUTSIDE = ("02", "15", "60", "66", "69", "72", "78")
 
 def states(spark: SparkSession, path: str, leave: Sequence[str] = OUTSIDE) -> DataFrame:
     """State boundaries ``(statefp, parts)`` without the codes in ``leave``."""
-    return read(spark, path, ["STATEFP"]).where(~F.col("STATEFP").isin(*leave)).select(F.col("STATEFP").alias("statefp"), "parts")
+    return read(spark, path, ["STATEFP"], leave={"STATEFP": leave}).select(F.col("STATEFP").alias("statefp"), "parts")

@@ -39,9 +39,10 @@ def archive(path, rows, column, prj=PRJ):
 def test_shapefile(spark, tmp_path):
     f = tmp_path / "roads.zip"
     archive(f, [("S1100", [[(-96.0, 23.0), (-96.0, 24.0)]]), ("S1200", [[(0.0, 0.0), (1.0, 1.0)], [(2.0, 2.0), (3.0, 3.0)]]), ("", [])], "MTFCC")
-    rows = shapes.read(spark, str(f), ["MTFCC"]).collect()
-    assert [(r.MTFCC, len(r.parts)) for r in rows] == [("S1100", 1), ("S1200", 2), (None, 0)]
-    first = shapes.roads(spark, str(f)).first()
+    rows = shapes.read(spark, str(f), ["MTFCC"]).orderBy("record").collect()
+    assert [(r.MTFCC, len(r.parts), r.archive, r.record) for r in rows] == [("S1100", 1, "roads.zip", 1), ("S1200", 2, "roads.zip", 2), (None, 0, "roads.zip", 3)]
+    first = shapes.roads(spark, str(f), ["S1100"]).first()
+    assert first.line_id == "roads.zip#1" and [r.line_id for r in shapes.roads(spark, str(f), ["S1200"]).collect()] == ["roads.zip#2"]
     assert abs(first.parts[0][0].x) < 1e-6 and abs(first.parts[0][0].y) < 1e-6 and first.parts[0][1].y == pytest.approx(110_000, rel=0.02)
 
 
@@ -60,6 +61,20 @@ def test_missing_attribute(spark, tmp_path):
         shapes.read(spark, str(f), ["MTFCC"]).collect()
 
 
+def test_one_archive_is_decoded_in_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shapes, "RUN", 7)
+    f = tmp_path / "many.zip"
+    lines = [[[(float(k), 0.0), (float(k), 1.0)], [(0.0, 0.0), (1.0, float(k))]] for k in range(100)]
+    archive(f, [("AB"[k % 2], line) for k, line in enumerate(lines)], "KIND")
+    content = f.read_bytes()
+    cut = list(shapes.runs(content, ["KIND"], {"KIND": {"A"}}, {}))
+    assert [len(n) for n, _, _ in cut] == [7] * 7 + [1] and [n for x, _, _ in cut for n in x] == list(range(1, 101, 2))
+    assert [p for _, _, data in cut for p in shapes.geometries(data)] == [[[{"x": x, "y": y} for x, y in part] for part in line] for line in lines[::2]]
+    assert list(shapes.runs(content, [], {}, {"KIND": {"A", "B"}})) == []
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(shapes.read(spark, str(f), ["KIND"])._jdf.queryExecution(), "simple")
+    assert "hashpartitioning(archive" in plan and plan.count("MapInPandas") == 2
+
+
 SQUARE = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)
 
 
