@@ -54,7 +54,7 @@ def bounds(metros: DataFrame) -> DataFrame:
 
 
 def document(tables: Mapping[str, DataFrame], seed: int = 42, most: int = 100_000) -> dict:
-    """The scenario's nested form from its tables ``groups``, ``links``, ``risks``, ``demands``: a configuration file, so tables over ``most`` rows are refused."""
+    """The scenario's nested form from its tables ``groups``, ``links``, ``risks``, ``demands``: a configuration file, so tables over ``most`` rows are refused; ``sources.single`` writes those."""
     def rows(name: str) -> list[dict]:
         found = tables[name].limit(most + 1).collect()
         if len(found) > most:
@@ -103,10 +103,10 @@ def to_yaml(doc: dict, anchors: bool = True) -> str:
     """The nested form as YAML, keys in their order, with a comment before the first link of each type."""
     class Plain(yaml.SafeDumper):
         def ignore_aliases(self, data):
-            return not anchors
+            return super().ignore_aliases(data) if anchors else True
 
     rest = {k: v for k, v in doc["network"].items() if k != "links"}
-    dump = lambda x: yaml.dump(x, Dumper=Plain, sort_keys=False, default_flow_style=False, allow_unicode=True)
+    dump = lambda x: yaml.dump(x, Dumper=Plain, sort_keys=False, default_flow_style=False, allow_unicode=True, width=float("inf"))
     indented = lambda text: "".join(f"  {line}\n" for line in text.splitlines())
     out, told = dump({"seed": doc["seed"]}) + "network:\n" + (indented(dump(rest)) if rest else ""), set()
     links = doc["network"].get("links") or []

@@ -10,7 +10,7 @@ import pytest
 
 from meshloom.functions import polygon
 from meshloom.operators import scenario
-from meshloom.sources import graph_json, library, shapes
+from meshloom.sources import graph_json, library, shapes, single
 from meshloom.streaming import events
 
 PRJ = 'GEOGCS["GCS_North_American_1983",DATUM["D_North_American_1983"]]'
@@ -140,3 +140,41 @@ def test_site_graph_keeps_parallel_edges(spark, tmp_path):
     lines = [json.loads(x) for f in (tmp_path / "g" / "edges").glob("part-*") for x in f.read_text().splitlines()]
     assert sorted((r["source"], r["target"], r["key"], r["cost"]) for r in lines) == [("metro1/pop1", "metro1/pop2", "k1", 1), ("metro1/pop1", "metro1/pop2", "k2", 2)]
     assert {r.id for r in spark.read.json(str(tmp_path / "g" / "nodes")).collect()} == {"metro1/pop1", "metro1/pop2"}
+
+
+def scenario_tables(spark, n=3):
+    kinds = ["intra_metro", "dc_to_pop", "inter_metro_corridor", "other"]
+    links = [(f"metro{k:03d}/pop1", f"metro{k + 1:03d}/pop{j}", 100.0 / (j + 1), k, {"link_type": kinds[(k + j) % 4], "note": "a long text, with words " * 6}) for k in range(n) for j in range(4)]
+    return {
+        "groups": spark.createDataFrame([(f"metro{k:03d}/pop[1-2]", "FullMesh4", "pop", f"town {k}: é", None if k % 2 else 7.5) for k in range(n)], "path string, blueprint string, node_type string, metro_name string, mw double"),
+        "links": spark.createDataFrame(links, "source string, target string, capacity double, cost long, attrs map<string,string>"),
+        "risks": spark.createDataFrame([(f"r{k}", 1.5 * k) for k in range(n)], "risk_group string, distance_km double"),
+        "demands": spark.createDataFrame([(f"^metro{k:03d}/dc1/.*", f"^metro{k + 1:03d}/dc1/.*", k % 3, 10.0 + k) for k in range(n)], "source_path string, sink_path string, priority int, demand double"),
+    }
+
+
+@pytest.mark.parametrize("n", [0, 3, 60])
+def test_one_yaml_file_from_sorted_fragments(spark, tmp_path, n):
+    tables = scenario_tables(spark, n)
+    order = {"groups": ["path"], "links": ["source", "target"], "risks": ["risk_group"], "demands": ["source_path", "sink_path"]}
+    want = scenario.to_yaml(scenario.document({k: t.orderBy(*order[k]) for k, t in tables.items()}))
+    for k in range(2):  # the same bytes however rows are dealt, and over an earlier file
+        path = tmp_path / "scenario.yml"
+        single.scenario_yaml({k_: t.repartition(5 - 3 * k) for k_, t in tables.items()}, str(path))
+        assert path.read_text() == want and [p.name for p in tmp_path.glob("scenario*")] == ["scenario.yml"]
+    assert scenario.from_yaml(spark, str(path))["links"].count() == 4 * n
+
+
+def test_one_graph_document(spark, tmp_path):
+    nodes = spark.createDataFrame([([1.0, float(k)], "metro", f"{k:02d}", "n") for k in range(9)] + [([0.5, 0.5], None, None, None)] * 3, "id array<double>, node_type string, metro_id string, name string")
+    edges = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], 7.5, ["r"])] * 2, "source array<double>, target array<double>, length_km double, risk_groups array<string>")
+    none = spark.createDataFrame([], graph_json.PATH)
+    path = str(tmp_path / "graph.json")
+    single.graph_json("EPSG:5070", {"nodes": nodes.repartition(4), "edges": edges, "corridor_paths": none}, path)
+    text = open(path).read()
+    doc = json.loads(text)
+    assert len(doc["nodes"]) == 12 and len(doc["edges"]) == 2 and doc["corridor_paths"] == [] and doc["target_crs"] == "EPSG:5070"
+    single.graph_json("EPSG:5070", {"nodes": nodes.repartition(2), "edges": edges, "corridor_paths": none}, path)
+    assert open(path).read() == text
+    back = graph_json.read(spark, path)
+    assert back["nodes"].count() == 12 and back["edges"].first().risk_groups == ["r"] and back["paths"].count() == 0
