@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshloom.operators import metros, scenario
+from meshloom.operators import expand, metros, scenario
 from meshloom.plans import inputs, metro_queries
 from meshloom.plans.inputs import METROS
 from meshloom.plans.metro_queries import _extract
@@ -50,7 +50,13 @@ def _geojson(spark, d):
 
 
 def _components(spark, d):
-    return library.components(spark)
+    """Parts as users' components over the built-in ones; one has a built-in name."""
+    k = F.col("p_partkey")
+    own = inputs.table(spark, d, "part", "p_partkey", "p_type", "p_size", "p_retailprice").select(
+        F.when(k == 1, "CoreRouter").otherwise(F.concat(F.lit("part-"), k)).alias("name"), F.col("p_type").alias("component_type"), F.col("p_retailprice").alias("capex"),
+        *[F.lit(None).cast("double").alias(c) for c in ("power_watts", "power_watts_max")], (F.col("p_size") * 100).cast("double").alias("capacity"), F.col("p_size").cast("int").alias("ports"), F.lit(None).cast("string").alias("role"),
+    )
+    return expand.overlay(library.components(spark), own)
 
 
 def _used(spark, d):
@@ -82,7 +88,10 @@ UNION ALL SELECT 'metro' || metro_idx || '/dc[1-' || dcs || ']', 'DCRegion', 'dc
     "metro_geojson": f"""WITH {METROS} SELECT metro_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR)
   || ']}},"properties":{{"metro_id":"' || metro_id || '","name":"' || name || '","radius_km":' || CAST(radius_km AS VARCHAR) || '}}}}' AS feature FROM metros""",
     "scenario_risks": metro_queries.SQL["risk_distance"],
-    "library_components": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::{'INT' if isinstance(v, int) else 'DOUBLE'}" for v in r) + ")" for r in library.COMPONENTS) + ") c(" + ", ".join(c.split(" ")[0] for c in library.COLUMNS.split(", ")) + ")",
+    "library_components": "WITH c(" + ", ".join(c.split(" ")[0] for c in library.COLUMNS.split(", ")) + ") AS (VALUES " + ", ".join(
+        "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::{'INT' if isinstance(v, int) else 'DOUBLE'}" for v in r) + ")" for r in library.COMPONENTS
+    ) + """) SELECT * FROM c WHERE name <> 'CoreRouter' OR NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = 1)
+UNION ALL SELECT CASE WHEN p_partkey = 1 THEN 'CoreRouter' ELSE 'part-' || p_partkey END, p_type, p_retailprice, NULL, NULL, CAST(p_size * 100 AS DOUBLE), CAST(p_size AS INT), NULL FROM part""",
     "library_used": "SELECT * FROM (VALUES ('CoreRouter', 409600.0::DOUBLE, 512), ('800G-DR4', 800.0::DOUBLE, 1)) c(name, capacity, ports)",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "metro_extremes": f"WITH {METROS} SELECT count(*) AS n_metros, max(pops) AS max_pops, max(dcs) AS max_dcs, min(radius_km) AS min_radius_km, round(avg(radius_km), 6) AS avg_radius_km, max(radius_km) AS max_radius_km FROM metros",

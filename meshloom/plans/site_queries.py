@@ -70,14 +70,27 @@ def _blueprint_nodes(spark, d):
     return expand.nodes(_site_table(spark, d), groups)
 
 
+#: Blueprints that suppliers' sites have in turn.
+TURNS = ("SingleRouter", "FullMesh4", "Clos_L16_S4", "DragonFly_CustomG4", "Dragonfly_A3H2G7")
+
+
+def _supplier_sites(spark, d):
+    k = F.col("s_suppkey")
+    return inputs.table(spark, d, "supplier", "s_suppkey").select(F.concat(F.lit("site"), k).alias("node"), F.element_at(F.array(*map(F.lit, TURNS)), (k % len(TURNS) + 1).cast("int")).alias("blueprint"))
+
+
 def _group_view(spark, d):
-    return expand.group_view(*expand.blueprint_tables(spark))
+    """Pairs of linked groups of the blueprints that sites have, and how many sites."""
+    used = _supplier_sites(spark, d).groupBy("blueprint").agg(F.count("*").alias("n_sites"))
+    return expand.group_view(*expand.blueprint_tables(spark)).join(used, "blueprint")
 
 
 def _inner_counts(spark, d):
+    """Links within all sites of a blueprint, expanded and counted."""
     groups, links = expand.blueprint_tables(spark)
-    site = groups.select(F.col("blueprint").alias("node"), "blueprint").distinct()
-    return expand.inner_links(site, groups, links).groupBy(F.col("site").alias("blueprint")).agg(F.count("*").alias("n_links"))
+    own = _supplier_sites(spark, d)
+    found = expand.inner_links(own, groups, links).join(own.withColumnRenamed("node", "site"), "site")
+    return found.groupBy("blueprint").agg(F.count_distinct("site").alias("n_sites"), F.count("*").alias("n_links"))
 
 
 def _site_view(spark, d):
@@ -332,6 +345,8 @@ _STRIPES = """striped AS (
   SELECT blueprint, device, place, 'g' || ((place - 1) // 5 + 1) AS stripe FROM (
     SELECT p_brand AS blueprint, 'leaf' || p_partkey AS device, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part))"""
 
+_SUPPLIER_SITES = f"used AS (SELECT list_extract({list(TURNS)}, CAST(s_suppkey % {len(TURNS)} AS INT) + 1) AS blueprint, count(*) AS n_sites FROM supplier GROUP BY 1)"
+
 _EXPANDED = _EDGES + """, blueprints AS (
   SELECT node, CASE WHEN kind = 'dc' THEN 'DCRegion' WHEN metro_idx % 3 = 0 THEN 'Clos_L16_S4' WHEN metro_idx % 3 = 1 THEN 'FullMesh4' ELSE 'SingleRouter' END AS blueprint FROM nodes),
 groups(blueprint, grp, n) AS (VALUES ('DCRegion', 'dc', 1), ('SingleRouter', 'core', 1), ('FullMesh4', 'core', 4), ('Clos_L16_S4', 'leaf', 16), ('Clos_L16_S4', 'spine', 4)),
@@ -403,11 +418,14 @@ FROM nodes JOIN striped ON blueprint = 'Brand#' || metro_idx WHERE kind = 'pop'
     "blueprint_nodes": f"WITH {_EXPANDED} SELECT name, site, grp, role, idx FROM devices",
     "blueprint_links": f"""WITH {_EXPANDED} SELECT a.site, a.name AS a, b.name AS b FROM devices a JOIN devices b ON a.site = b.site
 WHERE (a.grp = 'leaf' AND b.grp = 'spine') OR (a.grp = 'core' AND b.grp = 'core' AND a.idx < b.idx)""",
-    "blueprint_groups": """SELECT 'FullMesh4' AS blueprint, 'core' AS a, 'core' AS b, 'mesh' AS patterns UNION ALL SELECT 'Clos_L16_S4', 'leaf', 'spine', 'mesh'
-UNION ALL SELECT 'DragonFly_CustomG4', 'leaf' || a, 'leaf' || b, CASE WHEN a = b THEN 'mesh' ELSE 'one_to_one' END FROM unnest(['A', 'B', 'C', 'D']) x(a), unnest(['A', 'B', 'C', 'D']) y(b)
-WHERE a = b OR a || b IN ('AB', 'AD', 'BC', 'CD')
-UNION ALL SELECT 'Dragonfly_A3H2G7', 'G' || a, 'G' || b, CASE WHEN a = b THEN 'mesh' ELSE ((b - a - 1) % 3 + 1) || ':' || (3 - (b - a - 1) % 3) END FROM range(1, 8) x(a), range(1, 8) y(b) WHERE a <= b""",
-    "blueprint_link_counts": "SELECT * FROM (VALUES ('FullMesh4', 6::BIGINT), ('Clos_L16_S4', 64), ('DragonFly_CustomG4', 40), ('Dragonfly_A3H2G7', 42)) c(blueprint, n_links)",
+    "blueprint_groups": f"""WITH v AS (
+  SELECT 'FullMesh4' AS blueprint, 'core' AS a, 'core' AS b, 'mesh' AS patterns UNION ALL SELECT 'Clos_L16_S4', 'leaf', 'spine', 'mesh'
+  UNION ALL SELECT 'DragonFly_CustomG4', 'leaf' || a, 'leaf' || b, CASE WHEN a = b THEN 'mesh' ELSE 'one_to_one' END FROM unnest(['A', 'B', 'C', 'D']) x(a), unnest(['A', 'B', 'C', 'D']) y(b)
+  WHERE a = b OR a || b IN ('AB', 'AD', 'BC', 'CD')
+  UNION ALL SELECT 'Dragonfly_A3H2G7', 'G' || a, 'G' || b, CASE WHEN a = b THEN 'mesh' ELSE ((b - a - 1) % 3 + 1) || ':' || (3 - (b - a - 1) % 3) END FROM range(1, 8) x(a), range(1, 8) y(b) WHERE a <= b),
+{_SUPPLIER_SITES} SELECT blueprint, a, b, patterns, n_sites FROM v JOIN used USING (blueprint)""",
+    "blueprint_link_counts": f"""WITH c(blueprint, n) AS (VALUES ('FullMesh4', 6), ('Clos_L16_S4', 64), ('DragonFly_CustomG4', 40), ('Dragonfly_A3H2G7', 42)),
+{_SUPPLIER_SITES} SELECT blueprint, n_sites, CAST(n * n_sites AS BIGINT) AS n_links FROM c JOIN used USING (blueprint)""",
     "site_view": f"""WITH {_EXPANDED} SELECT a.site, a.name AS a, b.name AS b FROM devices a JOIN devices b ON a.site = b.site
 WHERE a.site = 'metro4/pop1' AND a.grp = 'core' AND b.grp = 'core' AND a.idx < b.idx""",
     "site_links": f"""WITH {_EXPANDED} SELECT edge_key, a.name AS a, b.name AS b, cost FROM site_edges JOIN numbered a ON a.site = u JOIN numbered b ON b.site = v
