@@ -1,6 +1,6 @@
-"""``python -m meshloom`` with ``build CONFIG -o FOLDER``, ``info CONFIG``, ``batch CONFIGS FOLDER`` or ``validate DOCUMENTS --schema FILE``.
+"""``python -m meshloom`` with ``build CONFIG -o FOLDER``, ``scenario CONFIG -o FOLDER``, ``info CONFIG``, ``batch CONFIGS FOLDER`` or ``validate DOCUMENTS --schema FILE``.
 
-Exit codes: 2 for the configuration, 3 for documents that break their schema, 1 for anything else that fails.
+Exit codes: 2 for the configuration, 3 for a scenario with issues or documents that break their schema, 1 for anything else that fails.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import sys
 import yaml
 from pyspark.sql import SparkSession
 
-from meshloom import config, run
+from meshloom import assemble, config, run
 from meshloom.operators import schema_check
 from meshloom.sources import documents
 
@@ -24,6 +24,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     command.add_argument("config")
     command.add_argument("-o", "--output", required=True)
     command.add_argument("--force", action="store_true", help="make every stage again")
+    command = commands.add_parser("scenario", help="build, and write the scenario's document with its audits")
+    command.add_argument("config")
+    command.add_argument("-o", "--output", required=True)
+    command.add_argument("--force", action="store_true", help="make every stage again")
     commands.add_parser("info", help="print the whole configuration").add_argument("config")
     command = commands.add_parser("batch", help="build every configuration of a folder, each into a folder of its name")
     command.add_argument("configs")
@@ -48,6 +52,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if given.command == "info":
         print(yaml.safe_dump(found, sort_keys=False), end="")
         return 0
+    if given.command == "scenario":
+        return _scenario(spark, found, given)
     try:
         tables, fresh = run.build(spark, found, given.output, given.force)
         for name, table in tables.items():
@@ -58,6 +64,20 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     return 0
 
 
+def _scenario(spark: SparkSession, found: dict, given: argparse.Namespace) -> int:
+    try:
+        made, _, path = assemble.build(spark, found, given.output, given.force)
+        bad = 0
+        for r in assemble.issues(spark, found, made, path).orderBy("audit", "key", "message").toLocalIterator():
+            bad += 1
+            print(f"{r.audit} {r.key}: {r.message}")
+    except Exception as e:
+        print(f"scenario: {e}", file=sys.stderr)
+        return 1
+    print(f"{path}: {bad} issues")
+    return 3 if bad else 0
+
+
 def _batch(spark: SparkSession, given: argparse.Namespace) -> int:
     failed = 0
     try:

@@ -132,3 +132,32 @@ def test_validate(spark, tmp_path, capsys):
     assert [x.split("/")[-1] for x in lines[:-1]] == ["b.json $ required: network is missing", "b.json $.seed type: not integer", "c.yml $ json: no JSON"] and lines[-1] == "3 issues"
     assert main(["validate", str(docs / "a.yml"), "--schema", str(rules)], spark) == 0
     assert main(["validate", str(docs), "--schema", str(docs / "none")], spark) == 1
+
+
+def test_scenario(spark, tmp_path, capsys):
+    given, out = given_files(tmp_path), tmp_path / "out"
+    given |= {"traffic": {"model": "gravity", "mw_per_dc_region": 10.0, "gravity": {"exclude_same_metro": True}}, "build": {"build_overrides": [{"metros": "Ash", "pop_per_metro": 3, "site_blueprint": "FullMesh4"}]}}
+    path = tmp_path / "config.yml"
+    path.write_text(yaml.safe_dump(given))
+    assert main(["scenario", str(path), "-o", str(out)], spark) == 0 and capsys.readouterr().out.endswith("scenario.yml: 0 issues\n")
+    doc = yaml.safe_load((out / "scenario.yml").read_text())
+    names = {r.metro_id: r.metro_idx for r in spark.read.parquet(f"{out}/metros").collect()}
+    ash, beech, cedar = names["00000"], names["00001"], names["00002"]
+    nodes = doc["network"]["nodes"]
+    assert set(nodes) == {f"metro{ash}/pop[1-3]", *(f"metro{k}/pop[1-2]" for k in (beech, cedar)), *(f"metro{k}/dc[1-2]" for k in (ash, beech, cedar))}
+    assert nodes[f"metro{ash}/pop[1-3]"]["blueprint"] == "FullMesh4" and nodes[f"metro{cedar}/dc[1-2]"]["attrs"]["mw_per_dc_region"] == 10.0
+    links = {}
+    for x in doc["network"]["links"]:
+        links.setdefault(x["attrs"]["link_type"], []).append(x)
+    # pairs within metros 3 + 1 + 1; data centres to sites 6 + 4 + 4; between metros 6 + 6 + 4
+    assert {k: len(v) for k, v in links.items()} == {"intra_metro": 5, "dc_to_pop": 14, "inter_metro_corridor": 16}
+    inner = [x["capacity"] for x in links["intra_metro"] if x["source"].startswith(f"metro{ash}/")]
+    assert inner == [100.0] * 3 and {x["capacity"] for x in links["inter_metro_corridor"]} == {25.0, 100.0}  # over four device links, or one
+    demands = doc["traffic_matrix_set"]["baseline_traffic_matrix"]
+    assert len(demands) == 12 * 2 * 3 and abs(sum(x["demand"] for x in demands) - 6 * 10 * 1000) < 0.5  # each is in hundredths
+    assert {r["name"] for r in doc["risk_groups"]} and all(r["attrs"]["distance_km"] > 80 for r in doc["risk_groups"])
+    before = (out / "scenario.yml").read_bytes()
+    assert main(["scenario", str(path), "-o", str(out)], spark) == 0 and (out / "scenario.yml").read_bytes() == before
+    path.write_text(yaml.safe_dump({**given, "traffic": {"gbps_per_mw": 0.0}}))
+    capsys.readouterr()
+    assert main(["scenario", str(path), "-o", str(out)], spark) == 3 and "matrix default: empty although traffic is enabled" in capsys.readouterr().out
