@@ -137,6 +137,7 @@ def test_validate(spark, tmp_path, capsys):
 def test_scenario(spark, tmp_path, capsys):
     given, out = given_files(tmp_path), tmp_path / "out"
     given |= {"traffic": {"model": "gravity", "mw_per_dc_region": 10.0, "gravity": {"exclude_same_metro": True}}, "build": {"build_overrides": [{"metros": "Ash", "pop_per_metro": 3, "site_blueprint": "FullMesh4"}]}}
+    given["corridors"] = {"k_nearest": 2, "risk_groups": {"exclude_metro_radius_shared": False}}  # the roads have no node outside the towns
     path = tmp_path / "config.yml"
     path.write_text(yaml.safe_dump(given))
     assert main(["scenario", str(path), "-o", str(out)], spark) == 0 and capsys.readouterr().out.endswith("scenario.yml: 0 issues\n")
