@@ -35,25 +35,30 @@ def directed(shapes: DataFrame, group: str | None = None, snap: float = 1e-6) ->
     A ring within an odd number of the polygon's other rings is a hole, and runs clockwise.
     """
 
+    def ways(parts) -> Iterator[np.ndarray]:
+        found = []
+        for part in () if parts is None else parts:
+            points = np.array([(p["x"], p["y"]) for p in part if p is not None and p["x"] is not None and p["y"] is not None], float).reshape(-1, 2)
+            xy = np.rint(points / snap).astype(np.int64)
+            xy = xy[(xy != np.roll(xy, 1, axis=0)).any(axis=1)]
+            if len(xy) > 2:
+                found.append(xy)
+        for i, xy in enumerate(found):
+            near = np.roll(xy, -1, axis=0)
+            off, ahead = xy - xy[0], near - xy[0]  # small, so that the area has no rounding
+            twice = int((off[:, 0].astype(object) * ahead[:, 1] - ahead[:, 0].astype(object) * off[:, 1]).sum())
+            if not twice:
+                continue
+            hole = len(found) > 1 and sum(contains([np.asarray(o, float)], *_beside(xy)) for k, o in enumerate(found) if k != i) % 2 == 1
+            yield np.hstack([near[::-1], xy[::-1]] if (twice > 0) == hole else [xy, near])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for key, parts in zip(frame[GROUP], frame["parts"]):
-                found = []
-                for part in () if parts is None else parts:
-                    points = np.array([(p["x"], p["y"]) for p in part if p is not None and p["x"] is not None and p["y"] is not None], float).reshape(-1, 2)
-                    xy = np.rint(points / snap).astype(np.int64)
-                    xy = xy[(xy != np.roll(xy, 1, axis=0)).any(axis=1)]
-                    if len(xy) > 2:
-                        found.append(xy)
-                for i, xy in enumerate(found):
-                    near = np.roll(xy, -1, axis=0)
-                    twice = int((xy[:, 0].astype(object) * near[:, 1] - near[:, 0].astype(object) * xy[:, 1]).sum())
-                    if not twice:
-                        continue
-                    hole = sum(contains([np.asarray(o, float)], *_beside(xy)) for k, o in enumerate(found) if k != i) % 2 == 1
-                    if (twice > 0) == hole:
-                        xy, near = near[::-1], xy[::-1]
-                    yield pd.DataFrame({GROUP: [key] * len(xy), "ax": xy[:, 0], "ay": xy[:, 1], "bx": near[:, 0], "by": near[:, 1]})
+            made = [(key, way) for key, parts in zip(frame[GROUP], frame["parts"]) for way in ways(parts)]
+            if made:
+                ends = np.concatenate([way for _, way in made])
+                keys = [key for key, way in made for _ in range(len(way))]
+                yield pd.DataFrame({GROUP: keys, **{c: ends[:, k] for k, c in enumerate(EDGE)}})
 
     rows = shapes.select((F.col(group).cast("string") if group else F.lit(None).cast("string")).alias(GROUP), "parts")
     return rows.mapInPandas(run, f"{GROUP} string, ax long, ay long, bx long, by long")

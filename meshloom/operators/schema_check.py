@@ -35,29 +35,32 @@ TYPES = {
 SAID = {"title", "description", "default", "examples", "$schema", "$id", "$defs", "$comment", "definitions", "deprecated", "readOnly", "writeOnly"}
 #: Rules that are read with another one.
 WITH = {"additionalProperties", "patternProperties"}
+#: Rules that ask for a value's text, its keys or its members.
+TEXT, KEYS, MEMBERS = {"pattern", "minLength", "maxLength"}, {"minProperties", "maxProperties", "required", "properties", "propertyNames"}, {"minItems", "maxItems", "uniqueItems", "items"}
 #: How deep references may lead into each other.
 DEPTH = 24
 
 
-def _is(value: Column, kind: str) -> Column:
-    """Whether a value has the type."""
-    own = F.schema_of_variant(value)
+def _is(own: Column, number: Column, kind: str) -> Column:
+    """Whether a value has the type, by the schema of its VARIANT and its number."""
     found = reduce(Column.__or__, (own.startswith(p) for p in TYPES[kind]))
     if kind == "integer":
-        number = F.try_variant_get(value, "$", "double")
         found = found & (number == F.floor(number))
     return F.coalesce(found, F.lit(False))
 
 
-def _at(name: str) -> str:
-    """Path of a key within an object."""
-    return "$['" + name.replace("'", "\\'") + "']"
+def _member(value: Column, name: str) -> Column:
+    """The value of a key within an object; paths have no way to write both kinds of quotes."""
+    if "'" in name and '"' in name:
+        return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
+    quote = '"' if "'" in name else "'"
+    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
 
 
 def _plain(value: Column) -> Column:
     """A value as text that equal values share: JSON, numbers as doubles."""
     number = F.try_variant_get(value, "$", "double")
-    return F.when(_is(value, "number"), number.cast("string")).otherwise(F.to_json(value))
+    return F.when(_is(F.schema_of_variant(value), number, "number"), number.cast("string")).otherwise(F.to_json(value))
 
 
 def _lit(value: object) -> Column:
@@ -97,10 +100,24 @@ class Compiler:
             return F.array(issue("false", "nothing is allowed here")).cast(ISSUES)
         if not isinstance(schema, Mapping):
             raise ValueError(f"no schema: {schema!r}")
+        # what rules ask of a value is found once, and held while they are tried
+        held = {
+            "own": F.schema_of_variant(value), "number": F.try_variant_get(value, "$", "double"), "text": F.try_variant_get(value, "$", "string"),
+            "keys": F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), "members": F.try_variant_get(value, "$", "array<variant>"),
+        }
+        needed = ["own", "number", *(["text"] if schema.keys() & TEXT else []), *(["keys"] if schema.keys() & KEYS else []), *(["members"] if schema.keys() & MEMBERS else [])]
+        bound = F.struct(value.alias("value"), path.alias("path"), *[held[n].alias(n) for n in needed])
+        return F.flatten(F.transform(F.array(bound), lambda s: self._rules(schema, s["value"], s["path"], {n: s[n] for n in needed}, depth)))
+
+    def _rules(self, schema: Mapping, value: Column, path: Column, held: Mapping[str, Column], depth: int) -> Column:
+        """What of a value breaks each rule of the schema, from what is held of it."""
+        none = F.array().cast(ISSUES)
+        issue = lambda rule, message, at=path: F.struct(at.alias("path"), F.lit(rule).alias("rule"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
         single, many = [], []
-        breaks = lambda kind, rule, message, broken: single.append(F.when(_is(value, kind) & F.coalesce(broken, F.lit(False)), issue(rule, message)))
-        number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
-        keys, members = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), F.try_variant_get(value, "$", "array<variant>")
+        number, text, keys, members = (held.get(n) for n in ("number", "text", "keys", "members"))
+        is_ = lambda kind: _is(held["own"], number, kind)
+        plain = F.when(is_("number"), number.cast("string")).otherwise(F.to_json(value))
+        breaks = lambda kind, rule, message, broken: single.append(F.when(is_(kind) & F.coalesce(broken, F.lit(False)), issue(rule, message)))
         down = lambda s, v, p: self.issues(s, v, p, depth + 1)
         passes = lambda s: F.size(F.filter(down(s, value, path), lambda x: x.isNotNull())) == 0
         for rule, want in schema.items():
@@ -110,11 +127,11 @@ class Compiler:
                 kinds = [want] if isinstance(want, str) else list(want)
                 if unknown := [k for k in kinds if k not in TYPES]:
                     raise ValueError(f"unknown type: {unknown[0]}")
-                single.append(F.when(~reduce(Column.__or__, (_is(value, k) for k in kinds)), issue(rule, f"not {' or '.join(kinds)}")))
+                single.append(F.when(~reduce(Column.__or__, (is_(k) for k in kinds)), issue(rule, f"not {' or '.join(kinds)}")))
             elif rule == "enum":
-                single.append(F.when(~_plain(value).isin(*[_lit(v) for v in want]), issue(rule, f"none of {json.dumps(want)}")))
+                single.append(F.when(~plain.isin(*[_lit(v) for v in want]), issue(rule, f"none of {json.dumps(want)}")))
             elif rule == "const":
-                single.append(F.when(_plain(value) != _lit(want), issue(rule, f"not {json.dumps(want)}")))
+                single.append(F.when(plain != _lit(want), issue(rule, f"not {json.dumps(want)}")))
             elif rule in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"):
                 says, broken = {
                     "minimum": ("under", number < want), "maximum": ("over", number > want),
@@ -130,9 +147,9 @@ class Compiler:
             elif rule in ("minItems", "maxItems"):
                 breaks("array", rule, f"{'under' if rule == 'minItems' else 'over'} {want} items", F.size(members) < want if rule == "minItems" else F.size(members) > want)
             elif rule == "uniqueItems":
-                plain = F.transform(members, _plain)
+                each = F.transform(members, _plain)
                 if want:
-                    breaks("array", rule, "an item is there twice", F.size(F.array_distinct(plain)) < F.size(plain))
+                    breaks("array", rule, "an item is there twice", F.size(F.array_distinct(each)) < F.size(each))
             elif rule in ("minProperties", "maxProperties"):
                 breaks("object", rule, f"{'under' if rule == 'minProperties' else 'over'} {want} keys", F.size(keys) < want if rule == "minProperties" else F.size(keys) > want)
             elif rule == "required":
@@ -140,15 +157,15 @@ class Compiler:
                     breaks("object", rule, f"{name} is missing", ~F.array_contains(keys, name))
             elif rule == "properties":
                 for name, inner in want.items():
-                    member = F.try_variant_get(value, _at(name), "variant")
-                    many.append(F.when(_is(value, "object") & F.array_contains(keys, name), down(inner, member, F.concat(path, F.lit(f".{name}")))))
+                    member = _member(value, name)
+                    many.append(F.when(is_("object") & F.array_contains(keys, name), down(inner, member, F.concat(path, F.lit(f".{name}")))))
             elif rule == "propertyNames":
                 bad = F.filter(keys, lambda k: ~k.rlike(want["pattern"]))
-                many.append(F.when(_is(value, "object"), F.transform(bad, lambda k: issue(rule, F.concat(k, F.lit(f" doesn't match {want['pattern']}"))))))
+                many.append(F.when(is_("object"), F.transform(bad, lambda k: issue(rule, F.concat(k, F.lit(f" doesn't match {want['pattern']}"))))))
             elif rule == "items":
                 indexed = F.transform(members, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
                 inside = F.transform(indexed, lambda x: down(want, x["v"], F.concat(path, F.lit("["), x["i"].cast("string"), F.lit("]"))))
-                many.append(F.when(_is(value, "array"), F.flatten(inside)))
+                many.append(F.when(is_("array"), F.flatten(inside)))
             elif rule == "allOf":
                 many += [down(s, value, path) for s in want]
             elif rule == "anyOf":
@@ -167,14 +184,14 @@ class Compiler:
         named = lambda p: lambda e: e["key"].rlike(p)
         inner = lambda s: lambda e: down(s, e["value"], F.concat(path, F.lit("."), e["key"]))
         for pattern, s in patterns.items():
-            many.append(F.when(_is(value, "object"), F.flatten(F.transform(F.filter(rest, named(pattern)), inner(s)))))
+            many.append(F.when(is_("object"), F.flatten(F.transform(F.filter(rest, named(pattern)), inner(s)))))
         more = schema.get("additionalProperties", True)
         if more is not True and more != {}:
             known = [F.lit(k) for k in schema.get("properties", {})]
             free = lambda k: reduce(Column.__and__, [~k.rlike(p) for p in patterns], ~k.isin(*known) if known else F.lit(True))
             other = F.filter(rest, lambda e: free(e["key"]))
             found = F.transform(other, lambda e: issue("additionalProperties", F.concat(e["key"], F.lit(" is not a known key")))) if more is False else F.flatten(F.transform(other, inner(more)))
-            many.append(F.when(_is(value, "object"), found))
+            many.append(F.when(is_("object"), found))
         arrays = ([F.array(*single).cast(ISSUES)] if single else []) + [F.coalesce(m.cast(ISSUES), none) for m in many]
         return F.concat(*arrays) if arrays else none
 

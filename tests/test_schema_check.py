@@ -109,9 +109,9 @@ def test_odd_documents(spark):
     assert got == [(0, "$", "type"), (0, "$", "type"), (1, "$", "json"), (2, "$", "json"), (3, "$", "json")]
     assert schema_check.check(rows.where("false"), SCHEMA).count() == 0
     assert schema_check.check(rows.where("key IS NULL"), {}).count() == 0 and schema_check.check(rows.where("key IS NULL"), {"additionalProperties": True}).count() == 0
-    quoted = spark.createDataFrame([(1, json.dumps({"it's": 1, 'a"b': 2, "a.b": "x"}))], "key int, text string")
-    s = {"properties": {"it's": {"type": "string"}, 'a"b': {"minimum": 3}, "a.b": {"type": "number"}}, "additionalProperties": False}
-    assert sorted(r.path for r in schema_check.check(quoted, s).collect()) == ['$.a"b', "$.a.b", "$.it's"]
+    quoted = spark.createDataFrame([(1, json.dumps({"it's": 1, 'a"b': 2, "a.b": "x", "'\"": 0}))], "key int, text string")
+    s = {"properties": {"it's": {"type": "string"}, 'a"b': {"minimum": 3}, "a.b": {"type": "number"}, "'\"": {"const": 1}}, "additionalProperties": False}
+    assert sorted(r.path for r in schema_check.check(quoted, s).collect()) == ["$.'\"", '$.a"b', "$.a.b", "$.it's"]
 
 
 @pytest.mark.parametrize("schema, message", [
