@@ -7,6 +7,7 @@ value of another kind. What is per metro becomes tables, for :mod:`meshloom.oper
 from __future__ import annotations
 
 import copy
+from decimal import Decimal
 from typing import Any
 
 import yaml
@@ -88,8 +89,8 @@ CHOICES = {
 def whole(value: Any, where: str) -> int:
     """A whole number, also from text such as ``12_800`` or ``3200.0``; decimals are cut off."""
     try:
-        return int(float(value.replace("_", ""))) if isinstance(value, str) else int(value)
-    except (TypeError, ValueError) as e:
+        return int(Decimal(value.replace("_", ""))) if isinstance(value, str) else int(value)
+    except (TypeError, ValueError, ArithmeticError) as e:
         raise ValueError(f"{where} is no whole number: {value!r}") from e
 
 

@@ -158,3 +158,10 @@ def test_rules_on_devices_and_conditions(spark):
     assert names(("s", "!=", "b")) == ["p1/g/leaf11", "p2/g/leaf1"] and len(names()) == 3
     with pytest.raises(ValueError):
         expand.match([("a", "~", "b")])
+
+
+def test_whole_numbers_as_text():
+    assert [config.whole(v, "x") for v in ("9007199254740993", "12_800", "3200.0", 7.9)] == [9007199254740993, 12800, 3200, 7]
+    for bad in ("inf", "nan", "many", float("inf"), None):
+        with pytest.raises(ValueError, match="x is no whole number"):
+            config.whole(bad, "x")
