@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from meshloom.session import cut
 
@@ -288,41 +289,106 @@ def is_connected(pdf: pd.DataFrame, without: Iterator = ()) -> bool:
     return len(seen) == len(near)
 
 
-def articulation_points(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Nodes ``node`` whose removal parts what was connected: those where two blocks of edges meet.
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(a, b)`` that connect what the given ones (``a < b``, distinct) do, without rings, and ``(node, root)`` with each tree's smallest node.
 
-    A forest of shortest ways down from each component's smallest node is grown by rounds.
-    Every other edge closes a ring with the ways from its ends up to where they meet; edges
-    that rings join are one block, which is a component of rings and edges. Rows are at most
-    the edges times the depth, and rounds the depth.
+    Every part picks its first edge to another part; picks never close a ring, as edges have
+    one order. Parts at least halve in number each round.
+    """
+    nodes = both_ways(edges).select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+    left, picked = edges.select("a", "b", F.col("a").alias("pa"), F.col("b").alias("pb")), []
+    while not left.isEmpty():
+        first = both_ways(left, "pa", "pb", "a", "b", "pa", "pb").groupBy("u").agg(F.min(F.struct("a", "b", "pa", "pb")).alias("m"))
+        picks = cut(first.select("m.*").distinct())
+        picked.append(picks.select("a", "b"))
+        parts = cut(connected_components(picks, "pa", "pb"))
+        left = left.join(parts.toDF("pa", "ra"), "pa").join(parts.toDF("pb", "rb"), "pb")
+        left = cut(left.where("ra <> rb").select("a", "b", F.col("ra").alias("pa"), F.col("rb").alias("pb")))
+        nodes = cut(nodes.join(parts.toDF("root", "r"), "root", "left").select("node", F.coalesce("r", "root").alias("root")))
+    forest = picked[0] if picked else edges.select("a", "b")
+    for more in picked[1:]:
+        forest = forest.unionByName(more)
+    return forest, nodes
+
+
+def euler_tour(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(root, node, up, start, end)`` of every node but the roots: where a walk around its tree enters and leaves what hangs on it.
+
+    At a node the walk goes on to the next neighbour after the one it came from. Its steps are
+    numbered by doubling: each knows a step further on and how far that is. Numbers count up
+    to 0 at a tree's last step, and those of ``start`` and ``end`` lie around all below a node.
+    """
+    order = W.partitionBy("u").orderBy("v")
+    turns = both_ways(forest).select("u", "v", F.lead("v").over(order).alias("onward"), F.first("v").over(order).alias("first"))
+    turns = turns.join(roots.select(F.col("node").alias("u"), "root"), "u")
+    last = F.col("onward").isNull() & (F.col("u") == F.col("root"))
+    after = F.when(~last, F.struct(F.col("u").alias("x"), F.coalesce("onward", "first").alias("y")))
+    steps = cut(turns.select("root", F.struct(F.col("v").alias("x"), F.col("u").alias("y")).alias("step"), after.alias("next"), F.when(last, 0).otherwise(1).cast("long").alias("far")))
+    while not (going := steps.where("next IS NOT NULL")).isEmpty():
+        target = steps.select(F.col("step").alias("next"), F.col("next").alias("next2"), F.col("far").alias("far2"))
+        moved = going.join(target, "next").select("root", "step", F.col("next2").alias("next"), (F.col("far") + F.col("far2")).alias("far"))
+        steps = cut(steps.where("next IS NULL").unionByName(moved))
+    ways = steps.groupBy("root", F.least("step.x", "step.y").alias("p"), F.greatest("step.x", "step.y").alias("q"))
+    down = ways.agg(F.max(F.struct("far", "step")).alias("m"), F.min("far").alias("left"))
+    return down.select("root", F.col("m.step.y").alias("node"), F.col("m.step.x").alias("up"), (-F.col("m.far")).alias("start"), (-F.col("left")).alias("end"))
+
+
+def range_extremes(values: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(node, low, high)``: extremes of ``values`` ``(root, pos, low, high)``, one at every ``pos`` of a root, in ``ranges`` ``(root, node, start, end)``.
+
+    A range is covered by two of a power of two in width, whose extremes are built up by
+    doubling; only one width is held at a time.
+    """
+    width = F.floor(F.log2((F.col("end") - F.col("start") + 1).cast("double"))).cast("int")
+    asked = cut(ranges.select("root", "node", width.alias("w"), F.explode(F.array("start", F.col("end") + 1 - F.pow(F.lit(2.0), width).cast("long"))).alias("pos")))
+    widest = asked.agg(F.max("w")).first()[0]
+    found = []
+    for w in range(0 if widest is None else widest + 1):
+        found.append(cut(asked.where(F.col("w") == w).join(values, ["root", "pos"]).select("node", "low", "high")))
+        ahead = values.select("root", (F.col("pos") - (1 << w)).alias("pos"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        values = cut(values.join(ahead, ["root", "pos"]).select("root", "pos", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high")))
+    rows = asked.select("node", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+    for more in found:
+        rows = rows.unionByName(more)
+    return rows.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def blocks(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``(a, b, block)``: edges of a spanning forest, of which those of one block have the same ``block``, a node.
+
+    Two edges are in one block if a ring holds both. An edge is named by its lower end. With the
+    positions of a walk around the tree, an edge off the tree joins its ends' edges if neither
+    is above the other, and a tree edge joins the one above if an edge off the tree leads from
+    below it to outside of what hangs on its upper end. Rounds grow with the logarithm of the
+    graph, whatever its depth, and rows with its edges. A node's neighbours in the tree are
+    sorted in one task, which spills.
     """
     e = cut(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    step = cut(both_ways(e))
-    tree = cut(connected_components(e).where("node = root").select("node", F.lit(None).cast(e.schema["a"].dataType).alias("up"), F.lit(0).alias("depth")))
-    front = tree
-    while not front.isEmpty():
-        new = front.join(step, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("up"), F.first(F.col("depth") + 1).alias("depth"))
-        front = cut(new.join(tree.select("node"), "node", "left_anti"))
-        tree = cut(tree.unionByName(front))
-    above = tree.select(F.col("node").alias("x"), "up", "depth")
-    down = tree.where("up IS NOT NULL").select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b"))
-    rest = e.join(down, ["a", "b"], "left_anti").select(F.concat_ws("~", "a", "b").alias("ring"), F.col("a").alias("p"), F.col("b").alias("q"))
-    rest, passed = cut(rest), []
-    while not rest.isEmpty():
-        # the deeper end goes up one edge; of ends of one depth both do
-        both = rest.join(above.toDF("p", "p_up", "p_depth"), "p").join(above.toDF("q", "q_up", "q_depth"), "q")
-        go_p, go_q = F.col("p_depth") >= F.col("q_depth"), F.col("q_depth") >= F.col("p_depth")
-        both = cut(both.select("ring", "p", "q", F.when(go_p, F.col("p_up")).otherwise(F.col("p")).alias("p2"), F.when(go_q, F.col("q_up")).otherwise(F.col("q")).alias("q2")))
-        passed += [both.where("p2 <> p").select("ring", F.col("p").alias("x")), both.where("q2 <> q").select("ring", F.col("q").alias("x"))]
-        rest = cut(both.where("p2 <> q2").select("ring", F.col("p2").alias("p"), F.col("q2").alias("q")))
-    links = passed[0] if passed else step.select(F.lit("").alias("ring"), F.col("u").alias("x")).where("false")
-    for more in passed[1:]:
-        links = links.unionByName(more)
-    label = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    blocks = connected_components(links.select(label("r", "ring").alias("a"), label("e", "x").alias("b")))
-    below = tree.where("up IS NOT NULL").withColumn("key", label("e", "node"))
-    own = below.join(blocks.toDF("key", "root"), "key", "left").select("node", "up", F.coalesce("root", "key").alias("block"))
-    met = own.select(F.explode(F.array("node", "up")).alias("node"), "block").distinct()
+    forest, roots = spanning_forest(e)
+    walk = cut(euler_tour(forest, roots))
+    outer = roots.where("node = root").select("root", "node", F.lit(None).cast(e.schema["a"].dataType).alias("up"), F.lit(-(1 << 62)).alias("start"), F.lit(1).cast("long").alias("end"))
+    placed = walk.unionByName(outer)
+    at = placed.select("node", "start", "end")
+    tree = walk.select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b"))
+    off = e.join(tree, ["a", "b"], "left_anti").join(at.toDF("a", "a1", "a2"), "a").join(at.toDF("b", "b1", "b2"), "b")
+    off = cut(off)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b1").alias("to")), F.struct(F.col("b").alias("node"), F.col("a1").alias("to"))))
+    reach = off.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.to").alias("low"), F.max("e.to").alias("high"))
+    own = walk.join(reach, "node", "left")
+    nothing = F.lit(None).cast("long")
+    steps = own.select("root", F.explode(F.array(F.struct(F.col("start").alias("pos"), "low", "high"), F.struct(F.col("end").alias("pos"), nothing.alias("low"), nothing.alias("high")))).alias("s"))
+    below = range_extremes(cut(steps.select("root", "s.*")), walk)
+    above = walk.join(below, "node").join(walk.select(F.col("node").alias("up"), F.col("start").alias("u1"), F.col("end").alias("u2")), "up")
+    same = above.where("low < u1 OR high > u2").select(F.col("node").alias("a"), F.col("up").alias("b"))
+    same = same.unionByName(off.where("a1 > b2 OR b1 > a2").select("a", "b"))
+    joined = cut(connected_components(cut(same)))
+    named = walk.join(joined.toDF("node", "block"), "node", "left")
+    return named.select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b"), F.coalesce("block", "node").alias("block"))
+
+
+def articulation_points(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Nodes ``node`` whose removal parts what was connected: those where two :func:`blocks` of edges meet."""
+    met = both_ways(blocks(edges, a, b), "a", "b", "block").select(F.col("u").alias("node"), "block").distinct()
     return met.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
 
 

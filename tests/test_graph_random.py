@@ -74,6 +74,34 @@ def test_articulation_points_and_cut_sets(spark, seed):
         assert sorted(sorted(r.nodes) for r in graph.cut_sets(e, 2, 6).collect()) == sets
 
 
+def test_blocks_of_deep_graphs(spark, monkeypatch):
+    """Rings on a long chain, with chords: blocks and points against plain enumeration, in far fewer rounds than the depth."""
+    rows, rng, n = [], np.random.default_rng(5), 0
+    for width in (1, 30, 1, 1, 12, 1, 40, 1):  # a chain of rings and bridges
+        first = n
+        for i in range(width):
+            rows.append((f"d{n:03d}", f"d{n + 1:03d}", 1.0))
+            n += 1
+        if width > 1:
+            rows.append((f"d{first:03d}", f"d{n:03d}", 1.0))
+            rows += [(f"d{first + i:03d}", f"d{first + j:03d}", 1.0) for i, j in rng.integers(0, width, (3, 2)) if abs(i - j) > 1]
+    rows += [("s0", f"s{i}", 1.0) for i in range(1, 6)] + [("s1", "s2", 1.0)]
+    of = near(rows)
+    nodes, base, rounds = set(of), parts(set(of), of), []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: rounds.append(1) or real(df))
+    found = [tuple(r) for r in graph.blocks(spark.createDataFrame(rows, EDGE)).collect()]
+    assert len(rounds) < 90 and len(found) == len(nodes) - base
+    at = defaultdict(set)
+    for a, b, block in found:
+        at[a].add(block)
+        at[b].add(block)
+    assert {x for x in nodes if len(at[x]) > 1} == {x for x in nodes if parts(nodes - {x}, of) > base}
+    # a block's nodes stay in one part whichever of them is taken out
+    for block in {r[2] for r in found}:
+        inside = {x for x in nodes if block in at[x]}
+        assert all(parts(inside - {x}, {y: set(of[y]) & inside for y in inside}) <= 1 for x in inside)
+
+
 def test_long_chains_rings_and_loops(spark):
     """A chain of 40 edges, a ring of 9 nodes, a loop from a junction back to itself, and parallel chains."""
     rows = [(f"c{i:02d}", f"c{i + 1:02d}", 1.0) for i in range(40)]
