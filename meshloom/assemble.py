@@ -97,13 +97,17 @@ def _site_edges(spark: SparkSession, config: dict, made: dict[str, DataFrame]) -
     return edges.join(own, ["metro_idx", "family"], "left").withColumn("base_capacity", F.coalesce("_capacity", "base_capacity")).select(*parts[0].columns)
 
 
+def _blueprints(made: dict[str, DataFrame]) -> DataFrame:
+    """The blueprint of every site: ``(node, blueprint)``."""
+    placed = sites.nodes(made["placed"]).join(made["placed"].select("metro_idx", "site_blueprint", "dc_blueprint"), "metro_idx")
+    return placed.select("node", F.when(F.col("kind") == "pop", F.col("site_blueprint")).otherwise(F.col("dc_blueprint")).alias("blueprint"))
+
+
 def _links(spark: SparkSession, config: dict, made: dict[str, DataFrame]) -> DataFrame:
     """The scenario's links: each site link with the capacity of one of its device links."""
     if config["build"]["tm_sizing"]["enabled"]:
         raise ValueError("build.tm_sizing is not done by this command")
-    placed = sites.nodes(made["placed"]).join(made["placed"].select("metro_idx", "site_blueprint", "dc_blueprint"), "metro_idx")
-    own = placed.select("node", F.when(F.col("kind") == "pop", F.col("site_blueprint")).otherwise(F.col("dc_blueprint")).alias("blueprint"))
-    counts = expand.link_counts(made["site_edges"], own, expand.blueprint_tables(spark)[0])
+    counts = expand.link_counts(made["site_edges"], _blueprints(made), expand.blueprint_tables(spark)[0])
     return scenario.links(made["site_edges"], expand.per_link_capacity(made["site_edges"], counts, check=True))
 
 
@@ -152,9 +156,13 @@ def issues(spark: SparkSession, config: dict, made: dict[str, DataFrame], path:
     nodes = sites.nodes(made["placed"]).select("node")
     broken = schema_check.check(documents.read(spark, path), SCHEMA, "path", "text")
     matrix = spark.createDataFrame([(config["traffic"]["matrix_name"],)], "name string")
+    groups, inner = expand.blueprint_tables(spark)
+    own = _blueprints(made)
+    used = inner.join(own.select("blueprint"), "blueprint", "left_semi")
     return audits.combine(
         audits.no_groups(made["groups"]), audits.isolated(nodes, made["site_edges"]), audits.positive_demands(made["demands"]),
         audits.empty_matrices(matrix, made["demands"].withColumn("matrix", F.lit(config["traffic"]["matrix_name"])), config["traffic"]["enabled"]),
+        audits.empty_groups(own, groups), audits.empty_links(made["site_edges"], expand.link_counts(made["site_edges"], own, groups)), audits.empty_blueprint_links(groups, used),
         audits.issues(broken, "schema", "path", F.concat_ws(": ", "rule", "message")),
     )
 

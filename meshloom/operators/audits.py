@@ -136,6 +136,112 @@ def empty_expansions(rules: DataFrame, expanded: DataFrame, key: str = "rule") -
     return issues(rules.join(expanded.select(key).distinct(), key, "left_anti"), "empty", key, "expands to nothing")
 
 
+def role_hardware(nodes: DataFrame, mapping: DataFrame, components: DataFrame) -> DataFrame:
+    """Hardware of nodes ``(node, role, component)`` as the roles of ``mapping`` ``(role, component)`` ask for it.
+
+    Roles that nodes have and the mapping lacks, once each; nodes of a mapped role without
+    hardware, or with an unknown component. A role mapped to null or blank is exempt, nodes
+    without a role are another audit's, and an empty mapping asks for nothing.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    given = mapping.groupBy(F.trim("role").alias("role")).agg(F.max("component").alias("wanted"))
+    any_ = F.broadcast(given.agg(F.count("*").alias("n_given")).where("n_given > 0"))  # one row or none
+    rows = nodes.select("node", F.trim("role").alias("role"), F.trim("component").alias("component")).where(~blank(F.col("role")))
+    unmapped = rows.select("role").distinct().join(given, "role", "left_anti").join(any_, F.lit(True), "left_semi")
+    known = components.select(F.trim("name").alias("component"), F.lit(True).alias("known")).distinct()
+    judged = rows.join(given.where(~blank(F.col("wanted"))), "role").join(known, "component", "left")
+    text = F.when(blank(F.col("component")), F.concat(F.lit("no hardware for role "), "role")).when(F.col("known").isNull(), F.concat(F.lit("unknown component "), "component"))
+    return combine(issues(unmapped, "role_hardware", "role", "no mapping for role"), issues(judged.withColumn("m", text).where("m IS NOT NULL"), "role_hardware", "node", F.col("m")))
+
+
+def declared_optics(rules: DataFrame) -> DataFrame:
+    """``(role_a, role_b, optic)``: all that rules ``(pair, optic)`` say of each direction.
+
+    ``a-b`` holds one way. ``a|b`` holds both ways if it is the only rule of the two roles
+    with a bar, else as written. Rules without two roles or an optic say nothing.
+    """
+    bar = F.contains("pair", F.lit("|"))
+    part = lambda k: F.trim(F.when(bar, F.split("pair", r"\|", 2)[k]).otherwise(F.get(F.split("pair", "-", 2), k)))
+    rows = rules.select(bar.alias("bar"), part(0).alias("a"), part(1).alias("b"), "optic").where("a <> '' AND b <> '' AND optic IS NOT NULL")
+    two = rows.where("bar").groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "optic")).alias("m"))
+    back = two.where("n = 1").select(F.col("m.b").alias("a"), F.col("m.a").alias("b"), F.col("m.optic").alias("optic"))
+    return rows.select("a", "b", "optic").unionByName(back).distinct().toDF("role_a", "role_b", "optic")
+
+
+def optic_conflicts(rules: DataFrame) -> DataFrame:
+    """Directions for which rules name different optics."""
+    found = declared_optics(rules).groupBy("role_a", "role_b").agg(F.sort_array(F.collect_set("optic")).alias("all")).where(F.size("all") > 1)
+    return issues(found, "optic_conflicts", F.concat_ws("|", "role_a", "role_b"), F.concat(F.lit("conflicting optics "), F.array_join("all", ", ")))
+
+
+def link_hardware(links: DataFrame, roles: DataFrame, rules: DataFrame, components: DataFrame, samples: int = 3) -> DataFrame:
+    """What the hardware at the ends of links ``(adjacency_id, u, v, capacity, u_component, u_count, v_component, v_count)`` lacks.
+
+    With hardware at one end, the other's absence; with both, unknown components, and ends with
+    less capacity than the link has (unknown and blank ones have none; a null count is 1). With
+    none, the hardware that a rule asks for, or the rule's own absence, for each end. Without any
+    rule nothing is asked for, and links of a node without a role aren't judged. One issue for
+    each kind and pair of roles, seen from the end at fault: number of links, and the first adjacencies by name.
+    """
+    declared = declared_optics(rules).select("role_a", "role_b").distinct().withColumn("asked", F.lit(True))
+    r = roles.select("node", F.trim("role").alias("role")).where("role <> ''")
+    c = components.groupBy(F.trim("name").alias("name")).agg(F.max("capacity").alias("each"))
+    end = lambda x: (
+        c.select(F.col("name").alias(f"{x}_name"), F.coalesce("each", F.lit(0.0)).alias(f"{x}_each"), F.lit(True).alias(f"{x}_known")), F.trim(f"{x}_component") == F.col(f"{x}_name"), "left"
+    )
+    rows = links.join(r.toDF("u", "ra"), "u").join(r.toDF("v", "rb"), "v").join(F.broadcast(declared.limit(1).select("asked").toDF("any")), F.lit(True))  # one row or none
+    rows = rows.join(*end("u")).join(*end("v"))
+    rows = rows.join(declared.toDF("ra", "rb", "u_asked"), ["ra", "rb"], "left").join(declared.toDF("rb", "ra", "v_asked"), ["ra", "rb"], "left")
+    has_u, has_v = F.col("u_component").isNotNull(), F.col("v_component").isNotNull()
+    fitted = has_u & has_v
+    unknown = lambda x: fitted & (F.trim(f"{x}_component") != "") & F.col(f"{x}_known").isNull()
+    room = lambda x: F.coalesce(F.col(f"{x}_each") * F.coalesce(f"{x}_count", F.lit(1.0)), F.lit(0.0)) + EPSILON < F.coalesce("capacity", F.lit(0.0))
+    bare = ~has_u & ~has_v
+    kinds = [
+        (has_v & ~has_u, "hardware only at the target", False), (has_u & ~has_v, "hardware only at the source", True),
+        (unknown("u"), "unknown component at the source", False), (unknown("v"), "unknown component at the target", True),
+        (fitted & (room("u") | room("v")), "hardware too small", False),
+        (bare & F.col("u_asked").isNotNull(), "no hardware at the source, which a rule asks for", False), (bare & F.col("u_asked").isNull(), "no rule for the source", False),
+        (bare & F.col("v_asked").isNotNull(), "no hardware at the target, which a rule asks for", True), (bare & F.col("v_asked").isNull(), "no rule for the target", True),
+    ]
+    pair = lambda back: (F.col("rb"), F.col("ra")) if back else (F.col("ra"), F.col("rb"))
+    found = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(kind).alias("kind"), F.concat_ws("|", *pair(back)).alias("pair"))) for when, kind, back in kinds]))
+    bad = rows.select(F.explode(found).alias("f"), F.nullif(F.trim("adjacency_id"), F.lit("")).alias("adjacency")).select("f.*", "adjacency")
+    counted = bad.groupBy("kind", "pair", "adjacency").agg(F.count("*").alias("n"))  # shuffles adjacencies, not links
+    first = counted.where("adjacency IS NOT NULL").withColumn("k", F.row_number().over(W.partitionBy("kind", "pair").orderBy("adjacency"))).where(F.col("k") <= samples)
+    some = first.groupBy("kind", "pair").agg(F.array_join(F.array_sort(F.collect_list("adjacency")), ", ").alias("some"))
+    total = counted.groupBy("kind", "pair").agg(F.sum("n").alias("n")).join(some, ["kind", "pair"], "left")
+    return issues(total, "link_hardware", "pair", F.concat("kind", F.lit(": "), F.col("n"), F.coalesce(F.concat(F.lit(" ("), "some", F.lit(")")), F.lit(""))))
+
+
+def empty_groups(sites: DataFrame, groups: DataFrame) -> DataFrame:
+    """Sites ``(node, blueprint)`` from whose blueprint no device comes, unknown blueprints among them."""
+    size = groups.where("n > 0").select("blueprint").distinct()
+    return issues(sites.join(size, "blueprint", "left_anti"), "expansion", "node", "group expands to 0 nodes")
+
+
+def empty_links(site_edges: DataFrame, counts: DataFrame) -> DataFrame:
+    """Site links from which no device link comes, by ``counts`` ``(edge_key, n_links)``; an edge without a count has none."""
+    rows = site_edges.join(counts.where("n_links > 0"), "edge_key", "left_anti")
+    return issues(rows, "expansion", "edge_key", F.concat(F.lit("link expands to 0 links ("), "u", F.lit(" to "), "v", F.lit(")")))
+
+
+def empty_blueprint_links(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of blueprints from which nothing would come in any site, by the groups' numbers of devices and without expanding.
+
+    A mesh within a group takes two devices, a numbered pair ``i:j`` as many as its numbers,
+    anything else one at each end; a group that doesn't exist has none.
+    """
+    size = groups.groupBy("blueprint", "grp").agg(F.sum(F.greatest("n", F.lit(0))).alias("n"))
+    rows = links.join(size.toDF("blueprint", "src_grp", "na"), ["blueprint", "src_grp"], "left").join(size.toDF("blueprint", "dst_grp", "nb"), ["blueprint", "dst_grp"], "left")
+    numbers = F.split("pattern", ":")
+    paired = F.col("pattern").rlike("^[0-9]+:[0-9]+$")
+    least = lambda k: F.when(paired, numbers[k].cast("long")).when((F.col("pattern") == "mesh") & (F.col("src_grp") == F.col("dst_grp")), 2).otherwise(1)
+    numbered = F.coalesce(F.when(paired, (numbers[0].cast("long") > 0) & (numbers[1].cast("long") > 0)), F.lit(True))
+    made = (F.coalesce("na", F.lit(0)) >= least(0)) & (F.coalesce("nb", F.lit(0)) >= least(1)) & numbered
+    return issues(rows.where(~made), "expansion", "blueprint", F.concat(F.lit("link expands to 0 links ("), "src_grp", F.lit(" to "), "dst_grp", F.lit(", "), "pattern", F.lit(")")))
+
+
 def missing_roles(nodes: DataFrame, samples: int = 5) -> DataFrame:
     """One issue with the number of nodes without a role and the first few; none if all have one."""
     bare = nodes.where("role IS NULL OR role = ''")
