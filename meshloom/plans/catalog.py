@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshloom.plans import audit_queries, document_queries, metro_queries, overlay_queries, road_queries, scenario_queries, settings_queries, site_queries, traffic_queries
+from meshloom.plans import audit_queries, document_queries, metro_queries, overlay_queries, road_queries, scenario_queries, settings_queries, site_queries, traffic_queries, tree_queries
 
 FLAGSHIP = "gravity_demands"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PARTS = (road_queries, metro_queries, traffic_queries, site_queries, scenario_queries, settings_queries, overlay_queries, document_queries, audit_queries)
+_PARTS = (road_queries, metro_queries, traffic_queries, site_queries, scenario_queries, settings_queries, overlay_queries, document_queries, audit_queries, tree_queries)
 
 
 def queries() -> dict[str, Query]:

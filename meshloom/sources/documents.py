@@ -30,7 +30,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def one(spark: SparkSession, path: str) -> dict:
     """The mapping in one file."""
-    found = json.loads(read(spark, path).first().text or "null")
+    row = read(spark, path).first()  # none of an empty file
+    found = json.loads((row.text if row else None) or "null")
     if not isinstance(found, dict):
         raise ValueError(f"{path} is no mapping")
     return found
