@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window as W
 from meshloom.functions.numeric import cell, distance
 from meshloom.functions.polygon import polygons_intersect, representative_point
 from meshloom.functions.text import sanitize
+from meshloom.session import cut
 
 
 def with_radius(areas: DataFrame, max_radius_km: float = 100.0) -> DataFrame:
@@ -67,24 +69,72 @@ def named(metros: DataFrame) -> DataFrame:
     return metros.withColumn("name", sanitize(F.col("name_orig")))
 
 
+#: Cells are this much wider than the distance searched, so that points just as far apart are never two cells off.
+WIDER = 1 + 1e-9
+
+
+def _around(points: DataFrame, targets: DataFrame, wide: float) -> DataFrame:
+    """``(a, b, d)``: points with all targets in the nine cells around, which hold all within ``wide``; both are ``(id, x, y)``."""
+    wide *= WIDER
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    spread = points.withColumn("dx", step).withColumn("dy", step).select(
+        F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (cell(F.col("x"), wide) + F.col("dx")).alias("gx"), (cell(F.col("y"), wide) + F.col("dy")).alias("gy")
+    )
+    placed = targets.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell(F.col("x"), wide).alias("gx"), cell(F.col("y"), wide).alias("gy"))
+    return spread.join(placed, ["gx", "gy"]).where("a <> b").select("a", "b", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("d"))
+
+
+#: Width in metres under which cells aren't halved any more, and targets in a cell that aren't worth halving it.
+FINEST, FEW = 1.0, 48
+
+
+def nearest(points: DataFrame, k: int, limit: float) -> DataFrame:
+    """``(a, b, d, r)``: the ``k`` nearest others of every point ``(id, x, y)`` within ``limit`` metres, ranked by distance and id.
+
+    Cells start so small that none holds many targets. A point that finds ``k`` others
+    no farther than a cell is wide has its nearest, as the nine cells around hold all of these;
+    the others go on with cells twice as wide, up to the limit. So what is compared follows the
+    density around a point, not the limit. Of targets at one place the ``k + 1`` first by id are
+    all that can be among the ``k`` nearest of any point. Points without a place have none.
+    """
+    points = points.where("x IS NOT NULL AND y IS NOT NULL")
+    targets = points.withColumn("r", F.row_number().over(W.partitionBy("x", "y").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
+    halvings = 0
+    while limit / 2**halvings > FINEST:
+        wide = limit / 2**halvings
+        most = targets.groupBy(cell(F.col("x"), wide), cell(F.col("y"), wide)).count().agg(F.max("count")).first()[0]
+        if most is None or most <= max(FEW, 2 * (k + 1)):
+            break
+        if not halvings:
+            points, targets = cut(points), cut(targets)
+        halvings += 1
+    found, left = [], points
+    for halved in range(halvings, -1, -1):
+        wide = limit / 2**halved
+        near = _around(left, targets, wide).where(F.col("d") <= wide)
+        listed = near.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
+        if not halved:
+            found.append(listed)
+            break
+        listed = cut(listed)
+        done = listed.where(F.col("r") == k).select("a")
+        found.append(listed.join(done, "a", "left_semi"))
+        left = cut(left.join(done, F.col("id") == F.col("a"), "left_anti"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
 def neighbours(metros: DataFrame, k: int, max_km: float, symmetric: bool = False) -> DataFrame:
-    """Pairs ``(a, b, euclidean_km)`` of metros of which one is among the other's ``k`` nearest, within ``max_km``.
+    """Pairs ``(a, b, euclidean_km)`` of metros of which one is among the other's ``k`` :func:`nearest`, within ``max_km``.
 
     By default the metro of the smaller id has to list the other, as a pair seen from the
-    larger id alone is left out; ``symmetric`` keeps both. Candidates come from a grid whose
-    cells are as wide as the limit, so that only metros in adjoining cells are compared.
+    larger id alone is left out; ``symmetric`` keeps both.
     """
-    rows = metros.select("metro_id", "x", "y", cell(F.col("x"), max_km * 1000).alias("gx"), cell(F.col("y"), max_km * 1000).alias("gy"))
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    spread = rows.withColumn("dx", around).withColumn("dy", around).select(
-        F.col("metro_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy")
-    )
-    near = rows.select(F.col("metro_id").alias("a"), "x", "y", "gx", "gy").join(spread, ["gx", "gy"]).where("a <> b")
-    near = near.withColumn("d", distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")) / 1000).where(F.col("d") <= max_km)
-    listed = near.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
+    listed = nearest(metros.select(F.col("metro_id").alias("id"), "x", "y"), k, max_km * 1000)
     if symmetric:
         listed = listed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
-    return listed.where("a < b").select("a", "b", F.col("d").alias("euclidean_km"))
+    return listed.where("a < b").select("a", "b", (F.col("d") / 1000).alias("euclidean_km"))
 
 
 def overlaps(metros: DataFrame) -> DataFrame:
@@ -103,7 +153,7 @@ def anchors(metros: DataFrame, nodes: DataFrame, max_km: float) -> DataFrame:
     around, and the minimum is taken before the shuffle by metro. Metros without a node in
     reach give no row.
     """
-    wide = max_km * 1000
+    wide = max_km * 1000 * WIDER
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     spread = metros.select("metro_id", F.col("x").alias("mx"), F.col("y").alias("my")).withColumn("dx", around).withColumn("dy", around).select(
         "metro_id", "mx", "my", (cell(F.col("mx"), wide) + F.col("dx")).alias("gx"), (cell(F.col("my"), wide) + F.col("dy")).alias("gy")
