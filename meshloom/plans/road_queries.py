@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meshloom.operators import discover, graph, metros, roads
 from meshloom.plans import inputs
 from meshloom.plans.inputs import METROS, PAIRS, road_edges, road_graph, roads_sql
+from meshloom.session import cut
 
 KM = "round(length_km, 6) AS length_km"
 
@@ -72,6 +73,19 @@ def _road_corridors(spark, d):
     return found.select("metro_a", "metro_b", "path_index", F.round("length_km", 6).alias("length_km"))
 
 
+def _registry(spark, d):
+    """Corridors with the roads under them, whose lengths are summed once more along all nodes."""
+    anchors = _anchors(spark, d).select("metro_id", F.concat_ws("_", (F.col("ax") / 1000).cast("long"), (F.col("ay") / 1000).cast("long")).alias("node"))
+    g = cut(road_graph(spark, d, 1000.0))
+    found = cut(discover.registry(g, anchors, inputs.corridor_pairs(spark, d), max_km=100.0))
+    key = ["metro_a", "metro_b", "path_index"]
+    known = g.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("length_km").alias("km"))
+    hops = discover.path_edges(found.select(*key, F.col("road_nodes").alias("nodes"))).join(known, ["a", "b"], "left")
+    total = hops.groupBy(*key).agg(F.round(F.sum("km"), 6).alias("road_km"), (F.count("*") - F.count("km")).alias("n_lost"))
+    ends = [F.get("road_nodes", F.lit(0)).alias("first_node"), F.element_at("road_nodes", -1).alias("last_node")]
+    return found.join(total, key).select(*key, F.round("length_km", 6).alias("length_km"), "road_km", "n_lost", (F.size("road_nodes") - 1 - F.col("n_edges")).alias("n_odd"), *ends)
+
+
 def _anchor_stats(spark, d):
     return metros.anchor_stats(_anchors(spark, d)).select("n", F.round("avg_km", 6).alias("avg_km"), "max_km")
 
@@ -95,7 +109,7 @@ QUERIES = {
     "road_edges": _road_edges, "road_class_counts": _class_counts, "node_degree": _node_degree, "degree_histogram": _degree_histogram,
     "components": _components, "component_sizes": _component_sizes, "largest_component": _largest, "sliver_filter": _slivers,
     "fragmentation": _fragmentation, "contracted_edges": _contracted, "contracted_nodes": _contracted_nodes, "chain_nodes": _chain_nodes, "metro_anchor": _anchors,
-    "anchor_stats": _anchor_stats, "road_corridors": _road_corridors, "degree_rank": _degree_rank, "core_numbers": _core_numbers, "road_distances": _sssp,
+    "anchor_stats": _anchor_stats, "road_corridors": _road_corridors, "corridor_registry": _registry, "degree_rank": _degree_rank, "core_numbers": _core_numbers, "road_distances": _sssp,
 }
 
 _NAMED = """, g AS (SELECT ax || '_' || ay AS a, bx || '_' || "by" AS b, length_km FROM edges),
@@ -197,3 +211,6 @@ dist(source, node, km) USING KEY (source, node) AS (
   WHERE r.km IS NULL OR d.km + e.length_km < r.km GROUP BY d.source, e.v)
 SELECT metro_a, metro_b, 0 AS path_index, round(km, 6) AS length_km FROM want JOIN dist ON source = na AND node = nb WHERE km <= 100""",
 }
+SQL["corridor_registry"] = SQL["road_corridors"].replace(
+    "length_km FROM want", "length_km, round(km, 6) AS road_km, 0::BIGINT AS n_lost, 0::BIGINT AS n_odd, na AS first_node, nb AS last_node FROM want"
+)

@@ -121,6 +121,8 @@ def test_corridors_over_roads(spark):
     pairs = spark.createDataFrame([("1", "2"), ("1", "3"), ("3", "4"), ("2", "5")], "metro_a string, metro_b string")
     paths = discover.road_corridors(e, anchors, pairs)
     assert sorted((r.metro_a, r.metro_b, r.length_km, r.nodes) for r in paths.collect()) == [("1", "2", 3.0, ["a", "y", "b"]), ("1", "3", 8.0, ["a", "y", "c"])]
+    whole = {(r.metro_a, r.metro_b): (r.road_nodes, r.n_edges, r.segments) for r in discover.registry(e, anchors, pairs).collect()}
+    assert whole == {("1", "2"): (["a", "x", "y", "b"], 3, ["a~y", "b~y"]), ("1", "3"): (["a", "x", "y", "z", "c"], 4, ["a~y", "c~y"])}
     tags = {(r.a, r.b): [(t.metro_a, t.metro_b) for t in r.tags] for r in discover.tags(paths).collect()}
     assert tags == {("a", "y"): [("1", "2"), ("1", "3")], ("b", "y"): [("1", "2")], ("c", "y"): [("1", "3")]}
     assert [r.pos for r in discover.path_edges(paths).where("metro_b = '3'").orderBy("pos").collect()] == [0, 1]
