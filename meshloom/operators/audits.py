@@ -207,7 +207,7 @@ def link_hardware(links: DataFrame, roles: DataFrame, rules: DataFrame, componen
     pair = lambda back: (F.col("rb"), F.col("ra")) if back else (F.col("ra"), F.col("rb"))
     found = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(kind).alias("kind"), F.concat_ws("|", *pair(back)).alias("pair"))) for when, kind, back in kinds]))
     bad = rows.select(F.explode(found).alias("f"), F.nullif(F.trim("adjacency_id"), F.lit("")).alias("adjacency")).select("f.*", "adjacency")
-    counted = bad.groupBy("kind", "pair", "adjacency").agg(F.count("*").alias("n"))  # shuffles adjacencies, not links
+    counted = cut(bad.groupBy("kind", "pair", "adjacency").agg(F.count("*").alias("n")))  # one pass over links; shuffles adjacencies
     first = counted.where("adjacency IS NOT NULL").withColumn("k", F.row_number().over(W.partitionBy("kind", "pair").orderBy("adjacency"))).where(F.col("k") <= samples)
     some = first.groupBy("kind", "pair").agg(F.array_join(F.array_sort(F.collect_list("adjacency")), ", ").alias("some"))
     total = counted.groupBy("kind", "pair").agg(F.sum("n").alias("n")).join(some, ["kind", "pair"], "left")
