@@ -179,6 +179,24 @@ def test_top_partner_keeps_nearest(spark):
     assert rows(traffic.top_partners(weighed, 1).select("a_pos", "b_pos")) == [(1, 2), (2, 3)]
 
 
+def _many_dcs(spark, n, places, powers, seed=3):
+    """Data centres whose places, metros and powers often repeat."""
+    import random
+
+    rng = random.Random(seed)
+    spots = [(i % 3 + 1, "ABC"[i % 3], rng.randint(0, 300) * 1000.0, rng.randint(0, 300) * 1000.0) for i in range(places)]
+    found = [(pos, *rng.choice(spots), float(rng.choice(powers))) for pos in rng.sample(range(10 * n), n)]
+    return spark.createDataFrame([(p, m, name, k + 1, x, y, mw) for k, (p, m, name, x, y, mw) in enumerate(found)], "dc_pos long, metro_idx int, metro string, dc_idx int, x double, y double, mw double")
+
+
+@pytest.mark.parametrize(("places", "k", "apart"), [(1, 2, False), (4, 1, False), (7, 3, True), (40, 2, False)])
+def test_heaviest_pairs_are_those_of_all_pairs(spark, places, k, apart):
+    d = _many_dcs(spark, 60, places, (0, 100, 100, 120, 150))
+    want = traffic.top_partners(traffic.gravity_weights(d, 1.0, 1.5, 10.0, apart), k)
+    got = traffic.heaviest_pairs(d, k, 1.0, 1.5, 10.0, apart)
+    assert rows(got.select(*want.columns)) == rows(want)
+
+
 def test_hose_margins_and_reruns(spark):
     d = _dcs(spark, mws=(100.0, 200.0, 150.0))
     cells = traffic.hose_matrices(d, 10.0, samples=2, seed=5)
