@@ -215,8 +215,8 @@ def shares(model: Model, texts: list[str | None]) -> np.ndarray:
     return softmax(np.stack([np.full(len(value), model.offset[0]), value + model.offset[1]], axis=1))[:, 1]
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Texts and labels of the bounded sample. A text with several labels counts as toxic if any is 1."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``(h, text, y)``: different texts and labels of the bounded sample. A text with several labels counts as toxic if any is 1."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     rows = rows.where("text IS NOT NULL")
@@ -227,8 +227,21 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = keyed.where(F.col("y") == y).orderBy("h").limit(n)
         chosen = part if chosen is None else chosen.union(part)
     texts = rows.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "h").dropDuplicates(["h"])
-    got = texts.orderBy("h").select("text", F.col("y").cast("int").alias("y")).collect()
-    return [r["text"] for r in got], [r["y"] for r in got]
+    return texts.select("h", "text", F.col("y").cast("int").alias("y"))
+
+
+def fit(rows: DataFrame) -> Model:
+    """The model of a bounded :func:`sample`, trained in a task; only its numbers come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3))))
+        model = train([text for _, text, _ in found], [y for _, _, y in found])
+        yield pa.RecordBatch.from_arrays([pa.array([model.gain.tobytes()]), pa.array([model.offset.tobytes()])], names=["gain", "offset"])
+
+    made = rows.select("h", "text", "y").repartition(1).mapInArrow(run, "gain binary, offset binary").first()
+    if made is None:
+        return train([], [])
+    return Model(np.frombuffer(made["gain"]).reshape(BUCKETS, 2), np.frombuffer(made["offset"]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,6 +270,6 @@ def held_out(id_col: Column, parts: int = 4, part: int = 2) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the labels that aren't held out, then score every document: ``held_out``, ``score``, ``predicted``."""
-    texts, marks = sample(docs.where(~held_out(F.col(id_col))), labels, id_col, text_col)
-    found = score(docs, train(texts, marks), id_col, text_col)
+    model = fit(sample(docs.where(~held_out(F.col(id_col))), labels, id_col, text_col))
+    found = score(docs, model, id_col, text_col)
     return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -104,6 +104,16 @@ def test_secrets_keep_other_columns(spark, edge_dir):
     assert clean.where("doc_id = 7").first().text == "É\x00\u2028 😀 [SECRET]"
 
 
+def test_toxicity_is_learned_in_a_task(spark):
+    texts = [f"text {i} {'you creature' if i % 2 else 'of calm rivers'}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = toxicity.sample(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"))
+    got = sorted((r.h, r.text, r.y) for r in rows.collect())
+    want = toxicity.train([t for _, t, _ in got], [y for _, _, y in got])
+    model = toxicity.fit(rows)
+    assert len(got) == 40 and (model.gain == want.gain).all() and (model.offset == want.offset).all()
+
+
 def test_models_without_samples(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     ask = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
