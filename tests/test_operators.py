@@ -197,6 +197,21 @@ def test_heaviest_pairs_are_those_of_all_pairs(spark, places, k, apart):
     assert rows(got.select(*want.columns)) == rows(want)
 
 
+def test_bundles_give_every_pair_once_and_whole_steps(spark, monkeypatch):
+    monkeypatch.setattr(traffic, "BUNDLE", 4)
+    d = _many_dcs(spark, 50, 3, (100, 150))
+    p = {r.dc_pos: r for r in d.collect()}
+    got = [(r.a_pos, r.b_pos, r.a_dc, r.b_dc, round(r.weight, 6)) for r in traffic.gravity_weights(d).collect()]
+    km = lambda a, b: 10.0 if a.metro == b.metro else max(math.hypot(a.x - b.x, a.y - b.y) / 1000, 10.0)
+    want = [(a, b, p[a].dc_idx, p[b].dc_idx, round(p[a].mw * p[b].mw / km(p[a], p[b]), 6)) for a in p for b in p if a < b]
+    assert traffic.bundles(d).count() < 50 and sorted(got) == sorted(want)
+    # rounding is the same whether pairs come as bundles or by themselves
+    kinds, total = traffic.classes(spark, {0: 0.5, 1: 0.5}), traffic.offered(d, 1.0)
+    for policy in ("nearest", "floor", "ceil"):
+        both = [traffic.conserve(traffic.allocate(w, kinds, total), 10.0, policy).select("a_pos", "b_pos", "priority", "gbps") for w in (traffic.bundle_weights(d), traffic.gravity_weights(d))]
+        assert rows(both[0]) == rows(both[1]) and both[0].count() == 2 * len(want)
+
+
 def test_hose_margins_and_reruns(spark):
     d = _dcs(spark, mws=(100.0, 200.0, 150.0))
     cells = traffic.hose_matrices(d, 10.0, samples=2, seed=5)
