@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshloom import config
 from meshloom.functions import numeric
-from meshloom.operators import audits, expand, scenario, settings, sites
+from meshloom.operators import audits, expand, scenario, settings, sites, traffic
 from meshloom.plans import inputs, scenario_queries, site_queries, traffic_queries
 from meshloom.plans.inputs import METROS
 
@@ -140,7 +140,7 @@ def _dc_links(spark, d):
 
 
 def _top_weights(spark, d):
-    return traffic_queries._weights(spark, d).orderBy(F.desc("weight"), "a_pos", "b_pos").limit(10)
+    return traffic.heaviest(traffic_queries._bundle_weights(spark, d), 10).select("a_pos", "b_pos", "km", "weight")
 
 
 def _formats(spark, d):

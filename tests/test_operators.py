@@ -212,6 +212,29 @@ def test_bundles_give_every_pair_once_and_whole_steps(spark, monkeypatch):
         assert rows(both[0]) == rows(both[1]) and both[0].count() == 2 * len(want)
 
 
+def test_heaviest_of_bundles_are_those_of_all_pairs(spark):
+    d = _many_dcs(spark, 40, 5, (100, 110, 150))
+    want = traffic.gravity_weights(d).orderBy(F.desc("weight"), "a_pos", "b_pos").select("a_pos", "b_pos", "weight").limit(7)
+    assert [tuple(r) for r in traffic.heaviest(traffic.bundle_weights(d), 7).select("a_pos", "b_pos", "weight").collect()] == [tuple(r) for r in want.collect()]
+
+
+def test_core_numbers_take_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: made.append(1) or real(df))
+    # each core within the last by one node: by peeling, cores would be as many rounds
+    links = [(i, j) for i in range(31) for j in range(i) if i + j >= 30] + [(40, 40)]
+    near = {n: {b if a == n else a for a, b in links if n in (a, b)} - {n} for link in links for n in link}
+    want, left, k = {}, {n: set(v) for n, v in near.items()}, 0
+    while left:
+        low = min(left, key=lambda n: len(left[n]))
+        k = max(k, len(left[low]))
+        want[low] = k
+        for other in left.pop(low):
+            left[other].discard(low)
+    got = {r.node: r.core for r in graph.core_numbers(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == want and len(made) <= 12
+
+
 def test_hose_margins_and_reruns(spark):
     d = _dcs(spark, mws=(100.0, 200.0, 150.0))
     cells = traffic.hose_matrices(d, 10.0, samples=2, seed=5)
