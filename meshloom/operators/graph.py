@@ -148,23 +148,25 @@ def degree_rank(edges: DataFrame, top: int | None = None, a: str = "a", b: str =
 
 
 def core_numbers(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``(node, core)``: the largest k for which a node is in the k-core, by repeated peeling."""
-    live = cut(both_ways(edges.where(F.col(a) != F.col(b)), a, b).distinct())
-    out, k = both_ways(edges, a, b).select(F.col("u").alias("node"), F.lit(0).alias("core")).distinct(), 0
-    found = [out]
-    while not live.isEmpty():
-        k += 1
-        while True:
-            weak = live.groupBy("u").agg(F.count("*").alias("d")).where(F.col("d") < k)
-            if weak.isEmpty():
-                break
-            gone = cut(weak.select(F.col("u").alias("g")))
-            live = cut(live.join(gone, F.col("u") == F.col("g"), "left_anti").join(gone, F.col("v") == F.col("g"), "left_anti"))
-        found.append(live.select(F.col("u").alias("node"), F.lit(k).alias("core")).distinct())
-    every = found[0]
-    for f in found[1:]:
-        every = every.union(f)
-    return every.groupBy("node").agg(F.max("core").alias("core"))
+    """``(node, core)``: the largest k for which a node is in the k-core.
+
+    Every node starts with its number of neighbours, and goes down to the largest h for which
+    h neighbours have h or more, until none goes down: rounds don't follow the number of cores.
+    """
+    steps = cut(both_ways(edges.where(F.col(a) != F.col(b)), a, b).select("u", "v").distinct())
+    core = cut(steps.groupBy("u").agg(F.count("*").alias("core")))
+    while True:
+        near = steps.join(core.select(F.col("u").alias("v"), F.col("core").alias("c")), "v")
+        # by how many neighbours have each number, which are far fewer rows than neighbours
+        sizes = near.groupBy("u", "c").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("u").orderBy(F.desc("c")))
+        low = sizes.withColumn("h", F.least(F.col("c"), upto)).groupBy("u").agg(F.max("h").alias("h"))
+        core, before = cut(low.join(core, "u").select("u", F.least("h", "core").alias("core"), (F.col("h") < F.col("core")).alias("down"))), core
+        if core.where("down").isEmpty():
+            break
+    every = both_ways(edges, a, b).select(F.col("u").alias("node"), F.lit(0).cast("long").alias("core")).distinct()
+    every = every.union(before.select("u", "core"))
+    return every.groupBy("node").agg(F.max("core").cast("int").alias("core"))
 
 
 def shortest_distances(edges: DataFrame, sources: DataFrame, weight: str = "cost", a: str = "a", b: str = "b") -> DataFrame:
