@@ -5,7 +5,8 @@ grid cells and are split where they touch (:func:`noded`); what two polygons sha
 sides cancels by count (:func:`netted`); how many polygons lie beside each remaining edge is
 a sum along its row of cells and within its own cell (:func:`borders`), and those with none on
 one side are the union's. Rings are closed by doubling (:func:`rings`), so rounds grow with
-the logarithm of the longest ring.
+the logarithm of the longest ring. Spark guesses the size of edges from that of the few bytes
+they come from, far too small, so joins of edges say that neither side is to go through the driver.
 
 Rows without parts, parts of under three different vertices and null vertices add nothing; a
 null group is a group of its own. Repeated polygons cover once. Within one polygon, rings are
@@ -61,6 +62,7 @@ def directed(shapes: DataFrame, group: str | None = None, snap: float = 1e-6) ->
                 yield pd.DataFrame({GROUP: keys, **{c: ends[:, k] for k, c in enumerate(EDGE)}})
 
     rows = shapes.select((F.col(group).cast("string") if group else F.lit(None).cast("string")).alias(GROUP), "parts")
+    rows = rows.repartition(shapes.sparkSession.sparkContext.defaultParallelism * 4)  # a small file of many polygons would be one task
     return rows.mapInPandas(run, f"{GROUP} string, ax long, ay long, bx long, by long")
 
 
@@ -108,7 +110,7 @@ def noded(edges: DataFrame, size: int | None = None) -> DataFrame:
         keys = ["g", "n", "gx", "gy"]
         keyed = cut(named(dealt(e, width)))
         placed = named(points.withColumn("gx", F.floor(F.col("x") / width)).withColumn("gy", F.floor(F.col("y") / width)))
-        on = keyed.join(placed.drop(GROUP), keys)
+        on = keyed.join(placed.drop(GROUP).hint("merge"), keys)
         cross = lambda px, py: (F.col("bx") - F.col("ax")) * (py - F.col("ay")) - (F.col("by") - F.col("ay")) * (px - F.col("ax"))
         between = F.col("x").between(F.least("ax", "bx"), F.greatest("ax", "bx")) & F.col("y").between(F.least("ay", "by"), F.greatest("ay", "by"))
         inner = ~((F.col("x") == F.col("ax")) & (F.col("y") == F.col("ay"))) & ~((F.col("x") == F.col("bx")) & (F.col("y") == F.col("by")))
@@ -120,7 +122,7 @@ def noded(edges: DataFrame, size: int | None = None) -> DataFrame:
             F.least("oay", "oby") <= F.greatest("ay", "by")
         )
         apart = (side("oax", "oay") * side("obx", "oby") < 0) & (oside("ax", "ay") * oside("bx", "by") < 0)
-        met = keyed.join(other, keys).where(boxes & apart)
+        met = keyed.join(other.hint("merge"), keys).where(boxes & apart)
         # both of a pair compute the place from the smaller edge, so they get the same
         first = F.struct(*EDGE) < F.struct(*[f"o{c}" for c in EDGE])
         p = {c: F.when(first, F.col(c)).otherwise(F.col(f"o{c}")).cast("double") for c in EDGE}
@@ -134,7 +136,7 @@ def noded(edges: DataFrame, size: int | None = None) -> DataFrame:
         if splits.isEmpty():
             return edges
         same = [F.col(GROUP).eqNullSafe(F.col("sg")), *[F.col(c) == F.col(f"s{c}") for c in EDGE]]
-        joined = edges.join(splits, same, "left").select(GROUP, *EDGE, "at")
+        joined = edges.join(splits.hint("merge"), same, "left").select(GROUP, *EDGE, "at")
         along = F.array_sort(F.transform("at", lambda s: F.struct(((s["x"] - F.col("ax")) * (F.col("bx") - F.col("ax")) + (s["y"] - F.col("ay")) * (F.col("by") - F.col("ay"))).alias("d"), s["x"].alias("x"), s["y"].alias("y"))))
         end = lambda x, y: F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
         run = F.concat(end("ax", "ay"), F.coalesce(F.transform(along, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))), F.array().cast("array<struct<x:bigint,y:bigint>>")), end("bx", "by"))
@@ -189,11 +191,11 @@ def borders(net: DataFrame, size: int | None = None) -> DataFrame:
     hit = (F.col("oay") > F.col("py")) != (F.col("oby") > F.col("py"))
     along = F.when(hit & (x_at > rx) & (x_at < F.col("px")), oeast).when(hit & (x_at < rx) & (x_at > F.col("px")), -oeast).otherwise(0)
     own = F.struct(*EDGE) == F.struct(*[f"o{c}" for c in EDGE])  # up or down the way may cross the edge itself, along it ends there
-    crossed = edge.join(other, same).groupBy(GROUP, *EDGE).agg(F.sum(up + F.when(own, 0).otherwise(along)).alias("crossed"))
+    crossed = edge.join(other.hint("merge"), same).groupBy(GROUP, *EDGE).agg(F.sum(up + F.when(own, 0).otherwise(along)).alias("crossed"))
     keys = [F.col(GROUP).eqNullSafe(F.col("cg")), *[F.col(c) == F.col(f"c{c}") for c in EDGE]]
     crossed = crossed.select(F.col(GROUP).alias("cg"), *[F.col(c).alias(f"c{c}") for c in EDGE], "crossed")
     corner = corner.select(F.col(GROUP).alias("kg"), F.col("gx").alias("kx"), F.col("gy").alias("ky"), "cover")
-    rows = edge.join(corner, F.col(GROUP).eqNullSafe(F.col("kg")) & (F.col("gx") == F.col("kx")) & (F.col("gy") == F.col("ky"))).join(crossed, keys, "left")
+    rows = edge.join(corner.hint("merge"), F.col(GROUP).eqNullSafe(F.col("kg")) & (F.col("gx") == F.col("kx")) & (F.col("gy") == F.col("ky"))).join(crossed.hint("merge"), keys, "left")
     first = F.col("cover") + F.coalesce("crossed", F.lit(0))  # on the side that is come to
     # level edges are come to from above, others from the corner's side
     flat, from_west = F.col("ay") == F.col("by"), F.col("px") >= rx
@@ -204,6 +206,19 @@ def borders(net: DataFrame, size: int | None = None) -> DataFrame:
     return kept.select(GROUP, *ends)
 
 
+def followed(rows: DataFrame, then: str) -> DataFrame:
+    """``rows`` with ``to`` (as ``far``) and ``then`` of the row whose ``e`` their own ``to`` is; nulls where there is none.
+
+    A join of the rows with themselves would do the same, but Spark guesses its size as the
+    product of both sides and a checkpoint keeps the guess: over rounds its digits double,
+    to hundreds of MB in the driver. The guess for a union is a sum.
+    """
+    asked, known = rows.select(F.col("to").alias("at"), F.struct(*rows.columns).alias("own")), rows.select(F.col("e").alias("at"), F.struct(F.col("to").alias("far"), F.col(then).alias("then")).alias("next"))
+    asking = asked.where("at IS NOT NULL").unionByName(known, allowMissingColumns=True)
+    met = asking.withColumn("next", F.max("next").over(W.partitionBy("at"))).where("own IS NOT NULL")
+    return met.unionByName(asked.where("at IS NULL"), allowMissingColumns=True).select("own.*", "next.far", "next.then")
+
+
 def rings(border: DataFrame) -> DataFrame:
     """``(group_key, ring, pos, x, y)``: closed rings in order, each from its smallest edge on; ``ring`` is that edge.
 
@@ -225,17 +240,15 @@ def rings(border: DataFrame) -> DataFrame:
     # the smallest edge of each ring
     low = onward.withColumn("low", F.least("e", "to"))
     while True:
-        ahead = low.select(F.col("e").alias("to"), F.col("to").alias("far"), F.col("low").alias("then"))
-        found = cut(low.join(ahead, "to").select("e", F.col("far").alias("to"), F.least("low", "then").alias("low"), (F.col("then") < F.col("low")).alias("new")))
+        found = cut(followed(low, "low").select("e", F.col("far").alias("to"), F.least("low", "then").alias("low"), (F.col("then") < F.col("low")).alias("new")))
         low = found.drop("new")
         if found.where("new").isEmpty():
             break
     # edges up to the ring's end, which is before its smallest edge
     names = low.select("e", F.col("low").alias("ring"))
-    rank = cut(onward.join(names, "e").withColumn("open", F.col("to") != F.col("ring")).select("e", "ring", F.when(F.col("open"), F.col("to")).alias("to"), F.col("open").cast("long").alias("left")))
+    rank = cut(onward.join(names.hint("merge"), "e").withColumn("open", F.col("to") != F.col("ring")).select("e", "ring", F.when(F.col("open"), F.col("to")).alias("to"), F.col("open").cast("long").alias("left")))
     while not rank.where("to IS NOT NULL").isEmpty():
-        ahead = rank.select(F.col("e").alias("to"), F.col("to").alias("far"), F.col("left").alias("then"))
-        rank = cut(rank.join(ahead, "to", "left").select("e", "ring", F.col("far").alias("to"), (F.col("left") + F.coalesce("then", F.lit(0))).alias("left")))
+        rank = cut(followed(rank, "left").select("e", "ring", F.col("far").alias("to"), (F.col("left") + F.coalesce("then", F.lit(0))).alias("left")))
     pos = F.max("left").over(W.partitionBy("ring")) - F.col("left")
     return rank.select(F.col(f"e.{GROUP}").alias(GROUP), "ring", pos.cast("int").alias("pos"), F.col("e.ax").alias("x"), F.col("e.ay").alias("y"))
 

@@ -96,3 +96,13 @@ def test_a_dissolved_mask_keeps_what_its_parts_keep(spark):
     mask = overlay.dissolve(states).select(F.lit("all").alias("statefp"), "parts")
     want = sorted(r.uac_code for r in metros.within(areas, states.withColumnRenamed("code", "statefp")).collect())
     assert sorted(r.uac_code for r in metros.within(areas, mask).collect()) == want and 0 < len(want) < 14
+
+
+def test_guessed_size_does_not_square_with_rounds(spark):
+    n = 100
+    stairs = [p for i in range(n) for p in ((i, i), (i + 1, i))] + [(n, n), (-1, n), (-1, 0)]  # one ring of over 200 vertices
+    points = overlay.union(shapes(spark, [("s", [stairs]), ("b", [box(0, 0, 1, 1)])]), "code", 1.0)
+    assert points.groupBy("group_key").count().orderBy("group_key").collect() == [("b", 4), ("s", len(stairs))]
+    assert sorted(r.pos for r in points.where("group_key = 's'").collect()) == list(range(len(stairs)))
+    guess = points._jdf.queryExecution().optimizedPlan().stats().simpleString()  # like sizeInBytes=1.41E+32 B
+    assert "E+" not in guess or int(guess.split("E+")[1].split()[0].rstrip(",")) < 400
