@@ -36,7 +36,10 @@ SAID = {"title", "description", "default", "examples", "$schema", "$id", "$defs"
 #: Rules that are read with another one.
 WITH = {"additionalProperties", "patternProperties"}
 #: Rules that ask for a value's text, its keys or its members.
-TEXT, KEYS, MEMBERS = {"pattern", "minLength", "maxLength"}, {"minProperties", "maxProperties", "required", "properties", "propertyNames"}, {"minItems", "maxItems", "uniqueItems", "items"}
+TEXT, MEMBERS = {"pattern", "minLength", "maxLength"}, {"minItems", "maxItems", "uniqueItems", "items"}
+KEYS = {"minProperties", "maxProperties", "required", "properties", "propertyNames", "patternProperties", "additionalProperties"}
+#: Rules that ask for a value's number.
+NUMBER = {"enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"}
 #: How deep references may lead into each other.
 DEPTH = 24
 
@@ -49,18 +52,14 @@ def _is(own: Column, number: Column, kind: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def _member(value: Column, name: str) -> Column:
-    """The value of a key within an object; paths have no way to write both kinds of quotes."""
-    if "'" in name and '"' in name:
-        return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
-    quote = '"' if "'" in name else "'"
-    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+def _number(value: Column) -> Column:
+    """The value of a number, else null; text isn't tried, as each that is no number would be an exception with its stack."""
+    return F.when(_is(F.schema_of_variant(value), F.lit(None), "number"), F.try_variant_get(value, "$", "double"))
 
 
 def _plain(value: Column) -> Column:
     """A value as text that equal values share: JSON, numbers as doubles."""
-    number = F.try_variant_get(value, "$", "double")
-    return F.when(_is(F.schema_of_variant(value), number, "number"), number.cast("string")).otherwise(F.to_json(value))
+    return F.coalesce(_number(value).cast("string"), F.to_json(value))
 
 
 def _lit(value: object) -> Column:
@@ -100,23 +99,33 @@ class Compiler:
             return F.array(issue("false", "nothing is allowed here")).cast(ISSUES)
         if not isinstance(schema, Mapping):
             raise ValueError(f"no schema: {schema!r}")
-        # what rules ask of a value is found once, and held while they are tried
+        if list(schema) == ["$ref"]:
+            return self.issues(self.resolve(schema["$ref"]), value, path, depth + 1)
+        # what rules ask of a value is found once, and held while they are tried; taking variants out of one writes
+        # them anew, and the type of an object or array is that of all in it, so neither is done where no rule asks for it
         held = {
-            "own": F.schema_of_variant(value), "number": F.try_variant_get(value, "$", "double"), "text": F.try_variant_get(value, "$", "string"),
-            "keys": F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), "members": F.try_variant_get(value, "$", "array<variant>"),
+            "own": F.schema_of_variant(value), "number": _number(value), "text": F.try_variant_get(value, "$", "string"),
+            "fields": F.try_variant_get(value, "$", "map<string,variant>"), "members": F.try_variant_get(value, "$", "array<variant>"),
         }
-        needed = ["own", "number", *(["text"] if schema.keys() & TEXT else []), *(["keys"] if schema.keys() & KEYS else []), *(["members"] if schema.keys() & MEMBERS else [])]
+        kinds = {schema["type"]} if isinstance(schema.get("type"), str) else set(schema.get("type", ()))
+        asked = {
+            "own": schema.keys() & (NUMBER | TEXT) or kinds - {"object", "array"}, "number": schema.keys() & NUMBER or kinds & {"number", "integer"}, "text": schema.keys() & TEXT,
+            "fields": schema.keys() & KEYS or "object" in kinds, "members": schema.keys() & MEMBERS or "array" in kinds,
+        }
+        needed = [n for n in held if asked[n]]
         bound = F.struct(value.alias("value"), path.alias("path"), *[held[n].alias(n) for n in needed])
-        return F.flatten(F.transform(F.array(bound), lambda s: self._rules(schema, s["value"], s["path"], {n: s[n] for n in needed}, depth)))
+        return F.transform(F.array(bound), lambda s: self._rules(schema, s["value"], s["path"], {n: s[n] for n in needed}, depth))[0]
 
     def _rules(self, schema: Mapping, value: Column, path: Column, held: Mapping[str, Column], depth: int) -> Column:
         """What of a value breaks each rule of the schema, from what is held of it."""
         none = F.array().cast(ISSUES)
         issue = lambda rule, message, at=path: F.struct(at.alias("path"), F.lit(rule).alias("rule"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
         single, many = [], []
-        number, text, keys, members = (held.get(n) for n in ("number", "text", "keys", "members"))
-        is_ = lambda kind: _is(held["own"], number, kind)
-        plain = F.when(is_("number"), number.cast("string")).otherwise(F.to_json(value))
+        number, text, fields, members = (held.get(n) for n in ("number", "text", "fields", "members"))
+        keys = None if fields is None else F.map_keys(fields)
+        known = {"object": fields, "array": members}  # only objects and arrays have these
+        is_ = lambda kind: known[kind].isNotNull() if kind in known else _is(held["own"], number, kind)
+        plain = F.when(is_("number"), number.cast("string")).otherwise(F.to_json(value)) if number is not None else None
         breaks = lambda kind, rule, message, broken: single.append(F.when(is_(kind) & F.coalesce(broken, F.lit(False)), issue(rule, message)))
         down = lambda s, v, p: self.issues(s, v, p, depth + 1)
         passes = lambda s: F.size(F.filter(down(s, value, path), lambda x: x.isNotNull())) == 0
@@ -157,7 +166,7 @@ class Compiler:
                     breaks("object", rule, f"{name} is missing", ~F.array_contains(keys, name))
             elif rule == "properties":
                 for name, inner in want.items():
-                    member = _member(value, name)
+                    member = F.try_element_at(fields, F.lit(name))
                     many.append(F.when(is_("object") & F.array_contains(keys, name), down(inner, member, F.concat(path, F.lit(f".{name}")))))
             elif rule == "propertyNames":
                 bad = F.filter(keys, lambda k: ~k.rlike(want["pattern"]))
@@ -180,20 +189,20 @@ class Compiler:
             else:
                 raise ValueError(f"unknown rule: {rule}")
         patterns = schema.get("patternProperties", {})
-        rest = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+        rest = None if fields is None else F.map_entries(fields)
         named = lambda p: lambda e: e["key"].rlike(p)
         inner = lambda s: lambda e: down(s, e["value"], F.concat(path, F.lit("."), e["key"]))
         for pattern, s in patterns.items():
             many.append(F.when(is_("object"), F.flatten(F.transform(F.filter(rest, named(pattern)), inner(s)))))
         more = schema.get("additionalProperties", True)
         if more is not True and more != {}:
-            known = [F.lit(k) for k in schema.get("properties", {})]
-            free = lambda k: reduce(Column.__and__, [~k.rlike(p) for p in patterns], ~k.isin(*known) if known else F.lit(True))
+            named_keys = [F.lit(k) for k in schema.get("properties", {})]
+            free = lambda k: reduce(Column.__and__, [~k.rlike(p) for p in patterns], ~k.isin(*named_keys) if named_keys else F.lit(True))
             other = F.filter(rest, lambda e: free(e["key"]))
             found = F.transform(other, lambda e: issue("additionalProperties", F.concat(e["key"], F.lit(" is not a known key")))) if more is False else F.flatten(F.transform(other, inner(more)))
             many.append(F.when(is_("object"), found))
         arrays = ([F.array(*single).cast(ISSUES)] if single else []) + [F.coalesce(m.cast(ISSUES), none) for m in many]
-        return F.concat(*arrays) if arrays else none
+        return arrays[0] if len(arrays) == 1 else F.concat(*arrays) if arrays else none
 
 
 def compiled(schema: Mapping, value: Column) -> Column:

@@ -121,3 +121,14 @@ def test_odd_documents(spark):
 def test_schemas_that_are_refused(spark, schema, message):
     with pytest.raises(ValueError, match=message):
         schema_check.check(spark.createDataFrame([(1, "{}")], "key int, text string"), schema)
+
+
+def test_rules_are_asked_only_what_they_need(spark):
+    schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "array", "items": {"$ref": "#/$defs/x"}}}, "$defs": {"x": {"type": "object", "required": ["y"], "properties": {"y": {"enum": ["p", 1]}}}}}
+    rows = spark.createDataFrame([(1, '{"a": [{"y": "p"}, {"y": "q"}, {"y": 1.0}, {"y": "1"}, {}, []]}'), (2, '{"b": 1}'), (3, "[]")], "key int, text string")
+    found = schema_check.check(rows, schema)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "schema_of_variant(value#" not in plan  # the type of a whole document isn't spelled out
+    assert sorted((r.key, r.path, r.rule) for r in found.collect()) == [
+        (1, "$.a[1].y", "enum"), (1, "$.a[3].y", "enum"), (1, "$.a[4]", "required"), (1, "$.a[5]", "type"), (2, "$", "additionalProperties"), (2, "$", "required"), (3, "$", "type"),
+    ]
