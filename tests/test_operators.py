@@ -1,7 +1,9 @@
 """Numeric cases of single operators on tiny inputs."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +248,29 @@ def test_hose_margins_and_reruns(spark):
     assert rows(cells) == rows(traffic.hose_matrices(d, 10.0, samples=2, seed=5))
 
 
+def test_hose_bands_are_rows_of_one_matrix(spark, monkeypatch):
+    sites = [(i, i % 3 + 1, f"m{i % 3}", i // 3 + 1, 5000.0 * (i % 3), 0.0, 100.0 + i % 7) for i in range(3, 43)]
+    d = spark.createDataFrame(sites, "dc_pos long, metro_idx int, metro string, dc_idx int, x double, y double, mw double").repartition(3)
+    whole = traffic.hose_matrices(d, 10.0, samples=2, seed=5, tilt=0.5).toPandas()
+    rng = random.Random(5 * 1000003 + 2)  # numbers are those of one generator a sample, row by row
+    lean = lambda i, j: 1.0 if i % 3 == j % 3 else (1 / max(abs(i % 3 - j % 3) * 5.0, 1.0)) ** 0.5
+    m = np.array([[0.0 if i == j else (1e-9 + rng.random()) * lean(i, j) for j in range(40)] for i in range(40)])
+    want = np.array([10 * (100.0 + i % 7) for i in range(3, 43)])
+    for _ in range(60):
+        m *= (want / m.sum(axis=1))[:, None]
+        m *= want / m.sum(axis=0)
+    monkeypatch.setattr(traffic, "WHOLE", 10)
+    monkeypatch.setattr(traffic, "BAND", 7)
+    monkeypatch.setattr(traffic, "SEGMENT", 9)
+    banded = traffic.hose_matrices(d, 10.0, samples=2, seed=5, tilt=0.5).toPandas()
+    for got in (whole, banded):
+        got = got[got["sample"] == 2]
+        found = np.zeros((40, 40))
+        found[got["i"] - 1, got["j"] - 1] = got["gbps"]
+        assert np.abs(found - m).max() < 1e-5
+    assert not hasattr(traffic, "MAX_HOSE")  # no size is refused
+
+
 def test_conserve_adds_missing_steps_to_largest_remainders(spark):
     df = spark.createDataFrame([(1, 2, 0, 14.0, 40.0), (1, 3, 0, 13.0, 40.0), (2, 3, 0, 13.0, 40.0)], "a_pos int, b_pos int, priority int, gbps double, class_gbps double")
     assert rows(traffic.conserve(df, 10.0, "floor").select("a_pos", "b_pos", "gbps")) == [(1, 2, 20.0), (1, 3, 10.0), (2, 3, 10.0)]
