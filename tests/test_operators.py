@@ -271,6 +271,17 @@ def test_hose_bands_are_rows_of_one_matrix(spark, monkeypatch):
     assert not hasattr(traffic, "MAX_HOSE")  # no size is refused
 
 
+def test_hose_carved_from_bands(spark, monkeypatch):
+    d = spark.createDataFrame([(i, 1, "m", i, 0.0, 0.0, 100.0 + i % 2) for i in range(30)], "dc_pos long, metro_idx int, metro string, dc_idx int, x double, y double, mw double")
+    made = []
+    for whole in (traffic.WHOLE, 10):
+        monkeypatch.setattr(traffic, "WHOLE", whole)
+        made.append(traffic.hose_matrices(d, 10.0, samples=1, seed=3, carve_top_k=6).toPandas().sort_values(["i", "j"]))
+    one, banded = made
+    assert one[["i", "j"]].values.tolist() == banded[["i", "j"]].values.tolist() and 2 * 30 * 6 >= len(one) >= 30 * 6
+    assert np.abs(one["gbps"].to_numpy() - banded["gbps"].to_numpy()).max() < 1e-5
+
+
 def test_conserve_adds_missing_steps_to_largest_remainders(spark):
     df = spark.createDataFrame([(1, 2, 0, 14.0, 40.0), (1, 3, 0, 13.0, 40.0), (2, 3, 0, 13.0, 40.0)], "a_pos int, b_pos int, priority int, gbps double, class_gbps double")
     assert rows(traffic.conserve(df, 10.0, "floor").select("a_pos", "b_pos", "gbps")) == [(1, 2, 20.0), (1, 3, 10.0), (2, 3, 10.0)]
