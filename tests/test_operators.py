@@ -282,6 +282,27 @@ def test_hose_carved_from_bands(spark, monkeypatch):
     assert np.abs(one["gbps"].to_numpy() - banded["gbps"].to_numpy()).max() < 1e-5
 
 
+def test_hose_carves_the_heaviest_pairs_from_few_cells(spark, monkeypatch):
+    sites = [(i, i % 3 + 1, f"m{i % 3}", i, 4000.0 * (i % 3), 0.0, 0.0 if i == 17 else 100.0 + i % 9) for i in range(150)]
+    d = spark.createDataFrame(sites, "dc_pos long, metro_idx int, metro string, dc_idx int, x double, y double, mw double").repartition(2)
+    monkeypatch.setattr(traffic, "WHOLE", 10)
+    monkeypatch.setattr(traffic, "BAND", 32)
+    args, whole, met, made = (d, 10.0, 2, 5, 0.5), np.zeros((3, 150, 150)), [], []
+    got = traffic.hose_matrices(*args).toPandas()
+    whole[got["sample"], got["i"] - 1, got["j"] - 1] = got["gbps"]
+    both = whole + whole.transpose(0, 2, 1)
+    want = [(s, i + 1, int(j) + 1) for s in (1, 2) for i in range(150) if i != 17 for j in np.argsort(-both[s, i], kind="stable")[:2]]
+    asked = traffic._asked
+    for name, kept in (("_cells_from", met), ("_heaviest_cells", made)):
+        monkeypatch.setattr(traffic, name, lambda *a, real=getattr(traffic, name), kept=kept: kept.append(real(*a)) or kept[-1])
+    for high in (1, 1.7):  # what is asked for first may be too heavy for some, who ask again
+        met.clear()
+        monkeypatch.setattr(traffic, "_asked", lambda b, many, lean, high=high: asked(b, many, lean) * (high if many < 30 else 1))
+        traffic.hose_matrices(*args, carve_top_k=2)
+        assert rows(made.pop()) == sorted(want)
+        assert len(met) == (1 if high == 1 else 2) and met[0].count() < 0.5 * 2 * 150 * 149
+
+
 def test_conserve_adds_missing_steps_to_largest_remainders(spark):
     df = spark.createDataFrame([(1, 2, 0, 14.0, 40.0), (1, 3, 0, 13.0, 40.0), (2, 3, 0, 13.0, 40.0)], "a_pos int, b_pos int, priority int, gbps double, class_gbps double")
     assert rows(traffic.conserve(df, 10.0, "floor").select("a_pos", "b_pos", "gbps")) == [(1, 2, 20.0), (1, 3, 10.0), (2, 3, 10.0)]
