@@ -303,6 +303,16 @@ def test_hose_carves_the_heaviest_pairs_from_few_cells(spark, monkeypatch):
         assert len(met) == (1 if high == 1 else 2) and met[0].count() < 0.5 * 2 * 150 * 149
 
 
+def test_hose_carved_too_far_still_sends_all(spark, monkeypatch):
+    # two heavy data centres are the only partners that the others keep, and can't receive all that these send
+    mws = [1000.0 if i < 2 else 100.0 + i for i in range(40)]
+    d = spark.createDataFrame([(i, 1, "m", i, 0.0, 0.0, mws[i]) for i in range(40)], "dc_pos long, metro_idx int, metro string, dc_idx int, x double, y double, mw double")
+    for whole in (traffic.WHOLE, 10):
+        monkeypatch.setattr(traffic, "WHOLE", whole)
+        sent = traffic.hose_matrices(d, 10.0, samples=2, seed=3, carve_top_k=1).groupBy("sample", "i").agg(F.sum("gbps").alias("s"))
+        assert {(r["sample"], r["i"]): round(r.s, 3) for r in sent.collect()} == {(s, i + 1): 10 * mws[i] for s in (1, 2) for i in range(40)}
+
+
 def test_conserve_adds_missing_steps_to_largest_remainders(spark):
     df = spark.createDataFrame([(1, 2, 0, 14.0, 40.0), (1, 3, 0, 13.0, 40.0), (2, 3, 0, 13.0, 40.0)], "a_pos int, b_pos int, priority int, gbps double, class_gbps double")
     assert rows(traffic.conserve(df, 10.0, "floor").select("a_pos", "b_pos", "gbps")) == [(1, 2, 20.0), (1, 3, 10.0), (2, 3, 10.0)]
