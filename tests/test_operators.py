@@ -313,6 +313,38 @@ def test_hose_carved_too_far_still_sends_all(spark, monkeypatch):
         assert {(r["sample"], r["i"]): round(r.s, 3) for r in sent.collect()} == {(s, i + 1): 10 * mws[i] for s in (1, 2) for i in range(40)}
 
 
+@pytest.mark.parametrize(("step", "policy"), [(0.0, "nearest"), (1.0, "nearest"), (40.0, "floor"), (40.0, "ceil")])
+def test_hose_pairs_of_blocks_are_not_shuffled(spark, monkeypatch, step, policy):
+    sites = [(2 * i, i % 3 + 1, f"m{i % 3}", i, 4000.0 * (i % 3), 0.0, 0.0 if i == 17 else 100.0 + i % 9) for i in range(50)]
+    d = spark.createDataFrame(sites, "dc_pos long, metro_idx int, metro string, dc_idx int, x double, y double, mw double").repartition(2)
+    kinds, options = traffic.classes(spark, {0: 0.5, 1: 0.25, 2: 0.25}), {"samples": 2, "seed": 5, "tilt": 0.5}
+    want = rows(traffic.hose(d, kinds, 10.0, step, policy, **options))
+    monkeypatch.setattr(traffic, "WHOLE", 10)
+    monkeypatch.setattr(traffic, "BAND", 4)
+    monkeypatch.setattr(traffic, "BLOCK_BANDS", 3)
+    monkeypatch.setattr(traffic, "hose_matrices", None)  # its cells are shuffled to add both ways
+    assert rows(traffic.hose(d, kinds, 10.0, step, policy, **options)) == want and len(want) > 1000
+
+
+def test_last_step_is_found_without_the_rows_of_its_bin(spark, monkeypatch):
+    # all pairs of three places tie: steps end among them, and what is kept are the class's ends
+    monkeypatch.setattr(traffic, "BUNDLE", 8)
+    d, kept = _many_dcs(spark, 60, 3, (100,)), []
+    kinds, total = traffic.classes(spark, {0: 0.5, 1: 0.5}), traffic.offered(d, 1.0)
+    monkeypatch.setattr(traffic, "cut", lambda df, real=traffic.cut: kept.append(real(df)) or kept[-1])
+    for w in (traffic.bundle_weights(d), traffic.gravity_weights(d)):
+        allocated = traffic.allocate(w, kinds, total).select("a_pos", "b_pos", "priority", "gbps", "class_gbps", *[c for c in ("n_pairs", "a_members", "b_members", "a_dc", "b_dc") if c in w.columns])
+        got = rows(traffic.conserve(allocated, 10.0, "floor").select("priority", "a_pos", "b_pos", "gbps"))
+        all_rows = [(r.priority, r.a_pos, r.b_pos, r.gbps) for r in traffic.spread(allocated).collect()]
+        want = []
+        for p in (0, 1):
+            own = sorted((-round(g % 10, 9), a, b, g // 10 * 10) for q, a, b, g in all_rows if q == p)
+            steps = round((3000.0 - sum(o[3] for o in own)) / 10)
+            want += [(p, a, b, q + (10.0 if k < steps else 0.0)) for k, (_, a, b, q) in enumerate(own)]
+        assert got == sorted(want) and len(got) == 60 * 59
+    assert max(k.count() for k in kept) < 10
+
+
 def test_conserve_adds_missing_steps_to_largest_remainders(spark):
     df = spark.createDataFrame([(1, 2, 0, 14.0, 40.0), (1, 3, 0, 13.0, 40.0), (2, 3, 0, 13.0, 40.0)], "a_pos int, b_pos int, priority int, gbps double, class_gbps double")
     assert rows(traffic.conserve(df, 10.0, "floor").select("a_pos", "b_pos", "gbps")) == [(1, 2, 20.0), (1, 3, 10.0), (2, 3, 10.0)]
