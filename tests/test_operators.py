@@ -326,6 +326,15 @@ def test_hose_pairs_of_blocks_are_not_shuffled(spark, monkeypatch, step, policy)
     assert rows(traffic.hose(d, kinds, 10.0, step, policy, **options)) == want and len(want) > 1000
 
 
+def test_demands_of_bundles_are_both_ways_of_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(traffic, "BUNDLE", 4)
+    d = _many_dcs(spark, 40, 3, (100, 150))
+    assert dict(traffic.bundles(d).dtypes)["members"] == "array<bigint>"  # no structs, which are made anew for each pair
+    made = [traffic.allocate(w, traffic.classes(spark, {0: 0.5, 1: 0.5}), traffic.offered(d, 10.0)) for w in (traffic.bundle_weights(d), traffic.gravity_weights(d))]
+    got, want = (traffic.directed(rows) for rows in made)
+    assert rows(got) == rows(want) and got.count() == 2 * 40 * 39
+
+
 def test_last_step_is_found_without_the_rows_of_its_bin(spark, monkeypatch):
     # all pairs of three places tie: steps end among them, and what is kept are the class's ends
     monkeypatch.setattr(traffic, "BUNDLE", 8)
@@ -333,7 +342,7 @@ def test_last_step_is_found_without_the_rows_of_its_bin(spark, monkeypatch):
     kinds, total = traffic.classes(spark, {0: 0.5, 1: 0.5}), traffic.offered(d, 1.0)
     monkeypatch.setattr(traffic, "cut", lambda df, real=traffic.cut: kept.append(real(df)) or kept[-1])
     for w in (traffic.bundle_weights(d), traffic.gravity_weights(d)):
-        allocated = traffic.allocate(w, kinds, total).select("a_pos", "b_pos", "priority", "gbps", "class_gbps", *[c for c in ("n_pairs", "a_members", "b_members", "a_dc", "b_dc") if c in w.columns])
+        allocated = traffic.allocate(w, kinds, total).select("a_pos", "b_pos", "priority", "gbps", "class_gbps", *[c for c in ("n_pairs", "a_members", "b_members", "a_dcs", "b_dcs") if c in w.columns])
         got = rows(traffic.conserve(allocated, 10.0, "floor").select("priority", "a_pos", "b_pos", "gbps"))
         all_rows = [(r.priority, r.a_pos, r.b_pos, r.gbps) for r in traffic.spread(allocated).collect()]
         want = []
